@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.common import instant_us, object_key, plain_status, table
-from terravane.operators import history, orphans
+from terravane.functions.geo import position
+from terravane.operators import history, nearby, orphans
 
 
 def object_versions(log: DataFrame) -> DataFrame:
@@ -101,3 +102,40 @@ SQL["p1_counts"] = f"""with {_PERIODS}, {_REFERENCES}, bad as (select distinct r
 listed as (select distinct table_name, {_MONTH} as period, row_key, reason, 'direct' as kind from judged where reason is not null
   union select table_name, {_MONTH}, row_key, 'inherited', 'inherited' from judged j join bad b on j.key = b.key where j.reason is null and table_name in ('incident_management', 'incident_notes'))
 select table_name, period, reason, kind, count(*) as n_rows from listed group by all"""
+
+NEAR_M = 150.0
+
+
+def fire_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = table(spark, sf_dir, "fire_points").select(F.col("row_id").alias("id"), position(F.col("lat"), F.col("lon"), F.col("geometry")).alias("p"))
+    return placed.where("p is not null").select("id", "p.lat", "p.lon")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fire_positions(spark, sf_dir)
+    layers = table(spark, sf_dir, "layers").select(F.col("id").alias("region_id"), F.col("geometry_json").alias("geojson"))
+    near = nearby.near_pairs(points, NEAR_M).select(F.lit("near").alias("relation"), "key_a", "key_b")
+    return near.unionByName(nearby.containing(points, layers).select(F.lit("inside").alias("relation"), "key_a", "key_b"))
+
+
+QUERIES["p3_found"] = p3_found
+_N = r"([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
+_USABLE = "{0} between -90 and 90 and {1} between -180 and 180 and not isnan({0}) and not isnan({1}) and not ({0} = 0 and {1} = 0)"
+SQL["p3_found"] = rf"""with told as (select row_id, lat, lon,
+  try_cast(regexp_extract(geometry, '(?i)(?:point\s*z?\s*\(|coordinates"\s*:\s*\[)\s*{_N}[\s,]+{_N}', 1) as double) as gx,
+  try_cast(regexp_extract(geometry, '(?i)(?:point\s*z?\s*\(|coordinates"\s*:\s*\[)\s*{_N}[\s,]+{_N}', 2) as double) as gy from fire_points),
+placed as (select row_id, case when {_USABLE.format('lat', 'lon')} then lat else gy end as y, case when {_USABLE.format('lat', 'lon')} then lon else gx end as x
+  from told where ({_USABLE.format('lat', 'lon')}) or ({_USABLE.format('gy', 'gx')})),
+celled as (select *, floor(y / 0.002)::int as cy, floor(x / 0.02)::int as cx from placed),
+around as (select row_id, y, x, cy + dy as cy, cx + dx as cx from celled, unnest([-1, 0, 1]) as s(dy), unnest([-1, 0, 1]) as u(dx)),
+near as (select a.row_id as key_a, b.row_id as key_b from celled a join around b on a.cy = b.cy and a.cx = b.cx and a.row_id < b.row_id
+  where 2e0 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))) <= 150e0),
+parts as (select id, unnest(case when geometry_json->>'type' = 'MultiPolygon' then from_json(geometry_json->'coordinates', '["JSON"]') else [geometry_json->'coordinates'] end) as poly from layers),
+numbered as (select id, row_number() over () as part, poly from parts where json_array_length(poly) > 0),
+rings as (select id, part, unnest(from_json(poly, '[[["DOUBLE"]]]')) as ring, generate_subscripts(from_json(poly, '[[["DOUBLE"]]]'), 1) as nth from numbered),
+edges as (select id, part, nth, ring[k][1] as ax, ring[k][2] as ay, ring[k % len(ring) + 1][1] as bx, ring[k % len(ring) + 1][2] as by from (select *, unnest(range(1, len(ring) + 1)) as k from rings)),
+boxes as (select id, part, min(ax) as x0, max(ax) as x1, min(ay) as y0, max(ay) as y1 from edges where nth = 1 group by 1, 2),
+crossed as (select p.row_id, e.id, e.part, e.nth, sum(case when (e.ay > p.y) <> (e.by > p.y) and p.x < (e.bx - e.ax) * (p.y - e.ay) / (e.by - e.ay) + e.ax then 1 else 0 end) % 2 as odd
+  from placed p join boxes b on p.x between b.x0 and b.x1 and p.y between b.y0 and b.y1 join edges e on e.id = b.id and e.part = b.part group by all),
+held as (select distinct row_id, id from (select row_id, id, part from crossed group by all having max(case when nth = 1 then odd else 0 end) = 1 and max(case when nth > 1 then odd else 0 end) = 0))
+select 'near' as relation, key_a, key_b from near union all select 'inside', row_id, id from held"""
