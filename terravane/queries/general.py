@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.common import instant_us, object_key, plain_status, table
 from terravane.functions.geo import position
-from terravane.operators import history, nearby, orphans
+from terravane.operators import history, nearby, orphans, spikes
 
 
 def object_versions(log: DataFrame) -> DataFrame:
@@ -139,3 +139,10 @@ crossed as (select p.row_id, e.id, e.part, e.nth, sum(case when (e.ay > p.y) <>
   from placed p join boxes b on p.x between b.x0 and b.x1 and p.y between b.y0 and b.y1 join edges e on e.id = b.id and e.part = b.part group by all),
 held as (select distinct row_id, id from (select row_id, id, part from crossed group by all having max(case when nth = 1 then odd else 0 end) = 1 and max(case when nth > 1 then odd else 0 end) = 0))
 select 'near' as relation, key_a, key_b from near union all select 'inside', row_id, id from held"""
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.flag(table(spark, sf_dir, "fire_points"), table(spark, sf_dir, "field_limits"))
+
+
+QUERIES["p5_found"] = p5_found
