@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.common import table
-from terravane.llm import quality
+from terravane.llm import packing, quality, quantiles, tokens
 
 
 def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +17,44 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_quality(spark, sf_dir).where(F.array_contains("reasons", "not_prose")).select("doc_id")
 
 
-QUERIES = {"p8_quality": p8_quality, "p8_found": p8_found}
+
+MEASURED = ["outlier_score", "FRP"]
+LEVELS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
+
+
+def fire_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = [F.col("_source_file").alias("source"), F.col("_api_source").alias("product"), F.col("ACQ_DATE").alias("day")]
+    return quantiles.long_values(table(spark, sf_dir, "fire_points"), MEASURED, keep)
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, per product and per day, each grouping told by the one column that is not NULL."""
+    by = ["field", "source", "product", "day"]
+    parts = quantiles.build(fire_values(spark, sf_dir), by, "v", ways=[["field", "source"], ["field", "product"], ["field", "day"]])
+    return quantiles.percentiles(quantiles.merge(parts, ["way", *by]), ["way", *by], LEVELS).drop("way")
+
+
+def p2_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of separate days and products, as a store would keep them, combined into those of the whole products."""
+    by = ["field", "product", "day"]
+    daily = quantiles.merge(quantiles.build(fire_values(spark, sf_dir), by, "v"), by)
+    return quantiles.percentiles(quantiles.merge(daily, ["field", "product"]), ["field", "product"], LEVELS)
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.ids_of(table(spark, sf_dir, "documents"))
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_targets"))
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.usage(p7_packing(spark, sf_dir), table(spark, sf_dir, "packing_targets"))
+
+
+QUERIES = {
+    "p2_percentiles": p2_percentiles, "p2_days_combined": p2_days_combined, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage,
+    "p8_quality": p8_quality, "p8_found": p8_found,
+}
 SQL: dict[str, str] = {}
