@@ -1,7 +1,7 @@
 """Implausible readings per source: outside the instrument's range, stuck, or spikes against the source's own behaviour.
 
 Each field of each source is a series of its valid readings. Series are cut into blocks by their own running index, found
-from counts per source and hour, so a source with a third of all rows is spread over many tasks; a block carries a halo of
+from counts per source and day or hour, so a source with a third of all rows is spread over many tasks; a block carries a halo of
 the readings before and after it, and as NULL and NaN are left out before the index is taken, the halo always holds what
 the checks look at. Per block a robust seasonal-trend decomposition is made: a daily course from medians by hour of the
 detrended values (only where the block spans three days, else the trend follows it), the trend on either side of a reading
@@ -10,7 +10,7 @@ touches. A residual has to leave both sides' trend. Residuals are tested by the
 limits with robust location and scale, and also have to pass ``ratio`` times the scatter. Heavy-tailed fields have to pass
 the limits on the log scale as well.
 
-Defined cases: NULL and NaN are no readings; readings without a readable time come first in their source; repeated
+Defined cases: NULL and NaN are no readings; readings without a readable time come first in their day; repeated
 deliveries (all columns equal but row_id and received_at) are one reading and are reported row by row; products without
 limits have no range check; series of fewer than ``MIN_SERIES`` readings have no spike check; empty tables give no rows.
 """
@@ -35,6 +35,9 @@ RATIO, LOG_RATIO = 8.5, 5.0
 LONGEST = 3
 ALPHA = 0.01
 MIN_SERIES = 8
+MAX_LIMITS = 10_000
+HOT_SHARE = 1 / 512
+NO_SOURCE = "\x00"
 FIELDS = ("FRP", "BRIGHTNESS", "BRIGHT_T31")
 LOG_FIELDS = ("FRP",)
 
@@ -144,62 +147,72 @@ def minute_of_day(text: Column) -> Column:
     return F.when((digits % 100 < 60) & (digits < 2400), (F.floor(digits / 100) * 60 + digits % 100).cast("int"))
 
 
-def readings(rows: DataFrame, source: str, product: str, day: str, time: str, row_id: str, fields: tuple[str, ...], aside: tuple[str, ...]) -> DataFrame:
-    """One row per reading: columns source, product, bin, minute, fields, h1, h2 (hashes of all columns but row_id and ``aside``), row_id.
+def readings(rows: DataFrame, products: list[str], source: str, product: str, day: str, time: str, row_id: str, fields: tuple[str, ...], aside: tuple[str, ...]) -> DataFrame:
+    """The rows with what tells readings apart: source, product (its place in ``products``, 0 for others), bin (hour), minute, fields, h, row_id.
 
-    Not reduced: call ``distinct_readings``. NULLs are hashed by their place, so a value in another column is another row.
+    h is a hash of all columns but row_id and ``aside``; it only has to tell rows apart that agree in all the rest. NULLs
+    are hashed by their place, so a value in another column is another row.
     """
     content = [c for c in rows.columns if c != row_id and c not in aside]
     nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in content])
-    cols = [F.col(f"`{c}`") for c in content]
     minute = F.coalesce(minute_of_day(F.col(time)), F.lit(-1))
     days = F.coalesce(F.datediff(F.col(day).cast("date"), F.lit("1970-01-01")), F.lit(-1_000_000))
+    code = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in products]).cast("array<string>"), F.col(product).cast("string")), F.lit(0)).cast("int")
     return rows.select(
-        F.col(source).alias("source"), F.col(product).alias("product"), (days * 24 + F.floor(minute / 60)).cast("int").alias("bin"), minute.alias("minute"),
-        *[F.col(f).cast("double").alias(f) for f in fields], F.xxhash64(nulls, *cols).alias("h1"), F.xxhash64(F.lit(1), *reversed(cols), nulls).alias("h2"), F.col(row_id).alias("row_id"),
+        F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source"), code.alias("product"),
+        F.coalesce((days * 24 + F.greatest(F.floor(minute / 60), F.lit(0))).cast("int"), F.lit(0)).alias("bin"), minute.alias("minute"),
+        *[F.col(f).cast("double").alias(f) for f in fields], F.xxhash64(nulls, *[F.col(f"`{c}`") for c in content]).alias("h"), F.col(row_id).alias("row_id"),
     )
 
 
 def flag(rows: DataFrame, limits: DataFrame, source: str = "_source_file", product: str = "_api_source", day: str = "ACQ_DATE", time: str = "ACQ_TIME", row_id: str = "row_id", fields: tuple[str, ...] = FIELDS, log_fields: tuple[str, ...] = LOG_FIELDS, aside: tuple[str, ...] = ("received_at",), block: int = BLOCK) -> DataFrame:
-    """(row_id, field_name) of every delivered row and field that is a case. limits: (api_source, field_name, low_value, high_value), a small fixed table."""
-    every = readings(rows, source, product, day, time, row_id, fields, aside)
-    one = every.groupBy("source", "product", "bin", "minute", *fields, "h1", "h2").agg(F.min("row_id").alias("rid"), F.count("*").alias("n"))
-    valid = {f: F.col(f).isNotNull() & ~F.isnan(f) for f in fields}
-    along = Window.partitionBy("source", "bin").orderBy("minute", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    placed = one.repartition("source", "bin").select("*", *[F.sum(valid[f].cast("long")).over(along).alias(f"n_{f}") for f in fields])
-    bins = placed.groupBy("source", "bin").agg(*[F.max(f"n_{f}").alias(f"n_{f}") for f in fields])
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bins.select("source", "bin", *[F.coalesce(F.sum(f"n_{f}").over(before), F.lit(0)).alias(f"o_{f}") for f in fields])
-    placed = placed.join(starts, ["source", "bin"])
-
-    bounds = {(r["api_source"], r["field_name"]): (r["low_value"], r["high_value"]) for r in limits.limit(100_001).collect()}
-    if len(bounds) > 100_000:
+    """(row_id, field_name) of every delivered row and field that is a case. limits: (api_source, field_name, low_value, high_value), at most MAX_LIMITS rows."""
+    listed = limits.where("api_source is not null").limit(MAX_LIMITS + 1).collect()
+    if len(listed) > MAX_LIMITS:
         raise ValueError("the table of limits is meant to be small")
+    products = sorted({r["api_source"] for r in listed})
+    bounds = {(r["api_source"], r["field_name"]): (r["low_value"], r["high_value"]) for r in listed}
+
+    every = readings(rows, products, source, product, day, time, row_id, fields, aside)
+    one = every.groupBy("source", "product", "bin", "minute", *fields, "h").agg(F.min("row_id").alias("rid"), F.count("*").alias("n"))
+    valid = {f: F.col(f).isNotNull() & ~F.isnan(f) for f in fields}
+    # running numbers are counted in cells of a day, of an hour for sources with more than HOT_SHARE of the rows (at most 1/HOT_SHARE sources)
+    counted = rows.groupBy(F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("hot")).agg(F.count("*").alias("c"))
+    total = counted.agg(F.sum("c").alias("t"))
+    hot = F.broadcast(counted.where(F.col("c") > total.scalar() * F.lit(HOT_SHARE)).select("hot"))
+    cell = F.when(F.col("hot").isNotNull(), F.col("bin")).otherwise(F.col("bin") - F.pmod(F.col("bin"), F.lit(24)))
+    cell = F.coalesce(cell, F.lit(0)).alias("cell")
+    tied = one.join(hot, F.col("source") == F.col("hot"), "left")
+    # rows and counts use the same columns in the same order, so that both read one exchange
+    bins = tied.select("rid", "source", cell, *fields, "n").groupBy("source", "cell").agg(F.min("rid").alias("some"), F.max("n").alias("most"), *[F.count_if(valid[f]).alias(f"n_{f}") for f in fields])
+    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bins.select("source", "cell", "some", "most", *[F.coalesce(F.sum(f"n_{f}").over(before), F.lit(0)).alias(f"o_{f}") for f in fields])
+    along = Window.partitionBy("source", "cell").orderBy("bin", "minute", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    slim = tied.select("rid", "source", cell, "product", "bin", "minute", *fields, F.when(F.col("n") > 1, F.col("h")).alias("h"))
+    placed = slim.repartition("source", "cell").select("*", *[F.sum(valid[f].cast("long")).over(along).alias(f"n_{f}") for f in fields])
+    placed = placed.join(starts, ["source", "cell"]).where((F.col("some") <= F.col("rid")) & (F.col("most") > 0))
+
     cells = [F.when(valid[f], F.struct(F.lit(k).alias("field"), F.col(f).alias("v"), (F.col(f"o_{f}") + F.col(f"n_{f}") - 1).alias("idx"))) for k, f in enumerate(fields)]
-    copied = F.col("n") > 1
-    series = placed.select("source", "product", "bin", "rid", *[F.when(copied, F.col(h)).alias(h) for h in ("h1", "h2")], F.explode(F.array_compact(F.array(*cells))).alias("x"))
+    series = placed.select("source", "product", "bin", "minute", "rid", "h", F.explode(F.array_compact(F.array(*cells))).alias("x"))
     own, rest = F.floor(F.col("x.idx") / block).cast("int"), F.col("x.idx") % block
     blocks = F.array_compact(F.array(own, F.when((rest < HALO) & (own > 0), own - 1), F.when(rest >= block - HALO, own + 1)))
-    spread = series.select("source", "product", "bin", "rid", "h1", "h2", "x.field", "x.v", "x.idx", F.explode(blocks).alias("block"))
+    spread = series.select("source", "product", "bin", F.when(F.col("h").isNotNull(), F.col("minute")).alias("minute"), "rid", "h", "x.field", "x.v", "x.idx", F.explode(blocks).alias("block"))
     spread = spread.repartition("source", "field", "block").sortWithinPartitions("source", "field", "block", "idx")
-    schema = "rid long, h1 long, h2 long, field int"
+    schema = "rid long, h long, bin int, minute int, field int"
 
     def one_block(t: pa.Table) -> pa.RecordBatch | None:
         f = fields[t["field"][0].as_py()]
         v, b = t["v"].to_numpy(), t["bin"].to_numpy()
         low, high = np.full(len(v), -np.inf), np.full(len(v), np.inf)
-        products = t["product"].combine_chunks().dictionary_encode()
-        if isinstance(products, pa.ChunkedArray):
-            products = products.combine_chunks()
-        for k, p in enumerate(products.dictionary.to_pylist()):
-            if (p, f) in bounds:
-                at = products.indices.fill_null(-1).to_numpy(zero_copy_only=False) == k
-                low[at], high[at] = (x if x is not None else s * np.inf for x, s in zip(bounds[(p, f)], (-1, 1)))
+        code = t["product"].to_numpy()
+        for k in np.unique(code):
+            if k and (products[k - 1], f) in bounds:
+                low[code == k], high[code == k] = (x if x is not None else s * np.inf for x, s in zip(bounds[(products[k - 1], f)], (-1, 1)))
         hit = flag_series(v, np.mod(b, 24), b // 24, low, high, f in log_fields)
         hit &= t["idx"].to_numpy() // block == t["block"][0].as_py()
         if not hit.any():
             return None
-        return t.select(["rid", "h1", "h2", "field"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]
+        return t.select(["rid", "h", "bin", "minute", "field"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -232,9 +245,10 @@ def flag(rows: DataFrame, limits: DataFrame, source: str = "_source_file", produ
 
     hits = spread.mapInArrow(walk, schema)
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
-    single = hits.where("h1 is null").select(F.col("rid").alias("row_id"), name.alias("field_name"))
     # the few cases that were delivered again find their other rows by content; salted, as one reading may hold many rows
     fan = 16
-    again = hits.where("h1 is not null").select("h1", "h2", "field", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))).alias("salt"))
-    copies = every.select("row_id", "h1", "h2", F.pmod("row_id", F.lit(fan)).cast("int").alias("salt")).join(again, ["h1", "h2", "salt"]).select("row_id", name.alias("field_name"))
-    return single.unionByName(copies)
+    salts = F.when(F.col("h").isNotNull(), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))
+    again = hits.select("rid", "field", "h", F.col("bin").alias("b"), F.col("minute").alias("m"), F.explode(salts).alias("s"))
+    copies = every.select("row_id", F.col("h").alias("g"), "bin", "minute", F.pmod("row_id", F.lit(fan)).cast("int").alias("salt"))
+    met = again.join(copies, (again["h"] == copies["g"]) & (again["b"] == copies["bin"]) & (again["m"] == copies["minute"]) & (again["s"] == copies["salt"]), "left")
+    return met.where("h is null or row_id is not null").select(F.coalesce("row_id", "rid").alias("row_id"), name.alias("field_name"))
