@@ -5,14 +5,14 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Mean radius of the earth, metres.
 EARTH_M = 6_371_008.8
-_NUM = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
-WKT_POINT = rf"(?i)^\s*(?:SRID\s*=\s*\d+\s*;)?\s*POINT\s*(?:ZM|Z|M)?\s*\(\s*{_NUM}\s+{_NUM}"
-JSON_POINT = rf'(?i)"coordinates"\s*:\s*\[\s*{_NUM}\s*,\s*{_NUM}'
+_NUM = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+#: x and y of a point in WKT, EWKT or GeoJSON text, as one group.
+POINT = rf'(?i)(?:^\s*(?:SRID\s*=\s*\d+\s*;)?\s*POINT\s*(?:ZM|Z|M)?\s*\(|"coordinates"\s*:\s*\[)\s*({_NUM}[\s,]+{_NUM})'
 
 
 def usable(lat: Column, lon: Column) -> Column:
@@ -20,18 +20,20 @@ def usable(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0) & ~((lat == 0.0) & (lon == 0.0)), F.lit(False))
 
 
-def position(lat: Column, lon: Column, geometry: Column) -> Column:
-    """struct(lat, lon): the two columns if usable, else the point in WKT, EWKT or GeoJSON text if usable, else NULL."""
-    is_json = geometry.rlike(r'(?i)"type"\s*:\s*"Point"')
-
-    def part(i: int) -> Column:
-        text = F.when(is_json, F.regexp_extract(geometry, JSON_POINT, i)).otherwise(F.regexp_extract(geometry, WKT_POINT, i))
-        return text.try_cast("double")
-
-    told = F.struct(part(2).alias("lat"), part(1).alias("lon"))
-    return F.when(usable(lat, lon), F.struct(lat.alias("lat"), lon.alias("lon"))).when(
-        usable(told["lat"], told["lon"]), told
-    )
+def with_position(rows: DataFrame, keep: list[Column], lat: Column, lon: Column, geometry: Column) -> DataFrame:
+    """``keep`` with lat and lon: the two columns if usable, else the point in the geometry text if usable; rows without are left out.
+
+    The text is only read where the columns fail, once per row: each step is a projection of its own.
+    """
+    ok = usable(lat, lon)
+    first = rows.select(*keep, F.when(ok, lat).alias("lat"), F.when(ok, lon).alias("lon"), F.when(~ok, geometry).alias("__g"))
+    names = [c for c in first.columns if c != "__g"]
+    told = first.select(*names, F.when(F.col("__g").isNotNull(), F.split(F.regexp_extract("__g", POINT, 1), r"[\s,]+")).alias("__p"))
+    told = told.select(*names, F.when(F.size("__p") == 2, F.col("__p")[0]).try_cast("double").alias("__x"), F.when(F.size("__p") == 2, F.col("__p")[1]).try_cast("double").alias("__y"))
+    use = usable(F.col("__y"), F.col("__x"))
+    place = F.when(F.col("lat").isNotNull(), F.array(F.struct("lat", "lon"))).when(use, F.array(F.struct(F.col("__y").alias("lat"), F.col("__x").alias("lon"))))
+    # rows without a position end in the generator; a filter would be pushed down and the text be read again for each of its terms
+    return told.select(*names[:-2], F.inline(place))
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -143,18 +143,17 @@ def _cell_pairs(t: pa.Table, r: float) -> pa.Table:
     return pa.table({"a": ids[a], "b": ids[b], "a_hot": hot[a], "b_hot": hot[b]})
 
 
-def near_pairs(points: DataFrame, radius_m: float, cell_rows: int = CELL_ROWS, hot_rows: int = HOT_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+def near_pairs(points: DataFrame, radius_m: float, cell_rows: int = CELL_ROWS, hot_rows: int = HOT_ROWS, max_pivots: int = MAX_PIVOTS, at_most: int | None = None) -> DataFrame:
     """(key_a, key_b): ids of all pairs of rows at most ``radius_m`` apart, the smaller id first. points: (id long, lat, lon), ids unique.
 
-    One small job runs at once: it brings the pivots (at most ``max_pivots``) and the positions that hold more than
-    ``hot_rows`` rows and a share of HOT_SHARE of all (at most 1/HOT_SHARE of them).
+    One job runs at once: it brings the pivots (one position in ``cell_rows``, about ``max_pivots`` at most) and the
+    positions that hold more than ``hot_rows`` rows and a share of HOT_SHARE of all (at most 1/HOT_SHARE of them).
+    ``at_most`` is a known upper bound of the number of rows, which saves counting them.
     """
     spark = points.sparkSession
     places = points.groupBy("lat", "lon").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-    sized = places.agg(F.sum("n").alias("t"), F.count("*").alias("p")).first()
-    total, distinct = sized["t"] or 0, sized["p"]
-    wanted = int(min(max_pivots, max(1, total // cell_rows)))
-    every = max(1, distinct // wanted)
+    total = points.count() if at_most is None else at_most
+    every = max(cell_rows, total // max_pivots + 1)
     is_hot = F.col("n") > max(hot_rows, total * HOT_SHARE)
     chosen = places.where(is_hot | (F.pmod(F.xxhash64("lat", "lon"), F.lit(every)) == 0)).select("lat", "lon", "rep", is_hot.alias("hot")).toPandas()
     chosen = chosen.sort_values(["lat", "lon"]).sample(frac=1, random_state=7)

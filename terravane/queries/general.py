@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.common import instant_us, object_key, plain_status, table
-from terravane.functions.geo import position
+from terravane.functions.geo import with_position
 from terravane.operators import history, nearby, orphans, spikes
 
 
@@ -107,14 +107,13 @@ NEAR_M = 150.0
 
 
 def fire_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = table(spark, sf_dir, "fire_points").select(F.col("row_id").alias("id"), position(F.col("lat"), F.col("lon"), F.col("geometry")).alias("p"))
-    return placed.where("p is not null").select("id", "p.lat", "p.lon")
+    return with_position(table(spark, sf_dir, "fire_points"), [F.col("row_id").alias("id")], F.col("lat"), F.col("lon"), F.col("geometry"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fire_positions(spark, sf_dir)
     layers = table(spark, sf_dir, "layers").select(F.col("id").alias("region_id"), F.col("geometry_json").alias("geojson"))
-    near = nearby.near_pairs(points, NEAR_M).select(F.lit("near").alias("relation"), "key_a", "key_b")
+    near = nearby.near_pairs(points, NEAR_M, at_most=table(spark, sf_dir, "fire_points").count()).select(F.lit("near").alias("relation"), "key_a", "key_b")
     return near.unionByName(nearby.containing(points, layers).select(F.lit("inside").alias("relation"), "key_a", "key_b"))
 
 
