@@ -28,20 +28,20 @@ def canonical(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id of each connected component.
 
-    Each round takes the smallest label among the neighbours and then the label's own label (pointer jumping), so the
-    number of rounds grows with the logarithm of the diameter. Every round is cut on reliable storage.
+    Each round offers every node and its root the smallest label among the node's neighbours, and then takes the label's
+    own label (pointer jumping), so the number of rounds grows with the logarithm of the diameter. Every round is cut on
+    reliable storage.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = cut(both)
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = cut(nodes.select("id", F.col("id").alias("component")))
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
-        step = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("c", "component")).alias("new"))
+        seen = both.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").groupBy("src").agg(F.min("c").alias("c"))
+        rooted = seen.join(labels, seen["src"] == labels["id"]).select(F.explode(F.array_distinct(F.array("src", "component"))).alias("id"), "c")
+        near = rooted.groupBy("id").agg(F.min("c").alias("c"))
+        step = cut(labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("new")))
         hop = step.select(F.col("id").alias("new"), F.col("new").alias("jump"))
-        nxt = cut(step.join(hop, "new", "left").select("id", F.col("component").alias("old"), F.least("new", F.coalesce("jump", "new")).alias("component")))
-        changed = not nxt.where("old <> component").isEmpty()
-        labels = nxt.select("id", "component")
-        if not changed:
+        labels = cut(step.join(hop, "new", "left").select("id", F.least("new", F.coalesce("jump", "new")).alias("component")))
+        if step.where("old <> new").isEmpty():
             break
     return labels
 

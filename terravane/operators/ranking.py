@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravane.common import skew_join
-
 RANGES = 64
 
 
@@ -39,11 +37,27 @@ def value_counts(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
     return inner.join(F.broadcast(_offsets(counted, "__r", "same")), "__r").select("value", "same", (F.col("__in") + F.col("__before")).alias("below"), F.col("__all").alias("n"))
 
 
+def percent_ranks(df: DataFrame, outs: dict[str, str], share: float = 1 / 512, fan: int = 32) -> DataFrame:
+    """Average rank over the number of non-null values, 0.5 where the value is missing, for each {value column: new column}.
+
+    All counts come from df itself, not from each other's results. Values with more than ``share`` of the rows, at most
+    1/share of them, are spread over ``fan`` tasks in the join back.
+    """
+    out = df
+    for value, name in outs.items():
+        counts = value_counts(df, value)
+        hot = F.col("same") > F.col("n") * share
+        known = F.broadcast(counts.where(hot).select(F.col("value").alias("__h")))
+        ranks = counts.select(F.col("value").alias("__v"), ((F.col("below") + (F.col("same") + 1) / F.lit(2e0)) / F.col("n")).alias(name), F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))).alias("__s"))
+        v = F.when(~F.isnan(value), F.col(value))
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(fan)).cast("int")
+        left = out.join(known, v == F.col("__h"), "left").withColumn("__v", v).withColumn("__s", F.when(F.col("__h").isNotNull(), salt).otherwise(F.lit(0)))
+        out = left.join(ranks, ["__v", "__s"], "left").withColumn(name, F.coalesce(name, F.lit(0.5))).drop("__v", "__s", "__h")
+    return out
+
+
 def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank over the number of non-null values; 0.5 where the value is missing."""
-    counts = value_counts(df, value).select(F.col("value").alias("__v"), ((F.col("below") + (F.col("same") + 1) / F.lit(2e0)) / F.col("n")).alias(out))
-    joined = skew_join(df.withColumn("__v", F.when(~F.isnan(value), F.col(value))), counts, ["__v"], "left")
-    return joined.withColumn(out, F.coalesce(out, F.lit(0.5))).drop("__v")
+    return percent_ranks(df, {value: out})
 
 
 def ordinal01(df: DataFrame, value: str, tie: str, out: str, ranges: int = RANGES) -> DataFrame:

@@ -177,10 +177,10 @@ def spatial_score(spark, d):
 
 
 # graphs over the customer points
-NEAR_M = 3_000.0
+NEAR_M = 2_200.0
 _HAV = f"2e0 * {EARTH_M}e0 * asin(least(1e0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 _WGS = "w as (select c_custkey as id, -75 + (c_custkey * 37 % 1009) / 1e3 as lon, 6 + (c_custkey * 91 % 1013) / 1e3 as lat from customer)"
-_GRAPH = f"{_WGS}, g as (select a.id as src, b.id as dst, {_HAV} as weight from w a join w b on a.id < b.id and abs(a.lat - b.lat) < 0.0275 and abs(a.lon - b.lon) < 0.0280 where {_HAV} <= {NEAR_M})"
+_GRAPH = f"{_WGS}, g as (select a.id as src, b.id as dst, {_HAV} as weight from w a join w b on a.id < b.id and abs(a.lat - b.lat) < 0.0200 and abs(a.lon - b.lon) < 0.0205 where {_HAV} <= {NEAR_M})"
 
 
 def nodes(spark, d):

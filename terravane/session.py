@@ -35,6 +35,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise on reliable storage, so that a lost executor costs no earlier stage."""
+    """Materialise on reliable storage, so that a lost executor costs no earlier stage.
+
+    The plan of a checkpoint still carries the constraints of the plan it came from, and these double with every round of
+    an iteration; so the rows are put under a fresh plan.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    session = df.sparkSession
+    fresh = session._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    out = DataFrame(fresh, session)
+    out._kept = kept  # the files live as long as this frame
+    return out
