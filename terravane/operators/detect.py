@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions.stats import MAD_SIGMA, euclid, quantile
-from terravane.operators.cleaning import robust_scale
 from terravane.session import cut
 
 #: Default weights of the six components.
@@ -175,30 +174,25 @@ def ablation(df: DataFrame, weights: dict[str, float], level: float = 0.99) -> D
 
 
 def euclidean_intelligence(df: DataFrame, features: list[str], spatial: list[str] | None = None, feature_weight: float = 0.75, spatial_weight: float = 0.25) -> DataFrame:
-    """Robust distances from the centre in feature and plane space, their logistic scores, the mix, flags and each feature's share."""
-
-    def part(d: DataFrame, cols: list[str], name: str) -> DataFrame:
-        d = robust_scale(d, cols, "__z")
-        mid = d.agg(*[quantile(F.col(f"{c}__z"), 0.5).alias(c) for c in cols])
-        off = {c: F.col(f"{c}__z") - mid.select(c).scalar() for c in cols}
-        d = d.withColumns({f"{c}__o": o for c, o in off.items()}).withColumn(f"{name}_distance", euclid([F.col(f"{c}__o") for c in cols]))
-        m = d.agg(quantile(F.col(f"{name}_distance"), 0.5).alias("m")).scalar()
-        mad = d.agg((quantile(F.abs(F.col(f"{name}_distance") - m), 0.5) + 1e-12).alias("s")).scalar()
-        return d.withColumn(f"{name}_score", 1 / (1 + F.exp(-(F.col(f"{name}_distance") - m) / (MAD_SIGMA * mad))))
-
-    out = part(df, features, "feature")
-    total = feature_weight + (spatial_weight if spatial else 0.0)
-    score = F.col("feature_score") * (feature_weight / total)
-    if spatial:
-        out = part(out, spatial, "spatial")
-        score = score + F.col("spatial_score") * (spatial_weight / total)
-    out = out.withColumn("intelligence_score", score)
-    cuts = out.agg(quantile(F.col("intelligence_score"), [0.90, 0.95, 0.99])).scalar()
-    for i, n in enumerate((90, 95, 99)):
-        out = out.withColumn(f"outlier_{n}", F.col("intelligence_score") >= cuts[i])
-    whole = F.greatest(reduce(lambda a, b: a + b, [F.abs(F.col(f"{c}__o")) for c in features]), F.lit(1e-12))
-    out = out.withColumns({f"contrib_{c}": F.abs(F.col(f"{c}__o")) / whole for c in features})
-    return out.drop(*[c for c in out.columns if c.endswith(("__z", "__o"))])
+    """Robust distances from the centre in feature and plane space, their logistic scores, the mix, flags and each feature's share.
+
+    Four small aggregates run at once and give literals: quartiles, median distances, their MADs, and the cuts of the mix.
+    The median of a robustly scaled column is 0, so distances are taken from there.
+    """
+    cols = [*features, *(spatial or [])]
+    q = df.agg(*[quantile(F.col(c), [0.25, 0.5, 0.75]).alias(c) for c in cols]).first()
+    z = {c: (F.col(c) - float(q[c][1])) / float((q[c][2] - q[c][0]) or 1.0) for c in cols}
+    parts = {"feature": (features, feature_weight)} | ({"spatial": (spatial, spatial_weight)} if spatial else {})
+    out = df.withColumns({f"{n}_distance": euclid([z[c] for c in cs]) for n, (cs, _) in parts.items()})
+    mid = out.agg(*[quantile(F.col(f"{n}_distance"), 0.5).alias(n) for n in parts]).first()
+    mad = out.agg(*[quantile(F.abs(F.col(f"{n}_distance") - float(mid[n])), 0.5).alias(n) for n in parts]).first()
+    out = out.withColumns({f"{n}_score": 1 / (1 + F.exp(-(F.col(f"{n}_distance") - float(mid[n])) / (MAD_SIGMA * (mad[n] + 1e-12)))) for n in parts})
+    total = sum(w for _, w in parts.values())
+    out = out.withColumn("intelligence_score", reduce(lambda a, b: a + b, [F.col(f"{n}_score") * (w / total) for n, (_, w) in parts.items()]))
+    cuts = out.agg(quantile(F.col("intelligence_score"), [0.90, 0.95, 0.99]).alias("q")).first()["q"]
+    out = out.withColumns({f"outlier_{n}": F.col("intelligence_score") >= float(c) for n, c in zip((90, 95, 99), cuts)})
+    whole = F.greatest(reduce(lambda a, b: a + b, [F.abs(z[c]) for c in features]), F.lit(1e-12))
+    return out.withColumns({f"contrib_{c}": F.abs(z[c]) / whole for c in features})
 
 
 def against_baseline(current: Column, baseline: Column) -> Column:
