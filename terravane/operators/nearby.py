@@ -159,9 +159,8 @@ def near_pairs(points: DataFrame, radius_m: float, cell_rows: int = CELL_ROWS, h
     chosen = chosen.sort_values(["lat", "lon"]).sample(frac=1, random_state=7)
     hot = chosen[chosen["hot"]]
     seeds = chosen[~chosen["hot"]][:max_pivots] if (~chosen["hot"]).any() else chosen[:1]
-    if not len(seeds):
-        seeds = chosen.reindex([0]).fillna(0.0)
-    pivots = Pivots(seeds["lat"].to_numpy(float), seeds["lon"].to_numpy(float))
+    at = seeds[["lat", "lon"]].to_numpy(float) if len(seeds) else np.zeros((1, 2))
+    pivots = Pivots(at[:, 0], at[:, 1])
 
     rows = points.select("id", "lat", "lon", F.lit(False).alias("hot"))
     if len(hot):

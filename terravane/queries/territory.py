@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from terravane.common import instant_us, object_key, table
 from terravane.functions import raster
-from terravane.operators import geometry, nearby, temporal, territory
+from terravane.operators import core, geometry, nearby, temporal, territory
 from terravane.operators.history import encode
+from terravane.plans import semantics
 from terravane.queries.general import fire_positions, object_versions
 from terravane.queries.registry import Registry
 from terravane.queries.tabular import WGS_SQL, r, wgs
@@ -230,3 +231,27 @@ def utm_points(spark, d):
     w = wgs(spark, d)
     x, y = geometry.utm(w.lat, w.lon, 18)
     return w.select("c_custkey", geometry.utm_zone(w.lon).alias("zone"), x.alias("easting"), y.alias("northing"))
+
+
+@R.add()
+def semantic_contract(spark, d):
+    """Roles and measures of the scored layer's columns."""
+    made = semantics.contract(table(spark, d, "fire_points"), {"id": "fire", "variables": ["FRP", "BRIGHTNESS"], "aliases": [["FRP", "fire_radiative_power"]]})
+    return spark.createDataFrame(made["mappings"], "column string, semantic string, role string, confidence double, source string")
+
+
+@R.add("""with l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_extendedprice) as n from lineitem), g as (select l_orderkey as id, count(*) as n, regr_slope(l_quantity, n - 1) as b, regr_intercept(l_quantity, n - 1) as a, avg(l_quantity) as m from l group by 1)
+select id, round(case when n = 1 then m else a + b * n end, 6) as next_value, round(case when n = 1 then 0 else b end, 6) as slope, n from g""")
+def order_forecast(spark, d):
+    out = core.forecast(table(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_quantity", "l_extendedprice"], "l_quantity")
+    return out.select(F.col("l_orderkey").alias("id"), r(F.col("next_value")).alias("next_value"), r(F.col("slope")).alias("slope"), "n")
+
+
+@R.add(f"""with w as ({WGS_SQL}), e as (select a.c_custkey as x, b.c_custkey as y, {_HAVS} / 1000 as km from w a join w b on a.c_custkey <> b.c_custkey and abs(a.lat - b.lat) < 0.05 and abs(a.lon - b.lon) < 0.05 where {_HAVS} <= 4000),
+q as (select x as id, min(km) as nearest_km, count(*) as nearby, sum(1 / (1 + km)) as w from e group by 1)
+select c_custkey as id, round(nearest_km, 6) as nearest_km, coalesce(nearby, 0) as nearby, round(least(1, coalesce(nearby, 0) / 12e0), 6) as density, round(least(1, coalesce(q.w, 0) / 6e0), 6) as connectivity from w left join q on q.id = c_custkey""")
+def property_intelligence(spark, d):
+    n = wgs(spark, d).select(F.col("c_custkey").alias("id"), "lat", "lon")
+    h = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("n"), F.col("o_totalprice").alias("value"))
+    out = core.property_intelligence(n, nearby.near_pairs(n, 4_000.0), h)
+    return out.select("id", *[r(F.col(c)).alias(c) for c in ("nearest_km", "density", "connectivity")], "nearby")
