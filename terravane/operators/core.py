@@ -49,6 +49,7 @@ def property_intelligence(nodes: DataFrame, pairs: DataFrame, history: DataFrame
     out = out.join(change(history, key, "n", "value"), key, "left").join(forecast(history, key, "n", "value").drop("n"), key, "left")
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     risk = (1 - F.col("connectivity")) * RISK["isolation"] + (1 - F.col("density")) * RISK["sparsity"] + clip(F.abs("relative_delta")) * RISK["change"] + clip(F.col("volatility")) * RISK["volatility"]
+    risk = F.when(F.col("relative_delta").isNotNull(), risk)  # greatest and least pass NULLs over
     band = F.when(risk.isNotNull(), "Low")
     for at, name in reversed(BANDS):
         band = F.when(risk >= at, name).otherwise(band)

@@ -119,11 +119,11 @@ def watch(traj: DataFrame, key: str) -> DataFrame:
     out = None
     for c in ("departure", "speed"):
         past = s.where((F.col("n") < F.col("__last")) & F.col(c).isNotNull())
-        m = past.groupBy(key).agg(quantile(F.col(c), 0.5).alias("m"), F.count("*").alias("k"))
-        d = past.join(m, key).groupBy(key).agg(quantile(F.abs(F.col(c) - F.col("m")), 0.5).alias("mad"))
-        now = s.where(F.col("n") == F.col("__last")).select(key, F.col(c).alias("v")).join(m, key, "left").join(d, key, "left")
-        z = (F.col("v") - F.col("m")) / F.greatest(MAD_SIGMA * F.col("mad"), 0.1 * F.abs("m"), F.lit(0.25))
-        enough = F.coalesce(F.col("k") >= 2, F.lit(False))
+        m = past.groupBy(key).agg(quantile(F.col(c), 0.5).alias("__m"), F.count("*").alias("__k"))
+        d = past.join(m, key).groupBy(key).agg(quantile(F.abs(F.col(c) - F.col("__m")), 0.5).alias("__mad"))
+        now = s.where(F.col("n") == F.col("__last")).select(key, F.col(c).alias("__v")).join(m, key, "left").join(d, key, "left")
+        z = (F.col("__v") - F.col("__m")) / F.greatest(MAD_SIGMA * F.col("__mad"), 0.1 * F.abs("__m"), F.lit(0.25))
+        enough = F.coalesce(F.col("__k") >= 2, F.lit(False))
         now = now.withColumn(f"{c}_z", F.when(enough, z).otherwise(F.lit(0.0)))
         level = F.when(~enough, "BASELINE_BUILDING").when(F.col(f"{c}_z") >= 3.5, "HIGH").when(F.col(f"{c}_z") >= 2, "ELEVATED").otherwise("NORMAL")
         part = now.select(key, f"{c}_z", level.alias(f"{c}_level"))
