@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 WINDOW = 32
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 64, 8, 2_048
 LOOKAHEAD = 3
-HEAD = 48
+HEAD, TAIL = 48, 128
+_BETWEEN = regex.compile(r"(?r)(?<=\p{L}) (?=\p{L})")
 FAN = 32
 
 
@@ -75,17 +77,27 @@ def chunk_cuts(text: str, bits: int = MEAN_BITS, least: int = MIN_CHUNK, most: i
 
 
 def encode_chunk(text: str, path: str) -> tuple[list[int], list[int], list[int], int, int]:
-    """ids; character and token offsets at which pre-tokens begin within the first HEAD characters; the same of the last safe pre-token."""
+    """ids; character and token offsets at which pre-tokens begin within the first HEAD characters; the same of the last safe pre-token.
+
+    A space between two letters begins a pre-token whatever stands before, so the last one near the end is safe; only where
+    there is none are all pre-tokens gone through.
+    """
     enc, pattern = encoder(path)
     ids = enc.encode_ordinary(text)
-    starts = [m.start() for m in pattern.finditer(text)]
-    safe = max((s for s in starts if s <= len(text) - LOOKAHEAD), default=0)
-    # a pre-token that begins at `safe` may end too near the cut, but its beginning is certain if the one before ended early enough
-    head = [s for s in starts if s < HEAD]
-    sizes = np.cumsum([0] + [len(b) for b in enc.decode_tokens_bytes(ids)])
-    byte_at = lambda s: len(text[:s].encode("utf-8", "surrogatepass"))
-    places = [int(np.searchsorted(sizes, byte_at(s))) for s in [*head, safe]]
-    return ids, head, places[:-1], safe, places[-1]
+    head, places, tok = [], [], 0
+    for m in pattern.finditer(text):
+        if m.start() >= HEAD:
+            break
+        head.append(m.start())
+        places.append(tok)
+        tok += len(enc.encode_ordinary(m.group()))
+    low = max(0, len(text) - TAIL)
+    last = _BETWEEN.search(text[low : len(text) - LOOKAHEAD + 2])
+    if last:
+        safe = low + last.start()
+    else:
+        safe = max((m.start() for m in pattern.finditer(text) if m.start() <= len(text) - LOOKAHEAD), default=0)
+    return ids, head, places, safe, len(ids) - len(enc.encode_ordinary(text[safe:]))
 
 
 def repair(text: str, ends: list[int], parts: list[tuple[list[int], list[int], list[int], int, int]], path: str) -> list[int]:
@@ -143,40 +155,41 @@ def ids_of(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seqs, ends, hashes, chunks, take = [], [], [], [], []
+            seqs, hashes, chunks, take = [], [], [], []
             for i, t in enumerate(b["text"].to_pylist()):
                 begin = 0
                 for s, e in enumerate(chunk_cuts(t or "")):
                     part = t[begin:e]
                     take.append(i)
                     seqs.append(s)
-                    ends.append(e)
                     hashes.append(xxhash.xxh3_128_digest(part.encode("utf-8", "surrogatepass")))
                     chunks.append(part)
                     begin = e
-            yield pa.RecordBatch.from_arrays([b["doc"].take(pa.array(take, pa.int64())), pa.array(seqs, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes, pa.binary()), pa.array(chunks, pa.string())], ["doc", "seq", "end", "h", "chunk"])
+            yield pa.RecordBatch.from_arrays([b["doc"].take(pa.array(take, pa.int64())), pa.array(seqs, pa.int32()), pa.array(hashes, pa.binary()), pa.array(chunks, pa.string())], ["doc", "seq", "h", "chunk"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [encode_chunk(t, path) for t in b["chunk"].to_pylist()]
             ints = pa.list_(pa.int32())
             cols = [pa.array([d[j] for d in done], ints if j < 3 else pa.int32()) for j in range(5)]
-            yield pa.RecordBatch.from_arrays([b["h"], *cols], ["h", "ids", "head", "head_tok", "safe", "safe_tok"])
-
-    cut = rows.mapInArrow(split, "doc long, seq int, end int, h binary, chunk string")
-    encoded = cut.select("h", "chunk").dropDuplicates(["h"]).mapInArrow(encode, "h binary, ids array<int>, head array<int>, head_tok array<int>, safe int, safe_tok int")
-    # a chunk may be shared by a third of all documents: its references are spread over FAN tasks, the encodings being the
-    # small side, and repeated to the tasks that ask for them only
-    refs = cut.select("doc", "seq", "end", "h", F.pmod("doc", F.lit(FAN)).cast("int").alias("salt"))
-    asked = refs.groupBy("h", "salt").agg(F.lit(1)).select("h", "salt")
-    placed = encoded.join(asked, "h")
-    parts = refs.join(placed, ["h", "salt"]).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("seq", "end", "ids", "head", "head_tok", "safe", "safe_tok"))).alias("parts"))
+            yield pa.RecordBatch.from_arrays([b["h"], b["salts"], *cols], ["h", "salts", "ids", "head", "head_tok", "safe", "safe_tok"])
+
+    # a chunk may be shared by a third of all documents: its references are spread over FAN tasks by a salt. Chunks move
+    # once, with all columns used on both sides, so that references and distinct chunks read one exchange.
+    salt = F.pmod("doc", F.lit(FAN)).cast("int").alias("salt")
+    cut = rows.mapInArrow(split, "doc long, seq int, h binary, chunk string").select("doc", "seq", "h", "chunk", salt).repartition("h", "salt")
+    own = cut.groupBy("h", "salt").agg(F.min_by("chunk", F.struct("doc", "seq")).alias("chunk"))
+    once = own.groupBy("h").agg(F.first("chunk").alias("chunk"), F.collect_set("salt").alias("salts"))  # at most FAN salts
+    encoded = once.mapInArrow(encode, "h binary, salts array<int>, ids array<int>, head array<int>, head_tok array<int>, safe int, safe_tok int")
+    placed = encoded.withColumn("salt", F.explode("salts")).drop("salts")
+    refs = cut.select("doc", "seq", F.length("chunk").alias("size"), "h", "salt")
+    parts = refs.join(placed, ["h", "salt"]).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("seq", "size", "ids", "head", "head_tok", "safe", "safe_tok"))).alias("parts"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t, p in zip(b["text"].to_pylist(), b["parts"].to_pylist()):
-                out.append(repair(t, [x["end"] for x in p], [(x["ids"], x["head"], x["head_tok"], x["safe"], x["safe_tok"]) for x in p], path) if t else [])
+                out.append(repair(t, list(accumulate(x["size"] for x in p)), [(x["ids"], x["head"], x["head_tok"], x["safe"], x["safe_tok"]) for x in p], path) if t else [])
             yield pa.RecordBatch.from_arrays([b["key"], pa.array(out, pa.list_(pa.int32()))], ["key", "ids"])
 
     return rows.join(parts, "doc", "left").select("key", "text", "parts").mapInArrow(assemble, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
