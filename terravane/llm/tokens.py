@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +82,7 @@ def encode_chunk(text: str, path: str) -> tuple[list[int], list[int], list[int],
     there is none are all pre-tokens gone through.
     """
     enc, pattern = encoder(path)
-    ids = enc.encode_ordinary(text)
+    ids = enc.encode_to_numpy(text, disallowed_special=())
     head, places, tok = [], [], 0
     for m in pattern.finditer(text):
         if m.start() >= HEAD:
@@ -100,12 +99,12 @@ def encode_chunk(text: str, path: str) -> tuple[list[int], list[int], list[int],
     return ids, head, places, safe, len(ids) - len(enc.encode_ordinary(text[safe:]))
 
 
-def repair(text: str, ends: list[int], parts: list[tuple[list[int], list[int], list[int], int, int]], path: str) -> list[int]:
+def repair(text: str, ends: list[int], parts: list[tuple], path: str) -> np.ndarray:
     """ids of the whole text from the encodings of its chunks; equal to encoding the text at once."""
     if len(parts) == 1:
-        return list(parts[0][0])
+        return np.asarray(parts[0][0], np.int32)
     enc, pattern = encoder(path)
-    out: list[int] = []
+    out: list[np.ndarray | list[int]] = []
     begin = 0  # of the chunk, in characters
     at = 0  # certain start of a pre-token of the whole text; everything before it is out
     for k, (ids, head, head_tok, safe, safe_tok) in enumerate(parts):
@@ -127,7 +126,7 @@ def repair(text: str, ends: list[int], parts: list[tuple[list[int], list[int], l
             for m in pattern.finditer(text, at):
                 if m.start() >= pos:
                     break
-                out += enc.encode_ordinary(m.group())
+                out.append(enc.encode_ordinary(m.group()))
             at = pos
         last = k == len(parts) - 1
         if tok is None:  # no agreement: go on re-encoding from `at` to where this chunk is safe
@@ -135,16 +134,29 @@ def repair(text: str, ends: list[int], parts: list[tuple[list[int], list[int], l
             for m in pattern.finditer(text, at):
                 if m.start() >= stop:
                     break
-                out += enc.encode_ordinary(m.group())
+                out.append(enc.encode_ordinary(m.group()))
                 at = m.end()
         elif last:
-            out += ids[tok:]
+            out.append(ids[tok:])
             at = end
         elif safe_tok >= tok and begin + safe >= at:
-            out += ids[tok:safe_tok]
+            out.append(ids[tok:safe_tok])
             at = begin + safe
         begin = end
-    return out
+    return np.concatenate([np.asarray(x, np.int32) for x in out])
+
+
+def _lists(arrays: list) -> pa.Array:
+    """list<int32> of arrays of numbers."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    flat = np.concatenate([np.asarray(x, np.int32) for x in arrays]) if arrays else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def _slices(column: pa.Array) -> list[np.ndarray]:
+    """Rows of a list<int32> as views."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[x:y] for x, y in zip(ends[:-1], ends[1:])]
 
 
 def ids_of(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -170,8 +182,7 @@ def ids_of(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = [encode_chunk(t, path) for t in b["chunk"].to_pylist()]
-            ints = pa.list_(pa.int32())
-            cols = [pa.array([d[j] for d in done], ints if j < 3 else pa.int32()) for j in range(5)]
+            cols = [_lists([d[j] for d in done]) if j < 3 else pa.array([d[j] for d in done], pa.int32()) for j in range(5)]
             yield pa.RecordBatch.from_arrays([b["h"], b["salts"], *cols], ["h", "salts", "ids", "head", "head_tok", "safe", "safe_tok"])
 
     # a chunk may be shared by a third of all documents: its references are spread over FAN tasks by a salt. Chunks move
@@ -187,10 +198,14 @@ def ids_of(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            inner, ends = b["parts"].values, b["parts"].offsets.to_numpy()
+            ids, head, places = (_slices(inner.field(n)) for n in ("ids", "head", "head_tok"))
+            size, safe, safe_tok = (inner.field(n).to_numpy() for n in ("size", "safe", "safe_tok"))
             out = []
-            for t, p in zip(b["text"].to_pylist(), b["parts"].to_pylist()):
-                out.append(repair(t, list(accumulate(x["size"] for x in p)), [(x["ids"], x["head"], x["head_tok"], x["safe"], x["safe_tok"]) for x in p], path) if t else [])
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array(out, pa.list_(pa.int32()))], ["key", "ids"])
+            for t, x, y in zip(b["text"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                known = [(ids[i], head[i].tolist(), places[i].tolist(), int(safe[i]), int(safe_tok[i])) for i in range(x, y)]
+                out.append(repair(t, np.cumsum(size[x:y]).tolist(), known, path) if t else [])
+            yield pa.RecordBatch.from_arrays([b["key"], _lists(out)], ["key", "ids"])
 
     return rows.join(parts, "doc", "left").select("key", "text", "parts").mapInArrow(assemble, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 

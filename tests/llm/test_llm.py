@@ -19,7 +19,7 @@ def whole(text: str, **kw) -> list[int]:
     for e in ends:
         parts.append(tokens.encode_chunk(text[at:e], PATH))
         at = e
-    return tokens.repair(text, ends, parts, PATH)
+    return tokens.repair(text, ends, parts, PATH).tolist()
 
 
 def test_repair_agrees_with_encoding_at_once():
