@@ -1,7 +1,7 @@
 """Implausible readings per source: outside the instrument's range, stuck, or spikes against the source's own behaviour.
 
 Each field of each source is a series of its valid readings. Series are cut into blocks by their own running index, found
-from counts per source and day or hour, so a source with a third of all rows is spread over many tasks; a block carries a halo of
+from counts per source and day or minute, so a source with a third of all rows is spread over many tasks; a block carries a halo of
 the readings before and after it, and as NULL and NaN are left out before the index is taken, the halo always holds what
 the checks look at. Per block a robust seasonal-trend decomposition is made: a daily course from medians by hour of the
 detrended values (only where the block spans three days, else the trend follows it), the trend on either side of a reading
@@ -176,11 +176,12 @@ def flag(rows: DataFrame, limits: DataFrame, source: str = "_source_file", produ
     every = readings(rows, products, source, product, day, time, row_id, fields, aside)
     one = every.groupBy("source", "product", "bin", "minute", *fields, "h").agg(F.min("row_id").alias("rid"), F.count("*").alias("n"))
     valid = {f: F.col(f).isNotNull() & ~F.isnan(f) for f in fields}
-    # running numbers are counted in cells of a day, of an hour for sources with more than HOT_SHARE of the rows (at most 1/HOT_SHARE sources)
+    # running numbers are counted in cells of a day, of a minute for sources with more than HOT_SHARE of the rows (at most 1/HOT_SHARE sources)
     counted = rows.groupBy(F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("hot")).agg(F.count("*").alias("c"))
     total = counted.agg(F.sum("c").alias("t"))
     hot = F.broadcast(counted.where(F.col("c") > total.scalar() * F.lit(HOT_SHARE)).select("hot"))
-    cell = F.when(F.col("hot").isNotNull(), F.col("bin")).otherwise(F.col("bin") - F.pmod(F.col("bin"), F.lit(24)))
+    fine = F.col("bin") * 60 + F.greatest(F.pmod(F.col("minute"), F.lit(60)), F.lit(0))
+    cell = F.when(F.col("hot").isNotNull(), fine).otherwise((F.col("bin") - F.pmod(F.col("bin"), F.lit(24))) * 60)
     cell = F.coalesce(cell, F.lit(0)).alias("cell")
     tied = one.join(hot, F.col("source") == F.col("hot"), "left")
     # rows and counts use the same columns in the same order, so that both read one exchange
