@@ -7,6 +7,7 @@ import io
 import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -60,11 +61,11 @@ def fires(spark: SparkSession, fetch: Callable[[dict[str, str]], str], product:
     spark.dataSource.register(text_source("terravane_fires", fetch))
     body = spark.read.format("terravane_fires").options(product=product, box=",".join(map(str, box)), days=str(days)).load()
 
-    @F.udf("array<map<string,string>>")
-    def records(text: str) -> list[dict[str, str]]:
-        return [{RENAMED.get(k.upper(), k.upper()): v for k, v in r.items()} for r in csv.DictReader(io.StringIO(text or ""))]
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"r": [{RENAMED.get(k.upper(), k.upper()): v for k, v in r.items()} for text in b["body"] for r in csv.DictReader(io.StringIO(text or ""))]})
 
-    rows = body.select(F.explode(records("body")).alias("r"))
+    rows = body.select("body").mapInPandas(records, "r map<string,string>")
     num = lambda k: F.col("r")[k].try_cast("double").alias(k)
     return rows.select(F.col("r")["LATITUDE"].try_cast("double").alias("lat"), F.col("r")["LONGITUDE"].try_cast("double").alias("lon"), *[num(k) for k in ("BRIGHTNESS", "BRIGHT_T31", "FRP", "SCAN", "TRACK")], *[F.col("r")[k].alias(k) for k in ("ACQ_DATE", "ACQ_TIME", "SATELLITE", "CONFIDENCE")], F.lit(product).alias("_api_source"))
 
