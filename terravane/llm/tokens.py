@@ -188,7 +188,9 @@ def ids_of(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     # a chunk may be shared by a third of all documents: its references are spread over FAN tasks by a salt. Chunks move
     # once, with all columns used on both sides, so that references and distinct chunks read one exchange.
     salt = F.pmod("doc", F.lit(FAN)).cast("int").alias("salt")
-    cut = rows.mapInArrow(split, "doc long, seq int, h binary, chunk string").select("doc", "seq", "h", "chunk", salt).repartition("h", "salt")
+    cut = rows.mapInArrow(split, "doc long, seq int, h binary, chunk string").select("doc", "seq", "h", "chunk", salt)
+    # the join of the references asks for keys that are not NULL; asked of both sides here, it keeps their exchange the same
+    cut = cut.where("h is not null and salt is not null").repartition("h", "salt")
     own = cut.groupBy("h", "salt").agg(F.min_by("chunk", F.struct("doc", "seq")).alias("chunk"))
     once = own.groupBy("h").agg(F.first("chunk").alias("chunk"), F.collect_set("salt").alias("salts"))  # at most FAN salts
     encoded = once.mapInArrow(encode, "h binary, salts array<int>, ids array<int>, head array<int>, head_tok array<int>, safe int, safe_tok int")
