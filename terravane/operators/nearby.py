@@ -9,7 +9,7 @@ Positions shared by very many rows are joined once as a position and spread out
 Regions: each point is tested against the polygons whose box holds it. A region table within ``MAX_REGIONS`` and
 ``MAX_VERTICES`` is sent to all tasks; a larger one is met by an equi-join on grid cells.
 
-Defined cases: rows without a usable position take no part; equal positions are 0 m apart and pair up; a point on an outer
+Defined cases: rows without an id or a position take no part; equal positions are 0 m apart and pair up; a point on an outer
 ring or on the rim of a hole lies in the region; empty tables give no rows.
 """
 
@@ -151,6 +151,7 @@ def near_pairs(points: DataFrame, radius_m: float, cell_rows: int = CELL_ROWS, h
     ``at_most`` is a known upper bound of the number of rows, which saves counting them.
     """
     spark = points.sparkSession
+    points = points.where(F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     places = points.groupBy("lat", "lon").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
     total = points.count() if at_most is None else at_most
     every = max(cell_rows, total // max_pivots + 1)
@@ -226,6 +227,7 @@ def containing(points: DataFrame, regions: DataFrame, max_regions: int = MAX_REG
         both = np.unique(np.stack([np.concatenate(p), np.concatenate(r)], axis=1), axis=0) if p else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["key_a", "key_b"])
 
+    points = points.where(F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     size = regions.agg(F.count("*").alias("n"), F.sum(F.length("geojson")).alias("c")).first()
     if size["n"] <= max_regions and (size["c"] or 0) <= max_vertices * 20:
         shapes = [(r["region_id"], p) for r in regions.select("region_id", "geojson").collect() if r["region_id"] is not None for p in polygons(r["geojson"])]

@@ -119,8 +119,7 @@ def mahalanobis_mcd(spark, d):
 
 @R.add()
 def spd_score(spark, d):
-    p = pts(spark, d)
-    return detect.local_spd(p, edges(spark, d, 25), ["x", "y", "v", "u"])
+    return detect.feature_spd(pts(spark, d), ["x", "y", "v", "u"])
 
 
 @R.add()
@@ -243,7 +242,7 @@ def detector(spark, d):
 
     low = Cdf(best["distribution"], tuple(best["params"])).quantile(1e-10)
     scored = detect.robust_mahalanobis(p, ["x", "y", "v", "u"], "mahal").join(fitting.tail_score(p, "v", best["distribution"], tuple(best["params"]), low).select("id", "tail_score"), "id")
-    scored = scored.join(detect.local_spd(p, edges(spark, d, 25), ["x", "y", "v", "u"]), "id").join(detect.procrustes(p, e), "id").join(neighbours.lof(e), "id")
+    scored = scored.join(detect.feature_spd(p, ["x", "y", "v", "u"]), "id").join(detect.procrustes(p, e), "id").join(neighbours.lof(e), "id")
     scored = cut(scored)
     scored = ranking.percent_ranks(scored, {"mahal": "score_mahal", "tail_score": "score_probability", "spd": "score_spd", "procrustes": "score_procrustes", "lof": "score_spatial"})
     weights = {k: v for k, v in detect.WEIGHTS.items() if k != "score_temporal"}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import distributions as D
 from terravane.functions import raster
-from terravane.operators import cleaning, core, detect, geometry, graph, neighbours, ranking, regions, temporal, territory
+from terravane.operators import cleaning, core, detect, fitting, geometry, graph, neighbours, ranking, regions, temporal, territory
 from terravane.plans import export, semantics, state
 from terravane.sources import files, remote
 from terravane.streaming import events
@@ -283,3 +283,29 @@ def test_core_engine(spark):
     p = spark.createDataFrame([("a", "b")], "key_a string, key_b string")
     got = {r["id"]: r for r in core.property_intelligence(n, p, h).collect()}
     assert got["a"]["nearby"] == 1 and got["c"]["risk"] is None and got["c"]["next_value"] is None
+
+
+def test_feature_neighbourhoods(spark):
+    g = np.random.default_rng(11)
+    x = np.concatenate([g.normal(size=(150, 3)), g.normal(size=(30, 3)) * [6, 0.01, 0.01] + 9])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    got = {r["id"]: r["spd"] for r in detect.feature_spd(df, ["a", "b", "c"], k=10).collect()}
+    whole = np.cov(x, rowvar=False) + np.eye(3) * 1e-6
+    for i in (0, 77, 160):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert abs(got[i] - detect.affine_distance(np.cov(x[np.argsort(d)[:10]], rowvar=False) + np.eye(3) * 1e-6, whole)) < 1e-5
+    assert np.mean([got[i] for i in range(150, 180)]) > np.mean([got[i] for i in range(150)])
+
+
+def test_fits_recover_the_family(spark):
+    g = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(v),) for v in g.lognormal(1.0, 0.5, 4_000)], "v double")
+    fits = fitting.fit_all(df, "v", ["norm", "expon", "lognorm", "uniform", "gamma"]).collect()
+    assert fits[0]["distribution"] == "lognorm"
+    for r in fits:
+        k = len(r["params"])
+        assert abs(r["aic"] - (2 * k - 2 * r["log_likelihood"])) < 1e-6
+        assert abs(r["fisher_rao"] - 2 * math.acos(math.exp(-r["bhattacharyya"]))) < 1e-6
+    with pytest.raises(ValueError):
+        fitting.fit_all(df.limit(5), "v")
