@@ -68,7 +68,7 @@ def _us(column: str) -> str:
     return f"epoch_us(try_cast({column} as timestamptz))"
 
 
-_PERIODS = rf"""
+PERIODS_SQL = rf"""
 rowed as (select {_KEY} as key, version, name, object_type, lower(trim(status)) as status, {_us('created_at')} as start_us, recorded_at, id from territorial_objects),
 last_rows as (select * from rowed where key is not null and version is not null and start_us is not null
   qualify row_number() over (partition by key, version order by recorded_at desc nulls last, id desc) = 1),
@@ -77,7 +77,7 @@ lagged as (select *, row_number() over w as nth, lag(name) over w as n0, lag(obj
 opened as (select * from lagged where nth = 1 or name is distinct from n0 or object_type is distinct from t0 or status is distinct from s0),
 periods as (select key, version, status, start_us as from_us, coalesce(lead(start_us) over (partition by key order by start_us), -1) as to_us from opened)
 """
-SQL["p4_found"] = f"with {_PERIODS} select key as object_key, version::bigint as version, from_us as valid_from_us, to_us as valid_to_us from periods"
+SQL["p4_found"] = f"with {PERIODS_SQL} select key as object_key, version::bigint as version, from_us as valid_from_us, to_us as valid_to_us from periods"
 _REFERENCES = rf"""
 objects as (select {_KEY} as key, min(recorded_at) as rec from territorial_objects group by 1),
 cases as (select id as key, min(recorded_at) as rec, min({_us('deleted_at')}) as gone from alert_incidents group by 1),
@@ -97,8 +97,8 @@ judged as (
   left join periods p on p.key = r.key and p.status = 'deleted' and at_us >= p.from_us and (p.to_us < 0 or at_us < p.to_us) where r.key is not null)
 """
 _MONTH = "strftime(make_timestamp(at_us), '%Y-%m')"
-SQL["p1_found"] = f"with {_PERIODS}, {_REFERENCES} select distinct table_name, {_MONTH} as period, row_key, reason from judged where reason is not null and table_name <> 'alert_incidents'"
-SQL["p1_counts"] = f"""with {_PERIODS}, {_REFERENCES}, bad as (select distinct row_key::varchar as key from judged where table_name = 'alert_incidents' and reason is not null),
+SQL["p1_found"] = f"with {PERIODS_SQL}, {_REFERENCES} select distinct table_name, {_MONTH} as period, row_key, reason from judged where reason is not null and table_name <> 'alert_incidents'"
+SQL["p1_counts"] = f"""with {PERIODS_SQL}, {_REFERENCES}, bad as (select distinct row_key::varchar as key from judged where table_name = 'alert_incidents' and reason is not null),
 listed as (select distinct table_name, {_MONTH} as period, row_key, reason, 'direct' as kind from judged where reason is not null
   union select table_name, {_MONTH}, row_key, 'inherited', 'inherited' from judged j join bad b on j.key = b.key where j.reason is null and table_name in ('incident_management', 'incident_notes'))
 select table_name, period, reason, kind, count(*) as n_rows from listed group by all"""

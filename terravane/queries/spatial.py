@@ -157,7 +157,10 @@ def lof(spark, d):
     return neighbours.lof(edges(spark, d)).select("id", r(F.col("lof")).alias("lof"))
 
 
-@R.add()
+@R.add(f"""with recursive {_PTS}, near as (select a.id as i, b.id as j from pts a join pts b on a.id <> b.id where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.03e0),
+core as (select i as id from near group by i having count(*) + 1 >= 4), link as (select i, j from near where i in (select id from core) and j in (select id from core)),
+reach(id, c) as (select id, id from core union select link.j, reach.c from reach join link on link.i = reach.id), label as (select id, min(c) as c from reach group by id),
+rim as (select n.i as id, min(l.c) as c from near n join label l on l.id = n.j group by n.i) select pts.id, coalesce(label.c, rim.c, -1) as cluster from pts left join label using (id) left join rim using (id)""")
 def dbscan(spark, d):
     return neighbours.dbscan(pts(spark, d), 0.03, 4)
 

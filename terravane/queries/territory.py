@@ -10,7 +10,8 @@ from terravane.functions import raster
 from terravane.operators import core, geometry, nearby, temporal, territory
 from terravane.operators.history import encode
 from terravane.plans import semantics
-from terravane.queries.general import fire_positions, object_versions
+from terravane.queries.general import PERIODS_SQL, fire_positions, object_versions
+from terravane.queries.general import SQL as GENERAL
 from terravane.queries.registry import Registry
 from terravane.queries.tabular import WGS_SQL, r, wgs
 from terravane.session import cut
@@ -120,7 +121,9 @@ def object_versions_count(spark, d):
     return ok.groupBy("object_key").agg(F.max("version").cast("long").alias("version"), F.count_distinct("version").alias("versions"))
 
 
-@R.add()
+@R.add(f"""with {PERIODS_SQL}, cut as (select *, floor(start_us / (30 * 86400e6)) as seg from instants),
+b as (select *, row_number() over w as k, lag(name) over w as bn, lag(object_type) over w as bt, lag(status) over w as bs from cut window w as (partition by key, seg order by start_us))
+select key, seg::int as seg, start_us, version::bigint as version, case when (k - 1) % 32 = 0 then 'full' else 'patch' end as kind from b where (k - 1) % 32 = 0 or name is distinct from bn or object_type is distinct from bt or status is distinct from bs""")
 def attribute_store(spark, d):
     """The checkpoint and patch rows of the object log."""
     return encode(object_versions(table(spark, d, "territorial_objects"))).select("key", "seg", "start_us", "version", "kind")
@@ -207,7 +210,7 @@ def nearest_join(spark, d):
     return geometry.nearest_join(wgs(spark, d).withColumnRenamed("c_custkey", "id"), s).withColumn("distance_m", r(F.col("distance_m"), 3))
 
 
-@R.add()
+@R.add(GENERAL["p3_found"].rsplit("select 'near'", 1)[0] + "select row_id as key_a, id as key_b from held")
 def within_join(spark, d):
     """Points within the layers, by the operator's path for region tables of any size."""
     layers = table(spark, d, "layers").select(F.col("id").alias("region_id"), F.col("geometry_json").alias("geojson"))
