@@ -32,6 +32,7 @@ STATS = (
 
 _BREAK = r"\r\n|[\r\n\x{2028}\x{0085}]"
 _MARKUP = r"<[^<>]{0,300}>|\[/?[A-Za-z]{2,}(?:=[^\]]{0,200})?\]|\[/?[biu]\]|&(?:[A-Za-z]+|#\d+);|\{\{[^{}]*\}\}"
+_INVISIBLE = r"[\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{00AD}]"
 _SPLIT = r"[\s\x{00A0}\x{3000}，。、；：！？]+"
 _TRIM = ".,;:!?…\"'()[]{}“”«»„‚‘’*_~-–—>¿¡،؟؛。，|"
 _WORD = r"^[\p{L}\p{M}]+(?:['’\x{2010}-][\p{L}\p{M}]+)*$"
@@ -61,7 +62,7 @@ def measure(texts: pa.Array, common: pa.Array) -> dict[str, np.ndarray]:
     doc = pc.list_parent_indices(split).to_numpy()
     line = pc.list_flatten(split)
     kept = pc.replace_substring_regex(line, r"^[\s>]+", "")
-    bare = pc.replace_substring_regex(kept, _MARKUP, " ")
+    bare = pc.replace_substring_regex(pc.replace_substring_regex(kept, _INVISIBLE, ""), _MARKUP, " ")
     words = pc.split_pattern_regex(bare, _SPLIT)
     at = pc.list_parent_indices(words).to_numpy()
     token = pc.list_flatten(words)

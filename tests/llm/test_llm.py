@@ -167,7 +167,7 @@ def test_quantiles_of_groups(spark):
 PROSE = "We went to the river and there was no smoke, but the fire had been seen before. It is not what we had said."
 TEXTS = {
     "prose": PROSE, "ru": "Мы проверили слой около реки, и там осталось только несколько точек. Это было вчера.", "zh": "我们检查了附近的图层，只剩下720个点。昨天我们去了那里，已经看不到烟了。下雨以后边界变了，所以我们又重新画了一遍。还有很多。",
-    "quoted": "> " + PROSE + "\n> " + PROSE + "\n\nI agree with all of that.", "markup": f"<p>{PROSE}</p><br/>", "short": "a,b,c,1,2", "empty": "", "blank": " \n\t ", "null": None,
+    "quoted": "> " + PROSE + "\n> " + PROSE + "\n\nI agree with all of that.", "markup": f"<p>{PROSE}</p><br/>", "unseen": PROSE.replace(" ", "\u200b ") + "\ufeff", "short": "a,b,c,1,2", "empty": "", "blank": " \n\t ", "null": None,
     "table": "| 07/07 | 9478 | 650 |\n" * 20, "list": "- old ridge, 9\n- odd export\n- steady hotspot\n- noisy plot\n" * 4, "urls": "https://a.example/x/1\n" * 10, "noise": "$\\!|<<$]@_[^@$@}~]>|}%>}>_/]=~<%$*_|_^[!/}@^" * 4, "base64": "xndQHEpFDpW8l2xz91SuObJSbsoywC0K39spIwWI68lkiz8x7gzwA19dXfiivuMb" * 3,
     "mixed": "Same here, thank you for looking into it.\n\n" + "9567,8610,12/09,46.2\n" * 20, "long": (PROSE + " ") * 5_000,
 }
