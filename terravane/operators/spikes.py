@@ -30,8 +30,8 @@ from pyspark.sql.window import Window
 BLOCK, HALO = 8_192, 96
 STUCK = 12
 SIDE, SCATTER, STRIDE = 11, 61, 8
-#: Ten times the usual scatter, less the error of a scatter estimated from SCATTER readings.
-RATIO, LOG_RATIO = 8.5, 5.0
+#: Ten times the usual scatter, less two standard errors (about a quarter) of a scatter estimated from SCATTER differences.
+RATIO, LOG_RATIO = 7.5, 5.0
 LONGEST = 3
 ALPHA = 0.01
 MIN_SERIES = 8
