@@ -49,6 +49,9 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     total = counted.agg(F.sum("__n").alias("t"))
     hot = counted.where(F.col("__n") > total.scalar() * F.lit(share)).select(*on, F.lit(True).alias("__hot"))
     salt = F.pmod(F.xxhash64(spread if spread is not None else F.struct(*left.columns)), F.lit(fan)).cast("int")
-    a = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(F.lit(0))).drop("__hot")
+    lost = F.lit(False)
+    for c in on:  # rows without a key find nothing, but would all be sent to one task
+        lost = lost | F.col(c).isNull()
+    a = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot") | lost, salt).otherwise(F.lit(0))).drop("__hot")
     b = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
     return a.join(b, [*on, "__salt"], how).drop("__salt")

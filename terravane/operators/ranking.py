@@ -41,7 +41,7 @@ def percent_ranks(df: DataFrame, outs: dict[str, str], share: float = 1 / 512, f
     """Average rank over the number of non-null values, 0.5 where the value is missing, for each {value column: new column}.
 
     All counts come from df itself, not from each other's results. Values with more than ``share`` of the rows, at most
-    1/share of them, are spread over ``fan`` tasks in the join back.
+    1/share of them, and missing ones are spread over ``fan`` tasks in the join back.
     """
     out = df
     for value, name in outs.items():
@@ -51,7 +51,7 @@ def percent_ranks(df: DataFrame, outs: dict[str, str], share: float = 1 / 512, f
         ranks = counts.select(F.col("value").alias("__v"), ((F.col("below") + (F.col("same") + 1) / F.lit(2e0)) / F.col("n")).alias(name), F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))).alias("__s"))
         v = F.when(~F.isnan(value), F.col(value))
         salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(fan)).cast("int")
-        left = out.join(known, v == F.col("__h"), "left").withColumn("__v", v).withColumn("__s", F.when(F.col("__h").isNotNull(), salt).otherwise(F.lit(0)))
+        left = out.join(known, v == F.col("__h"), "left").withColumn("__v", v).withColumn("__s", F.when(F.col("__h").isNotNull() | F.col("__v").isNull(), salt).otherwise(F.lit(0)))
         out = left.join(ranks, ["__v", "__s"], "left").withColumn(name, F.coalesce(name, F.lit(0.5))).drop("__v", "__s", "__h")
     return out
 
