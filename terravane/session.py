@@ -29,7 +29,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local["):
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terravane-"))
 
