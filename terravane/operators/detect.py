@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions.stats import MAD_SIGMA, euclid, quantile
+from terravane.operators.featurespace import per_neighbourhood
 from terravane.session import cut
 
 #: Default weights of the six components.
@@ -90,36 +89,24 @@ def affine_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt((np.log(np.clip(v, 1e-15, None)) ** 2).sum()))
 
 
-def feature_spd(df: DataFrame, columns: list[str], k: int = 25, most: int = 20_000, out: str = "spd") -> DataFrame:
+def feature_spd(df: DataFrame, columns: list[str], k: int = 25, out: str = "spd") -> DataFrame:
     """Distance of the covariance of each row's k nearest rows in feature space to that of all rows; a row is not its own neighbour.
 
-    Neighbours are looked for among at most ``most`` rows, those of the smallest hashes of ``id``: all rows of a smaller
-    table, else a bounded sample that goes to every task. No shuffle.
+    Neighbours are exact and looked for among all rows, whatever their number.
     """
     _, cov = moments(df, columns)
     size = len(columns)
     low = np.linalg.inv(np.linalg.cholesky(nearest_spd(cov + np.eye(size) * 1e-6)))
-    kept = df.select("id", *columns).orderBy(F.md5(F.col("id").cast("string"))).limit(most).toPandas()
-    ids, base = kept["id"].to_numpy(), kept[columns].to_numpy(float)
-    near = min(max(k, size + 2), max(len(base) - 1, 1))
-    kind = df.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.stack([b[c].to_numpy(zero_copy_only=False) for c in columns], axis=1)
-            own, parts = b["id"].to_numpy(zero_copy_only=False), []
-            for s in range(0, len(x), 256):
-                q = x[s : s + 256]
-                d = (q * q).sum(axis=1)[:, None] + (base * base).sum(axis=1)[None, :] - 2 * q @ base.T
-                d[own[s : s + 256, None] == ids[None, :]] = np.inf
-                c = base[np.argpartition(d, near - 1, axis=1)[:, :near]]
-                c = c - c.mean(axis=1, keepdims=True)
-                m = np.einsum("bki,bkj->bij", c, c) / max(near - 1, 1) + np.eye(size) * 1e-6
-                v = np.linalg.eigvalsh(low @ m @ low.T)
-                parts.append(np.sqrt((np.log(np.clip(v, 1e-15, None)) ** 2).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(np.concatenate(parts) if parts else np.empty(0))], ["id", out])
-
-    return df.select("id", *[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(run, f"id {kind}, {out} double")
+    near = min(max(k, size + 2), max(df.count() - 1, 1))
+
+    def score(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        n, w = rows.sum(axis=1)[:, None, None], rows[:, :, None]
+        c = x - (x * w).sum(axis=1, keepdims=True) / np.maximum(n, 1)
+        m = np.einsum("bki,bkj->bij", c * w, c) / np.maximum(n - 1, 1) + np.eye(size) * 1e-6
+        v = np.linalg.eigvalsh(low @ m @ low.T)
+        return np.sqrt((np.log(np.clip(v, 1e-15, None)) ** 2).sum(axis=1))
+
+    return per_neighbourhood(df, columns, near, score, out)
 
 
 def procrustes_disparity(a: np.ndarray, b: np.ndarray) -> float:

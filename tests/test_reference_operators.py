@@ -298,6 +298,21 @@ def test_feature_neighbourhoods(spark):
     assert np.mean([got[i] for i in range(150, 180)]) > np.mean([got[i] for i in range(150)])
 
 
+def test_feature_neighbourhoods_are_of_all_rows(spark):
+    g = np.random.default_rng(12)
+    x = np.concatenate([g.standard_t(3, (24_000, 3)).round(2), g.normal(size=(12, 3)) * [0.3, 0.001, 0.001] + 40, np.full((60, 3), 7.25)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(99_999, None, 1.0, 1.0)], "id long, a double, b double, c double")
+    got = {r["id"]: r["spd"] for r in detect.feature_spd(df, ["a", "b", "c"], k=10).collect()}
+    assert len(got) == len(x) + 1 and got[99_999] is None
+    whole = np.cov(x, rowvar=False) + np.eye(3) * 1e-6
+    for i in (0, 5_000, 23_999, 24_000, 24_011, 24_050):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        near = x[np.lexsort((*x.T[::-1], d))[:10]]
+        want = detect.affine_distance(np.cov(near, rowvar=False) + np.eye(3) * 1e-6, whole)
+        assert abs(got[i] - want) < 1e-4, i
+
+
 def test_fits_recover_the_family(spark):
     g = np.random.default_rng(3)
     df = spark.createDataFrame([(float(v),) for v in g.lognormal(1.0, 0.5, 4_000)], "v double")
