@@ -7,6 +7,7 @@ trees and hulls are made per component in one task, for components of a bounded
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 
 import numpy as np
@@ -25,16 +26,16 @@ def canonical(edges: DataFrame) -> DataFrame:
     return e.groupBy("src", "dst").agg(F.min("weight").alias("weight")) if "weight" in edges.columns else e.distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, component): the smallest id of each connected component.
 
     Each round offers every node and its root the smallest label among the node's neighbours, and then takes the label's
     own label (pointer jumping), so the number of rounds grows with the logarithm of the diameter. Every round is cut on
-    reliable storage.
+    reliable storage. Rounds go on until no label changes; with ``rounds``, labels that still change then are an error.
     """
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
+    for turn in itertools.count(1):
         seen = both.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").groupBy("src").agg(F.min("c").alias("c"))
         rooted = seen.join(labels, seen["src"] == labels["id"]).select(F.explode(F.array_distinct(F.array("src", "component"))).alias("id"), "c")
         near = rooted.groupBy("id").agg(F.min("c").alias("c"))
@@ -42,23 +43,31 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         hop = step.select(F.col("id").alias("new"), F.col("new").alias("jump"))
         labels = cut(step.join(hop, "new", "left").select("id", F.least("new", F.coalesce("jump", "new")).alias("component")))
         if step.where("old <> new").isEmpty():
-            break
-    return labels
+            return labels
+        if turn == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
 
 
-def shortest_paths(edges: DataFrame, source: int, rounds: int = 100) -> DataFrame:
-    """(id, distance): least weight of a path from the source to every node it reaches, by rounds of relaxation of changed nodes."""
+def shortest_paths(edges: DataFrame, source: int, rounds: int | None = None) -> DataFrame:
+    """(id, distance): least weight of a path from the source to every node it reaches, by rounds of relaxation of changed nodes.
+
+    Rounds go on until no distance changes, at most one for each node when weights are not negative; a negative weight is an
+    error, and so is a changed node after ``rounds`` rounds.
+    """
     both = cut(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    if not both.where("weight < 0").isEmpty():
+        raise ValueError("weights must not be negative")
     spark = edges.sparkSession
     best = spark.createDataFrame([(source, 0.0)], "id long, distance double")
     front = best
-    for _ in range(rounds):
+    for turn in itertools.count(1):
         offered = front.join(both, front["id"] == both["src"]).select(F.col("dst").alias("id"), (F.col("distance") + F.col("weight")).alias("offer")).groupBy("id").agg(F.min("offer").alias("offer"))
         merged = cut(best.join(offered, "id", "full").select("id", F.least(F.coalesce("distance", "offer"), F.coalesce("offer", "distance")).alias("distance"), (F.col("distance").isNull() | (F.col("offer") < F.col("distance"))).alias("new")))
         best, front = merged.select("id", "distance"), merged.where("new").select("id", "distance")
         if front.isEmpty():
-            break
-    return best
+            return best
+        if turn == rounds:
+            raise RuntimeError(f"distances still change after {rounds} rounds")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -82,6 +82,16 @@ def test_components_paths_and_trees(spark):
     assert b[2] > 0 and b[1] == 0
 
 
+def test_paths_of_many_edges_are_whole(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(105)] + [(0, 105, 500.0)], "src long, dst long, weight double")
+    got = {r["id"]: r["distance"] for r in graph.shortest_paths(e, 0).collect()}
+    assert got == {i: float(i) for i in range(106)}
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(e, 0, rounds=3)
+    with pytest.raises(RuntimeError):
+        graph.components(spark.range(106), e, rounds=1)
+
+
 def test_dbscan_and_lof(spark):
     df = spark.createDataFrame([(i, float(i % 5) / 10, float(i // 5) / 10, 0.0) for i in range(25)] + [(90, 9.0, 9.0, 0.0)], "id long, x double, y double, v double")
     lab = {r["id"]: r["cluster"] for r in neighbours.dbscan(df, 0.11, 4).collect()}
