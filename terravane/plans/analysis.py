@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions.distributions import Cdf
-from terravane.functions.stats import finite
+from terravane.functions.stats import finite, quantile
 from terravane.operators import cleaning, detect, fitting, geometry, neighbours, ranking, spatialstats, temporal
 from terravane.session import cut
 
@@ -75,3 +75,54 @@ def analyze(df: DataFrame, features: list[str], feature: str, series: str, order
     ranked = ranked.withColumn("score_spatial", 0.35 * F.col("__r1") + 0.30 * F.col("__r2") + 0.20 * F.col("__r3") + 0.15 * F.coalesce("density_rank", F.lit(0.5)))
     scored = detect.ensemble(cut(ranked.drop("__r1", "__r2", "__r3", "__m", *z)), detect.WEIGHTS | (weights or {}))
     return scored.withColumnRenamed("__raw", f"{feature}_raw").withColumn("distribution", F.lit(name))
+
+
+COMPARED = "variable string, status string, n long, distribution string, log_likelihood double, ks double, bhattacharyya double, fisher_rao double, probability_anomalies_95 long, spatial_anomalies_95 long, temporal_anomalies_95 long, median_tail_area double"
+
+
+def compare_variables(df: DataFrame, variables: list[str], series: str, order: list[str], k: int = 12, candidates: list[str] | None = None) -> DataFrame:
+    """One row per variable: best fit, median tail area, and how many rows stand out by probability, among neighbours and in time.
+
+    df: (id long, x, y in metres, ``series``, ``order``, variables). Probability counts scores from their 95th percentile on, the
+    others ranks from 0.95 on. A variable with fewer than LEAST_ROWS values has the status insufficient_data. All rows are used.
+    """
+    rows = cut(df.select("id", "x", "y", series, *order, *[finite(F.col(c).cast("double")).alias(c) for c in variables]))
+    placed = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    all_edges, at = None, placed.count()
+    out = []
+    for c in variables:
+        valued = rows.where(F.col(c).isNotNull()).withColumnRenamed(c, "v")
+        n = valued.count()
+        if n < LEAST_ROWS:
+            out.append((c, "insufficient_data", n, *[None] * 9))
+            continue
+        best = fitting.fit_all(valued, "v", candidates).first()
+        name, params = best["distribution"], tuple(best["params"])
+        tail = cut(fitting.tail_score(valued.select("id", "v"), "v", name, params, Cdf(name, params).quantile(1e-10)).select("tail_area", "tail_score"))
+        edge = tail.agg(quantile(F.col("tail_score"), 0.95).alias("q"), quantile(F.col("tail_area"), 0.5).alias("m")).first()
+        probable = tail.where(F.col("tail_score") >= F.lit(edge["q"])).count()
+
+        here = valued.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("id", "x", "y", "v")
+        m, spatial = here.count(), 0
+        if m >= max(20, k + 2):
+            if m < at or all_edges is None:
+                edges = cut(neighbours.knn(here, k))
+                all_edges = edges if m == at else all_edges
+            else:
+                edges = all_edges
+            z = spatialstats.standardized(here, "v", "z")
+            judged = neighbours.neighbour_mean(edges, here, "v", "mean").join(here, "id").join(spatialstats.lag(edges, z, "z", [], "lag"), "id").join(z.select("id", "z"), "id")
+            judged = cut(judged.join(neighbours.lof(edges), "id").select("id", F.abs(F.col("v") - F.col("mean")).alias("residual"), "lof", F.abs(F.col("z") * F.col("lag")).alias("moran")))
+            score = neighbours.density(edges, k).select("id", (0.15 * F.col("density_rank")).alias("score"))
+            for column, weight in (("residual", 0.35), ("lof", 0.30), ("moran", 0.20)):
+                rank = cut(ranking.ordinal01(judged.select("id", column), column, "id", "r").select("id", (weight * F.col("r")).alias("r")))
+                score = score.join(rank, "id").select("id", (F.col("score") + F.col("r")).alias("score"))
+            spatial = score.where("score >= 0.95").count()
+
+        dated = valued.dropna(subset=order).select("id", series, *order, "v")
+        temporal_ = 0
+        if dated.count() >= 20:
+            when = cut(temporal.rolling_deviation(dated, [series], [*order, "id"], "v", 101).select("id", "robust_z"))
+            temporal_ = ranking.ordinal01(when, "robust_z", "id", "r").where("r >= 0.95").count()
+        out.append((c, "ok", n, name, best["log_likelihood"], best["ks"], best["bhattacharyya"], best["fisher_rao"], probable, spatial, temporal_, edge["m"]))
+    return df.sparkSession.createDataFrame(out, COMPARED)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from terravane.common import table
 from terravane.functions.distributions import central_areas, inflections
-from terravane.operators import detect, fitting, neighbours, ranking
+from terravane.operators import detect, fitting, geometry, neighbours, ranking
+from terravane.plans import analysis
 from terravane.queries.registry import Registry
 from terravane.queries.spatial import edges, pts
 from terravane.queries.tabular import MEASURES, r, wgs
@@ -188,13 +189,11 @@ def bootstrap_winner(spark, d):
 
 @R.add()
 def variable_comparison(spark, d):
-    """Best fit and upper tail of each measure, side by side; measures with fewer than 30 values are marked."""
-    out = None
-    for c in ("l_quantity", "l_extendedprice", "l_discount"):
-        best = fitting.fit_all(table(spark, d, "lineitem"), c, ["norm", "expon", "uniform", "laplace", "gamma"]).limit(1)
-        row = best.select(F.lit(c).alias("variable"), "distribution", "log_likelihood", "ks", F.lit("ok").alias("status"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Best fit, tail and the counts of rows that stand out, per measure; an item lies where its customer does, and its series is their nation."""
+    n = wgs(spark, d).select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", *[c.alias(a) for c, a in zip(geometry.utm(F.col("lat"), F.col("lon"), 18), ("x", "y"))])
+    items = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey", "left").join(n, "o_custkey", "left")
+    rows = items.withColumn("id", F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber"))
+    return analysis.compare_variables(rows, ["l_quantity", "l_extendedprice", "l_discount"], "c_nationkey", ["l_shipdate"])
 
 
 _EI = """w as (select c_custkey, c_acctbal, -75 + (c_custkey * 37 % 1009) / 1e3 as lon, 6 + (c_custkey * 91 % 1013) / 1e3 as lat, c_nationkey::double as nk from customer),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from terravane.functions import distributions as D
 from terravane.functions import raster
 from terravane.operators import cleaning, core, detect, fitting, geometry, graph, neighbours, ranking, regions, temporal, territory
-from terravane.plans import export, semantics, state
+from terravane.plans import analysis, export, semantics, state
 from terravane.sources import files, remote
 from terravane.streaming import events
 
@@ -323,6 +323,16 @@ def test_feature_neighbourhoods_are_of_all_rows(spark):
         assert abs(got[i] - want) < 1e-4, i
 
 
+def test_variables_are_compared_whole(spark):
+    g = np.random.default_rng(8)
+    rows = [(i, float(g.uniform(0, 1e4)), float(g.uniform(0, 1e4)), i % 2, i, float(v), 1.0 if i < 9 else None) for i, v in enumerate(g.normal(5, 1, 400))]
+    got = {r["variable"]: r for r in analysis.compare_variables(spark.createDataFrame(rows, "id long, x double, y double, s int, t int, a double, b double"), ["a", "b"], "s", ["t"], candidates=["norm", "weibull_min"]).collect()}
+    assert (got["b"]["status"], got["b"]["n"], got["b"]["distribution"]) == ("insufficient_data", 9, None)
+    a = got["a"]
+    assert (a["status"], a["n"], a["probability_anomalies_95"], a["temporal_anomalies_95"]) == ("ok", 400, 20, 20)
+    assert 0.4 < a["median_tail_area"] < 0.6 and 0 <= a["spatial_anomalies_95"] < 20 and a["fisher_rao"] > 0
+
+
 def test_fits_recover_the_family(spark):
     g = np.random.default_rng(3)
     df = spark.createDataFrame([(float(v),) for v in g.lognormal(1.0, 0.5, 4_000)], "v double")
