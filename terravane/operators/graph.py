@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravane.operators.ranking import ordinal01
 from terravane.session import cut
 
 MAX_COMPONENT = 20_000
@@ -165,9 +166,14 @@ def spanning_tree(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None =
     return _labelled(edges, labels).groupBy("component").applyInPandas(one, "component long, src long, dst long, weight double")
 
 
-def corridors(nodes: DataFrame, edges: DataFrame, density: DataFrame, least: int = 3, weights: tuple[float, float, float, float] = (0.30, 0.35, 0.20, 0.15)) -> DataFrame:
-    """Support of each component as a corridor: mean density, connectivity, evenness of its tree, dated nodes. nodes may hold a date ``day``."""
+def corridors(nodes: DataFrame, edges: DataFrame, density: DataFrame, least: int = 3, weights: tuple[float, float, float, float] = (0.30, 0.35, 0.20, 0.15), permutations: int = 99) -> DataFrame:
+    """Support of each component as a corridor, best first: mean density, connectivity, evenness of its tree, dated nodes. nodes may hold a date ``day``.
+
+    p_value is one-sided: how often as many densities, drawn from all nodes with replacement, give at least this support. A
+    draw is the hash of its number, component and place, so it is the same on any cluster.
+    """
     labels = components(nodes, edges)
+    density = cut(density.select("id", "density"))
     members = nodes.join(labels, "id").join(density.select("id", F.col("density").alias("dn")), "id", "left")
     day = F.col("day") if "day" in nodes.columns else F.lit(None).cast("date")
     per = members.groupBy("component").agg(F.count("*").alias("nodes"), F.avg("dn").alias("density"), F.count(day).alias("dated"), F.datediff(F.max(day), F.min(day)).alias("span"))
@@ -179,7 +185,14 @@ def corridors(nodes: DataFrame, edges: DataFrame, density: DataFrame, least: int
     temporal = F.when(F.col("dated") < 2, F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.col("dated") / (F.greatest(F.col("span"), F.lit(1)) + 1) * 30))
     out = all_.select("component", "nodes", "density", connect.alias("connectivity"), even.alias("continuity"), temporal.alias("temporal_support"))
     a, b, c, e = (w / sum(weights) for w in weights)
-    return out.withColumn("confidence", a * F.col("density") + b * F.col("connectivity") + c * F.col("continuity") + e * F.col("temporal_support"))
+    out = cut(out.withColumn("confidence", a * F.col("density") + b * F.col("connectivity") + c * F.col("continuity") + e * F.col("temporal_support")))
+    known = density.where(F.col("density").isNotNull())
+    n = known.count()
+    pool = ordinal01(known, "density", "id", "pos").select(F.round(F.col("pos") * max(n - 1, 0)).cast("long").alias("pos"), F.col("density").alias("drawn"))
+    draws = out.select("component", F.col("density").alias("own"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"), "nodes").withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("nodes"))))
+    drawn = draws.withColumn("pos", F.pmod(F.xxhash64("perm", "component", "place"), F.lit(max(n, 1)))).join(pool, "pos").groupBy("component", "perm").agg(F.avg("drawn").alias("null"), F.first("own").alias("own"))
+    beyond = drawn.groupBy("component").agg(F.count_if(a * F.col("null") >= a * F.col("own") - 1e-12).alias("beyond"))
+    return out.join(beyond, "component", "left").withColumn("p_value", (F.coalesce("beyond", F.lit(0)) + 1) / F.lit(float(permutations + 1))).drop("beyond").orderBy(F.desc("confidence"), "component")
 
 
 def hull(points: np.ndarray) -> np.ndarray:

@@ -92,6 +92,14 @@ def test_paths_of_many_edges_are_whole(spark):
         graph.components(spark.range(106), e, rounds=1)
 
 
+def test_corridors_have_a_density_null(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in (*range(5), *range(10, 15))], "src long, dst long, weight double")
+    n = spark.createDataFrame([(i,) for i in (*range(6), *range(10, 16), *range(50, 90))], "id long")
+    dens = n.select("id", F.when(F.col("id") < 6, 1.0).when(F.col("id") < 16, 0.0).otherwise(0.4).alias("density"))
+    got = [(r["component"], r["p_value"]) for r in graph.corridors(n, e, dens).collect()]
+    assert got == [(0, 0.01), (10, 1.0)]
+
+
 def test_dbscan_and_lof(spark):
     df = spark.createDataFrame([(i, float(i % 5) / 10, float(i // 5) / 10, 0.0) for i in range(25)] + [(90, 9.0, 9.0, 0.0)], "id long, x double, y double, v double")
     lab = {r["id"]: r["cluster"] for r in neighbours.dbscan(df, 0.11, 4).collect()}
