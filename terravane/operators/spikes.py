@@ -3,21 +3,29 @@
 Each field of each source is a series of its valid readings. Series are cut into blocks by their own running index, found
 from counts per source and day or minute, so a source with a third of all rows is spread over many tasks; a block carries a halo of
 the readings before and after it, and as NULL and NaN are left out before the index is taken, the halo always holds what
-the checks look at. Per block a robust seasonal-trend decomposition is made: a daily course from medians by hour of the
-detrended values (only where the block spans three days, else the trend follows it), the trend on either side of a reading
-as a running median, and the local scatter as a running median of absolute differences, which a change of level hardly
-touches. A residual has to leave both sides' trend. Residuals are tested by the generalised extreme studentised deviate
-limits with robust location and scale, and also have to pass ``ratio`` times the scatter. Heavy-tailed fields have to pass
-the limits on the log scale as well.
+the checks look at. A series is decomposed robustly:
+
+* the daily course of a source is the median, over all its blocks, of the detrended readings of each hour of the day
+  (a first pass over the blocks gives their medians, these are combined per source, weighted by readings);
+* the trend at a reading is what its neighbours show before it and after it (running medians of SIDE readings); the
+  residual is the distance from the nearer of both, and 0 in between, so that a change that lasts leaves no residual;
+* the usual scatter around a reading is a running median of absolute differences, which a change of level hardly touches.
+
+Residuals in units of the scatter go through the generalised extreme studentised deviate test: the most extreme one is
+removed, mean and standard deviation of the rest are estimated again, and all up to the last step past its limit are
+outliers. As many steps are made as there are residuals past LOOK scatters, so none that could be a case is left out. An
+outlier is a case if it also passes RATIO scatters, stands between jumps, and at most two neighbours go with it. Fields with heavy
+tails have to be outliers on the log scale as well.
 
 Defined cases: NULL and NaN are no readings; readings without a readable time come first in their day; repeated
 deliveries (all columns equal but row_id and received_at) are one reading and are reported row by row; products without
-limits have no range check; series of fewer than ``MIN_SERIES`` readings have no spike check; empty tables give no rows.
+limits have no range check; series of fewer than ``MIN_SERIES`` sound readings in a block show no usual behaviour and have no spike check; an
+hour of the day with readings on fewer than COURSE_DAYS days has no course; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from statistics import NormalDist
 
@@ -30,11 +38,16 @@ from pyspark.sql.window import Window
 BLOCK, HALO = 8_192, 96
 STUCK = 12
 SIDE, SCATTER, STRIDE = 11, 61, 8
-#: Ten times the usual scatter, less two standard errors (about a quarter) of a scatter estimated from SCATTER differences.
-RATIO, LOG_RATIO = 7.5, 5.0
+#: Standard error of a scatter estimated from SCATTER differences of white noise, as a share of the scatter.
+SCATTER_SE = 0.163
+#: Ten times the usual scatter, where the estimate may be two standard errors too high.
+RATIO = 10 / (1 + 2 * SCATTER_SE)
+LOOK, LARGEST = 3.0, 1e6
 LONGEST = 3
-ALPHA = 0.01
+#: One false outlier in ten thousand series of ordinary readings.
+ALPHA = 1e-4
 MIN_SERIES = 8
+COURSE_DAYS = 3
 MAX_LIMITS = 10_000
 HOT_SHARE = 1 / 512
 NO_SOURCE = "\x00"
@@ -65,54 +78,88 @@ def _windows_median(x: np.ndarray, centres: np.ndarray, lo: int, hi: int) -> np.
     return m
 
 
-def _deviation(x: np.ndarray, hour: np.ndarray, day: np.ndarray) -> np.ndarray:
-    """Residual in units of the local scatter; 0 where a reading is close to one of its sides, or no candidate at all."""
+def _detrended(x: np.ndarray) -> np.ndarray:
+    """x less the running median of 25 readings."""
+    stops = np.unique(np.append(np.arange(0, len(x), STRIDE), len(x) - 1))
+    return x - np.interp(np.arange(len(x)), stops, _windows_median(x, stops, -12, 12))
+
+
+def hour_medians(x: np.ndarray, hour: np.ndarray, day: np.ndarray) -> list[tuple[int, float, int, int]]:
+    """(hour of the day, median of the detrended readings, their number, their days) of one block."""
+    off = _detrended(x)
+    out = []
+    order = np.argsort(hour, kind="stable")
+    cuts = np.searchsorted(hour[order], np.arange(25))
+    for h, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if b > a:
+            at = order[a:b]
+            out.append((h, float(np.median(off[at])), int(b - a), len(np.unique(day[at]))))
+    return out
+
+
+def course_of(medians: list[tuple[int, float, int]]) -> np.ndarray:
+    """Daily course by hour from (hour, median, days); the fewer days are known, the nearer to its neighbouring hours and to 0."""
+    mid, days = np.zeros(24), np.zeros(24)
+    for h, m, d in medians:
+        if d >= COURSE_DAYS:
+            mid[h], days[h] = m, d
+    near = np.roll(days, 1) + 2 * days + np.roll(days, -1)
+    smooth = np.roll(days * mid, 1) + 2 * days * mid + np.roll(days * mid, -1)
+    known = days / (days + 4)
+    return known * (mid + (1 - known) * (np.divide(smooth, near, out=np.zeros(24), where=near > 0) - mid))
+
+
+def deviations(x: np.ndarray, course: np.ndarray, grain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals in units of the local scatter, and which readings stand next to a jump. course: of each reading; grain: resolution of the readings."""
     n = len(x)
+    x = x - course
     stops = np.unique(np.append(np.arange(0, n, STRIDE), n - 1))
-    if n >= 200 and day.max() - day.min() >= 3:
-        trend = np.interp(np.arange(n), stops, _windows_median(x, stops, -12, 12))
-        off = x - trend
-        order = np.argsort(hour, kind="stable")
-        cuts = np.searchsorted(hour[order], np.arange(25))
-        mids = np.array([np.median(off[order[a:b]]) if b - a >= 3 else 0.0 for a, b in zip(cuts[:-1], cuts[1:])])
-        counts = np.diff(cuts)
-        daily = (np.roll(mids, 1) + 2 * mids + np.roll(mids, -1)) / 4 * (counts.mean() / (counts.mean() + 4))
-        x = x - daily[hour]
     jump = np.abs(np.diff(x))
-    steps = np.unique(x[: min(n, 2_048)])
-    grain = np.diff(steps)
-    floor = 0.5 * max(float(grain[grain > 1e-9].min()) if (grain > 1e-9).any() else 0.0, 1e-9)
+    floor = 0.5 * max(grain, 1e-9)
     rough = _windows_median(jump, stops, -(SCATTER // 2) - 1, SCATTER // 2) * 1.4826 / np.sqrt(2)
     whole = max(float(np.median(jump)) * 1.4826 / np.sqrt(2), floor)
     scatter = np.interp(np.arange(n), stops, np.where(np.isnan(rough), whole, np.maximum(rough, floor)))
+    medians = _windows_median(x, np.arange(-SIDE, n + 1), 0, SIDE - 1)
+    left, right = medians[:n], medians[SIDE + 1 :]
+    left, right = np.where(np.isnan(left), right, left), np.where(np.isnan(right), left, right)
+    a, b = x - left, x - right
+    residual = np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0.0)
     # a run of at most LONGEST readings that leaves both sides begins and ends with a jump
-    big = np.flatnonzero(jump > 3 * np.minimum(scatter[1:], scatter[:-1])) + 1
+    big = np.flatnonzero(jump > LOOK * np.minimum(scatter[1:], scatter[:-1])) + 1
     near = np.zeros(n, bool)
     for k in range(-LONGEST - 1, LONGEST + 1):
         near[np.clip(big + k, 0, n - 1)] = True
-    at = np.flatnonzero(near)
-    z = np.zeros(n)
-    if len(at):
-        left, right = _windows_median(x, at, -SIDE, -1), _windows_median(x, at, 1, SIDE)
-        left, right = np.where(np.isnan(left), right, left), np.where(np.isnan(right), left, right)
-        a, b = x[at] - left, x[at] - right
-        gap = np.where(a * b > 0, np.minimum(np.abs(a), np.abs(b)), 0.0)
-        z[at] = np.nan_to_num(gap / scatter[at])
-    return z
-
-
-def _beyond(z: np.ndarray, ratio: float) -> np.ndarray:
-    """Values past the generalised ESD limits and past the ratio."""
-    order = np.argsort(-z, kind="stable")
-    last = 0
-    for i, k in enumerate(order, 1):
-        if z[k] < 4 or i > len(z) // 4:
-            break
-        if z[k] > gesd_limit(len(z), i):
+    return np.clip(np.nan_to_num(residual / scatter), -LARGEST, LARGEST), near
+
+
+def esd_outliers(u: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+    """Outliers of the generalised ESD test: location and scale are estimated again after each removal."""
+    hit = np.zeros(len(u), bool)
+    most = min(int((np.abs(u) > LOOK).sum()), len(u) - 2)
+    if most < 1:
+        return hit
+    order = np.argsort(u, kind="stable")
+    v = u[order]
+    total, squares = v.sum(), (v * v).sum()
+    lo, hi, last = 0, len(v), 0
+    gone = np.empty(most, np.int64)
+    for i in range(1, most + 1):
+        m = hi - lo
+        mean = total / m
+        spread = np.sqrt(max((squares - m * mean * mean) / (m - 1), 1e-12))
+        if v[hi - 1] - mean >= mean - v[lo]:
+            hi -= 1
+            k = hi
+        else:
+            k = lo
+            lo += 1
+        gone[i - 1] = k
+        if abs(v[k] - mean) / spread > gesd_limit(len(v), i, alpha):
             last = i
-    hit = np.zeros(len(z), bool)
-    hit[order[:last]] = True
-    return hit & (z > ratio)
+        total -= v[k]
+        squares -= v[k] * v[k]
+    hit[order[gone[:last]]] = True
+    return hit
 
 
 def runs(v: np.ndarray) -> np.ndarray:
@@ -122,19 +169,49 @@ def runs(v: np.ndarray) -> np.ndarray:
     return np.bincount(group)[group]
 
 
-def flag_series(v: np.ndarray, hour: np.ndarray, day: np.ndarray, low: float, high: float, log: bool, ratio: float = RATIO) -> np.ndarray:
-    """Cases in one series of readings in order; infinite values are readings, NaN must be left out before."""
-    hit = ~np.isfinite(v)
-    hit |= (v < low) | (v > high)
-    stuck = runs(v) >= STUCK
-    sound = np.flatnonzero(~hit & ~stuck)
-    hit |= stuck
-    if len(sound) >= MIN_SERIES:
-        x, h, d = v[sound], hour[sound], day[sound]
-        deviant = _beyond(_deviation(x, h, d), ratio)
-        if log and deviant.any():
-            least = x[x > 0].min() if (x > 0).any() else 1.0
-            deviant &= _deviation(np.log(np.maximum(x, least)), h, d) > LOG_RATIO
+def unsound(v: np.ndarray, low: np.ndarray | float, high: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Readings out of range, infinite ones included, and readings that are stuck."""
+    return ~np.isfinite(v) | (v < low) | (v > high), runs(v) >= STUCK
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(x, x[x > 0].min() if (x > 0).any() else 1.0))
+
+
+def scales(x: np.ndarray, log: bool) -> list[np.ndarray]:
+    return [x, _log(x)] if log else [x]
+
+
+def block_medians(v: np.ndarray, hour: np.ndarray, day: np.ndarray, low: np.ndarray | float, high: np.ndarray | float, log: bool, own: np.ndarray | None = None) -> list[list[tuple[int, float, int, int]]]:
+    """``hour_medians`` of the sound readings of a block, per scale; own: without the halo."""
+    out, stuck = unsound(v, low, high)
+    good = ~out & ~stuck if own is None else ~out & ~stuck & own
+    if not good.any():
+        return [[] for _ in range(1 + log)]
+    return [hour_medians(x, hour[good], day[good]) for x in scales(v[good], log)]
+
+
+def flag_series(v: np.ndarray, hour: np.ndarray, day: np.ndarray, low: np.ndarray | float, high: np.ndarray | float, log: bool, ratio: float = RATIO, courses: list[np.ndarray] | None = None, spikes: bool = True) -> np.ndarray:
+    """Cases in one series of readings in order; infinite values are readings, NaN must be left out before.
+
+    courses: daily course per scale, from the series itself where none is given.
+    """
+    out, stuck = unsound(v, low, high)
+    sound = np.flatnonzero(~out & ~stuck)
+    hit = out | stuck
+    if spikes and len(sound) >= MIN_SERIES:
+        x, h = v[sound], hour[sound]
+        courses = courses or [course_of([(k, m, d) for k, m, _, d in found]) for found in block_medians(v, hour, day, low, high, log)]
+        deviant, first = np.ones(len(x), bool), True
+        for y, course in zip(scales(x, log), courses):
+            steps = np.diff(np.unique(y))
+            u, near = deviations(y, course[h], float(steps[steps > 1e-9].min()) if (steps > 1e-9).any() else 0.0)
+            deviant &= esd_outliers(u) & near
+            if first:
+                deviant &= np.abs(u) > ratio
+            first = False
+            if not deviant.any():
+                break
         if deviant.any():
             group = np.append(0, np.cumsum(deviant[1:] != deviant[:-1]))
             hit[sound[deviant & (np.bincount(group)[group] <= LONGEST)]] = True
@@ -165,8 +242,47 @@ def readings(rows: DataFrame, products: list[str], source: str, product: str, da
     )
 
 
-def flag(rows: DataFrame, limits: DataFrame, source: str = "_source_file", product: str = "_api_source", day: str = "ACQ_DATE", time: str = "ACQ_TIME", row_id: str = "row_id", fields: tuple[str, ...] = FIELDS, log_fields: tuple[str, ...] = LOG_FIELDS, aside: tuple[str, ...] = ("received_at",), block: int = BLOCK) -> DataFrame:
-    """(row_id, field_name) of every delivered row and field that is a case. limits: (api_source, field_name, low_value, high_value), at most MAX_LIMITS rows."""
+def _by_block(work: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Applies ``work`` to the rows of each block in turn; rows come sorted by source, field and block."""
+    keys = ("source", "field", "block")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = [b[c].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if c == "source" else b[c].to_numpy() for c in keys]
+            new = np.zeros(b.num_rows, bool)
+            for c in code:
+                new[1:] |= c[1:] != c[:-1]
+            first = tuple(b[c][0].as_py() for c in keys)
+            new[0] = last is not None and first != last
+            cuts = np.append(np.flatnonzero(new), b.num_rows)
+            at = 0
+            for c in cuts:
+                if c > at:
+                    held.append(b.slice(at, c - at))
+                if c < b.num_rows and held:
+                    found = work(pa.Table.from_batches(held))
+                    held = []
+                    if found is not None:
+                        yield found
+                at = c
+            last = tuple(b[c][b.num_rows - 1].as_py() for c in keys)
+        if held:
+            found = work(pa.Table.from_batches(held))
+            if found is not None:
+                yield found
+
+    return walk
+
+
+def flag(rows: DataFrame, limits: DataFrame, source: str = "_source_file", product: str = "_api_source", day: str = "ACQ_DATE", time: str = "ACQ_TIME", row_id: str = "row_id", fields: tuple[str, ...] = FIELDS, log_fields: tuple[str, ...] = LOG_FIELDS, aside: tuple[str, ...] = ("received_at",), block: int = BLOCK, spikes: bool = True) -> DataFrame:
+    """(row_id, field_name) of every delivered row and field that is a case. limits: (api_source, field_name, low_value, high_value), at most MAX_LIMITS rows.
+
+    spikes=False makes only the range and run checks.
+    """
     listed = limits.where("api_source is not null").limit(MAX_LIMITS + 1).collect()
     if len(listed) > MAX_LIMITS:
         raise ValueError("the table of limits is meant to be small")
@@ -198,53 +314,61 @@ def flag(rows: DataFrame, limits: DataFrame, source: str = "_source_file", produ
     own, rest = F.floor(F.col("x.idx") / block).cast("int"), F.col("x.idx") % block
     blocks = F.array_compact(F.array(own, F.when((rest < HALO) & (own > 0), own - 1), F.when(rest >= block - HALO, own + 1)))
     spread = series.select("source", "product", "bin", F.when(F.col("h").isNotNull(), F.col("minute")).alias("minute"), "rid", "h", "x.field", "x.v", "x.idx", F.explode(blocks).alias("block"))
-    spread = spread.repartition("source", "field", "block").sortWithinPartitions("source", "field", "block", "idx")
+    keys = ["source", "field", "block"]
+    spread = spread.repartition(*keys)
     schema = "rid long, h long, bin int, minute int, field int"
+    span = block
 
-    def one_block(t: pa.Table) -> pa.RecordBatch | None:
-        f = fields[t["field"][0].as_py()]
-        v, b = t["v"].to_numpy(), t["bin"].to_numpy()
-        low, high = np.full(len(v), -np.inf), np.full(len(v), np.inf)
-        code = t["product"].to_numpy()
+    def ranges(t: pa.Table) -> tuple[str, np.ndarray, np.ndarray]:
+        f, code = fields[t["field"][0].as_py()], t["product"].to_numpy()
+        low, high = np.full(len(code), -np.inf), np.full(len(code), np.inf)
         for k in np.unique(code):
             if k and (products[k - 1], f) in bounds:
                 low[code == k], high[code == k] = (x if x is not None else s * np.inf for x, s in zip(bounds[(products[k - 1], f)], (-1, 1)))
-        hit = flag_series(v, np.mod(b, 24), b // 24, low, high, f in log_fields)
-        hit &= t["idx"].to_numpy() // block == t["block"][0].as_py()
+        return f, low, high
+
+    def in_order(t: pa.Table) -> pa.Table:
+        idx = t["idx"].to_numpy()
+        return t if (idx[1:] > idx[:-1]).all() else t.take(np.argsort(idx, kind="stable"))
+
+    def medians(t: pa.Table) -> pa.RecordBatch | None:
+        t = in_order(t)
+        f, low, high = ranges(t)
+        b, number = t["bin"].to_numpy(), t["block"][0].as_py()
+        found = block_medians(t["v"].to_numpy(), np.mod(b, 24), b // 24, low, high, f in log_fields, t["idx"].to_numpy() // span == number)
+        rows = [(k * 24 + h, m, n, d) for k, part in enumerate(found) for h, m, n, d in part]
+        if not rows:
+            return None
+        same = [pa.array([t[c][0].as_py()] * len(rows), kind) for c, kind in zip(keys, (pa.string(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*same, *[pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.float64(), pa.int64(), pa.int32()))]], [*keys, "slot", "mid", "n", "days"])
+
+    def one_block(t: pa.Table) -> pa.RecordBatch | None:
+        t = in_order(t)
+        f, low, high = ranges(t)
+        b, courses = t["bin"].to_numpy(), None
+        if spikes:
+            told = t["course"].drop_null()
+            known = told[0].as_py() if len(told) else []
+            courses = [course_of([(c["slot"] - k * 24, c["mid"], c["days"]) for c in known if c["slot"] // 24 == k]) for k in range(1 + (f in log_fields))]
+        hit = flag_series(t["v"].to_numpy(), np.mod(b, 24), b // 24, low, high, f in log_fields, courses=courses, spikes=spikes)
+        hit &= t["idx"].to_numpy() // span == t["block"][0].as_py()
         if not hit.any():
             return None
         return t.select(["rid", "h", "bin", "minute", "field"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            code = [b[c].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if c == "source" else b[c].to_numpy() for c in ("source", "field", "block")]
-            new = np.zeros(b.num_rows, bool)
-            for c in code:
-                new[1:] |= c[1:] != c[:-1]
-            first = tuple(b[c][0].as_py() for c in ("source", "field", "block"))
-            new[0] = last is not None and first != last
-            cuts = np.append(np.flatnonzero(new), b.num_rows)
-            at = 0
-            for c in cuts:
-                if c > at:
-                    held.append(b.slice(at, c - at))
-                if c < b.num_rows and held:
-                    found = one_block(pa.Table.from_batches(held))
-                    held = []
-                    if found is not None:
-                        yield found
-                at = c
-            last = tuple(b[c][b.num_rows - 1].as_py() for c in ("source", "field", "block"))
-        if held:
-            found = one_block(pa.Table.from_batches(held))
-            if found is not None:
-                yield found
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.sortWithinPartitions(*keys)
 
-    hits = spread.mapInArrow(walk, schema)
+    if spikes:
+        # medians of blocks become courses of sources; the course reaches a block at its first own reading
+        slots = ordered(spread).mapInArrow(_by_block(medians), "source string, field int, block int, slot int, mid double, n long, days int")
+        all_blocks = Window.partitionBy("source", "field", "slot")
+        slots = slots.select(*keys, "slot", F.percentile("mid", F.lit(0.5), F.col("n")).over(all_blocks).alias("mid"), F.sum("days").over(all_blocks).cast("int").alias("days"))
+        course = slots.groupBy(*keys).agg(F.collect_list(F.struct("slot", "mid", "days")).alias("course")).withColumn("lead", F.col("block").cast("long") * block)
+        held, told = spread.alias("a"), course.alias("b")
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
+        spread = held.join(told, [*same, F.col("a.idx") - F.col("b.lead") == 0], "left").select("a.*", "b.course")
+    hits = ordered(spread).mapInArrow(_by_block(one_block), schema)
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
     # the few cases that were delivered again find their other rows by content; salted, as one reading may hold many rows
     fan = 16

@@ -113,3 +113,28 @@ def test_flag_reports_copies_and_survives_blocks(spark):
         assert set(rows) == want and len(rows) == len(want)
     assert spikes.flag(df.limit(0), limits).count() == 0
     assert spikes.flag(df, limits.limit(0), log_fields=()).count() == len(want)
+
+
+def test_esd_limit_decides_and_nothing_is_capped():
+    g = np.random.default_rng(4)
+    wide = np.append(g.uniform(-6, 6, 300), 8.0)  # past the ratio, but no outlier of a series as wide as this
+    assert not spikes.esd_outliers(wide).any() and abs(wide[-1]) > spikes.RATIO
+    narrow = np.append(g.normal(0, 1, 300), 8.0)
+    assert np.flatnonzero(spikes.esd_outliers(narrow)).tolist() == [300]
+    many = np.append(g.normal(0, 0.8, 60), np.full(40, 20.0) * g.choice([-1, 1], 40))
+    assert spikes.esd_outliers(many).sum() == 40
+    assert spikes.esd_outliers(np.append(g.normal(0, 0.5, 20), [20.0] * 8)).sum() == 8
+    assert spikes.esd_outliers(np.zeros(10)).sum() == 0 and len(spikes.esd_outliers(np.zeros(0))) == 0
+
+
+def test_course_comes_from_the_whole_source(spark):
+    n = 24 * 40
+    h = np.arange(n) % 24
+    v = np.round(300 + 25 * (h == 5) + np.random.default_rng(1).normal(0, 1, n), 1)  # every day at five, so no case
+    v[501] += 30
+    rows = [(i, "s", "P", f"2024-{1 + i // 24 // 28:02d}-{1 + i // 24 % 28:02d}", f"{(i % 24) * 100}", float(v[i]), None, None, 0) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, _source_file string, _api_source string, ACQ_DATE string, ACQ_TIME string, FRP double, BRIGHTNESS double, BRIGHT_T31 double, received_at long")
+    limits = spark.createDataFrame([], "api_source string, field_name string, low_value double, high_value double")
+    for block in (8_192, 48):
+        assert [r["row_id"] for r in spikes.flag(df, limits, log_fields=(), block=block).collect()] == [501]
+    assert spikes.flag(df, limits, block=48, spikes=False).count() == 0
