@@ -1,13 +1,21 @@
 """Per-document text quality statistics and fixed-threshold rules with a reason for each failure.
 
-All counting is done on flattened Arrow arrays: a batch of texts becomes one array of lines and one of tokens, and sums
-go back to lines and documents by their offsets; nothing is done text by text. Rules follow the published Gopher and C4
-thresholds; the rule ``not_prose`` is the share of the text that stands in lines of prose: lines whose tokens are words with
-some common words of any language among them, or letters of a script without a word list. Markup and quote marks are not
-counted against a line of prose.
+All counting is done on flattened Arrow arrays: a batch of texts becomes one array of lines, one of passages and one of
+tokens, and sums go back to passages and documents by their offsets; nothing is done text by text. The rules are those
+published for large corpora (word count, word length, symbols, bullets, ellipses, letters, stop words: Rae et al. 2021;
+sentences in lines that end: Raffel et al. 2020; line ends, short and repeated lines: Penedo et al. 2024).
+
+``prose_share`` says how much of a text stands in passages of prose. A passage is a line, a cell or a block of markup, with wrapped
+lines put together. It is judged by structure, in any language: it consists of words; words have the shape of words (vowels
+for their script, no long runs of consonants, no endless length); it is no enumeration (words per comma) and no
+repetition (distinct words); it has the mix of short and long words, or the sentence ends, of running text. Common words
+are one more sign, never needed. Scripts without blanks between words are judged by letters and sentence marks. Markup
+and quote marks are not counted against a passage, but a text that is mostly markup is no prose.
+
+A text is ``no_prose`` if it fails a published rule and less than half of it is prose; the share is the check behind the rules.
 
 Defined cases: NULL, empty and blank texts have counts of 0, ratios of NULL and the reason ``empty``; texts of fewer than 40
-characters without surrounding blanks are not judged by ``not_prose``; common_words may be empty, hold NULLs or repeats.
+characters without surrounding blanks are never ``no_prose``; common_words may be empty, hold NULLs or repeats.
 """
 
 from __future__ import annotations
@@ -20,25 +28,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_CHARS = 40
-MIN_PROSE = 0.5
-LINE_COMMON, LINE_WORDS, LINE_FOREIGN, LINE_LETTERS = 0.12, 0.5, 0.3, 0.5
+MIN_CHARS, MIN_PROSE, MAX_MARKUP = 40, 0.5, 0.75
 MAX_COMMON = 200_000
+#: A passage is prose: letters in words per character, well-shaped words, words per comma, words of running text without an end, words per sentence.
+LETTERS, SHAPED, PER_COMMA, OPEN_WORDS, SENTENCE = 0.5, 0.7, 3.0, 6, (2.0, 80.0)
+#: Share of words of at most three letters, or of common words, in running text; share of longer words; distinct words.
+SHORT, COMMON, LONGER, DISTINCT = 0.12, 0.12, 0.12, 6
+#: Least share of vowels among the letters of a script; letters drawn at random stay below.
+VOWELS = {"latin": ("a-z", "aeiouy", 0.29), "cyrillic": (r"\p{Cyrillic}", "аеёиоуыэюяіїє", 0.34), "greek": (r"\p{Greek}", "αεηιουω", 0.38)}
 
 STATS = (
-    "n_chars long, n_words long, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines long, punctuated_lines double, bullet_lines double, "
-    "ellipsis_lines double, alphabetic_words double, common_words long, common_ratio double, prose_share double, reasons array<string>"
+    "n_chars long, n_words long, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines long, n_sentences long, punctuated_lines double, bullet_lines double, "
+    "ellipsis_lines double, short_lines double, repeated_lines double, alphabetic_words double, common_words long, common_ratio double, prose_share double, reasons array<string>"
 )
 
 _BREAK = r"\r\n|[\r\n\x{2028}\x{0085}]"
+_BLOCK = r"(?i)</?(?:li|ul|ol|p|br|div|tr|td|th|table|blockquote|h\d|pre|hr)(?:\s[^<>]{0,300})?/?>"
+_PASSAGE = r"\r\n|[\r\n\x{2028}\x{0085}\t|]| {4,}"
+_UNSPACED = r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 _MARKUP = r"<[^<>]{0,300}>|\[/?[A-Za-z]{2,}(?:=[^\]]{0,200})?\]|\[/?[biu]\]|&(?:[A-Za-z]+|#\d+);|\{\{[^{}]*\}\}"
 _INVISIBLE = r"[\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{00AD}]"
 _SPLIT = r"[\s\x{00A0}\x{3000}，。、；：！？]+"
 _TRIM = ".,;:!?…\"'()[]{}“”«»„‚‘’*_~-–—>¿¡،؟؛。，|"
 _WORD = r"^[\p{L}\p{M}]+(?:['’\x{2010}-][\p{L}\p{M}]+)*$"
-_FOREIGN = r"[\p{Cyrillic}\p{Greek}\p{Arabic}\p{Hebrew}\p{Armenian}\p{Georgian}\p{Devanagari}\p{Bengali}\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
-_BULLET = r"^\s*(?:[-*•–—+◦▪]|\(?\d{1,4}[.)]|\[[ xX]?\])\s+"
-_ENDS = r"[.!?…。！？؟][\"'”’»)\]*_]*\s*$"
+_DENSE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+_BULLET = r"^\s*(?:[-*+•–—+◦▪‣·]|\(?\d{1,4}[.)]|\(?[A-Za-z][.)]|#\d+|\[[ xX]?\])\s+"
+_CLOSE = r"[\"'”’»)\]*_]*"
+_ENDS = rf"[.!?…。！？؟।]{_CLOSE}\s*$"
+_RUN = "[bcdfghjklmnpqrstvwxz]{6}"
 
 
 def _per(parent: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -53,59 +70,132 @@ def _np(a) -> np.ndarray:
     return pc.cast(a, pa.float64()).to_numpy(zero_copy_only=False)
 
 
+def _hits(a: pa.Array, pattern: str) -> np.ndarray:
+    return _np(pc.match_substring_regex(a, pattern))
+
+
+def _count(a: pa.Array, pattern: str) -> np.ndarray:
+    return _np(pc.count_substring_regex(a, pattern))
+
+
+def _distinct(owner: np.ndarray, items: pa.Array, n: int) -> np.ndarray:
+    """Number of distinct items of each owner."""
+    code = items.dictionary_encode()
+    width = max(len(code.dictionary), 1)
+    return np.bincount(np.unique(owner.astype(np.int64) * width + code.indices.to_numpy()) // width, minlength=n)[:n].astype(float)
+
+
+def passages(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, cells and blocks of each text without markup and bullets; the text they are of, which had bullets, which only name whom the next one quotes."""
+    split = pc.split_pattern_regex(pc.replace_substring_regex(text, _BLOCK, "\n"), _PASSAGE)
+    block, owner = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+    quoted = _hits(block, r"^\s*>") > 0
+    bare = pc.replace_substring_regex(pc.replace_substring_regex(pc.replace_substring_regex(block, r"^[\s>]+", ""), _INVISIBLE, ""), _MARKUP, " ")
+    names = (_hits(bare, r":\s*$") > 0) & np.append(quoted[1:] & (owner[1:] == owner[:-1]), False)
+    return pc.replace_substring_regex(bare, _BULLET, ""), owner, _hits(bare, _BULLET) > 0, names
+
+
 def measure(texts: pa.Array, common: pa.Array) -> dict[str, np.ndarray]:
     """Statistics of a batch of texts; common: distinct lower-case words."""
     n = len(texts)
     text = pc.utf8_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    # a zero-width end keeps empty texts in step: split gives one empty line for them
     split = pc.split_pattern_regex(text, _BREAK)
-    doc = pc.list_parent_indices(split).to_numpy()
-    line = pc.list_flatten(split)
+    doc, line = pc.list_parent_indices(split).to_numpy(), pc.list_flatten(split)
     kept = pc.replace_substring_regex(line, r"^[\s>]+", "")
-    bare = pc.replace_substring_regex(pc.replace_substring_regex(kept, _INVISIBLE, ""), _MARKUP, " ")
-    words = pc.split_pattern_regex(bare, _SPLIT)
-    at = pc.list_parent_indices(words).to_numpy()
-    token = pc.list_flatten(words)
-    full = pc.utf8_length(token)
-    filled = pc.greater(full, 0)
-    token, at, full = pc.filter(token, filled), at[filled.to_numpy(zero_copy_only=False)], _np(pc.filter(full, filled))
-    core = pc.utf8_lower(pc.utf8_trim(token, characters=_TRIM))
-    size = _np(pc.utf8_length(core))
-    is_word = _np(pc.match_substring_regex(core, _WORD))
-    has_letter = _np(pc.match_substring_regex(core, r"\p{L}"))
-    is_common = _np(pc.is_in(core, value_set=common))
-    lines = len(line)
-    l_tok, l_common = _per(at, np.ones(len(at)), lines), _per(at, is_common, lines)
-    l_word, l_full = _per(at, is_word * size, lines), _per(at, full, lines)
-    foreign, latin = _np(pc.count_substring_regex(bare, _FOREIGN)), _np(pc.count_substring_regex(bare, r"\p{Latin}"))
     l_chars = _np(pc.utf8_length(pc.replace_substring_regex(line, r"\s+", "")))
-    letters = foreign + latin
-    prose = (foreign > LINE_FOREIGN * np.maximum(letters, 1)) & (letters >= LINE_LETTERS * l_full)
-    prose |= (l_common >= LINE_COMMON * np.maximum(l_tok, 1)) & (l_common > 0) & (l_word >= LINE_WORDS * l_full)
     real = (l_chars > 0).astype(float)
-    out: dict[str, np.ndarray] = {"n_chars": _np(pc.utf8_length(text))}
-    tok = doc[at]
-    n_words = _per(tok, np.ones(len(at)), n)
     chars = _per(doc, l_chars, n)
-    out["n_words"] = n_words
-    out["mean_word_length"] = _ratio(_per(tok, size, n), n_words)
-    out["symbol_ratio"] = _ratio(_np(pc.count_substring_regex(text, r"#|\.\.\.|…")), n_words)
-    out["digit_ratio"] = _ratio(_np(pc.count_substring_regex(text, r"\p{Nd}")), chars)
-    out["n_lines"] = _per(doc, real, n)
+    out: dict[str, np.ndarray] = {"n_chars": _np(pc.utf8_length(text)), "n_lines": _per(doc, real, n)}
+    out["digit_ratio"] = _ratio(_count(text, r"\p{Nd}"), chars)
     for name, pattern in (("punctuated_lines", _ENDS), ("bullet_lines", _BULLET), ("ellipsis_lines", r"(?:\.\.\.|…)\s*$")):
-        out[name] = _ratio(_per(doc, _np(pc.match_substring_regex(kept, pattern)) * real, n), out["n_lines"])
-    out["alphabetic_words"] = _ratio(_per(tok, has_letter, n), n_words)
+        out[name] = _ratio(_per(doc, _hits(kept, pattern) * real, n), out["n_lines"])
+    out["short_lines"] = _ratio(_per(doc, (_np(pc.utf8_length(kept)) < 30) * real, n), out["n_lines"])
+    full_lines = np.flatnonzero(real)
+    out["repeated_lines"] = 1 - _ratio(_distinct(doc[full_lines], line.take(pa.array(full_lines)), n), out["n_lines"])
+
+    whole = (_hits(kept, _ENDS) > 0) & (_count(kept, r"\S+") >= 5)
+    out["n_sentences"] = _per(doc, whole * _count(kept, rf"[.!?…。！？؟।]+{_CLOSE}(?:\s|$)"), n)
+
+    bare, owner, bullet, names = passages(text)
+    words = pc.split_pattern_regex(bare, _SPLIT)
+    at, token = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words)
+    filled = pc.greater(pc.utf8_length(token), 0)
+    token, at = pc.filter(token, filled), at[filled.to_numpy(zero_copy_only=False)]
+    core = pc.utf8_lower(pc.utf8_trim(token, characters=_TRIM))
+    size, is_word, is_common = _np(pc.utf8_length(core)), _hits(core, _WORD), _np(pc.is_in(core, value_set=common))
+    tok = owner[at]
+    out["n_words"] = _per(tok, np.ones(len(at)), n)
+    out["mean_word_length"] = _ratio(_per(tok, size, n), out["n_words"])
+    out["symbol_ratio"] = _ratio(_count(text, r"#|\.\.\.|…"), out["n_words"])
+    out["alphabetic_words"] = _ratio(_per(tok, _hits(core, r"\p{L}"), n), out["n_words"])
     out["common_words"] = _per(tok, is_common, n)
-    out["common_ratio"] = _ratio(out["common_words"], n_words)
-    out["prose_share"] = _ratio(_per(doc, prose * l_chars, n), chars)
+    out["common_ratio"] = _ratio(out["common_words"], out["n_words"])
+    prose, weight = _prose(bare, owner, bullet, at, token, core, size, is_word, is_common)
+    weight = weight * ~names
+    share = _ratio(_per(owner, prose * weight, n), _per(owner, weight, n))
+    bare_chars = _per(owner, weight, n)
+    with np.errstate(invalid="ignore"):
+        out["prose_share"] = np.where((chars > 0) & (bare_chars < (1 - MAX_MARKUP) * chars) & ~(share >= 1), 0.0, share)
     return out
 
 
+def _prose(bare: pa.Array, owner: np.ndarray, bullet: np.ndarray, at: np.ndarray, token: pa.Array, core: pa.Array, size: np.ndarray, is_word: np.ndarray, is_common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which passages are prose, and their characters."""
+    rows = len(bare)
+    weight = _np(pc.utf8_length(pc.replace_substring_regex(bare, r"[\s\x{00A0}]+", "")))
+    ended = _hits(bare, _ENDS) > 0
+    n_words = _per(at, is_word, rows)
+    # a line that goes on in lower case belongs to the passage before it
+    begins = pc.match_substring_regex(bare, r"^\s*[\p{Ll}\p{Lo}]").to_numpy(zero_copy_only=False)
+    joins = np.zeros(rows, bool)
+    joins[1:] = (owner[1:] == owner[:-1]) & begins[1:] & ~bullet[1:] & ~bullet[:-1] & ~ended[:-1] & (n_words[:-1] >= 4)
+    unit = np.cumsum(~joins) - 1
+    units = int(unit[-1]) + 1 if rows else 0
+    up = unit[at]
+    chars, words = _per(unit, weight, units), _per(unit, n_words, units)
+    marked, final = _per(unit, bullet, units) > 0, np.zeros(units, bool)
+    final[unit[ended]] = True
+    letters = _per(up, is_word * size, units)
+    plain = pc.replace_substring_regex(pc.utf8_normalize(core, "NFD"), r"\p{M}+", "")
+    bad = is_word * ((size > 24) | (_hits(plain, _RUN) > 0))
+    voiced = np.ones(units, bool)
+    for script, vowels, least in VOWELS.values():
+        of, sung = is_word * _count(plain, f"[{script}]"), is_word * _count(plain, f"[{vowels}]")
+        bad = np.maximum(bad, (of >= 4) & (sung == 0))
+        total = _per(up, of, units)
+        voiced &= _per(up, sung, units) >= least * total - np.sqrt(total * least * (1 - least))
+    ends = _per(up, _hits(token, rf"[\p{{L}}\p{{M}}\p{{Nd}}%]{_CLOSE}[.!?…؟।]+{_CLOSE}$"), units)
+    ends = np.maximum(ends, final)
+    commas = _per(unit, _count(bare, r"[,;،؛、，；]"), units)
+    spelled = np.maximum(size, _np(pc.utf8_length(plain)))  # a Hangul syllable counts by its letters
+    short, longer = _per(up, is_word * (spelled <= 3), units), _per(up, is_word * (spelled >= 4), units)
+    usual = _per(up, is_common, units)
+    many = np.flatnonzero(is_word)
+    distinct = _distinct(up[many], core.take(pa.array(many)), units) if len(many) else np.zeros(units)
+    per_end = np.divide(words, ends, out=np.zeros(units), where=ends > 0)
+    closed = (ends > 0) & (per_end >= SENTENCE[0]) & (per_end <= SENTENCE[1]) & (words >= 2)
+    running = (words >= OPEN_WORDS) & ((short >= SHORT * words) | (usual >= COMMON * words)) & (~marked | (words >= 2 * OPEN_WORDS))
+    good = (letters >= LETTERS * chars) & (_per(up, bad, units) <= (1 - SHAPED) * words) & voiced
+    good &= words >= PER_COMMA * (commas + 1) * (words >= OPEN_WORDS)
+    good &= distinct >= np.minimum(DISTINCT, words / 2)
+    good &= (longer >= LONGER * words) | (words < 10)
+    prose = good & (closed | running) & (words > 0)
+    # scripts without blanks: letters and sentence marks
+    dense = _per(unit, _count(bare, _DENSE), units)
+    clauses = _per(unit, _count(bare, r"[。！？，、；.!?,]"), units)
+    kinds = _per(unit, _np(pc.greater(pc.utf8_length(bare), 0)), units)
+    flowing = (dense >= LETTERS * chars) & (dense >= 6 * kinds) & (clauses > 0) & (dense <= 60 * clauses) & (dense >= 3 * clauses) & (ends + _per(unit, _count(bare, r"[。！？]"), units) > 0)
+    phrases = _per(up, _hits(token, _UNSPACED), units)
+    flowing |= (_per(unit, _count(bare, _UNSPACED), units) >= np.maximum(LETTERS * chars, 8 * phrases)) & (phrases > 0)
+    prose = np.where(dense > 0.3 * np.maximum(letters, 1), flowing, prose)
+    return prose[unit].astype(float) if rows else np.zeros(0), weight
+
+
 def rules(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Which rule each text fails. Thresholds of Rae et al. 2021 (words, word length, symbols, bullets, ellipses, letters, stop words) and Raffel et al. 2020 (line ends)."""
+    """Which rule each text fails; ``no_prose`` needs one of the published rules and the share of prose."""
     with np.errstate(invalid="ignore"):
         empty = m["n_chars"] == 0
-        return {
+        failed = {
             "empty": empty,
             "too_few_words": ~empty & (m["n_words"] < 50),
             "too_many_words": m["n_words"] > 100_000,
@@ -115,9 +205,14 @@ def rules(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
             "ellipses": m["ellipsis_lines"] > 0.3,
             "few_letters": m["alphabetic_words"] < 0.8,
             "no_common_words": ~empty & (m["common_words"] < 2),
-            "no_line_ends": m["punctuated_lines"] == 0,
-            "not_prose": (m["n_chars"] >= MIN_CHARS) & (m["prose_share"] < MIN_PROSE),
+            "line_ends": m["punctuated_lines"] <= 0.12,
+            "few_sentences": ~empty & (m["n_sentences"] < 3),
+            "short_lines": m["short_lines"] >= 0.67,
+            "repeated_lines": m["repeated_lines"] > 0.3,
         }
+        any_failed = np.logical_or.reduce(list(failed.values()))
+        low = ~(m["prose_share"] >= MIN_PROSE)
+        return failed | {"no_prose": any_failed & (m["n_chars"] >= MIN_CHARS) & low}
 
 
 def assess(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,10 +13,16 @@ def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
 
 
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_quality(spark, sf_dir).where(F.array_contains("reasons", "not_prose")).select("doc_id")
+LINE_STATS = ["n_chars", "n_lines", "n_sentences", "punctuated_lines", "bullet_lines", "ellipsis_lines", "short_lines", "repeated_lines", "digit_ratio"]
+
+
+def p8_line_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_quality(spark, sf_dir).select("doc_id", *LINE_STATS)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_quality(spark, sf_dir).where(F.array_contains("reasons", "no_prose")).select("doc_id")
+
 
 MEASURED = ["outlier_score", "FRP"]
 LEVELS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
@@ -55,6 +61,27 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_percentiles": p2_percentiles, "p2_days_combined": p2_days_combined, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage,
-    "p8_quality": p8_quality, "p8_found": p8_found,
+    "p8_quality": p8_quality, "p8_found": p8_found, "p8_line_statistics": p8_line_statistics,
 }
 SQL: dict[str, str] = {}
+_AROUND = r"[\s\x{0B}\x{1C}-\x{1F}\x{0085}\p{Z}]+"
+
+
+def _rate(pattern: str) -> str:
+    return f"count(*) filter (c > 0 and regexp_matches(kept, '{_quoted(pattern)}'))::double / nullif(count(*) filter (c > 0), 0)"
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+SQL["p8_line_statistics"] = rf"""with told as (select doc_id, regexp_replace(coalesce(text, ''), '^{_AROUND}|{_AROUND}$', '', 'g') as body from documents),
+lines as (select doc_id, body, unnest(string_split_regex(body, '{quality._BREAK}')) as line from told),
+cleaned as (select *, regexp_replace(line, '^[\s>]+', '') as kept, length(regexp_replace(line, '\s+', '', 'g')) as c from lines)
+select doc_id, length(any_value(body))::bigint as n_chars, count(*) filter (c > 0) as n_lines,
+  coalesce(sum(len(regexp_extract_all(kept, '[.!?…。！？؟।]+{_quoted(quality._CLOSE)}(?:\s|$)'))) filter (regexp_matches(kept, '{_quoted(quality._ENDS)}') and len(regexp_extract_all(kept, '\S+')) >= 5), 0)::bigint as n_sentences,
+  {_rate(quality._ENDS)} as punctuated_lines, {_rate(quality._BULLET)} as bullet_lines, {_rate(r"(?:\.\.\.|…)\s*$")} as ellipsis_lines,
+  count(*) filter (c > 0 and length(kept) < 30)::double / nullif(count(*) filter (c > 0), 0) as short_lines,
+  1 - count(distinct line) filter (c > 0)::double / nullif(count(*) filter (c > 0), 0) as repeated_lines,
+  length(regexp_replace(any_value(body), '\P{{Nd}}', '', 'g'))::double / nullif(sum(c), 0) as digit_ratio
+from cleaned group by doc_id"""

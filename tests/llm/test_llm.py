@@ -178,7 +178,7 @@ def test_quality_rules(spark):
     df = spark.createDataFrame([(k, v, 1) for k, v in TEXTS.items()], "doc_id string, text string, key int")
     words = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
     got = {r["doc_id"]: r for r in quality.assess(df, words).collect()}
-    assert {k for k, r in got.items() if "not_prose" in r["reasons"]} == {"table", "list", "urls", "noise", "base64", "mixed"}
+    assert {k for k, r in got.items() if "no_prose" in r["reasons"]} == {"table", "list", "urls", "noise", "base64", "mixed"}
     assert all(list(got[k]["reasons"])[0] == "empty" and got[k]["n_words"] == 0 and got[k]["prose_share"] is None for k in ("empty", "blank", "null"))
     assert got["prose"]["n_words"] == len(PROSE.split()) and got["prose"]["n_lines"] == 1 and got["prose"]["punctuated_lines"] == 1.0
     assert got["list"]["bullet_lines"] == 1.0 and "bullets" in got["list"]["reasons"]
@@ -188,3 +188,43 @@ def test_quality_rules(spark):
 
 def test_measure_on_empty_batch():
     assert len(quality.measure(pa.array([], pa.string()), pa.array([], pa.large_string()))["n_chars"]) == 0
+
+
+PROSE_OF = {
+'pl':"Wczoraj poszliśmy nad rzekę, ale dymu już nie było widać. Mój sąsiad mówi, że w tym roku prawie nie padało. Granica jest teraz inna.",
+'tr':"Dün akşam nehrin kenarına gittik ama duman artık görünmüyordu. Komşum bu yıl neredeyse hiç yağmur yağmadığını söylüyor. Sınır şimdi değişti.",
+'vi':"Hôm qua chúng tôi đã đi đến bờ sông và không còn thấy khói nữa. Hàng xóm của tôi nói rằng năm nay hầu như không có mưa.",
+'sv':"Igår gick vi ner till ån, men röken syntes inte längre. Min granne säger att det nästan inte har regnat i år. Gränsen är ändrad nu.",
+'fi':"Eilen kävimme joen rannalla, mutta savua ei enää näkynyt. Naapurini sanoo, että tänä vuonna ei ole juuri satanut. Raja on nyt muuttunut.",
+'fiw':"Eilen kävimme joen rannalla, mutta savua\nei enää näkynyt. Naapurini sanoo, että tänä\nvuonna ei ole juuri satanut. Raja on nyt\nmuuttunut.",
+'en':"Smoke drifted across every ridge while tired crews watched silently. Nobody expected rain before Sunday evening. Engines waited beside narrow roads.",
+'cs':"Včera jsme šli k řece, ale kouř už nebyl vidět. Soused říká, že letos skoro nepršelo. Čtvrtá vrstva je prázdná.",
+'el':"Χθες πήγαμε στο ποτάμι, αλλά ο καπνός δεν φαινόταν πια. Ο γείτονας λέει ότι φέτος σχεδόν δεν έβρεξε.",
+'ru':"Вчера мы поднялись на холм у реки, и дыма уже не было видно. После дождя граница участка сдвинулась, и мы начали всё заново.",
+'ar':"ذهبنا أمس إلى النهر ولم يعد الدخان مرئيا. يقول جاري إن المطر لم يهطل تقريبا هذا العام. تغيرت الحدود الآن.",
+'hi':"कल हम नदी के किनारे गए थे, लेकिन धुआँ अब दिखाई नहीं दे रहा था। मेरे पड़ोसी का कहना है कि इस साल बारिश लगभग नहीं हुई।",
+'zh':"我们检查了附近的图层，只剩下720个点。昨天我们去了那里，已经看不到烟了。下雨以后边界变了，所以我们又重新画了一遍。",
+'ja':"昨日私たちは川へ行きましたが、煙はもう見えませんでした。隣人によると、今年はほとんど雨が降っていないそうです。",
+'ko':"어제 우리는 강가에 갔지만 연기는 더 이상 보이지 않았다. 이웃은 올해 비가 거의 오지 않았다고 말한다. 경계가 바뀌었다.",
+'he':"אתמול הלכנו לנהר אבל העשן כבר לא נראה. השכן שלי אומר שכמעט לא ירד גשם השנה. הגבול השתנה עכשיו.",
+'th':"เมื่อวานเราไปที่แม่น้ำแต่ไม่เห็นควันแล้ว เพื่อนบ้านบอกว่าปีนี้ฝนแทบไม่ตกเลย",
+}
+JUNK = {
+'salad':"the of and to in the of and a the of and to in the of and a to the of in and",
+'rulist':"- старая карта\n- новый слой\n- широкая долина\n- сухой сезон\n- северный холм\n- малая граница",
+'rucomma':"карта, слой, долина, сезон, старый холм, граница, новая река, участок, точка, правило, журнал",
+'rurandom':"вжщкзт прстквгх йцкнгшщз фвпрлджэ ячсмтьбю щзхъфвп кнгшщ смтьбюйц лджэфвп",
+'zhlist':"地图\n图层\n山谷\n旱季\n北方的山\n边界\n河流\n数据\n表格\n规则\n日志\n天气\n灰烬\n烟柱\n观测站",
+'arlist':"خريطة، طبقة، واد، موسم، تل، حدود، نهر، قطعة، نقطة، قاعدة، سجل",
+'entable':"name | lon | lat\nBelfen | north | south\nKarol | east | west\nUlmir | north | east",
+'enlist':"wide smoke column\nnorthern watchlist\nold map sheet\nplain job log\nempty field team\nsmall alert rule\n",
+'rand':"dmbdaf ;hatpecpysedpbzxpvtgms wccma cyabxxefyyse wldcvf sfhmzhfck mdrgnk ;pcjgjjcbcfctl;rl lvtg eaxvrpz mcfsk",
+'rand2':"dmbdaf hatpecpyse wccma cyabxxef wldcvf sfhmzh mdrgnk pcjgjjcb lvtg eaxvrpz mcfsk. qwzxtr plkmjn vbtgyh.",
+}
+
+
+def test_prose_is_told_in_any_language():
+    common = pa.array(["the", "of"], pa.large_string())
+    for texts, want in ((PROSE_OF, False), (JUNK, True)):
+        failed = quality.rules(quality.measure(pa.array(list(texts.values())), common))
+        assert {k: bool(x) for k, x in zip(texts, failed["no_prose"])} == dict.fromkeys(texts, want)
