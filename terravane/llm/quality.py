@@ -80,9 +80,38 @@ def _count(a: pa.Array, pattern: str) -> np.ndarray:
 
 def _distinct(owner: np.ndarray, items: pa.Array, n: int) -> np.ndarray:
     """Number of distinct items of each owner."""
-    code = items.dictionary_encode()
-    width = max(len(code.dictionary), 1)
-    return np.bincount(np.unique(owner.astype(np.int64) * width + code.indices.to_numpy()) // width, minlength=n)[:n].astype(float)
+    return _distinct_codes(owner, items.dictionary_encode().indices.to_numpy(), n)
+
+
+def _distinct_codes(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    width = int(codes.max()) + 1 if len(codes) else 1
+    pairs = np.sort(owner.astype(np.int64) * width + codes)
+    return np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] // width, minlength=n)[:n].astype(float)
+
+
+class Tokens:
+    """Features of tokens, found once for each distinct token of the batch."""
+
+    def __init__(self, tokens: pa.Array, common: pa.Array) -> None:
+        coded = tokens.dictionary_encode()
+        self.code, once = coded.indices.to_numpy(), coded.dictionary
+        core = pc.utf8_lower(pc.utf8_trim(once, characters=_TRIM))
+        self.name = core.dictionary_encode().indices.to_numpy()
+        self.size, self.word, self.common = _np(pc.utf8_length(core)), _hits(core, _WORD), _np(pc.is_in(core, value_set=common))
+        self.letters = _hits(core, r"\p{L}")
+        self.ends = _hits(once, rf"[\p{{L}}\p{{M}}\p{{Nd}}%]{_CLOSE}[.!?…؟।]+{_CLOSE}$")
+        self.unspaced = _hits(once, _UNSPACED)
+        plain = pc.replace_substring_regex(pc.utf8_normalize(core, "NFD"), r"\p{M}+", "")
+        self.spelled = np.maximum(self.size, _np(pc.utf8_length(plain)))  # a Hangul syllable counts by its letters
+        self.bad = self.word * ((self.size > 24) | (_hits(plain, _RUN) > 0))
+        self.script = {}
+        for script, (letters, vowels, _) in VOWELS.items():
+            of, sung = self.word * _count(plain, f"[{letters}]"), self.word * _count(plain, f"[{vowels}]")
+            self.bad = np.maximum(self.bad, (of >= 4) & (sung == 0))
+            self.script[script] = of, sung
+
+    def of(self, feature: np.ndarray) -> np.ndarray:
+        return feature[self.code]
 
 
 def passages(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,16 +150,14 @@ def measure(texts: pa.Array, common: pa.Array) -> dict[str, np.ndarray]:
     at, token = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words)
     filled = pc.greater(pc.utf8_length(token), 0)
     token, at = pc.filter(token, filled), at[filled.to_numpy(zero_copy_only=False)]
-    core = pc.utf8_lower(pc.utf8_trim(token, characters=_TRIM))
-    size, is_word, is_common = _np(pc.utf8_length(core)), _hits(core, _WORD), _np(pc.is_in(core, value_set=common))
-    tok = owner[at]
+    known, tok = Tokens(token, common), owner[at]
     out["n_words"] = _per(tok, np.ones(len(at)), n)
-    out["mean_word_length"] = _ratio(_per(tok, size, n), out["n_words"])
+    out["mean_word_length"] = _ratio(_per(tok, known.of(known.size), n), out["n_words"])
     out["symbol_ratio"] = _ratio(_count(text, r"#|\.\.\.|…"), out["n_words"])
-    out["alphabetic_words"] = _ratio(_per(tok, _hits(core, r"\p{L}"), n), out["n_words"])
-    out["common_words"] = _per(tok, is_common, n)
+    out["alphabetic_words"] = _ratio(_per(tok, known.of(known.letters), n), out["n_words"])
+    out["common_words"] = _per(tok, known.of(known.common), n)
     out["common_ratio"] = _ratio(out["common_words"], out["n_words"])
-    prose, weight = _prose(bare, owner, bullet, at, token, core, size, is_word, is_common)
+    prose, weight = _prose(bare, owner, bullet, at, known)
     weight = weight * ~names
     share = _ratio(_per(owner, prose * weight, n), _per(owner, weight, n))
     bare_chars = _per(owner, weight, n)
@@ -139,11 +166,11 @@ def measure(texts: pa.Array, common: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def _prose(bare: pa.Array, owner: np.ndarray, bullet: np.ndarray, at: np.ndarray, token: pa.Array, core: pa.Array, size: np.ndarray, is_word: np.ndarray, is_common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which passages are prose, and their characters."""
+def _prose(bare: pa.Array, owner: np.ndarray, bullet: np.ndarray, at: np.ndarray, known: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Which passages are prose, and their characters. at: passage of each token."""
     rows = len(bare)
     weight = _np(pc.utf8_length(pc.replace_substring_regex(bare, r"[\s\x{00A0}]+", "")))
-    ended = _hits(bare, _ENDS) > 0
+    ended, is_word = _hits(bare, _ENDS) > 0, known.of(known.word)
     n_words = _per(at, is_word, rows)
     # a line that goes on in lower case belongs to the passage before it
     begins = pc.match_substring_regex(bare, r"^\s*[\p{Ll}\p{Lo}]").to_numpy(zero_copy_only=False)
@@ -152,30 +179,28 @@ def _prose(bare: pa.Array, owner: np.ndarray, bullet: np.ndarray, at: np.ndarray
     unit = np.cumsum(~joins) - 1
     units = int(unit[-1]) + 1 if rows else 0
     up = unit[at]
+
+    def total(feature: np.ndarray) -> np.ndarray:
+        return _per(up, known.of(feature), units)
+
     chars, words = _per(unit, weight, units), _per(unit, n_words, units)
     marked, final = _per(unit, bullet, units) > 0, np.zeros(units, bool)
     final[unit[ended]] = True
-    letters = _per(up, is_word * size, units)
-    plain = pc.replace_substring_regex(pc.utf8_normalize(core, "NFD"), r"\p{M}+", "")
-    bad = is_word * ((size > 24) | (_hits(plain, _RUN) > 0))
+    letters, bad = total(known.word * known.size), total(known.bad)
     voiced = np.ones(units, bool)
-    for script, vowels, least in VOWELS.values():
-        of, sung = is_word * _count(plain, f"[{script}]"), is_word * _count(plain, f"[{vowels}]")
-        bad = np.maximum(bad, (of >= 4) & (sung == 0))
-        total = _per(up, of, units)
-        voiced &= _per(up, sung, units) >= least * total - np.sqrt(total * least * (1 - least))
-    ends = _per(up, _hits(token, rf"[\p{{L}}\p{{M}}\p{{Nd}}%]{_CLOSE}[.!?…؟।]+{_CLOSE}$"), units)
-    ends = np.maximum(ends, final)
+    for script, (_, _, least) in VOWELS.items():
+        of, sung = (total(f) for f in known.script[script])
+        voiced &= sung >= least * of - np.sqrt(of * least * (1 - least))
+    ends = np.maximum(total(known.ends), final)
     commas = _per(unit, _count(bare, r"[,;،؛、，；]"), units)
-    spelled = np.maximum(size, _np(pc.utf8_length(plain)))  # a Hangul syllable counts by its letters
-    short, longer = _per(up, is_word * (spelled <= 3), units), _per(up, is_word * (spelled >= 4), units)
-    usual = _per(up, is_common, units)
+    short, longer = total(known.word * (known.spelled <= 3)), total(known.word * (known.spelled >= 4))
+    usual = total(known.common)
     many = np.flatnonzero(is_word)
-    distinct = _distinct(up[many], core.take(pa.array(many)), units) if len(many) else np.zeros(units)
+    distinct = _distinct_codes(up[many], known.name[known.code[many]], units)
     per_end = np.divide(words, ends, out=np.zeros(units), where=ends > 0)
     closed = (ends > 0) & (per_end >= SENTENCE[0]) & (per_end <= SENTENCE[1]) & (words >= 2)
     running = (words >= OPEN_WORDS) & ((short >= SHORT * words) | (usual >= COMMON * words)) & (~marked | (words >= 2 * OPEN_WORDS))
-    good = (letters >= LETTERS * chars) & (_per(up, bad, units) <= (1 - SHAPED) * words) & voiced
+    good = (letters >= LETTERS * chars) & (bad <= (1 - SHAPED) * words) & voiced
     good &= words >= PER_COMMA * (commas + 1) * (words >= OPEN_WORDS)
     good &= distinct >= np.minimum(DISTINCT, words / 2)
     good &= (longer >= LONGER * words) | (words < 10)
@@ -185,7 +210,7 @@ def _prose(bare: pa.Array, owner: np.ndarray, bullet: np.ndarray, at: np.ndarray
     clauses = _per(unit, _count(bare, r"[。！？，、；.!?,]"), units)
     kinds = _per(unit, _np(pc.greater(pc.utf8_length(bare), 0)), units)
     flowing = (dense >= LETTERS * chars) & (dense >= 6 * kinds) & (clauses > 0) & (dense <= 60 * clauses) & (dense >= 3 * clauses) & (ends + _per(unit, _count(bare, r"[。！？]"), units) > 0)
-    phrases = _per(up, _hits(token, _UNSPACED), units)
+    phrases = total(known.unspaced)
     flowing |= (_per(unit, _count(bare, _UNSPACED), units) >= np.maximum(LETTERS * chars, 8 * phrases)) & (phrases > 0)
     prose = np.where(dense > 0.3 * np.maximum(letters, 1), flowing, prose)
     return prose[unit].astype(float) if rows else np.zeros(0), weight
