@@ -239,8 +239,7 @@ def utm_points(spark, d):
 @R.add()
 def semantic_contract(spark, d):
     """Roles and measures of the scored layer's columns."""
-    made = semantics.contract(table(spark, d, "fire_points"), {"id": "fire", "variables": ["FRP", "BRIGHTNESS"], "aliases": [["FRP", "fire_radiative_power"]]})
-    return spark.createDataFrame(made["mappings"], "column string, semantic string, role string, confidence double, source string")
+    return semantics.contract(table(spark, d, "fire_points"), {"id": "fire", "variables": ["FRP", "BRIGHTNESS"], "aliases": [["FRP", "fire_radiative_power"]]})
 
 
 @R.add("""with l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_extendedprice) as n from lineitem), g as (select l_orderkey as id, count(*) as n, regr_slope(l_quantity, n - 1) as b, regr_intercept(l_quantity, n - 1) as a, avg(l_quantity) as m from l group by 1)

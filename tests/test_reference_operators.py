@@ -270,13 +270,22 @@ def test_stream_matches_batch(spark, tmp_path):
 
 def test_semantics(spark):
     df = spark.createDataFrame([(i, float(i), 1.0 * i, 2.0 * i, "t") for i in range(40)], "id long, Latitude double, longitud double, frp double, label string")
-    made = semantics.contract(df, {"id": "x", "variables": ["FRP"], "aliases": [["FRP", "fire_power"]]})
-    roles = {m[1]: m[0] for m in made["mappings"]}
-    assert roles["latitude"] == "Latitude" and roles["longitude"] == "longitud" and roles["FRP"] == "frp"
+    domain = {"id": "x", "variables": ["FRP"], "aliases": [["FRP", "fire_power"]], "weights": {"a": 2.0}}
+    made = semantics.contract(df, domain)
+    roles = {r["semantic"]: (r["column"], r["confidence"], r["source"]) for r in made.collect()}
+    assert roles["latitude"] == ("Latitude", 1.0, "alias") and roles["longitude"][0] == "longitud" and roles["FRP"] == ("frp", 1.0, "domain_pack")
     out = semantics.with_aliases(df, made).columns
     assert out[: len(df.columns)] == df.columns and set(out) - set(df.columns) == {"longitude"}
-    assert semantics.infer_domain(["ndvi", "soil"], [{"id": "a", "variables": ["NDVI"]}, {"id": "b", "variables": ["price"]}])[0][0] == "a"
-    assert semantics.plan(df, {"id": "x", "variables": ["frp"]})["configuration"]["feature"] == "frp"
+    packs = [{"id": "a", "variables": ["NDVI"]}, {"id": "b", "variables": ["price"]}]
+    assert [tuple(r) for r in semantics.infer_domain(spark, ["ndvi", "soil"], packs).collect()] == [("a", 2.6, 2.6 / 6), ("b", 0.0, 0.0)]
+    assert semantics.infer_domain(spark, [], []).count() == 0
+    conf = semantics.configure(df, domain, variables=["Latitude", "none"], weights={"b": 1.0}, default={"a": 1.0, "c": 3.0}).first()
+    assert conf["feature"] == "frp" and conf["variables"] == ["Latitude", "frp"] and conf["weights"] == {"a": 2.0, "b": 1.0, "c": 3.0}
+    assert semantics.plan(df, {"id": "x", "variables": ["frp"]}).first()["feature"] == "frp"
+    bare = semantics.plan(df.limit(0), {"id": "x"}).first()
+    assert not bare["ready"] and bare["feature"] is None and "fewer than two variables" in bare["blockers"]
+    two = semantics.contract(spark.createDataFrame([(1.0, 2.0)], "frp double, frp_two double"), {"id": "x", "variables": ["frp", "FRP_two"]})
+    assert {r["semantic"]: r["column"] for r in two.collect()} == {"frp": "frp", "FRP_two": "frp_two"}
 
 
 def test_state_log(spark, tmp_path):
