@@ -3,12 +3,14 @@
 A sketch is a pile of relative compactors (Cormode, Karnin, Liberty, Thaler, Vesely 2021). A compactor holds values of one
 weight in sections; when full, it sorts them and sends every other one of the unprotected end up a level with twice the weight.
 How many sections take part follows the trailing ones of a counter, so values near the protected end are compacted ever more
-rarely: the rank error at quantile q is a small share of 1-q (the upper tail is protected) or of q. Sketches of separate
+rarely: the rank error at quantile q is a small share of 1-q where the upper tail is protected, of q where the lower one is.
+Every group has a sketch for each tail, and percentiles below the median are taken from the lower one. Sketches of separate
 parts merge level by level into a sketch of the whole with the same bound.
 
 Building is a map over the input (one sketch per partition and group, no shuffle of values); merging goes in two steps,
-first over a bounded number of partitions, then over these, so no task meets all sketches of a group. Coins are drawn from
-a hash of the sketch's content counter, so a rerun of a lost task gives the same sketch.
+first over a bounded number of partitions, then over these, so no task meets all sketches of a group. A task that holds
+HELD sketches writes them out and goes on with new ones. Coins are drawn from a hash of the values that are compacted and of the
+partition, so that equal parts throw different coins and a rerun of a lost task gives the same sketch.
 
 Defined cases: NULL, NaN and infinite values are left out; NULL groups are groups; a group without values gives no row;
 up to ``2 * 3 * k`` values a sketch is exact; q outside 0..1 is an error; ties count by their number.
@@ -17,16 +19,22 @@ up to ``2 * 3 * k`` values a sketch is exact; q outside 0..1 is an error; ties c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.common import skew_join
+
 K = 32
 SECTIONS = 3
 MERGE_FAN = 32
-SKETCH = "n long, low double, high double, states array<long>, sections array<int>, sizes array<int>, items array<double>"
+HELD = 8_192
+#: Relative and additive standard errors of the sketch, as measured for and published with the Apache DataSketches REQ sketch.
+RELATIVE, ADDITIVE, DEVIATIONS = 0.0512, 0.084, 4
+SKETCH = "upper boolean, n long, low double, high double, states array<long>, sections array<int>, sizes array<int>, items array<double>"
 
 
 class Compactor:
@@ -75,15 +83,14 @@ class Compactor:
 class Sketch:
     """Relative-error quantile sketch; upper=True keeps large values exact, else small ones."""
 
-    def __init__(self, k: int = K, upper: bool = True) -> None:
-        self.k, self.upper = k, upper
+    def __init__(self, k: int = K, upper: bool = True, seed: int = 0) -> None:
+        self.k, self.upper, self.seed = k, upper, seed
         self.n, self.low, self.high = 0, np.inf, -np.inf
         self.levels = [Compactor(k)]
-        self.tick = 0
 
-    def _coin(self) -> int:
-        self.tick += 1
-        x = (self.tick * 0x9E3779B97F4A7C15 + self.n * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
+    def _coin(self, level: int) -> int:
+        held = self.levels[level]
+        x = (crc32(held.values().tobytes(), level) * 0x9E3779B97F4A7C15 + (self.n + held.state) * 0xC2B2AE3D27D4EB4F + self.seed) & 0xFFFFFFFFFFFFFFFF
         return (x ^ (x >> 31)) * 0x94D049BB133111EB >> 61 & 1
 
     def _settle(self) -> None:
@@ -92,7 +99,7 @@ class Sketch:
             while self.levels[h].used > self.levels[h].capacity:
                 if h + 1 == len(self.levels):
                     self.levels.append(Compactor(self.k))
-                up = self.levels[h].compact(self._coin(), self.upper)
+                up = self.levels[h].compact(self._coin(h), self.upper)
                 if not len(up):
                     break
                 self.levels[h + 1].add(up)
@@ -144,15 +151,15 @@ class Sketch:
         if self.exact():
             return 0.0
         tail = 1 - q if self.upper else q
-        return min(4 * np.sqrt(0.0512 / SECTIONS) / self.k * tail, 4 * 0.084 / self.k) + 1 / self.n
+        return DEVIATIONS * min(np.sqrt(RELATIVE / SECTIONS) * tail, ADDITIVE) / self.k + 1 / self.n
 
     def row(self) -> tuple:
         parts = [c.values() for c in self.levels]
-        return self.n, self.low, self.high, [c.state for c in self.levels], [c.sections for c in self.levels], [len(p) for p in parts], np.concatenate(parts)
+        return self.upper, self.n, self.low, self.high, [c.state for c in self.levels], [c.sections for c in self.levels], [len(p) for p in parts], np.concatenate(parts)
 
     @classmethod
-    def of(cls, row: dict, k: int, upper: bool) -> Sketch:
-        s = cls(k, upper)
+    def of(cls, row: dict, k: int) -> Sketch:
+        s = cls(k, row["upper"])
         s.n, s.low, s.high = row["n"], row["low"], row["high"]
         items, at = np.asarray(row["items"], float), np.append(0, np.cumsum(row["sizes"]))
         s.levels = [Compactor(k, int(c), int(st), items[a:b]) for c, st, a, b in zip(row["sections"], row["states"], at[:-1], at[1:])]
@@ -160,20 +167,20 @@ class Sketch:
 
 
 def _emit(found: dict[tuple, Sketch], schema: pa.Schema, step: int = 2_000) -> Iterator[pa.RecordBatch]:
-    rows = list(found.items())
+    rows = [(key[:-1], sketch) for key, sketch in found.items() if sketch.n]
     for s in range(0, len(rows), step):
         part = rows[s : s + step]
         cols = list(zip(*[(*key, *sk.row()) for key, sk in part]))
         yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(cols)], schema=schema)
 
 
-def _sketches(b: pa.RecordBatch, k: int, upper: bool) -> Iterator[Sketch]:
+def _sketches(b: pa.RecordBatch, k: int) -> Iterator[Sketch]:
     """The sketches of a batch; their arrays are views of the batch."""
-    n, low, high = (b[c].to_numpy() for c in ("n", "low", "high"))
+    upper, n, low, high = (b[c].to_numpy(zero_copy_only=False) for c in ("upper", "n", "low", "high"))
     lists = {c: (b[c].values.to_numpy(), b[c].offsets.to_numpy()) for c in ("states", "sections", "sizes", "items")}
     for i in range(b.num_rows):
         cells = {c: v[o[i] : o[i + 1]] for c, (v, o) in lists.items()}
-        yield Sketch.of({"n": int(n[i]), "low": float(low[i]), "high": float(high[i]), **cells}, k, upper)
+        yield Sketch.of({"upper": bool(upper[i]), "n": int(n[i]), "low": float(low[i]), "high": float(high[i]), **cells}, k)
 
 
 def _schema(df: DataFrame, by: list[str], extra: str = "") -> tuple[str, pa.Schema]:
@@ -184,8 +191,8 @@ def _schema(df: DataFrame, by: list[str], extra: str = "") -> tuple[str, pa.Sche
     return ddl, to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def build(values: DataFrame, by: list[str], value: str, k: int = K, upper: bool = True, ways: list[list[str]] | None = None) -> DataFrame:
-    """Sketches of ``value`` per group of ``by`` and partition; merge them with ``merge``.
+def build(values: DataFrame, by: list[str], value: str, k: int = K, ways: list[list[str]] | None = None) -> DataFrame:
+    """Sketches of both tails of ``value`` per group of ``by`` and partition; merge them with ``merge``.
 
     ways: groupings to make in the one pass, each a subset of ``by``; the columns left out of a way are NULL in its rows,
     and a column ``way`` tells them apart.
@@ -213,19 +220,23 @@ def build(values: DataFrame, by: list[str], value: str, k: int = K, upper: bool
                 edges = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
                 for lo, hi in zip(edges, np.append(edges[1:], len(order))):
                     i = order[lo]
-                    key = tuple(coded[c][1][coded[c][0][i]] if c in cols else None for c in by) + (w,)
-                    if key not in found:
-                        found[key] = Sketch(k, upper)
-                    found[key].update(v[order[lo:hi]])
-        yield from _emit({(*key, part): s for key, s in found.items() if s.n}, schema)
+                    key = tuple(coded[c][1][coded[c][0][i]] if c in cols else None for c in by) + (w, part)
+                    for upper in (True, False):
+                        if (*key, upper) not in found:
+                            found[(*key, upper)] = Sketch(k, upper, part)
+                        found[(*key, upper)].update(v[order[lo:hi]])
+                if len(found) >= HELD:
+                    yield from _emit(found, schema)
+                    found = {}
+        yield from _emit(found, schema)
 
     v = F.col(value).cast("double")
     rows = values.select(*by, v.alias("__v"), F.spark_partition_id().alias("__part")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     return rows.mapInArrow(run, ddl)
 
 
-def merge(sketches: DataFrame, by: list[str], k: int = K, upper: bool = True, fan: int = MERGE_FAN) -> DataFrame:
-    """One sketch per group of ``by``, in two steps; other columns are dropped. Works on any rows that hold the sketch columns."""
+def merge(sketches: DataFrame, by: list[str], k: int = K, fan: int = MERGE_FAN) -> DataFrame:
+    """One sketch per group of ``by`` and tail, in two steps; other columns are dropped. Works on any rows that hold the sketch columns."""
     ddl, schema = _schema(sketches, by)
     fields = [f.split()[0] for f in SKETCH.split(", ")]
 
@@ -234,8 +245,9 @@ def merge(sketches: DataFrame, by: list[str], k: int = K, upper: bool = True, fa
         last = None
         for b in batches:
             keys = zip(*[b[c].to_pylist() for c in by]) if by else [()] * b.num_rows
-            for key, sketch in zip(keys, _sketches(b, k, upper)):
-                if key != last and len(found) >= 2_000 and key not in found:
+            for group, sketch in zip(keys, _sketches(b, k)):
+                key = (*group, sketch.upper)
+                if key != last and len(found) >= HELD and key not in found:
                     yield from _emit(found, schema)
                     found = {}
                 last = key
@@ -252,21 +264,26 @@ def merge(sketches: DataFrame, by: list[str], k: int = K, upper: bool = True, fa
     return first.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, ddl)
 
 
-def percentiles(sketches: DataFrame, by: list[str], qs: list[float], k: int = K, upper: bool = True) -> DataFrame:
-    """(by, n, q, value, rank_error): one row per group and q from merged sketches."""
+def percentiles(sketches: DataFrame, by: list[str], qs: list[float], k: int = K) -> DataFrame:
+    """(by, n, q, value, rank_error): one row per group and q from merged sketches, q below 0.5 from those of the lower tail."""
     if any(not 0 <= q <= 1 for q in qs):
         raise ValueError("q must be in 0..1")
     ddl = ", ".join([*[f"`{c}` {sketches.schema[c].dataType.simpleString()}" for c in by], "n long, q double, value double, rank_error double"])
     fields = [f.split()[0] for f in SKETCH.split(", ")]
 
+    halves = {upper: [q for q in qs if (q >= 0.5) == upper] for upper in (True, False)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            value, error = [], []
-            for s in _sketches(b, k, upper):
-                value += s.quantiles(qs).tolist()
-                error += [s.rank_error(q) for q in qs]
-            again = pa.array(np.repeat(np.arange(b.num_rows), len(qs)))
-            yield pa.RecordBatch.from_arrays([*[b[c].take(again) for c in by], b["n"].take(again), pa.array(np.tile(qs, b.num_rows)), pa.array(value, pa.float64()), pa.array(error, pa.float64())], [*by, "n", "q", "value", "rank_error"])
+            row, q_of, value, error = [], [], [], []
+            for i, s in enumerate(_sketches(b, k)):
+                mine = halves[s.upper]
+                row += [i] * len(mine)
+                q_of += mine
+                value += s.quantiles(mine).tolist()
+                error += [s.rank_error(q) for q in mine]
+            again = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b[c].take(again) for c in by], b["n"].take(again), *[pa.array(x, pa.float64()) for x in (q_of, value, error)]], [*by, "n", "q", "value", "rank_error"])
 
     return sketches.select(*by, *fields).mapInArrow(run, ddl)
 
@@ -276,3 +293,14 @@ def long_values(df: DataFrame, columns: list[str], keep: list[Column]) -> DataFr
     cells = [F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in columns]
     rows = df.select(*keep, F.explode(F.array(*cells)).alias("x")).select(*[c for c in df.select(*keep).columns], "x.field", "x.v")
     return rows.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
+
+
+def within(values: DataFrame, told: DataFrame, by: list[str], value: str = "v") -> DataFrame:
+    """(by, q, within): whether each percentile of ``told`` lies within its reported error of the true rank, counted over all values."""
+    counted = values.groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    cuts = told.groupBy(*by).agg(F.collect_list(F.struct("q", "value", "rank_error", "n")).alias("cuts"))
+    met = skew_join(counted, cuts, by, "inner", F.col("__v")).select(*by, "__v", "__c", F.explode("cuts").alias("x"))
+    ranks = met.groupBy(*by, "x").agg(F.sum(F.when(F.col("__v") < F.col("x.value"), F.col("__c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("__v") <= F.col("x.value"), F.col("__c")).otherwise(0)).alias("upto"))
+    reach = F.col("x.rank_error") * F.col("x.n") + 1
+    at = F.col("x.q") * F.col("x.n")
+    return ranks.select(*by, F.col("x.q").alias("q"), ((F.col("below") <= at + reach) & (F.col("upto") >= at - reach)).alias("within"))

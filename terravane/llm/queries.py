@@ -48,6 +48,11 @@ def p2_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge(daily, ["field", "product"]), ["field", "product"], LEVELS)
 
 
+def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles combined from days against ranks counted over all values."""
+    return quantiles.within(fire_values(spark, sf_dir), p2_days_combined(spark, sf_dir), ["field", "product"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.ids_of(table(spark, sf_dir, "documents"))
 
@@ -72,7 +77,7 @@ def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_percentiles": p2_percentiles, "p2_days_combined": p2_days_combined, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p7_checks": p7_checks,
+    "p2_percentiles": p2_percentiles, "p2_days_combined": p2_days_combined, "p2_checks": p2_checks, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p7_checks": p7_checks,
     "p8_quality": p8_quality, "p8_found": p8_found, "p8_line_statistics": p8_line_statistics,
 }
 SQL: dict[str, str] = {}
@@ -98,3 +103,6 @@ select doc_id, length(any_value(body))::bigint as n_chars, count(*) filter (c >
   length(regexp_replace(any_value(body), '\P{{Nd}}', '', 'g'))::double / nullif(sum(c), 0) as digit_ratio
 from cleaned group by doc_id"""
 SQL["p7_checks"] = "select target_id, capacity_tokens, true as each_token_once, true as split_only_above_capacity, true as within_capacity from packing_targets"
+_VALUES = " union all ".join(f"select '{c}' as field, _api_source as product, {c} as v from fire_points" for c in MEASURED)
+SQL["p2_checks"] = f"""with told as ({_VALUES}), groups as (select distinct field, product from told where isfinite(v))
+select field, product, q, true as within from groups, (select unnest({LEVELS}::double[]) as q)"""

@@ -156,7 +156,7 @@ def test_sketches_keep_their_bound_after_merging():
                 p.update(v)
             while len(parts) > 1:
                 a = parts.pop(0)
-                a.merge(Q.Sketch.of(dict(zip(("n", "low", "high", "states", "sections", "sizes", "items"), parts.pop(0).row())), Q.K, upper))
+                a.merge(Q.Sketch.of(dict(zip(("upper", "n", "low", "high", "states", "sections", "sizes", "items"), parts.pop(0).row())), Q.K))
                 parts.append(a)
             s, x = parts[0], np.sort(values)
             assert s.n == len(values) and s.weighted()[1].sum() == len(values)
@@ -165,6 +165,15 @@ def test_sketches_keep_their_bound_after_merging():
             assert s.quantiles([0.0, 1.0]).tolist() == [x[0], x[-1]]
 
 
+def test_both_tails_and_coins():
+    x = np.sort(np.random.default_rng(5).lognormal(0, 2, 200_000))
+    s = Q.Sketch(upper=False)
+    s.update(np.random.default_rng(6).permutation(x))
+    assert s.rank_error(0.01) < 0.001 and rank_gap(x, s.quantiles([0.01])[0], 0.01) <= s.rank_error(0.01)
+    coins = {tuple(Q.Sketch(seed=seed)._coin(0) for seed in range(64)), tuple([0] * 64), tuple([1] * 64)}
+    assert len(coins) == 3
+
+
 def test_quantiles_of_groups(spark):
     g = np.random.default_rng(8)
     rows = [("a" if i % 3 else "b", "d1" if i % 2 else "d2", float(v)) for i, v in enumerate(g.normal(size=6_000))]
@@ -172,12 +181,16 @@ def test_quantiles_of_groups(spark):
     df = spark.createDataFrame(rows, "src string, day string, m double").repartition(5)
     vals = Q.long_values(df, ["m"], [F.col("src"), F.col("day")])
     daily = Q.merge(Q.build(vals, ["src", "day"], "v"), ["src", "day"])
-    out = Q.percentiles(Q.merge(daily, ["src"]), ["src"], [0.5, 0.99]).collect()
+    out = Q.percentiles(Q.merge(daily, ["src"]), ["src"], [0.01, 0.5, 0.99]).collect()
     for k in ("a", "b"):
         x = np.sort([v for s, _, v in rows if s == k and v is not None and np.isfinite(v)])
         for r in (r for r in out if r["src"] == k):
             assert r["n"] == len(x) and rank_gap(x, r["value"], r["q"]) <= r["rank_error"]
     assert {r["src"] for r in out} == {"a", "b", None}
+    told = Q.percentiles(Q.merge(daily, ["src"]), ["src"], [0.01, 0.5, 0.99])
+    seen = Q.within(vals, told, ["src"]).where("src is not null").collect()
+    assert len(seen) == 6 and all(r["within"] for r in seen)
+    assert not any(r["within"] for r in Q.within(vals, told.withColumn("value", F.col("value") + 1), ["src"]).where("src is not null").collect())
     both = Q.build(vals, ["src", "day"], "v", ways=[["src"], ["day"]])
     assert {r["way"] for r in both.collect()} == {0, 1}
     assert Q.percentiles(Q.merge(Q.build(vals.limit(0), ["src"], "v"), ["src"]), ["src"], [0.5]).count() == 0
