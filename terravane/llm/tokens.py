@@ -1,11 +1,14 @@
 """Encoding of a corpus by a public byte-level BPE, each shared chunk once.
 
 Texts are cut into content-defined chunks by a rolling hash, so that equal passages give equal chunks wherever they stand.
-Each distinct chunk is encoded once. A chunk encoded alone can differ from the same characters inside a text only at its
-joins, because the pre-tokenizer reads from left to right and looks at most three characters ahead. So with each
-encoding come the places where its pre-tokens begin, and a join is repaired by re-encoding from the last safe pre-token
-of the left chunk until a pre-token begins where one begins in the right chunk; from there both agree exactly, and the
-rest of the right chunk is taken over. If no such place comes, re-encoding runs on through the following chunks.
+Chunks meet by their hash, and each distinct one is encoded once (one that stands in very many texts once for each of up to FAN
+shares of its references). A chunk encoded alone can differ from the same characters inside a text only at its ends: after a letter,
+a sign that is no letter begins a pre-token whatever stands around, as no pre-token goes on from a letter to another sign. At the first and
+the last such place of a chunk, its anchors, its own encoding and that of any text it stands in agree exactly. So a chunk
+gives the ids between its anchors and the characters outside them, and a join is repaired by re-encoding from the last
+anchor before it to the first one after it, through chunks without an anchor where need be.
+
+The text moves over the network once, with the chunks, and the ids once; rows are told apart by 128 bits of key and text.
 
 Defined cases: NULL and empty texts have no ids; strings of special tokens are ordinary text; repeated rows come out as
 often as they went in, also where one id has several texts; an empty table gives no rows.
@@ -14,7 +17,8 @@ often as they went in, also where one id has several texts; an empty table gives
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +33,9 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 WINDOW = 32
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 64, 8, 2_048
-LOOKAHEAD = 3
-HEAD, TAIL = 48, 128
-_BETWEEN = regex.compile(r"(?r)(?<=\p{L}) (?=\p{L})")
-FAN = 32
+_FIRST, _LAST = regex.compile(r"\p{L}(?=\P{L})"), regex.compile(r"(?r)\p{L}(?=\P{L})")
+#: A chunk met HOT times in one batch is spread over FAN tasks by its texts.
+HOT, FAN = 16, 128
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -42,12 +45,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 @lru_cache(2)
-def encoder(path: str) -> tuple[tiktoken.Encoding, regex.Pattern]:
+def encoder(path: str) -> tiktoken.Encoding:
     import public_tokenizers
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), regex.compile(public_tokenizers.PATTERN)
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def chunk_cuts(text: str, bits: int = MEAN_BITS, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> list[int]:
@@ -75,74 +78,26 @@ def chunk_cuts(text: str, bits: int = MEAN_BITS, least: int = MIN_CHUNK, most: i
     return cuts
 
 
-def encode_chunk(text: str, path: str) -> tuple[list[int], list[int], list[int], int, int]:
-    """ids; character and token offsets at which pre-tokens begin within the first HEAD characters; the same of the last safe pre-token.
-
-    A space between two letters begins a pre-token whatever stands before, so the last one near the end is safe; only where
-    there is none are all pre-tokens gone through.
-    """
-    enc, pattern = encoder(path)
-    ids = enc.encode_to_numpy(text, disallowed_special=())
-    head, places, tok = [], [], 0
-    for m in pattern.finditer(text):
-        if m.start() >= HEAD:
-            break
-        head.append(m.start())
-        places.append(tok)
-        tok += len(enc.encode_ordinary(m.group()))
-    low = max(0, len(text) - TAIL)
-    last = _BETWEEN.search(text[low : len(text) - LOOKAHEAD + 2])
-    if last:
-        safe = low + last.start()
-    else:
-        safe = max((m.start() for m in pattern.finditer(text) if m.start() <= len(text) - LOOKAHEAD), default=0)
-    return ids, head, places, safe, len(ids) - len(enc.encode_ordinary(text[safe:]))
-
-
-def repair(text: str, ends: list[int], parts: list[tuple], path: str) -> np.ndarray:
-    """ids of the whole text from the encodings of its chunks; equal to encoding the text at once."""
-    if len(parts) == 1:
-        return np.asarray(parts[0][0], np.int32)
-    enc, pattern = encoder(path)
+def encode_chunk(text: str, path: str) -> tuple[str, np.ndarray, str | None]:
+    """The characters before the first anchor, the ids up to the last one, the characters after it; all characters and None where there is no anchor."""
+    first = _FIRST.search(text)
+    if first is None:
+        return text, np.empty(0, np.uint32), None
+    a, b = first.end(), _LAST.search(text).end()
+    return text[:a], encoder(path).encode_to_numpy(text[a:b], disallowed_special=()), text[b:]
+
+
+def repair(parts: Iterable[tuple[str, np.ndarray, str | None]], path: str) -> np.ndarray:
+    """ids of the whole text from its chunks in order; equal to encoding the text at once."""
+    enc = encoder(path)
     out: list[np.ndarray | list[int]] = []
-    begin = 0  # of the chunk, in characters
-    at = 0  # certain start of a pre-token of the whole text; everything before it is out
-    for k, (ids, head, head_tok, safe, safe_tok) in enumerate(parts):
-        end = ends[k]
-        if k == 0:
-            tok = 0
-        else:
-            tok = None
-            known = {begin + h: t for h, t in zip(head, head_tok)}
-            pos = at
-            for m in pattern.finditer(text, at):
-                if m.start() >= begin and m.start() in known:
-                    pos, tok = m.start(), known[m.start()]
-                    break
-                if m.start() >= begin + HEAD or m.start() > end - LOOKAHEAD:
-                    pos = m.start()
-                    break
-                pos = m.end()
-            for m in pattern.finditer(text, at):
-                if m.start() >= pos:
-                    break
-                out.append(enc.encode_ordinary(m.group()))
-            at = pos
-        last = k == len(parts) - 1
-        if tok is None:  # no agreement: go on re-encoding from `at` to where this chunk is safe
-            stop = len(text) if last else end - LOOKAHEAD
-            for m in pattern.finditer(text, at):
-                if m.start() >= stop:
-                    break
-                out.append(enc.encode_ordinary(m.group()))
-                at = m.end()
-        elif last:
-            out.append(ids[tok:])
-            at = end
-        elif safe_tok >= tok and begin + safe >= at:
-            out.append(ids[tok:safe_tok])
-            at = begin + safe
-        begin = end
+    open_text = ""
+    for lead, ids, trail in parts:
+        open_text += lead
+        if trail is not None:
+            out += [enc.encode_ordinary(open_text), ids]
+            open_text = trail
+    out.append(enc.encode_ordinary(open_text))
     return np.concatenate([np.asarray(x, np.int32) for x in out])
 
 
@@ -153,63 +108,69 @@ def _lists(arrays: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def _slices(column: pa.Array) -> list[np.ndarray]:
-    """Rows of a list<int32> as views."""
-    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-    return [values[x:y] for x, y in zip(ends[:-1], ends[1:])]
-
-
 def ids_of(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, ids array<int>), one row per row of docs."""
     path = path or vocabulary_path()
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(key, text).alias("doc"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seqs, hashes, chunks, take = [], [], [], []
-            for i, t in enumerate(b["text"].to_pylist()):
+            docs_, seqs, hashes, chunks, take = [], [], [], [], []
+            for i, (k, t) in enumerate(zip(b["key"].to_pylist(), b["text"].to_pylist())):
+                t = t or ""
+                doc = xxhash.xxh3_128_digest(f"{k!r}\0{t}".encode("utf-8", "surrogatepass"))
                 begin = 0
-                for s, e in enumerate(chunk_cuts(t or "")):
+                for s, e in enumerate(chunk_cuts(t) or [0]):
                     part = t[begin:e]
-                    take.append(i)
+                    take.append(i if s == 0 else None)
+                    docs_.append(doc)
                     seqs.append(s)
-                    hashes.append(xxhash.xxh3_128_digest(part.encode("utf-8", "surrogatepass")))
+                    hashes.append(xxhash.xxh3_128_digest(part.encode("utf-8", "surrogatepass")) if part else doc)
                     chunks.append(part)
                     begin = e
-            yield pa.RecordBatch.from_arrays([b["doc"].take(pa.array(take, pa.int64())), pa.array(seqs, pa.int32()), pa.array(hashes, pa.binary()), pa.array(chunks, pa.string())], ["doc", "seq", "h", "chunk"])
+            often = {h for h, n in Counter(hashes).items() if n >= HOT}
+            salts = [d[0] % FAN if h in often else 0 for h, d in zip(hashes, docs_)]
+            cols = [pa.array(docs_, pa.binary()), pa.array(seqs, pa.int32()), b["key"].take(pa.array(take, pa.int64())), pa.array(hashes, pa.binary()), pa.array(salts, pa.int32()), pa.array(chunks, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "seq", "key", "h", "salt", "chunk"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        narrow = np.uint16 if encoder(path).n_vocab <= 1 << 16 else np.uint32
+        last, made = None, None
         for b in batches:
-            done = [encode_chunk(t, path) for t in b["chunk"].to_pylist()]
-            cols = [_lists([d[j] for d in done]) if j < 3 else pa.array([d[j] for d in done], pa.int32()) for j in range(5)]
-            yield pa.RecordBatch.from_arrays([b["h"], b["salts"], *cols], ["h", "salts", "ids", "head", "head_tok", "safe", "safe_tok"])
-
-    # a chunk may be shared by a third of all documents: its references are spread over FAN tasks by a salt. Chunks move
-    # once, with all columns used on both sides, so that references and distinct chunks read one exchange.
-    salt = F.pmod("doc", F.lit(FAN)).cast("int").alias("salt")
-    cut = rows.mapInArrow(split, "doc long, seq int, h binary, chunk string").select("doc", "seq", "h", "chunk", salt)
-    # the join of the references asks for keys that are not NULL; asked of both sides here, it keeps their exchange the same
-    cut = cut.where("h is not null and salt is not null").repartition("h", "salt")
-    own = cut.groupBy("h", "salt").agg(F.min_by("chunk", F.struct("doc", "seq")).alias("chunk"))
-    once = own.groupBy("h").agg(F.first("chunk").alias("chunk"), F.collect_set("salt").alias("salts"))  # at most FAN salts
-    encoded = once.mapInArrow(encode, "h binary, salts array<int>, ids array<int>, head array<int>, head_tok array<int>, safe int, safe_tok int")
-    placed = encoded.withColumn("salt", F.explode("salts")).drop("salts")
-    refs = cut.select("doc", "seq", F.length("chunk").alias("size"), "h", "salt")
-    parts = refs.join(placed, ["h", "salt"]).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("seq", "size", "ids", "head", "head_tok", "safe", "safe_tok"))).alias("parts"))
+            done = []
+            for i, h in enumerate(b["h"].to_pylist()):
+                if h != last:
+                    lead, ids, trail = encode_chunk(b["chunk"][i].as_py(), path)
+                    last, made = h, (lead, ids.astype(narrow).tobytes(), trail)
+                done.append(made)
+            leads, ids, trails = zip(*done) if done else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b["doc"], b["seq"], b["key"], pa.array(leads, pa.string()), pa.array(ids, pa.binary()), pa.array(trails, pa.string())], ["doc", "seq", "key", "lead", "ids", "trail"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        narrow = np.uint16 if encoder(path).n_vocab <= 1 << 16 else np.uint32
+        doc, parts, keys = None, [], []
         for b in batches:
-            inner, ends = b["parts"].values, b["parts"].offsets.to_numpy()
-            ids, head, places = (_slices(inner.field(n)) for n in ("ids", "head", "head_tok"))
-            size, safe, safe_tok = (inner.field(n).to_numpy() for n in ("size", "safe", "safe_tok"))
-            out = []
-            for t, x, y in zip(b["text"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-                known = [(ids[i], head[i].tolist(), places[i].tolist(), int(safe[i]), int(safe_tok[i])) for i in range(x, y)]
-                out.append(repair(t, np.cumsum(size[x:y]).tolist(), known, path) if t else [])
-            yield pa.RecordBatch.from_arrays([b["key"], _lists(out)], ["key", "ids"])
-
-    return rows.join(parts, "doc", "left").select("key", "text", "parts").mapInArrow(assemble, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+            out_keys, out = [], []
+            cells = (b[c].to_pylist() for c in ("doc", "seq", "key", "lead", "ids", "trail"))
+            for d, seq, k, lead, ids, trail in zip(*cells):
+                if d != doc:
+                    if keys:
+                        out_keys += keys
+                        out += [repair(parts, path)] * len(keys)
+                    doc, parts, keys = d, [], []
+                if seq == len(parts):
+                    parts.append((lead, np.frombuffer(ids, narrow), trail))
+                if seq == 0:  # a repeated row has all its parts again
+                    keys.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(out_keys, b["key"].type), _lists(out)], ["key", "ids"])
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b["key"].type), _lists([repair(parts, path)] * len(keys))], ["key", "ids"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    chunks = rows.mapInArrow(split, f"doc binary, seq int, key {kind}, h binary, salt int, chunk string")
+    chunks = chunks.repartition("h", "salt").sortWithinPartitions("h", "salt")
+    encoded = chunks.mapInArrow(encode, f"doc binary, seq int, key {kind}, lead string, ids binary, trail string")
+    return encoded.repartition("doc").sortWithinPartitions("doc", "seq").mapInArrow(assemble, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def sizes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -218,7 +179,7 @@ def sizes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     kind = docs.schema[key].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, _ = encoder(path)
+        enc = encoder(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["key"], pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in b["text"].to_pylist()], pa.int64())], ["key", "n_tokens"])
 

@@ -19,11 +19,11 @@ def whole(text: str, **kw) -> list[int]:
     for e in ends:
         parts.append(tokens.encode_chunk(text[at:e], PATH))
         at = e
-    return tokens.repair(text, ends, parts, PATH).tolist()
+    return tokens.repair(parts, PATH).tolist()
 
 
 def test_repair_agrees_with_encoding_at_once():
-    rnd, enc = random.Random(7), tokens.encoder(PATH)[0]
+    rnd, enc = random.Random(7), tokens.encoder(PATH)
     alphabet = "ab 'lldstvrem \n\t  19é中。!?- 　🙂'"
     for _ in range(3_000):
         t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 150)))
@@ -41,13 +41,16 @@ def test_equal_passages_give_equal_chunks():
 
 
 def test_ids_of_rows(spark):
-    enc = tokens.encoder(PATH)[0]
+    enc = tokens.encoder(PATH)
     long = "The corridor moved again. " * 4_000
     rows = [(1, "hello world", 1), (1, "hello world", 1), (1, "other text", 2), (2, None, 3), (3, "", 4), (4, long, 5), (5, long + "end", 6), (None, "no id", 7), (6, "   \n", 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, h int")
     got = sorted(((r["doc_id"], list(r["ids"])) for r in tokens.ids_of(df).collect()), key=str)
     assert got == sorted(((k, enc.encode_ordinary(t) if t else []) for k, t, _ in rows), key=str)
     assert tokens.ids_of(df.limit(0)).count() == 0
+    shared = "A passage that stands in every text of this table, long enough to be a chunk of its own; " * 8
+    many = spark.createDataFrame([(i, shared + f"end {i % 50}") for i in range(200)], "doc_id long, text string")
+    assert all(list(r["ids"]) == enc.encode_ordinary(shared + f"end {r['doc_id'] % 50}") for r in tokens.ids_of(many).collect())
     n = {r["doc_id"]: r["n_tokens"] for r in tokens.sizes_of(df.where("doc_id > 1")).collect()}
     assert n[2] == n[3] == 0 and n[4] == len(enc.encode_ordinary(long))
 
