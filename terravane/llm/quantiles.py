@@ -4,16 +4,16 @@ A sketch is a pile of relative compactors (Cormode, Karnin, Liberty, Thaler, Ves
 weight in sections; when full, it sorts them and sends every other one of the unprotected end up a level with twice the weight.
 How many sections take part follows the trailing ones of a counter, so values near the protected end are compacted ever more
 rarely: the rank error at quantile q is a small share of 1-q where the upper tail is protected, of q where the lower one is.
-Every group has a sketch for each tail, and percentiles below the median are taken from the lower one. Sketches of separate
-parts merge level by level into a sketch of the whole with the same bound.
+Every group has a sketch for each tail, and percentiles below the median are taken from the lower one; up to EXACT values
+are kept as they are, for both tails at once. Sketches of separate parts merge level by level into a sketch of the whole with the same bound.
 
 Building is a map over the input (one sketch per partition and group, no shuffle of values); merging goes in two steps,
 first over a bounded number of partitions, then over these, so no task meets all sketches of a group. A task that holds
-HELD sketches writes them out and goes on with new ones. Coins are drawn from a hash of the values that are compacted and of the
+HELD groups writes them out and goes on with new ones. Coins are drawn from a hash of the values that are compacted and of the
 partition, so that equal parts throw different coins and a rerun of a lost task gives the same sketch.
 
 Defined cases: NULL, NaN and infinite values are left out; NULL groups are groups; a group without values gives no row;
-up to ``2 * 3 * k`` values a sketch is exact; q outside 0..1 is an error; ties count by their number.
+up to EXACT values a sketch is exact; q outside 0..1 is an error; ties count by their number.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from terravane.common import skew_join
 K = 32
 SECTIONS = 3
 MERGE_FAN = 32
-HELD = 8_192
+HELD = 65_536
+EXACT = 2 * SECTIONS * K
 #: Relative and additive standard errors of the sketch, as measured for and published with the Apache DataSketches REQ sketch.
 RELATIVE, ADDITIVE, DEVIATIONS = 0.0512, 0.084, 4
 SKETCH = "upper boolean, n long, low double, high double, states array<long>, sections array<int>, sizes array<int>, items array<double>"
@@ -81,9 +82,9 @@ class Compactor:
 
 
 class Sketch:
-    """Relative-error quantile sketch; upper=True keeps large values exact, else small ones."""
+    """Relative-error quantile sketch; upper=True keeps large values exact, else small ones; None for values as they are."""
 
-    def __init__(self, k: int = K, upper: bool = True, seed: int = 0) -> None:
+    def __init__(self, k: int = K, upper: bool | None = True, seed: int = 0) -> None:
         self.k, self.upper, self.seed = k, upper, seed
         self.n, self.low, self.high = 0, np.inf, -np.inf
         self.levels = [Compactor(k)]
@@ -166,21 +167,64 @@ class Sketch:
         return s
 
 
-def _emit(found: dict[tuple, Sketch], schema: pa.Schema, step: int = 2_000) -> Iterator[pa.RecordBatch]:
-    rows = [(key[:-1], sketch) for key, sketch in found.items() if sketch.n]
+class Pair:
+    """The values of a group: as they are while few, then a sketch for each tail."""
+
+    __slots__ = ("k", "seed", "n", "raw", "tails")
+
+    def __init__(self, k: int = K, seed: int = 0) -> None:
+        self.k, self.seed, self.n = k, seed, 0
+        self.raw: list[np.ndarray] = []
+        self.tails: dict[bool, Sketch] = {}
+
+    def _split(self) -> None:
+        held = np.concatenate(self.raw) if self.raw else np.empty(0)
+        self.tails = {upper: Sketch(self.k, upper, self.seed) for upper in (True, False)}
+        for t in self.tails.values():
+            t.update(held)
+        self.raw = []
+
+    def add(self, values: np.ndarray) -> None:
+        if self.tails:
+            for t in self.tails.values():
+                t.update(values)
+            return
+        self.n += len(values)
+        self.raw.append(values)
+        if self.n > EXACT:
+            self._split()
+
+    def merge(self, part: Sketch) -> None:
+        if part.upper is None:
+            self.add(part.levels[0].values())
+            return
+        if not self.tails:
+            self._split()
+        self.tails[part.upper].merge(part)
+
+    def rows(self) -> list[tuple]:
+        if self.tails:
+            return [t.row() for t in self.tails.values() if t.n]
+        if not self.n:
+            return []
+        v = np.sort(np.concatenate(self.raw))
+        return [(None, len(v), float(v[0]), float(v[-1]), [0], [SECTIONS], [len(v)], v)]
+
+
+def _emit(found: dict[tuple, Pair], schema: pa.Schema, step: int = 2_000) -> Iterator[pa.RecordBatch]:
+    rows = [(*key, *row) for key, pair in found.items() for row in pair.rows()]
     for s in range(0, len(rows), step):
-        part = rows[s : s + step]
-        cols = list(zip(*[(*key, *sk.row()) for key, sk in part]))
+        cols = list(zip(*rows[s : s + step]))
         yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(cols)], schema=schema)
 
 
 def _sketches(b: pa.RecordBatch, k: int) -> Iterator[Sketch]:
     """The sketches of a batch; their arrays are views of the batch."""
-    upper, n, low, high = (b[c].to_numpy(zero_copy_only=False) for c in ("upper", "n", "low", "high"))
+    n, low, high = (b[c].to_numpy() for c in ("n", "low", "high"))
     lists = {c: (b[c].values.to_numpy(), b[c].offsets.to_numpy()) for c in ("states", "sections", "sizes", "items")}
-    for i in range(b.num_rows):
+    for i, upper in enumerate(b["upper"].to_pylist()):
         cells = {c: v[o[i] : o[i + 1]] for c, (v, o) in lists.items()}
-        yield Sketch.of({"upper": bool(upper[i]), "n": int(n[i]), "low": float(low[i]), "high": float(high[i]), **cells}, k)
+        yield Sketch.of({"upper": upper, "n": int(n[i]), "low": float(low[i]), "high": float(high[i]), **cells}, k)
 
 
 def _schema(df: DataFrame, by: list[str], extra: str = "") -> tuple[str, pa.Schema]:
@@ -201,8 +245,7 @@ def build(values: DataFrame, by: list[str], value: str, k: int = K, ways: list[l
     ddl, schema = _schema(values, by, "way int, part int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, Sketch] = {}
-        part = None
+        found: dict[tuple, Pair] = {}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -221,17 +264,16 @@ def build(values: DataFrame, by: list[str], value: str, k: int = K, ways: list[l
                 for lo, hi in zip(edges, np.append(edges[1:], len(order))):
                     i = order[lo]
                     key = tuple(coded[c][1][coded[c][0][i]] if c in cols else None for c in by) + (w, part)
-                    for upper in (True, False):
-                        if (*key, upper) not in found:
-                            found[(*key, upper)] = Sketch(k, upper, part)
-                        found[(*key, upper)].update(v[order[lo:hi]])
+                    if key not in found:
+                        found[key] = Pair(k, part)
+                    found[key].add(v[order[lo:hi]])
                 if len(found) >= HELD:
                     yield from _emit(found, schema)
                     found = {}
         yield from _emit(found, schema)
 
     v = F.col(value).cast("double")
-    rows = values.select(*by, v.alias("__v"), F.spark_partition_id().alias("__part")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    rows = values.select(*by, v.alias("__v"), F.spark_partition_id().alias("__part")).where(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") != float("inf")))
     return rows.mapInArrow(run, ddl)
 
 
@@ -241,20 +283,18 @@ def merge(sketches: DataFrame, by: list[str], k: int = K, fan: int = MERGE_FAN)
     fields = [f.split()[0] for f in SKETCH.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, Sketch] = {}
+        found: dict[tuple, Pair] = {}
         last = None
         for b in batches:
             keys = zip(*[b[c].to_pylist() for c in by]) if by else [()] * b.num_rows
-            for group, sketch in zip(keys, _sketches(b, k)):
-                key = (*group, sketch.upper)
+            for key, sketch in zip(keys, _sketches(b, k)):
                 if key != last and len(found) >= HELD and key not in found:
                     yield from _emit(found, schema)
                     found = {}
                 last = key
-                if key in found:
-                    found[key].merge(sketch)
-                else:
-                    found[key] = sketch
+                if key not in found:
+                    found[key] = Pair(k)
+                found[key].merge(sketch)
         if found:
             yield from _emit(found, schema)
 
@@ -271,7 +311,7 @@ def percentiles(sketches: DataFrame, by: list[str], qs: list[float], k: int = K)
     ddl = ", ".join([*[f"`{c}` {sketches.schema[c].dataType.simpleString()}" for c in by], "n long, q double, value double, rank_error double"])
     fields = [f.split()[0] for f in SKETCH.split(", ")]
 
-    halves = {upper: [q for q in qs if (q >= 0.5) == upper] for upper in (True, False)}
+    halves = {None: qs} | {upper: [q for q in qs if (q >= 0.5) == upper] for upper in (True, False)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
