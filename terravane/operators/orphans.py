@@ -84,6 +84,11 @@ def classify(children: DataFrame, parent: Parent) -> DataFrame:
     return found.withColumn("reason", reason).select("table_name", "row_key", "at_us", "pk", "key", "reason").distinct()
 
 
+def _once(judged: DataFrame) -> DataFrame:
+    """One row per referring row, with its reason if it has one."""
+    return judged.groupBy("table_name", "row_key", "at_us", "pk", "key").agg(F.max("reason").alias("reason"))
+
+
 def find(graph: Graph, max_levels: int | None = None) -> DataFrame:
     """(table_name, period, row_key, reason, kind direct|inherited, level, via): level 0 is direct, via the table referred to."""
     via = {n.name: n.parent for n in graph.nodes.values()}
@@ -93,7 +98,7 @@ def find(graph: Graph, max_levels: int | None = None) -> DataFrame:
         if kids:
             judged[p] = classify(reduce(DataFrame.unionByName, kids), known)
     direct = [d.where(F.col("reason").isNotNull()).withColumn("level", F.lit(0)).withColumn("via", F.lit(p)) for p, d in judged.items()]
-    held = {p: d.where(F.col("reason").isNull()) for p, d in judged.items()}  # not reached so far, by parent
+    held = {p: _once(d).where(F.col("reason").isNull()) for p, d in judged.items() if p in graph.nodes}  # not reached so far, by parent
     out, level, frontier = list(direct), 0, direct
     levels = max_levels or (None if graph.cyclic else len(graph.nodes))
     while frontier and (levels is None or level < levels):
@@ -101,7 +106,7 @@ def find(graph: Graph, max_levels: int | None = None) -> DataFrame:
         reached = reduce(DataFrame.unionByName, frontier)
         new = []
         for p in held:
-            if p not in graph.nodes or (not graph.cyclic and not _can_reach(via, p, level)):
+            if not graph.cyclic and not _can_reach(via, p, level):
                 continue
             bad = reached.where((F.col("table_name") == p) & F.col("pk").isNotNull()).select(F.col("pk").alias("key")).distinct()
             new.append(skew_join(held[p], bad, ["key"], "left_semi", F.col("row_key")).withColumn("reason", F.lit("inherited")).withColumn("level", F.lit(level)).withColumn("via", F.lit(p)))

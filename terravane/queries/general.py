@@ -54,11 +54,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where((F.col("kind") == "direct") & F.col("table_name").isin(*REPORTED)).select("table_name", "period", "row_key", "reason")
 
 
+def p1_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose reference holds, but leads to an orphan."""
+    return orphans.find(reference_graph(spark, sf_dir)).where("kind = 'inherited'").select("table_name", "period", "row_key", "level", "via")
+
+
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.counts(orphans.find(reference_graph(spark, sf_dir)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_inherited": p1_inherited, "p1_counts": p1_counts, "p4_found": p4_found}
 SQL: dict[str, str] = {}
 
 _KEY = r"nullif(regexp_replace(lower(object_key), '^[\s-]+|[\s-]+$|-', '', 'g'), '')"
@@ -98,7 +103,10 @@ judged as (
 """
 _MONTH = "strftime(make_timestamp(at_us), '%Y-%m')"
 SQL["p1_found"] = f"with {PERIODS_SQL}, {_REFERENCES} select distinct table_name, {_MONTH} as period, row_key, reason from judged where reason is not null and table_name <> 'alert_incidents'"
-SQL["p1_counts"] = f"""with {PERIODS_SQL}, {_REFERENCES}, bad as (select distinct row_key::varchar as key from judged where table_name = 'alert_incidents' and reason is not null),
+_BAD = "bad as (select distinct row_key::varchar as key from judged where table_name = 'alert_incidents' and reason is not null)"
+SQL["p1_inherited"] = f"""with {PERIODS_SQL}, {_REFERENCES}, {_BAD}
+select distinct table_name, {_MONTH} as period, row_key, 1 as level, 'alert_incidents' as via from judged j join bad b on j.key = b.key where j.reason is null and table_name in ('incident_management', 'incident_notes')"""
+SQL["p1_counts"] = f"""with {PERIODS_SQL}, {_REFERENCES}, {_BAD},
 listed as (select distinct table_name, {_MONTH} as period, row_key, reason, 'direct' as kind from judged where reason is not null
   union select table_name, {_MONTH}, row_key, 'inherited', 'inherited' from judged j join bad b on j.key = b.key where j.reason is null and table_name in ('incident_management', 'incident_notes'))
 select table_name, period, reason, kind, count(*) as n_rows from listed group by all"""
