@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +59,38 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     a = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot") | lost, salt).otherwise(F.lit(0))).drop("__hot")
     b = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
     return a.join(b, [*on, "__salt"], how).drop("__salt")
+
+
+def by_group(keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: ``work`` on the rows of each group in turn. Rows come clustered by their keys; small groups share batches, large results may be given in parts."""
+
+    def codes(column: pa.Array) -> np.ndarray:
+        if pa.types.is_string(column.type) or column.null_count:
+            return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        return column.to_numpy(zero_copy_only=False)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for c in keys:
+                code = codes(b[c])
+                new[1:] |= code[1:] != code[:-1]
+            first = tuple(b[c][0].as_py() for c in keys)
+            new[0] = last is not None and first != last
+            at = 0
+            for c in np.append(np.flatnonzero(new), b.num_rows):
+                if c > at:
+                    held.append(b.slice(at, c - at))
+                if c < b.num_rows and held:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                at = c
+            last = tuple(b[c][b.num_rows - 1].as_py() for c in keys)
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return walk

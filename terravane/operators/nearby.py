@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.common import skew_join
+from terravane.common import by_group, skew_join
 from terravane.functions.geo import arc_m, haversine_np, in_polygon, polygons, unit
 
 CELL_ROWS = 2_000
 MAX_PIVOTS = 65_536
 LEAF = 48
+SLICE, QUERIES = 1_000_000, 20_000
 HOT_SHARE, HOT_ROWS = 1e-5, 1_024
 MAX_REGIONS, MAX_VERTICES = 4_096, 500_000
 SLACK_M = 1e-3  # pruning keeps this much more than the radius; the exact test follows
@@ -110,37 +111,50 @@ def vp_pairs(u: np.ndarray, queries: np.ndarray, r: float) -> tuple[np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (row, row) indices of the given group pairs, groups being runs of sorted rows."""
-    n = sizes[i] * sizes[j]
-    pair = np.repeat(np.arange(len(i)), n)
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    width = sizes[j][pair]
-    return starts[i][pair] + k // width, starts[j][pair] + k % width
-
-
-def _cell_pairs(t: pa.Table, r: float) -> pa.Table:
+def _spread(starts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (row, row) indices of the given group pairs, groups being runs of sorted rows, at most about ``most`` at once."""
+    a, na, b, nb = starts[i], sizes[i], starts[j], sizes[j]
+    rows = np.maximum(1, most // nb)  # of the left group in one slice
+    parts = -(-na // rows)
+    if (parts > 1).any():
+        pair = np.repeat(np.arange(len(a)), parts)
+        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        a, na, b, nb = a[pair] + k * rows[pair], np.minimum(rows[pair], na[pair] - k * rows[pair]), b[pair], nb[pair]
+    n = na * nb
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + most, side="right")))
+        m = n[at:to]
+        pair = np.repeat(np.arange(at, to), m)
+        k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        yield a[pair] + k // nb[pair], b[pair] + k % nb[pair]
+        at = to
+
+
+def _cell_pairs(t: pa.Table, r: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of one cell, slice by slice: home positions look for their neighbours QUERIES at a time."""
     lat, lon = t["lat"].to_numpy(), t["lon"].to_numpy()
-    ids, home, hot = t["id"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), t["hot"].to_numpy(zero_copy_only=False)
+    ids, home, hot = t["id"].to_numpy(), t["home"].to_numpy(), t["hot"].to_numpy()
     order = np.lexsort((ids, lon, lat, ~home))
     lat, lon, ids, home, hot = lat[order], lon[order], ids[order], home[order], hot[order]
     new = np.ones(len(ids), bool)
     new[1:] = (lat[1:] != lat[:-1]) | (lon[1:] != lon[:-1]) | (home[1:] != home[:-1])
-    starts = np.flatnonzero(new)
+    starts, same = np.flatnonzero(new), new.cumsum()
     sizes = np.diff(np.append(starts, len(ids)))
     plat, plon, phome = lat[starts], lon[starts], home[starts]
-    i, j = vp_pairs(unit(plat, plon), np.flatnonzero(phome), r)
-    keep = (i <= j) | ~phome[j]
-    i, j = i[keep], j[keep]
-    keep = haversine_np(plat[i], plon[i], plat[j], plon[j]) <= r
-    a, b = _spread(starts, sizes, i[keep], j[keep])
-    keep = ids[a] != ids[b]
-    same = new.cumsum()
-    keep &= (same[a] != same[b]) | (ids[a] < ids[b])
-    a, b = a[keep], b[keep]
-    flip = ids[a] > ids[b]
-    a, b = np.where(flip, b, a), np.where(flip, a, b)
-    return pa.table({"a": ids[a], "b": ids[b], "a_hot": hot[a], "b_hot": hot[b]})
+    u, asking = unit(plat, plon), np.flatnonzero(phome)
+    for s in range(0, len(asking), QUERIES):
+        i, j = vp_pairs(u, asking[s : s + QUERIES], r)
+        keep = (i <= j) | ~phome[j]
+        i, j = i[keep], j[keep]
+        keep = haversine_np(plat[i], plon[i], plat[j], plon[j]) <= r
+        for a, b in _spread(starts, sizes, i[keep], j[keep]):
+            keep = (ids[a] != ids[b]) & ((same[a] != same[b]) | (ids[a] < ids[b]))
+            a, b = a[keep], b[keep]
+            flip = ids[a] > ids[b]
+            a, b = np.where(flip, b, a), np.where(flip, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(hot[a]), pa.array(hot[b])], ["a", "b", "a_hot", "b_hot"])
 
 
 def near_pairs(points: DataFrame, radius_m: float, cell_rows: int = CELL_ROWS, hot_rows: int = HOT_ROWS, max_pivots: int = MAX_PIVOTS, at_most: int | None = None) -> DataFrame:
@@ -183,7 +197,7 @@ def near_pairs(points: DataFrame, radius_m: float, cell_rows: int = CELL_ROWS, h
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b["id"].take(take), b["lat"].take(take), b["lon"].take(take), b["hot"].take(take), pa.array(home)], ["cell", "id", "lat", "lon", "hot", "home"])
 
     placed = rows.mapInArrow(assign, "cell int, id long, lat double, lon double, hot boolean, home boolean")
-    pairs = placed.groupBy("cell").applyInArrow(lambda t: _cell_pairs(t, radius_m), PAIRS)
+    pairs = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(by_group(["cell"], lambda t: _cell_pairs(t, radius_m)), PAIRS)
     if not len(hot):
         return pairs.select(F.col("a").alias("key_a"), F.col("b").alias("key_b"))
     return _expand(pairs, tied.where("rep is not null").select("rep", "id"))
@@ -206,31 +220,60 @@ def _expand(pairs: DataFrame, members: DataFrame, block: int = 4_096) -> DataFra
     return plain.unionByName(single).unionByName(twice).unionByName(own)
 
 
-def _contained(ids: np.ndarray, x: np.ndarray, y: np.ndarray, shapes: list[tuple[int, list[np.ndarray]]]) -> tuple[list, list]:
-    points, regions = [], []
-    for region, rings in shapes:
-        (x0, y0), (x1, y1) = rings[0].min(axis=0), rings[0].max(axis=0)
-        at = np.flatnonzero((x >= x0) & (x <= x1) & (y >= y0) & (y <= y1))
-        if len(at):
-            at = at[in_polygon(x[at], y[at], rings)]
-            points.append(ids[at])
-            regions.append(np.full(len(at), region))
-    return points, regions
+class Shapes:
+    """Polygons by the cells of a grid their boxes touch, about as many cells as polygons."""
+
+    def __init__(self, shapes: list[tuple[int, list[np.ndarray]]]) -> None:
+        self.shapes = shapes
+        boxes = np.array([[*rings[0].min(axis=0), *rings[0].max(axis=0)] for _, rings in shapes]).reshape(-1, 4)
+        self.boxes, self.cells = boxes, {}
+        if not len(boxes):
+            return
+        self.low, self.side = boxes[:, :2].min(axis=0), max(1, int(np.ceil(np.sqrt(len(boxes)))))
+        self.step = np.maximum((boxes[:, 2:].max(axis=0) - self.low) / self.side, 1e-12)
+        spans = np.clip(((boxes.reshape(-1, 2, 2) - self.low) / self.step).astype(int), 0, self.side - 1)
+        for k, ((i0, j0), (i1, j1)) in enumerate(spans):
+            for i in range(i0, i1 + 1):
+                for j in range(j0, j1 + 1):
+                    self.cells.setdefault(i * self.side + j, []).append(k)
+
+    def holding(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list, list]:
+        """(point ids, region ids) in parts."""
+        points, regions = [], []
+        if not self.cells:
+            return points, regions
+        at = np.floor((np.stack([x, y], axis=1) - self.low) / self.step).astype(int)
+        near = np.flatnonzero(((at >= 0) & (at <= self.side)).all(axis=1))
+        code = np.minimum(at[near], self.side - 1) @ np.array([self.side, 1])
+        order = np.argsort(code, kind="stable")
+        near, code = near[order], code[order]
+        edge = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, int)
+        for lo, hi in zip(edge, np.append(edge[1:], len(code))):
+            for k in self.cells.get(int(code[lo]), ()):
+                x0, y0, x1, y1 = self.boxes[k]
+                rows = near[lo:hi]
+                rows = rows[(x[rows] >= x0) & (x[rows] <= x1) & (y[rows] >= y0) & (y[rows] <= y1)]
+                if len(rows):
+                    region, rings = self.shapes[k]
+                    rows = rows[in_polygon(x[rows], y[rows], rings)]
+                    points.append(ids[rows])
+                    regions.append(np.full(len(rows), region))
+        return points, regions
 
 
 def containing(points: DataFrame, regions: DataFrame, max_regions: int = MAX_REGIONS, max_vertices: int = MAX_VERTICES, cell_deg: float = 1.0, fan: int = 16) -> DataFrame:
     """(key_a point id, key_b region id), once each. points: (id, lat, lon); regions: (region_id long, geojson string), plane lon/lat."""
     schema = "key_a long, key_b long"
 
-    def pairs(ids: np.ndarray, x: np.ndarray, y: np.ndarray, shapes: list) -> pa.RecordBatch:
-        p, r = _contained(ids, x, y, shapes)
+    def pairs(ids: np.ndarray, x: np.ndarray, y: np.ndarray, shapes: Shapes) -> pa.RecordBatch:
+        p, r = shapes.holding(ids, x, y)
         both = np.unique(np.stack([np.concatenate(p), np.concatenate(r)], axis=1), axis=0) if p else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["key_a", "key_b"])
 
     points = points.where(F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     size = regions.agg(F.count("*").alias("n"), F.sum(F.length("geojson")).alias("c")).first()
     if size["n"] <= max_regions and (size["c"] or 0) <= max_vertices * 20:
-        shapes = [(r["region_id"], p) for r in regions.select("region_id", "geojson").collect() if r["region_id"] is not None for p in polygons(r["geojson"])]
+        shapes = Shapes([(r["region_id"], p) for r in regions.select("region_id", "geojson").collect() if r["region_id"] is not None for p in polygons(r["geojson"])])
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -254,7 +297,7 @@ def containing(points: DataFrame, regions: DataFrame, max_regions: int = MAX_REG
     cells = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
 
     def meet(p: pa.Table, r: pa.Table) -> pa.Table:
-        shapes = [(k, poly) for k, text in zip(r["region_id"].to_pylist(), r["geojson"].to_pylist()) for poly in polygons(text)]
+        shapes = Shapes([(k, poly) for k, text in zip(r["region_id"].to_pylist(), r["geojson"].to_pylist()) for poly in polygons(text)])
         return pa.Table.from_batches([pairs(p["id"].to_numpy(), p["lon"].to_numpy(), p["lat"].to_numpy(), shapes)])
 
     keys = ["cx", "cy", "salt"]

@@ -25,7 +25,7 @@ hour of the day with readings on fewer than COURSE_DAYS days has no course; empt
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from statistics import NormalDist
 
@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terravane.common import by_group
+
 BLOCK, HALO = 8_192, 96
 STUCK = 12
 SIDE, SCATTER, STRIDE = 11, 61, 8
@@ -242,42 +244,6 @@ def readings(rows: DataFrame, products: list[str], source: str, product: str, da
     )
 
 
-def _by_block(work: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Applies ``work`` to the rows of each block in turn; rows come sorted by source, field and block."""
-    keys = ("source", "field", "block")
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            code = [b[c].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if c == "source" else b[c].to_numpy() for c in keys]
-            new = np.zeros(b.num_rows, bool)
-            for c in code:
-                new[1:] |= c[1:] != c[:-1]
-            first = tuple(b[c][0].as_py() for c in keys)
-            new[0] = last is not None and first != last
-            cuts = np.append(np.flatnonzero(new), b.num_rows)
-            at = 0
-            for c in cuts:
-                if c > at:
-                    held.append(b.slice(at, c - at))
-                if c < b.num_rows and held:
-                    found = work(pa.Table.from_batches(held))
-                    held = []
-                    if found is not None:
-                        yield found
-                at = c
-            last = tuple(b[c][b.num_rows - 1].as_py() for c in keys)
-        if held:
-            found = work(pa.Table.from_batches(held))
-            if found is not None:
-                yield found
-
-    return walk
-
-
 def flag(rows: DataFrame, limits: DataFrame, source: str = "_source_file", product: str = "_api_source", day: str = "ACQ_DATE", time: str = "ACQ_TIME", row_id: str = "row_id", fields: tuple[str, ...] = FIELDS, log_fields: tuple[str, ...] = LOG_FIELDS, aside: tuple[str, ...] = ("received_at",), block: int = BLOCK, spikes: bool = True) -> DataFrame:
     """(row_id, field_name) of every delivered row and field that is a case. limits: (api_source, field_name, low_value, high_value), at most MAX_LIMITS rows.
 
@@ -331,18 +297,18 @@ def flag(rows: DataFrame, limits: DataFrame, source: str = "_source_file", produ
         idx = t["idx"].to_numpy()
         return t if (idx[1:] > idx[:-1]).all() else t.take(np.argsort(idx, kind="stable"))
 
-    def medians(t: pa.Table) -> pa.RecordBatch | None:
+    def medians(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = in_order(t)
         f, low, high = ranges(t)
         b, number = t["bin"].to_numpy(), t["block"][0].as_py()
         found = block_medians(t["v"].to_numpy(), np.mod(b, 24), b // 24, low, high, f in log_fields, t["idx"].to_numpy() // span == number)
         rows = [(k * 24 + h, m, n, d) for k, part in enumerate(found) for h, m, n, d in part]
         if not rows:
-            return None
+            return
         same = [pa.array([t[c][0].as_py()] * len(rows), kind) for c, kind in zip(keys, (pa.string(), pa.int32(), pa.int32()))]
-        return pa.RecordBatch.from_arrays([*same, *[pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.float64(), pa.int64(), pa.int32()))]], [*keys, "slot", "mid", "n", "days"])
+        yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.float64(), pa.int64(), pa.int32()))]], [*keys, "slot", "mid", "n", "days"])
 
-    def one_block(t: pa.Table) -> pa.RecordBatch | None:
+    def one_block(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = in_order(t)
         f, low, high = ranges(t)
         b, courses = t["bin"].to_numpy(), None
@@ -352,23 +318,22 @@ def flag(rows: DataFrame, limits: DataFrame, source: str = "_source_file", produ
             courses = [course_of([(c["slot"] - k * 24, c["mid"], c["days"]) for c in known if c["slot"] // 24 == k]) for k in range(1 + (f in log_fields))]
         hit = flag_series(t["v"].to_numpy(), np.mod(b, 24), b // 24, low, high, f in log_fields, courses=courses, spikes=spikes)
         hit &= t["idx"].to_numpy() // span == t["block"][0].as_py()
-        if not hit.any():
-            return None
-        return t.select(["rid", "h", "bin", "minute", "field"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]
+        if hit.any():
+            yield from t.select(["rid", "h", "bin", "minute", "field"]).filter(pa.array(hit)).to_batches()
 
     def ordered(rows: DataFrame) -> DataFrame:
         return rows.sortWithinPartitions(*keys)
 
     if spikes:
         # medians of blocks become courses of sources; the course reaches a block at its first own reading
-        slots = ordered(spread).mapInArrow(_by_block(medians), "source string, field int, block int, slot int, mid double, n long, days int")
+        slots = ordered(spread).mapInArrow(by_group(keys, medians), "source string, field int, block int, slot int, mid double, n long, days int")
         all_blocks = Window.partitionBy("source", "field", "slot")
         slots = slots.select(*keys, "slot", F.percentile("mid", F.lit(0.5), F.col("n")).over(all_blocks).alias("mid"), F.sum("days").over(all_blocks).cast("int").alias("days"))
         course = slots.groupBy(*keys).agg(F.collect_list(F.struct("slot", "mid", "days")).alias("course")).withColumn("lead", F.col("block").cast("long") * block)
         held, told = spread.alias("a"), course.alias("b")
         same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys]
         spread = held.join(told, [*same, F.col("a.idx") - F.col("b.lead") == 0], "left").select("a.*", "b.course")
-    hits = ordered(spread).mapInArrow(_by_block(one_block), schema)
+    hits = ordered(spread).mapInArrow(by_group(keys, one_block), schema)
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
     # the few cases that were delivered again find their other rows by content; salted, as one reading may hold many rows
     fan = 16

@@ -30,6 +30,18 @@ def test_near_pairs_against_brute_force(spark):
         assert got == brute_pairs(ids, lat, lon, r)
 
 
+def test_pairs_come_in_slices():
+    g = np.random.default_rng(2)
+    sizes = g.integers(1, 40, 30)
+    starts = np.cumsum(sizes) - sizes
+    i, j = g.integers(0, 30, 60), g.integers(0, 30, 60)
+    want = sorted((starts[a] + p, starts[b] + q) for a, b in zip(i, j) for p in range(sizes[a]) for q in range(sizes[b]))
+    for most in (7, 100, 10**6):
+        parts = list(nearby._spread(starts, sizes, i, j, most))
+        assert sorted((int(a), int(b)) for p, q in parts for a, b in zip(p, q)) == want
+        assert max(len(p) for p, _ in parts) <= max(most, 40)
+
+
 def test_near_pairs_empty_and_single(spark):
     df = spark.createDataFrame([], "id long, lat double, lon double")
     assert nearby.near_pairs(df, 150.0).count() == 0
