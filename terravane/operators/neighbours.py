@@ -20,27 +20,57 @@ from terravane.operators.graph import components
 from terravane.operators.ranking import ordinal01
 
 TILE_ROWS = 1_500
-MAX_CUTS = 128
+MAX_CUTS = 1_024
 EDGES = "i long, j long, d double"
 
 
-def tiles(points: DataFrame, rows: int = TILE_ROWS) -> list[tuple[float, float, float, float]]:
-    """Boxes (x0, x1, y0, y1) that cover the plane; at most MAX_CUTS squared of them come to the driver."""
+class Tiles:
+    """Strips along x, each cut along y; the cuts, at most MAX_CUTS squared of them, come to the driver and find a tile by search."""
+
+    def __init__(self, xs: np.ndarray, ys: list[np.ndarray]) -> None:
+        self.xs, self.ys = xs, ys
+        self.first = np.cumsum([0] + [len(y) + 1 for y in ys])
+
+    @property
+    def count(self) -> int:
+        return int(self.first[-1])
+
+    def of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        strip, out = np.searchsorted(self.xs, x, side="right"), np.zeros(len(x), np.int32)
+        for s in np.unique(strip):
+            at = np.flatnonzero(strip == s)
+            out[at] = self.first[s] + np.searchsorted(self.ys[s], y[at], side="right")
+        return out
+
+    def reached(self, x: np.ndarray, y: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tile, point) of every tile that a square of half side ``far`` around a point touches."""
+        low, high = np.searchsorted(self.xs, x - far, side="right"), np.searchsorted(self.xs, x + far, side="right")
+        tile, point = [], []
+        for s in range(int(low.min()), int(high.max()) + 1) if len(x) else ():
+            at = np.flatnonzero((low <= s) & (s <= high))
+            a, b = np.searchsorted(self.ys[s], y[at] - far[at], side="right"), np.searchsorted(self.ys[s], y[at] + far[at], side="right")
+            n = b - a + 1
+            tile.append(self.first[s] + np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            point.append(np.repeat(at, n))
+        return (np.concatenate(tile), np.concatenate(point)) if tile else (np.empty(0, int), np.empty(0, int))
+
+
+def tiles(points: DataFrame, rows: int = TILE_ROWS) -> Tiles:
     n = points.count()
     side = int(min(MAX_CUTS, max(1, np.sqrt(n / rows))))
     if side <= 1:
-        return [(-np.inf, np.inf, -np.inf, np.inf)]
+        return Tiles(np.empty(0), [np.empty(0)])
     qs = F.array(*[F.lit(i / side) for i in range(1, side)])
-    xs = [-np.inf, *sorted(set(points.agg(F.percentile_approx("x", qs, F.lit(10_000))).first()[0])), np.inf]
-    strip = F.lit(0)
-    for c in xs[1:-1]:
-        strip = strip + (F.col("x") >= c).cast("int")
-    cuts = {r["s"]: sorted(set(r["q"])) for r in points.groupBy(strip.alias("s")).agg(F.percentile_approx("y", qs, F.lit(10_000)).alias("q")).collect()}
-    out = []
-    for s, (a, b) in enumerate(zip(xs[:-1], xs[1:])):
-        ys = [-np.inf, *cuts.get(s, []), np.inf]
-        out += [(a, b, c, e) for c, e in zip(ys[:-1], ys[1:])]
-    return out
+    xs = np.array(sorted(set(points.agg(F.percentile_approx("x", qs, F.lit(10_000))).first()[0])))
+    known = np.asarray(xs).tolist()
+
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(known, b["x"].to_numpy(), side="right").astype(np.int32)), b["y"]], ["s", "y"])
+
+    cuts = points.select("x", "y").mapInArrow(strips, "s int, y double").groupBy("s").agg(F.percentile_approx("y", qs, F.lit(10_000)).alias("q")).collect()
+    by_strip = {r["s"]: np.array(sorted(set(r["q"]))) for r in cuts}
+    return Tiles(xs, [by_strip.get(s, np.empty(0)) for s in range(len(xs) + 1)])
 
 
 def _best(qx, qy, qid, px, py, pid, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,16 +98,11 @@ def knn(points: DataFrame, k: int, rows: int = TILE_ROWS) -> DataFrame:
     """(i, j, d, rank): the k nearest others of every point. points: (id long, x, y); rows with a missing or infinite coordinate take no part."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
     points = points.where(finite("x") & finite("y")).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    boxes = tiles(points, rows)
-    b = np.array(boxes)
+    grid = tiles(points, rows)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x, y = t["x"].to_numpy(), t["y"].to_numpy()
-            at = np.full(len(x), -1, np.int32)
-            for n, (x0, x1, y0, y1) in enumerate(boxes):
-                at[(x >= x0) & (x < x1) & (y >= y0) & (y < y1)] = n
-            yield pa.RecordBatch.from_arrays([pa.array(at), t["id"], t["x"], t["y"]], ["tile", "id", "x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(grid.of(t["x"].to_numpy(), t["y"].to_numpy())), t["id"], t["x"], t["y"]], ["tile", "id", "x", "y"])
 
     placed = points.mapInArrow(place, "tile int, id long, x double, y double")
 
@@ -89,13 +114,8 @@ def knn(points: DataFrame, k: int, rows: int = TILE_ROWS) -> DataFrame:
         full = counts >= k
         last = np.cumsum(counts) - 1
         far[full] = np.sqrt(d2[last[full]]) * (1 + 1e-9)
-        gone = []
-        for m, (x0, x1, y0, y1) in enumerate(b):
-            if m != n:
-                dx, dy = np.maximum(np.maximum(x0 - x, x - x1), 0), np.maximum(np.maximum(y0 - y, y - y1), 0)
-                at = np.flatnonzero(np.hypot(dx, dy) <= far)
-                gone.append(np.stack([np.full(len(at), m), at]))
-        to, at = np.concatenate(gone, axis=1) if gone else np.empty((2, 0), int)
+        to, at = grid.reached(x, y, far)
+        to, at = to[to != n], at[to != n]
         own, sent = len(q), len(at)
         none_i, none_f = np.full(sent, -1, np.int64), np.zeros(sent)
         return pa.table({
@@ -104,7 +124,7 @@ def knn(points: DataFrame, k: int, rows: int = TILE_ROWS) -> DataFrame:
         })
 
     first = placed.groupBy("tile").applyInArrow(inside, "ask int, i long, j long, d2 double, x double, y double")
-    if len(boxes) == 1:
+    if grid.count == 1:
         return _ranked(first.select("i", "j", "d2"), k)
 
     def outside(q: pa.Table, p: pa.Table) -> pa.Table:

@@ -1,40 +1,64 @@
 """Global ranks without a single-task window.
 
 Values are cut into ranges at approximate quantiles (a bounded array, computed in the plan as a scalar); ranks are counted
-per range and shifted by the rows of the ranges before. The result is exact: the cuts only steer the load. A value shared by
-very many rows is counted once as a value and joined back, so ties do not pile up in one task's sort.
+per range and shifted by the rows of the ranges before. The result is exact: the cuts only steer the load. There are
+COARSE x FINE ranges, found in two short steps, so that a range stays small on large tables. A value shared by
+very many rows is counted once as a value and joined back, or, where its rows have to be told apart, cut into ranges of what
+tells them apart.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 64
+COARSE, FINE = 32, 32
+HOT_SHARE = 1 / 256
+
+
+def _with_cuts(df: DataFrame, values: dict[str, Column], ranges: int) -> DataFrame:
+    """Adds the cuts of each value, {name: value}. They are one row, known to be, so it goes to every task."""
+    qs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = df.agg(*[F.percentile_approx(v, qs, F.lit(4 * ranges)).alias(name) for name, v in values.items()])
+    every = F.sequence(F.lit(1), F.lit(COARSE - 1))
+    for name in values if ranges > COARSE else ():
+        cuts = cuts.withColumn(f"{name}_", F.when(F.col(name).isNotNull(), F.transform(every, _nth(name))))
+    return df.join(F.broadcast(cuts.limit(1)))
+
+
+def _nth(cuts: str) -> Callable[[Column], Column]:
+    return lambda i: F.element_at(cuts, (i * FINE).cast("int"))
+
 
+def _under(cuts: Column | str, value: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c < value))
 
-def _with_range(df: DataFrame, value: Column, ranges: int) -> DataFrame:
-    """Adds __r, the number of cuts below the value. The cuts are one row, known to be, so it goes to every task."""
-    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1_000)).alias("__cuts"))
-    ranged = df.join(F.broadcast(cuts.limit(1)))
-    return ranged.withColumn("__r", F.coalesce(F.size(F.filter("__cuts", lambda c: c < value)), F.lit(0))).drop("__cuts")
 
+def with_range(df: DataFrame, value: Column) -> DataFrame:
+    """Adds __r, the number of cuts below the value, 0 where it is missing."""
+    cut = _with_cuts(df, {"__cuts": value}, COARSE * FINE).withColumn("__c", _under("__cuts_", value))
+    fine = _under(F.slice("__cuts", F.col("__c") * FINE + 1, F.lit(FINE - 1)), value)
+    known = F.col("__cuts").isNotNull() & value.isNotNull()
+    return cut.withColumn("__r", F.when(known, F.col("__c") * FINE + fine).otherwise(F.lit(0))).drop("__cuts", "__cuts_", "__c")
 
-def _offsets(counted: DataFrame, by: str, n: str) -> DataFrame:
-    """Rows of the ranges before each range; as many rows as ranges."""
-    w = Window.orderBy(by)
-    return counted.groupBy(by).agg(F.sum(n).alias("__rows")).select(by, (F.sum("__rows").over(w) - F.col("__rows")).alias("__before"), F.sum("__rows").over(Window.partitionBy()).alias("__all"))
 
+def offsets(counted: DataFrame, by: list[str], n: str) -> DataFrame:
+    """Rows of the ranges before each range, and all rows; as many rows as ranges, which are bounded."""
+    w = Window.orderBy(*by)
+    return counted.groupBy(*by).agg(F.sum(n).alias("__rows")).select(*by, (F.sum("__rows").over(w) - F.col("__rows")).alias("__before"), F.sum("__rows").over(Window.partitionBy()).alias("__all"))
 
-def value_counts(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+
+def value_counts(df: DataFrame, value: str) -> DataFrame:
     """(value, same, below, n) per distinct non-null value: rows equal to it, rows below it, all rows."""
     v = F.col(value)
     counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(F.count("*").alias("same"))
-    counted = _with_range(counted, F.col("value"), ranges)
+    counted = with_range(counted, F.col("value"))
     w = Window.partitionBy("__r").orderBy("value")
     inner = counted.withColumn("__in", F.sum("same").over(w) - F.col("same"))
-    return inner.join(F.broadcast(_offsets(counted, "__r", "same")), "__r").select("value", "same", (F.col("__in") + F.col("__before")).alias("below"), F.col("__all").alias("n"))
+    return inner.join(F.broadcast(offsets(counted, ["__r"], "same")), "__r").select("value", "same", (F.col("__in") + F.col("__before")).alias("below"), F.col("__all").alias("n"))
 
 
 def percent_ranks(df: DataFrame, outs: dict[str, str], share: float = 1 / 512, fan: int = 32) -> DataFrame:
@@ -60,11 +84,32 @@ def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     return percent_ranks(df, {value: out})
 
 
-def ordinal01(df: DataFrame, value: str, tie: str, out: str, ranges: int = RANGES) -> DataFrame:
-    """Position in order of (value, tie), NaN and NULL last, scaled to 0..1; 0 for a single row."""
+def ordinal01(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
+    """Position in order of (value, tie), NaN and NULL last, scaled to 0..1; 0 for a single row. tie is a number.
+
+    A value with more than HOT_SHARE of the rows, and the missing ones, stand in ranges of their own, cut along ``tie``.
+    """
     v = F.when(~F.isnan(value), F.col(value))
-    ranged = _with_range(df, v, ranges).withColumn("__r", F.when(v.isNull(), F.lit(ranges)).otherwise(F.col("__r")))
-    w = Window.partitionBy("__r").orderBy(v.asc_nulls_last(), F.col(tie))
-    numbered = ranged.withColumn("__in", F.row_number().over(w)).join(F.broadcast(_offsets(ranged.withColumn("__one", F.lit(1)), "__r", "__one")), "__r")
+    counted = df.groupBy(v.alias("__v")).agg(F.count("*").alias("__n"))
+    total = counted.agg(F.sum("__n").alias("t")).scalar()
+    hot = counted.where(F.col("__v").isNotNull() & (F.col("__n") > total * F.lit(HOT_SHARE))).agg(F.collect_list("__v").alias("__hot"))  # fewer than 1/HOT_SHARE
+    ranged = with_range(df, v).join(F.broadcast(hot.limit(1)))
+    ranged = _with_cuts(ranged, {"__ties": F.col(tie).cast("double")}, COARSE)
+    among = lambda keep: F.size(F.filter("__hot", keep))
+    # a frequent value moves on by one at itself and by one behind itself, so nothing else is in its range
+    place = F.when(v.isNull(), F.lit(COARSE * FINE + 2 / HOT_SHARE).cast("int")).otherwise(F.col("__r") + among(lambda h: h < v) + among(lambda h: h <= v))
+    part = F.when(v.isNull() | F.array_contains("__hot", v), _under("__ties", F.col(tie).cast("double"))).otherwise(F.lit(0))
+    ranged = ranged.withColumn("__p", place).withColumn("__t", F.coalesce(part, F.lit(0))).drop("__r", "__hot", "__ties")
+    keys = ["__p", "__t"]
+    numbered = ranged.withColumn("__in", F.row_number().over(Window.partitionBy(*keys).orderBy(v.asc_nulls_last(), F.col(tie))))
+    numbered = numbered.join(F.broadcast(offsets(ranged.withColumn("__one", F.lit(1)), keys, "__one")), keys)
     scaled = (F.col("__before") + F.col("__in") - 1) / (F.col("__all") - 1)
-    return numbered.withColumn(out, F.when(F.col("__all") > 1, scaled).otherwise(F.lit(0.0))).drop("__r", "__in", "__before", "__all")
+    return numbered.withColumn(out, F.when(F.col("__all") > 1, scaled).otherwise(F.lit(0.0))).drop(*keys, "__in", "__before", "__all")
+
+
+def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
+    """Adds the running number from 0 in order of the number ``by``."""
+    ranged = with_range(df, F.col(by).cast("double"))
+    inner = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__r").orderBy(by)))
+    before = F.broadcast(offsets(ranged.withColumn("__one", F.lit(1)), ["__r"], "__one"))
+    return inner.join(before, "__r").withColumn(out, F.col("__before") + F.col("__in") - 1).drop("__r", "__in", "__before", "__all")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terravane.functions.stats import quantile, safe_ratio
-from terravane.operators.ranking import value_counts
+from terravane.operators.ranking import value_counts, with_range
+
+
+RANGES = 1_024
 
 
 def summarize(df: DataFrame, by: list[str], score: str, flags: dict[str, Column], means: dict[str, Column]) -> DataFrame:
@@ -38,13 +41,13 @@ def kolmogorov_smirnov(df: DataFrame, value: str, is_first: Column) -> DataFrame
     counted = value_counts(df, value).select("value", "below", "same", "n")
     first = value_counts(df.where(is_first), value).select(F.col("value"), (F.col("below") + F.col("same")).alias("fa"), F.col("n").alias("na"))
     # at each value of the union: how many of the first sample are at most it; the missing ones carry the last count on, by ranges of the rank
-    both = counted.join(first, "value", "left").withColumn("rng", F.floor(F.col("below") / 65_536.0))
-    w = Window.partitionBy("rng").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    both = counted.join(first, "value", "left").withColumn("__r", F.floor(F.col("below") * RANGES / F.col("n")))
+    w = Window.partitionBy("__r").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     held = both.withColumn("fa", F.last("fa", ignorenulls=True).over(w))
-    lasts = both.groupBy("rng").agg(F.max("fa").alias("top"))
-    carried = lasts.withColumn("before", F.last("top", ignorenulls=True).over(Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1))).select("rng", "before")
+    lasts = both.groupBy("__r").agg(F.max("fa").alias("top"))
+    carried = lasts.withColumn("before", F.last("top", ignorenulls=True).over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))).select("__r", "before")
     total = first.agg(F.max("na").alias("na"))
-    at = held.join(F.broadcast(carried), "rng").withColumn("na", total.scalar())
+    at = held.join(F.broadcast(carried), "__r").withColumn("na", total.scalar())  # as many rows as ranges
     a = F.coalesce("fa", "before", F.lit(0)) / F.col("na")
     b = (F.col("below") + F.col("same") - F.coalesce("fa", "before", F.lit(0))) / (F.col("n") - F.col("na"))
     return at.agg(F.max(F.abs(a - b)).alias("ks_statistic"), F.max("na").alias("n1"), F.max(F.col("n") - F.col("na")).alias("n2"))
@@ -59,12 +62,21 @@ def kolmogorov_p(d: float, n: float) -> float:
 
 
 def gini(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Gini coefficient per group; values are shifted to be non-negative, all zero gives 0, no values NULL."""
-    rows = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*by).orderBy("v")
-    low = rows.groupBy(*by).agg(F.least(F.min(value), F.lit(0.0)).alias("__low"))
-    ranked = rows.join(low, by).select(*by, (F.col(value) - F.col("__low")).alias("v")).withColumn("i", F.row_number().over(w))
-    s = ranked.groupBy(*by).agg(F.sum("v").alias("total"), F.sum(F.col("i") * F.col("v")).alias("weighted"), F.count("*").cast("double").alias("n"))
+    """Gini coefficient per group; values are shifted to be non-negative, all zero gives 0, no values NULL.
+
+    Equal values are counted before they are ordered, and the values of a group are ordered in ranges, so that a group with
+    a third of all rows is spread over many tasks.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__x")).agg(F.count("*").alias("__c"))
+    ranged = with_range(rows, F.col("__x").cast("double"))
+    along = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    per = ranged.groupBy(*by, "__r").agg(F.sum("__c").alias("__n"), F.min("__x").alias("__m"))
+    per = per.select(*by, "__r", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__before"), F.least(F.min("__m").over(Window.partitionBy(*by)), F.lit(0.0)).alias("__low"))
+    joined = ranged.join(per, [*by, "__r"]) if not by else ranged.alias("a").join(per.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "__r"]]).select("a.*", "b.__before", "b.__low")
+    inner = Window.partitionBy(*by, "__r").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
+    i = F.col("__before") + F.coalesce(F.sum("__c").over(inner), F.lit(0)) + (F.col("__c") + 1) / 2.0  # mean place of equal values
+    ranked = joined.select(*by, (F.col("__x") - F.col("__low")).alias("v"), i.alias("i"), "__c")
+    s = ranked.groupBy(*by).agg(F.sum(F.col("v") * F.col("__c")).alias("total"), F.sum(F.col("i") * F.col("v") * F.col("__c")).alias("weighted"), F.sum("__c").cast("double").alias("n"))
     g = 2 * F.col("weighted") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")
     return s.select(*by, F.when(F.col("total") == 0, F.lit(0.0)).otherwise(g).alias("gini"))
 

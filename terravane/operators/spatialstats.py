@@ -1,7 +1,8 @@
 """Spatial association with permutation significance, on a k-nearest-neighbour list.
 
 A permutation orders all ids by a hash of (number, id) and gives the value of the n-th id in id order to the n-th in hash
-order, so it needs no random stream and is the same on any cluster. Permutations are spread over tasks by their number.
+order, so it needs no random stream and is the same on any cluster. The hash order is counted in BUCKETS of leading digits
+and shifted by the rows of the buckets before, so no task sorts a whole permutation.
 """
 
 from __future__ import annotations
@@ -10,7 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terravane.operators.ranking import numbered
+
 ALPHA = 0.05
+DIGITS = 3
+BUCKETS = 16**DIGITS
 
 
 def standardized(points: DataFrame, value: str, out: str) -> DataFrame:
@@ -20,11 +25,14 @@ def standardized(points: DataFrame, value: str, out: str) -> DataFrame:
 
 def permuted(points: DataFrame, columns: list[str], permutations: int) -> DataFrame:
     """(perm, id, columns): ``columns`` moved between ids, once per permutation."""
-    perms = points.select("id").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    order = perms.withColumn("pos", F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat(F.col("perm").cast("string"), F.lit(":"), F.col("id").cast("string"))))))
-    home = perms.withColumn("pos", F.row_number().over(Window.partitionBy("perm").orderBy("id"))).withColumnRenamed("id", "to")
-    drawn = order.join(points.select("id", *columns), "id")
-    return drawn.join(home, ["perm", "pos"]).select("perm", F.col("to").alias("id"), *columns)
+    home = numbered(points.select("id"), "id", "pos").select(F.col("id").alias("to"), "pos")
+    drawn = points.select("id", *columns).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    drawn = drawn.withColumn("__h", F.md5(F.concat(F.col("perm").cast("string"), F.lit(":"), F.col("id").cast("string")))).withColumn("__b", F.substring("__h", 1, DIGITS))
+    along = Window.partitionBy("perm").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = drawn.groupBy("perm", "__b").agg(F.count("*").alias("__n")).select("perm", "__b", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("perm", "__b").orderBy("__h")
+    placed = drawn.withColumn("__in", F.row_number().over(within)).join(before, ["perm", "__b"]).withColumn("pos", F.col("__before") + F.col("__in") - 1)
+    return placed.join(home, "pos").select("perm", F.col("to").alias("id"), *columns)
 
 
 def lag(edges: DataFrame, values: DataFrame, value: str, by: list[str], out: str) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from terravane.functions.stats import MAD_SIGMA, quantile
 
 SEVERITY = ("info", "medium", "high", "critical")
-GROUPS = ("social", "economic", "environmental", "infrastructure", "land_use", "satellite", "climate", "events")
 
 
 def _away(middle: str) -> Callable[[Column], Column]:
@@ -177,7 +176,8 @@ def monitoring_change(runs: DataFrame, key: str, order: str, metrics: dict[str,
         mad = F.when(n > 0, (F.try_element_at(middle, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(middle, F.floor(n / 2).cast("int") + 1)) / 2)
         s = s.withColumn(f"__d_{m}", F.abs(F.col(m) - F.col(f"__m_{m}")) / F.greatest(MAD_SIGMA * mad, 0.10 * F.abs(F.col(f"__m_{m}")), F.lit(floor)))
         devs.append(F.col(f"__d_{m}"))
-    score = reduce(lambda a, b: a + b, [F.least(F.coalesce(d, F.lit(0.0)) / 5, F.lit(1.0)) for d in devs]) / len(devs)
+    told = F.array_compact(F.array(*[F.least(d / 5, F.lit(1.0)) for d in devs]))  # metrics missing now or before take no part
+    score = F.coalesce(F.aggregate(told, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(told), F.lit(0)), F.lit(0.0))
     signals = reduce(lambda a, b: a + b, [F.coalesce(d >= limit, F.lit(False)).cast("int") for d in devs])
     ready = F.col("__k") >= least
     worst = F.greatest(*devs, F.lit(0.0))
