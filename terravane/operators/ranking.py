@@ -39,10 +39,10 @@ def _under(cuts: Column | str, value: Column) -> Column:
 
 def with_range(df: DataFrame, value: Column) -> DataFrame:
     """Adds __r, the number of cuts below the value, 0 where it is missing."""
-    cut = _with_cuts(df, {"__cuts": value}, COARSE * FINE).withColumn("__c", _under("__cuts_", value))
-    fine = _under(F.slice("__cuts", F.col("__c") * FINE + 1, F.lit(FINE - 1)), value)
+    cut = _with_cuts(df, {"__cuts": value}, COARSE * FINE).withColumn("__coarse", _under("__cuts_", value))
+    fine = _under(F.slice("__cuts", F.col("__coarse") * FINE + 1, F.lit(FINE - 1)), value)
     known = F.col("__cuts").isNotNull() & value.isNotNull()
-    return cut.withColumn("__r", F.when(known, F.col("__c") * FINE + fine).otherwise(F.lit(0))).drop("__cuts", "__cuts_", "__c")
+    return cut.withColumn("__r", F.when(known, F.col("__coarse") * FINE + fine).otherwise(F.lit(0))).drop("__cuts", "__cuts_", "__coarse")
 
 
 def offsets(counted: DataFrame, by: list[str], n: str) -> DataFrame:
