@@ -115,6 +115,30 @@ def per_neighbourhood(df: DataFrame, columns: list[str], k: int, score: Callable
     """(id, out): ``score`` of each row's k nearest other rows; NULL for a row without all its features.
 
     ``score`` takes the vectors (rows, neighbours, columns) and how many rows each stands for (rows, neighbours).
+    """
+    names = [f"f{i}" for i in range(len(columns))]
+
+    def judged(x: np.ndarray, near: np.ndarray, used: np.ndarray, d: np.ndarray) -> dict[str, np.ndarray]:
+        return {**{c: x[:, i] for i, c in enumerate(names)}, out: score(near, used)}
+
+    kept, scores = _search(df, columns, k, judged, f"{out} double", cell_rows)
+    return kept.select("id", F.lit(None).cast("double").alias(out)) if scores is None else kept.join(scores, names, "left").select("id", out)
+
+
+def neighbour_list(df: DataFrame, columns: list[str], k: int, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (id, f0, f1, ..) and the edges (f0, .., g0, .., n, d) of distinct vectors f: n rows of the vector g at distance d are among the k nearest other rows."""
+    names, others = [f"f{i}" for i in range(len(columns))], [f"g{i}" for i in range(len(columns))]
+
+    def listed(x: np.ndarray, near: np.ndarray, used: np.ndarray, d: np.ndarray) -> dict[str, np.ndarray]:
+        i, j = np.nonzero(used > 0)
+        return {**{c: x[i, m] for m, c in enumerate(names)}, **{c: near[i, j, m] for m, c in enumerate(others)}, "n": used[i, j].astype(np.int64), "d": np.sqrt(d[i, j])}
+
+    return _search(df, columns, k, listed, ", ".join([*[f"{c} double" for c in others], "n long", "d double"]), cell_rows)
+
+
+def _search(df: DataFrame, columns: list[str], k: int, make: Callable[..., dict[str, np.ndarray]], made_schema: str, cell_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """What ``make`` gives for the neighbourhoods of blocks of distinct vectors; None where no row has all its features.
+
     The driver holds the sample and the groups' boxes, both bounded by the number of cells.
     """
     spark, names = df.sparkSession, [f"f{i}" for i in range(len(columns))]
@@ -123,7 +147,7 @@ def per_neighbourhood(df: DataFrame, columns: list[str], k: int, score: Callable
     distinct = cut(whole.groupBy(*names).agg(F.count("*").alias("w")))
     n = distinct.count()
     if not n:
-        return kept.select("id", F.lit(None).cast("double").alias(out))
+        return kept, None
     every = max(1, cell_rows // PER_CELL, n // (MAX_CELLS * PER_CELL))
     seeds = distinct.select(*names)
     if n > 64 * k:  # enough for k rows whatever the hash picks
@@ -190,17 +214,16 @@ def per_neighbourhood(df: DataFrame, columns: list[str], k: int, score: Callable
     def judge(t: pa.Table) -> pa.Table:
         x, w, order = _ordered(t, names)
         home, r = np.flatnonzero(t["home"].to_numpy()[order]), t["r"].to_numpy()[order]
-        made = np.empty(len(x))
+        made: list[pa.Table] = []
         part = Cells(x[home], LEAF).of(x[home])
         for i in range(part.max() + 1):  # a few queries at a time, on the rows that lie within their radius of their box
             own = home[part == i]
             if not len(own):
                 continue
             at, _ = _boxed(x, x[own].min(axis=0)[None], x[own].max(axis=0)[None], r[own].max(keepdims=True))
-            for q, near, used, _ in nearest(x[at], w[at], np.searchsorted(at, own), k):
-                made[at[q]] = score(x[at[near]], used)
-        return pa.table({**{c: x[home, i] for i, c in enumerate(names)}, out: made[home]})
+            for q, near, used, d in nearest(x[at], w[at], np.searchsorted(at, own), k):
+                made.append(pa.table(make(x[at[q]], x[at[near]], used, d)))
+        return pa.concat_tables(made)
 
     sent = bounded.mapInArrow(send, f"grp int, {fields}, w long, r double, home boolean")
-    scores = sent.repartition(tasks, "grp").groupBy("grp").applyInArrow(judge, f"{fields}, {out} double")
-    return kept.join(scores, names, "left").select("id", out)
+    return kept, sent.repartition(tasks, "grp").groupBy("grp").applyInArrow(judge, f"{fields}, {made_schema}")

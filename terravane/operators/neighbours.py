@@ -16,8 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terravane.functions.stats import quantile
+from terravane.operators.cleaning import robust_scale
+from terravane.operators.featurespace import neighbour_list
 from terravane.operators.graph import components
 from terravane.operators.ranking import ordinal01
+from terravane.session import cut
 
 TILE_ROWS = 1_500
 MAX_CUTS = 1_024
@@ -162,6 +166,28 @@ def lof(edges: DataFrame) -> DataFrame:
     return near.join(lrd, "i").select(F.col("i").alias("id"), (F.col("near") / F.col("lrd")).alias("lof"))
 
 
+def lof_with_value(points: DataFrame, value: str, k: int) -> DataFrame:
+    """(id, lof): local outlier factor over position and value, each scaled by its median and quartile range; points: (id, x, y, value)."""
+    columns = ["x", "y", value]
+    scaled = robust_scale(points.select("id", *columns), columns, "__z")
+    rows, edges = neighbour_list(scaled, [f"{c}__z" for c in columns], k)
+    if edges is None:
+        return rows.select("id", F.lit(None).cast("double").alias("lof"))
+    edges = cut(edges)
+    f, g = ["f0", "f1", "f2"], ["g0", "g1", "g2"]
+    reach = edges.groupBy(*f).agg(F.max("d").alias("kd")).select(*[F.col(a).alias(b) for a, b in zip(f, g)], "kd")
+    mean = lambda c: F.sum(c * F.col("n")) / F.sum("n")
+    lrd = cut(edges.join(reach, g).groupBy(*f).agg((1 / (mean(F.greatest("kd", "d")) + 1e-10)).alias("lrd")))
+    around = edges.join(lrd.select(*[F.col(a).alias(b) for a, b in zip(f, g)], F.col("lrd").alias("other")), g).groupBy(*f).agg(mean(F.col("other")).alias("near"))
+    return rows.join(around.join(lrd, f).select(*f, (F.col("near") / F.col("lrd")).alias("lof")), f, "left").select("id", "lof")
+
+
+def proximity_clusters(points: DataFrame, edges: DataFrame, k: int, times: float = 2.5) -> DataFrame:
+    """DBSCAN with a radius of ``times`` the median distance to the nearest neighbour, and 4 to 12 points to a core."""
+    nearest = edges.where("rank = 1").agg(quantile(F.col("d"), 0.5).alias("m")).first()["m"] or 0.0
+    return dbscan(points, max(times * nearest, 1e-9), max(4, min(12, k)))
+
+
 def within(points: DataFrame, radius: float) -> DataFrame:
     """(i, j, d) with i < j and d <= radius, by an equi-join on square cells of the radius: each point goes to its own cell and is met by the half of the cells around it."""
     c = points.select("id", "x", "y", F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))

@@ -27,6 +27,37 @@ def rolling_deviation(df: DataFrame, by: list[str], order: list[str], value: str
     return a.withColumn("robust_z", z).drop("__all")
 
 
+WIDEST, NARROWEST = 101, 11
+
+
+def adaptive_deviation(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """``rolling_deviation`` with a window of two fifths of the series, between NARROWEST and WIDEST readings.
+
+    Long series all have the widest window; the windows of short ones, at most WIDEST readings, are cut to their width.
+    """
+    counted = df.groupBy(*by).agg(F.count(value).alias("__n"))
+    known = df.join(counted, by)
+    width = F.least(F.lit(WIDEST), F.greatest(F.lit(NARROWEST), F.floor(F.col("__n") / 5) * 2 + 1)).cast("int")
+    known = known.withColumn("__w", width)
+    long_ = rolling_deviation(known.where(F.col("__w") == WIDEST), by, order, value, WIDEST).drop("__n", "__w")
+    w = Window.partitionBy(*by).orderBy(*order)
+    around, half, least = w.rowsBetween(-(WIDEST // 2), WIDEST // 2), F.floor(F.col("__w") / 2), F.greatest(F.lit(5), F.floor(F.col("__w") / 5))
+
+    def middle(s: DataFrame, column: str, out: str) -> DataFrame:
+        s = s.withColumn("__near", F.collect_list(F.struct("__i", F.col(column).alias("v"))).over(around))
+        s = s.withColumn("__s", F.array_sort(F.transform(F.filter("__near", lambda x: (F.abs(x["__i"] - F.col("__i")) <= half) & x["v"].isNotNull()), lambda x: x["v"])))
+        n = F.size("__s")
+        at = lambda i: F.try_element_at("__s", i.cast("int"))
+        return s.withColumn(out, F.when(n >= least, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)).drop("__near", "__s")
+
+    short = known.where(F.col("__w") < WIDEST).withColumn("__i", F.row_number().over(w))
+    short = middle(short, value, "med").withColumn("dev", F.abs(F.col(value) - F.col("med")))
+    short = middle(short, "dev", "mad")
+    whole = short.groupBy(*by).agg(quantile(F.col("dev"), 0.5).alias("__all"))
+    z = F.coalesce(F.col("dev") / (MAD_SIGMA * F.when(F.col("mad") != 0, F.col("mad"))), F.col("dev") / (F.col("__all") + 1e-12))
+    return long_.unionByName(short.join(whole, by).withColumn("robust_z", z).drop("__all", "__i", "__n", "__w"))
+
+
 def change_points(df: DataFrame, by: list[str], order: list[str], value: str, limit: float = 3.5) -> DataFrame:
     """Rows whose absolute first difference stands out against all differences of the series."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -62,10 +62,10 @@ def analyze(df: DataFrame, features: list[str], feature: str, series: str, order
     moran = spatialstats.local_moran(valued, near, "v", permutations).select("id", "local_i", "p_value", F.col("cluster").alias("lisa_cluster"))
     dens = neighbours.density(edges, k).select("id", "density_rank")
     off = valued.join(neighbours.neighbour_mean(near, valued, "v", "m"), "id").select("id", F.abs(F.col("v") - F.col("m")).alias("residual"))
-    when = temporal.rolling_deviation(scaled.where("__raw is not null").select("id", series, *order, F.col("__raw").alias("v")), [series], [*order, "id"], "v", 101).select("id", "robust_z")
+    when = temporal.adaptive_deviation(scaled.where("__raw is not null").select("id", series, *order, F.col("__raw").alias("v")), [series], [*order, "id"], "v").select("id", "robust_z")
 
     all_ = scaled
-    for part in (parts, tail, spd, shape, moran, dens, off, neighbours.lof(edges), when):
+    for part in (parts, tail, spd, shape, moran, dens, off, neighbours.lof_with_value(valued, "v", k + 1), when):
         all_ = all_.join(part, "id", "left")
     all_ = cut(all_.withColumn("__m", F.abs("local_i")))
     ranks = {"mahal": "score_mahal", "tail_score": "score_probability", "spd": "score_spd", "procrustes": "score_procrustes", "robust_z": "score_temporal", "residual": "__r1", "lof": "__r2", "__m": "__r3"}
@@ -112,7 +112,7 @@ def compare_variables(df: DataFrame, variables: list[str], series: str, order: l
                 edges = all_edges
             z = spatialstats.standardized(here, "v", "z")
             judged = neighbours.neighbour_mean(edges, here, "v", "mean").join(here, "id").join(spatialstats.lag(edges, z, "z", [], "lag"), "id").join(z.select("id", "z"), "id")
-            judged = cut(judged.join(neighbours.lof(edges), "id").select("id", F.abs(F.col("v") - F.col("mean")).alias("residual"), "lof", F.abs(F.col("z") * F.col("lag")).alias("moran")))
+            judged = cut(judged.join(neighbours.lof_with_value(here, "v", k + 1), "id").select("id", F.abs(F.col("v") - F.col("mean")).alias("residual"), "lof", F.abs(F.col("z") * F.col("lag")).alias("moran")))
             score = neighbours.density(edges, k).select("id", (0.15 * F.col("density_rank")).alias("score"))
             for column, weight in (("residual", 0.35), ("lof", 0.30), ("moran", 0.20)):
                 rank = cut(ranking.ordinal01(judged.select("id", column), column, "id", "r").select("id", (weight * F.col("r")).alias("r")))
@@ -122,7 +122,7 @@ def compare_variables(df: DataFrame, variables: list[str], series: str, order: l
         dated = valued.dropna(subset=order).select("id", series, *order, "v")
         temporal_ = 0
         if dated.count() >= 20:
-            when = cut(temporal.rolling_deviation(dated, [series], [*order, "id"], "v", 101).select("id", "robust_z"))
+            when = cut(temporal.adaptive_deviation(dated, [series], [*order, "id"], "v").select("id", "robust_z"))
             temporal_ = ranking.ordinal01(when, "robust_z", "id", "r").where("r >= 0.95").count()
         out.append((c, "ok", n, name, best["log_likelihood"], best["ks"], best["bhattacharyya"], best["fisher_rao"], probable, spatial, temporal_, edge["m"]))
     return df.sparkSession.createDataFrame(out, COMPARED)

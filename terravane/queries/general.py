@@ -153,3 +153,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p5_found"] = p5_found
+
+
+def p5_range_and_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range and run checks alone."""
+    return spikes.flag(table(spark, sf_dir, "fire_points"), table(spark, sf_dir, "field_limits"), spikes=False)
+
+
+QUERIES["p5_range_and_run"] = p5_range_and_run
+_MINUTE = r"case when regexp_matches(ACQ_TIME, '^\s*\d{1,4}(?:\.0*)?\s*$') then regexp_extract(ACQ_TIME, '(\d+)', 1)::int end"
+SQL["p5_range_and_run"] = rf"""with told as (select *, {_MINUTE} as hhmm from fire_points),
+timed as (select * exclude (hhmm), case when hhmm % 100 < 60 and hhmm < 2400 then hhmm // 100 * 60 + hhmm % 100 else -1 end as minute from told),
+once as (select min(row_id) as rid, list(row_id) as copies, any_value(minute) as m, * exclude (row_id, received_at, minute) from timed group by all),
+long as (select rid, copies, _source_file, _api_source, ACQ_DATE, m, u.field as field_name, u.v from once, lateral (select unnest([{{'field': 'FRP', 'v': FRP}}, {{'field': 'BRIGHTNESS', 'v': BRIGHTNESS}}, {{'field': 'BRIGHT_T31', 'v': BRIGHT_T31}}]) as u) where u.v is not null and not isnan(u.v)),
+placed as (select *, row_number() over w as i, case when lag(v) over w is not distinct from v then 0 else 1 end as new from long window w as (partition by _source_file, field_name order by ACQ_DATE nulls first, m, rid)),
+grouped as (select *, sum(new) over (partition by _source_file, field_name order by i) as run from placed),
+sized as (select *, count(*) over (partition by _source_file, field_name, run) as n from grouped)
+select unnest(copies) as row_id, s.field_name from sized s left join field_limits l on l.api_source = s._api_source and l.field_name = s.field_name where n >= 12 or isinf(v) or v < low_value or v > high_value"""

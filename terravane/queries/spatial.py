@@ -165,18 +165,44 @@ def dbscan(spark, d):
     return neighbours.dbscan(pts(spark, d), 0.03, 4)
 
 
-@R.add()
+_JOINT = f"""sc as (select quantile_cont(x, [0.25, 0.5, 0.75]) as qx, quantile_cont(y, [0.25, 0.5, 0.75]) as qy, quantile_cont(v, [0.25, 0.5, 0.75]) as qv from pts),
+jz as (select id, (x - qx[2]) / (qx[3] - qx[1]) as a, (y - qy[2]) / (qy[3] - qy[1]) as b, (v - qv[2]) / (qv[3] - qv[1]) as c from pts, sc),
+je as (select i, j, sqrt(d2) as d from (select p.id as i, q.id as j, (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c) as d2 from jz p join jz q on p.id <> q.id) qualify row_number() over (partition by i order by d2, j) <= {K + 1}),
+jk as (select i, max(d) as kd from je group by i), jl as (select je.i, 1 / (avg(greatest(jk.kd, je.d)) + 1e-10) as lrd from je join jk on jk.i = je.j group by je.i),
+jlof as (select je.i as id, avg(n.lrd) / any_value(o.lrd) as lof from je join jl o on o.i = je.i join jl n on n.i = je.j group by je.i)"""
+
+
+@R.add(f"with {_PTS}, {_JOINT} select id, round(lof, 6) as lof from jlof")
+def lof_with_value(spark, d):
+    return neighbours.lof_with_value(pts(spark, d), "v", K + 1).select("id", r(F.col("lof")).alias("lof"))
+
+
+@R.add(f"""with {_E}, {_JOINT}, {_Z}, res as (select pts.id, abs(v - m) as x from pts join (select i, avg(p.v) as m from e join pts p on p.id = e.j group by i) m on m.i = pts.id),
+mor as (select z.id, abs(z.z * l.lag) as x from z join (select e.i, avg(b.z) as lag from e join z b on b.id = e.j group by e.i) l on l.i = z.id), den as (select i as id, {K} / (pi() * max(d) * max(d)) as x from e group by i),
+ranked as (select res.id, (row_number() over (order by res.x, res.id) - 1) as r1, (row_number() over (order by jlof.lof, res.id) - 1) as r2, (row_number() over (order by mor.x, res.id) - 1) as r3, (row_number() over (order by den.x, res.id) - 1) as r4, count(*) over () - 1 as n from res join jlof using (id) join mor using (id) join den using (id))
+select id, round((0.35e0 * r1 + 0.30e0 * r2 + 0.20e0 * r3 + 0.15e0 * r4) / n, 6) as spatial_score from ranked""")
 def spatial_score(spark, d):
-    """.35 residual + .30 LOF + .20 |local I| + .15 density, each as a 0..1 rank."""
-    p, e = pts(spark, d), cut(edges(spark, d))
+    """.35 residual + .30 LOF of position and value + .20 |local I| + .15 density, each as a 0..1 rank."""
+    p, e = cut(pts(spark, d)), cut(edges(spark, d))
     own = p.join(neighbours.neighbour_mean(e, p, "v", "m"), "id").select("id", F.abs(F.col("v") - F.col("m")).alias("residual"))
-    moran = spatialstats.local_moran(p, e, "v", PERMS).select("id", F.abs("local_i").alias("moran"), "cluster")
-    all_ = own.join(neighbours.lof(e), "id").join(moran, "id").join(neighbours.density(e, K).select("id", "density_rank"), "id")
+    z = spatialstats.standardized(p, "v", "z")
+    moran = z.join(spatialstats.lag(e, z, "z", [], "lag"), "id").select("id", F.abs(F.col("z") * F.col("lag")).alias("moran"))
+    all_ = own.join(neighbours.lof_with_value(p, "v", K + 1), "id").join(moran, "id").join(neighbours.density(e, K).select("id", "density_rank"), "id")
     all_ = cut(all_)
-    for c in ("residual", "lof", "moran"):
-        all_ = ordinal01(all_, c, "id", f"{c}_rank")
-    score = 0.35 * F.col("residual_rank") + 0.30 * F.col("lof_rank") + 0.20 * F.col("moran_rank") + 0.15 * F.col("density_rank")
-    return all_.select("id", score.alias("spatial_score"), "cluster")
+    score = all_.select("id", (0.15 * F.col("density_rank")).alias("score"))
+    for c, weight in (("residual", 0.35), ("lof", 0.30), ("moran", 0.20)):  # each on two columns and cut, so that no plan holds all
+        rank = cut(ordinal01(all_.select("id", c), c, "id", "r").select("id", (weight * F.col("r")).alias("r")))
+        score = score.join(rank, "id").select("id", (F.col("score") + F.col("r")).alias("score"))
+    return score.select("id", r(F.col("score")).alias("spatial_score"))
+
+
+@R.add(f"""with recursive {_E}, eps as (select 2.5e0 * quantile_cont(d, 0.5) as eps from e where rank = 1), near as (select a.id as i, b.id as j from pts a join pts b on a.id <> b.id, eps where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= eps),
+core as (select i as id from near group by i having count(*) + 1 >= {K}), link as (select i, j from near where i in (select id from core) and j in (select id from core)),
+reach(id, c) as (select id, id from core union select link.j, reach.c from reach join link on link.i = reach.id), label as (select id, min(c) as c from reach group by id),
+rim as (select n.i as id, min(l.c) as c from near n join label l on l.id = n.j group by n.i) select pts.id, coalesce(label.c, rim.c, -1) as cluster from pts left join label using (id) left join rim using (id)""")
+def proximity_clusters(spark, d):
+    p, e = cut(pts(spark, d)), cut(edges(spark, d))
+    return neighbours.proximity_clusters(p, e, K)
 
 
 # graphs over the customer points

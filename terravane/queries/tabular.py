@@ -214,3 +214,14 @@ def event_stats(spark, d):
 def random_sample(spark, d):
     """Sampling without replacement: the rows of the smallest hashes, a bounded heap per task."""
     return table(spark, d, "fire_points").select("row_id", finite(F.col("FRP")).alias("frp")).orderBy(F.md5(F.col("row_id").cast("string"))).limit(200)
+
+
+@R.add("""with o as (select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) as i, count(*) over (partition by user_id) as n from events),
+w as (select *, least(101, greatest(11, n // 5 * 2 + 1)) as w from o), m as (select a.user_id, a.i, a.value, a.w, case when count(b.value) >= greatest(5, a.w // 5) then quantile_cont(b.value, 0.5) end as med from w a join w b on a.user_id = b.user_id and abs(a.i - b.i) <= a.w // 2 group by a.user_id, a.i, a.value, a.w),
+d as (select *, abs(value - med) as dev from m), k as (select a.user_id, a.i, a.dev, case when count(b.dev) >= greatest(5, a.w // 5) then quantile_cont(b.dev, 0.5) end as mad from d a join d b on a.user_id = b.user_id and abs(a.i - b.i) <= a.w // 2 group by a.user_id, a.i, a.dev, a.w),
+g as (select user_id, quantile_cont(dev, 0.5) as whole from d group by 1)
+select o.event_id, round(coalesce(dev / (1.4826e0 * nullif(mad, 0)), dev / (whole + 1e-12)), 6) as robust_z from k join o on o.user_id = k.user_id and o.i = k.i join g on g.user_id = k.user_id""")
+def temporal_deviation(spark, d):
+    """Robust deviation of each event from its user's course, with a window as wide as the series allows."""
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "value")
+    return temporal.adaptive_deviation(e, ["user_id"], ["ts", "event_id"], "value").select("event_id", r(F.col("robust_z")).alias("robust_z"))
