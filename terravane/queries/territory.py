@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from terravane.common import instant_us, object_key, table
 from terravane.functions import raster
+from terravane.functions.planar import RELATIONS
 from terravane.operators import core, geometry, nearby, temporal, territory
+from terravane.operators import overlay as planes
 from terravane.operators.history import encode
 from terravane.plans import semantics
 from terravane.queries.general import PERIODS_SQL, fire_positions, object_versions
@@ -257,3 +259,87 @@ def property_intelligence(spark, d):
     h = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("n"), F.col("o_totalprice").alias("value"))
     out = core.property_intelligence(n, nearby.near_pairs(n, 4_000.0), h)
     return out.select("id", *[r(F.col(c)).alias(c) for c in ("nearest_km", "density", "connectivity")], "nearby")
+
+
+_LEFT_SHAPES = "ls as (select c_custkey as id, c_custkey % 3 as kind, c_custkey * 37 % 101 as x0, c_custkey * 91 % 103 as y0, c_custkey * 37 % 101 + case when c_custkey % 3 = 2 then 0 else 1 + c_custkey % 4 end as x1, c_custkey * 91 % 103 + case when c_custkey % 3 = 0 then 1 + c_custkey % 5 else 0 end as y1 from customer)"
+_RIGHT_SHAPES = "rs as (select s_suppkey as id, s_suppkey * 53 % 97 as x0, s_suppkey * 71 % 89 as y0, s_suppkey * 53 % 97 + 1 + s_suppkey % 7 as x1, s_suppkey * 71 % 89 + 1 + s_suppkey % 5 as y1 from supplier)"
+# rectangles (kind 0), level lines (1) and points (2) on a grid, against rectangles
+_RELATED = f"""{_LEFT_SHAPES}, {_RIGHT_SHAPES}, met as (select l.id as left_id, r.id as right_id, kind, (l.x0 < r.x1 and l.x1 > r.x0 and l.y0 < r.y1 and l.y1 > r.y0) as ii,
+ (l.x0 >= r.x0 and l.x1 <= r.x1 and l.y0 >= r.y0 and l.y1 <= r.y1) as cov, (kind = 0 and l.x0 <= r.x0 and l.x1 >= r.x1 and l.y0 <= r.y0 and l.y1 >= r.y1) as cvs from ls l join rs r on l.x0 <= r.x1 and l.x1 >= r.x0 and l.y0 <= r.y1 and l.y1 >= r.y0)"""
+
+
+def _boxes(df, x0, y0, x1, y1, kind):
+    text = F.when(kind == 0, F.format_string("POLYGON ((%d %d, %d %d, %d %d, %d %d, %d %d))", x0, y0, x1, y0, x1, y1, x0, y1, x0, y0))
+    text = text.when(kind == 1, F.format_string("LINESTRING (%d %d, %d %d)", x0, y0, x1, y1)).otherwise(F.format_string('{"type": "Point", "coordinates": [%d, %d]}', x0, y0))
+    return df.select("id", text.alias("geometry"))
+
+
+def grid_shapes(spark, d):
+    c, s = table(spark, d, "customer").withColumnRenamed("c_custkey", "id"), table(spark, d, "supplier").withColumnRenamed("s_suppkey", "id")
+    k = F.col("id")
+    x, y, u, v = k * 37 % 101, k * 91 % 103, k * 53 % 97, k * 71 % 89
+    left = _boxes(c, x, y, x + F.when(k % 3 == 2, 0).otherwise(1 + k % 4), y + F.when(k % 3 == 0, 1 + k % 5).otherwise(0), k % 3)
+    return left, _boxes(s, u, v, u + 1 + k % 7, v + 1 + k % 5, F.lit(0))
+
+
+@R.add(f"""with {_RELATED} select left_id, right_id, p as predicate from met, (values ('intersects'), ('within'), ('contains'), ('covers'), ('covered_by'), ('crosses'), ('touches'), ('overlaps')) t(p)
+where case p when 'intersects' then true when 'within' then cov and ii when 'contains' then cvs when 'covers' then cvs when 'covered_by' then cov when 'crosses' then kind = 1 and ii and not cov when 'touches' then not ii else kind = 0 and ii and not cov and not cvs end""")
+def spatial_predicates(spark, d):
+    """Every relation between rectangles, lines and points of one table and rectangles of another."""
+    told = planes.relations(*grid_shapes(spark, d))
+    names = F.array_compact(F.array(*[F.when(F.col(p), F.lit(p)) for p in RELATIONS]))
+    return told.select("left_id", "right_id", F.explode(names).alias("predicate"))
+
+
+@R.add(f"with {_RELATED} select ls.id as left_id, coalesce(met.right_id, -1) as right_id from ls left join met on met.left_id = ls.id and cov and ii")
+def spatial_left_join(spark, d):
+    return planes.spatial_join(*grid_shapes(spark, d), predicate="within", how="left").fillna(-1, ["right_id"])
+
+
+@R.add(f"""with {_LEFT_SHAPES}, {_RIGHT_SHAPES} select l.id as left_id, r.id as right_id, ((least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)))::double as area
+from ls l join rs r on l.x0 < r.x1 and l.x1 > r.x0 and l.y0 < r.y1 and l.y1 > r.y0 where kind = 0""")
+def overlay_intersection(spark, d):
+    left, right = grid_shapes(spark, d)
+    return planes.overlay(left, right).select("left_id", "right_id", r(F.col("area")).alias("area"))
+
+
+_STRIP = (-62.0, -48.0)
+
+
+@R.add(f"""with parts as (select id, unnest(case when geometry_json->>'type' = 'MultiPolygon' then from_json(geometry_json->'coordinates', '["JSON"]') else [geometry_json->'coordinates'] end) as poly from layers),
+rings as (select id, row_number() over () as part, poly from parts where json_array_length(poly) > 0), ring as (select id, part, unnest(from_json(poly, '[[["DOUBLE"]]]')) as ring, generate_subscripts(from_json(poly, '[[["DOUBLE"]]]'), 1) as nth from rings),
+edge as (select id, part, nth, ring[k][1] as ax, ring[k][2] as ay, ring[k % len(ring) + 1][1] as ex, ring[k % len(ring) + 1][2] as ey from (select *, unnest(range(1, len(ring) + 1)) as k from ring)),
+cut as (select *, least(greatest(ax, {_STRIP[0]}), {_STRIP[1]}) as u, least(greatest(ex, {_STRIP[0]}), {_STRIP[1]}) as v from edge),
+piece as (select id, part, nth, abs(sum(case when ax = ex then 0 else (v - u) * (ay + (u - ax) * (ey - ay) / (ex - ax) + ay + (v - ax) * (ey - ay) / (ex - ax)) / 2 end)) as a from cut group by all)
+select id as left_id, round(sum(case when nth = 1 then a else -a end), 6) as area from piece group by 1 having sum(case when nth = 1 then a else -a end) > 1e-9""")
+def overlay_strip(spark, d):
+    """Area of each layer within a strip of longitudes, holes taken off."""
+    layers = table(spark, d, "layers").select("id", F.col("geometry_json").alias("geometry"))
+    a, b = _STRIP
+    strip = spark.createDataFrame([(1, f"POLYGON (({a} -89, {b} -89, {b} 89, {a} 89, {a} -89))")], "id long, geometry string")
+    return planes.overlay(layers, strip).select("left_id", r(F.col("area")).alias("area"))
+
+
+@R.add(f"""with {_LEFT_SHAPES}, {_RIGHT_SHAPES}, t as (select distinct l.id, a, b from ls l left join rs r on l.x0 < r.x1 and l.x1 > r.x0 and l.y0 < r.y1 and l.y1 > r.y0, lateral (select unnest(range(l.x0, l.x1)) as a) x, lateral (select unnest(range(l.y0, l.y1)) as b) y
+ where kind = 0 and not exists (select 1 from rs q where q.x0 <= a and q.x1 > a and q.y0 <= b and q.y1 > b)) select id as left_id, count(*)::double as area from t group by 1""")
+def overlay_difference(spark, d):
+    """What is left of each rectangle without those of the other table."""
+    left, right = grid_shapes(spark, d)
+    return planes.overlay(left.where(F.col("geometry").startswith("POLYGON")), right, "difference").select("left_id", r(F.col("area")).alias("area"))
+
+
+@R.add(f"with {_LEFT_SHAPES} select id, round(case kind when 0 then (x1 - x0) * (y1 - y0) + 2 * 0.75e0 * (x1 - x0 + y1 - y0) else 2 * 0.75e0 * (x1 - x0) end + 16 * 0.75e0 * 0.75e0 * sin(2 * pi() / 32), 6) as area from ls")
+def corridor_buffers(spark, d):
+    """Areas of the buffers of rectangles, lines and points, with circles of 32 corners."""
+    left, _ = grid_shapes(spark, d)
+    return planes.buffers(left, 0.75).select("id", r(F.col("area")).alias("area"))
+
+
+@R.add("select c_custkey as id, round((1 + c_custkey % 5) * (1 + c_custkey % 3) / case when c_custkey % 2 = 0 then 2e0 else 1e0 end, 6) as area, c_custkey % 2 <> 0 as was_valid from customer")
+def repaired_rings(spark, d):
+    """Rectangles, every other one with two corners exchanged, so that its ring crosses itself."""
+    k = F.col("c_custkey")
+    w, h = 1 + k % 5, 1 + k % 3
+    sound, crossed = F.format_string("POLYGON ((0 0, %d 0, %d %d, 0 %d, 0 0))", w, w, h, h), F.format_string("POLYGON ((0 0, %d %d, %d 0, 0 %d, 0 0))", w, h, w, h)
+    rows = table(spark, d, "customer").select(k.alias("id"), F.when(k % 2 == 0, crossed).otherwise(sound).alias("geometry"))
+    return planes.repaired(rows).select("id", r(F.col("area")).alias("area"), "was_valid")
