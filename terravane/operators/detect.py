@@ -109,14 +109,6 @@ def feature_spd(df: DataFrame, columns: list[str], k: int = 25, out: str = "spd"
     return per_neighbourhood(df, columns, near, score, out)
 
 
-def procrustes_disparity(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = a - a.mean(axis=0), b - b.mean(axis=0)
-    na, nb = np.linalg.norm(a), np.linalg.norm(b)
-    if na == 0 or nb == 0:
-        return 1.0
-    return float(1 - np.linalg.svd((a / na).T @ (b / nb), compute_uv=False).sum() ** 2)
-
-
 def procrustes(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, procrustes): disparity of each neighbourhood, the point itself included, from the component-wise median shape."""
     p = points.select("id", "x", "y")
@@ -128,12 +120,19 @@ def procrustes(points: DataFrame, edges: DataFrame) -> DataFrame:
     flat = cloud.select("i", F.posexplode("c").alias("pos", "e"), scale.alias("s")).select("i", "pos", (F.col("e.dx") / F.col("s")).alias("dx"), (F.col("e.dy") / F.col("s")).alias("dy"))
     ref = [(r["pos"], r["x"], r["y"]) for r in flat.groupBy("pos").agg(quantile(F.col("dx"), 0.5).alias("x"), quantile(F.col("dy"), 0.5).alias("y")).collect()]  # k+1 rows
     shape = np.array([[x, y] for _, x, y in sorted(ref)])
-
-    @F.pandas_udf("double")
-    def score(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([procrustes_disparity(shape, np.stack([x, y], axis=1)) if len(x) == len(shape) else 1.0 for x, y in zip(xs, ys)])
-
-    return cloud.select(F.col("i").alias("id"), score(F.transform("c", lambda e: e["dx"]), F.transform("c", lambda e: e["dy"])).alias("procrustes"))
+    if not len(shape) or np.allclose(shape, shape.mean(axis=0)):
+        return cloud.select(F.col("i").alias("id"), F.lit(1.0).alias("procrustes"))
+    shape = shape - shape.mean(axis=0)
+    shape = shape / np.linalg.norm(shape)
+    # of two centred shapes of size 1 the disparity is 1 less the squared sum of the singular values of their 2 x 2 product
+    at = lambda c: F.element_at(F.array(*[F.lit(float(v)) for v in shape[:, c]]), F.col("pos") + 1)
+    sums = {f"m{c}{n}": F.sum(at(c) * F.col(n)) for c in (0, 1) for n in ("dx", "dy")}
+    size = lambda c: F.sum(F.col(c) * F.col(c)) - F.sum(c) * F.sum(c) / F.count("*")
+    told = flat.where(F.col("pos") < len(shape)).groupBy("i").agg(*[v.alias(k) for k, v in sums.items()], (size("dx") + size("dy")).alias("norm"), F.count("*").alias("n"))
+    squares = F.col("m0dx") * F.col("m0dx") + F.col("m0dy") * F.col("m0dy") + F.col("m1dx") * F.col("m1dx") + F.col("m1dy") * F.col("m1dy")
+    singular = squares + 2 * F.abs(F.col("m0dx") * F.col("m1dy") - F.col("m0dy") * F.col("m1dx"))
+    fit = F.when((F.col("n") == len(shape)) & (F.col("norm") > 1e-24), 1 - singular / F.col("norm")).otherwise(F.lit(1.0))
+    return told.select(F.col("i").alias("id"), fit.alias("procrustes"))
 
 
 def ensemble(df: DataFrame, weights: dict[str, float], levels: tuple[float, ...] = (0.90, 0.95, 0.99)) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Nearest joins, buffers, clipping and projection."""
+"""Nearest joins, buffers of points and projection."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravane.functions.geo import EARTH_M, haversine_m, haversine_np, polygons
+from terravane.functions.geo import EARTH_M, haversine_m, haversine_np
 
 MAX_RIGHT = 50_000
 
@@ -69,50 +69,6 @@ def point_buffer(lat: Column, lon: Column, radius_m: float, corners: int = 64) -
     return F.concat(F.lit("POLYGON (("), F.array_join(ring, ", "), F.lit("))"))
 
 
-def clip_convex(ring: np.ndarray, clip: np.ndarray) -> np.ndarray:
-    """Part of a ring inside a convex counter-clockwise ring (Sutherland and Hodgman 1974)."""
-    out = [tuple(p) for p in ring]
-    for (ax, ay), (bx, by) in zip(clip, np.roll(clip, -1, axis=0)):
-        side = lambda p, ax=ax, ay=ay, bx=bx, by=by: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)
-        made = []
-        for p, q in zip(out, out[1:] + out[:1]):
-            u, v = side(p), side(q)
-            if u >= 0:
-                made.append(p)
-            if (u > 0 > v) or (u < 0 < v):
-                t = u / (u - v)
-                made.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        out = made
-        if not out:
-            break
-    return np.array(out)
-
-
-def area(ring: np.ndarray) -> float:
-    if len(ring) < 3:
-        return 0.0
-    x, y = ring[:, 0], ring[:, 1]
-    return float(abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2)
-
-
-def clipped(regions: DataFrame, clip: list[tuple[float, float]]) -> DataFrame:
-    """(region_id, area_inside, area_total) in square degrees of the parts of each region within a convex polygon; holes are taken off."""
-    box = np.array(clip, float)
-    if area(box) and ((box[:, 0] * np.roll(box[:, 1], -1) - np.roll(box[:, 0], -1) * box[:, 1]).sum() < 0):
-        box = box[::-1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            inside, total = [], []
-            for text in b["geojson"].to_pylist():
-                shapes = polygons(text)
-                inside.append(sum(area(clip_convex(p[0], box)) - sum(area(clip_convex(h, box)) for h in p[1:]) for p in shapes))
-                total.append(sum(area(p[0]) - sum(area(h) for h in p[1:]) for p in shapes))
-            yield pa.RecordBatch.from_arrays([b["region_id"], pa.array(inside, pa.float64()), pa.array(total, pa.float64())], ["region_id", "area_inside", "area_total"])
-
-    return regions.select("region_id", "geojson").mapInArrow(run, "region_id long, area_inside double, area_total double")
-
-
 def utm_zone(lon: Column) -> Column:
     return F.least(F.greatest(F.floor((lon + 180) / 6) + 1, F.lit(1)), F.lit(60)).cast("int")
 

@@ -9,7 +9,7 @@ from terravane.functions.distributions import central_areas, inflections
 from terravane.operators import detect, fitting, geometry, neighbours, ranking
 from terravane.plans import analysis
 from terravane.queries.registry import Registry
-from terravane.queries.spatial import edges, pts
+from terravane.queries.spatial import _knn_sql, edges, pts
 from terravane.queries.tabular import MEASURES, r, wgs
 from terravane.session import cut
 
@@ -53,13 +53,26 @@ def fisher_rao_norm(spark, d):
     return _distances(spark, d).select(r(F.col("fisher_rao"), 9).alias("fisher_rao"))
 
 
-@R.add("""with s as (select min(p_retailprice) as a, avg(p_retailprice) as m, count(*)::double as n from part), g as (select p_retailprice as v, count(*) as c from part group by 1), k as (select v, sum(c) over (order by v) as hi, sum(c) over (order by v) - c as lo from g)
-select round(max(greatest(abs(1 - exp(-(v - a) / (m - a)) - lo / n), abs(1 - exp(-(v - a) / (m - a)) - hi / n))), 9) as ks_statistic, max(n)::bigint as n from k, s""")
+@R.add("""with s as (select min(p_retailprice) as a, avg(p_retailprice) as m, count(*)::double as n from part), g as (select p_retailprice as v, count(*) as c from part group by 1), k as (select v, sum(c) over (order by v) as hi, sum(c) over (order by v) - c as lo from g), d as (select max(greatest(abs(1 - exp(-(v - a) / (m - a)) - lo / n), abs(1 - exp(-(v - a) / (m - a)) - hi / n))) as d, max(n) as n from k, s), t as (select d, n, (sqrt(n) + 0.12e0 + 0.11e0 / sqrt(n)) * d as t from d)
+select round(d, 9) as ks_statistic, n::bigint as n, round(greatest(0, least(1, list_sum([2 * case when j % 2 = 1 then 1 else -1 end * exp(-2e0 * j * j * t * t) for j in range(1, 101)]))), 9) as ks_pvalue from t""")
 def ks_expon(spark, d):
     s = price(spark, d).agg(F.min("p_retailprice").alias("a"), F.avg("p_retailprice").alias("m"))
     a, m = s.select("a").scalar(), s.select("m").scalar()
     out = fitting.ks_distance(price(spark, d), "p_retailprice", 1 - F.exp(-(F.col("value") - a) / (m - a)))
-    return out.select(r(F.col("ks_statistic"), 9).alias("ks_statistic"), "n")
+    return out.select(r(F.col("ks_statistic"), 9).alias("ks_statistic"), "n", r(F.col("ks_pvalue"), 9).alias("ks_pvalue"))
+
+
+@R.add("""with s as (select min(p_retailprice) as a, avg(p_retailprice) - min(p_retailprice) as k, max(p_retailprice) as b, quantile_cont(p_retailprice, 0.5) as med from part), u as (select avg(abs(p_retailprice - med)) as mad from part, s),
+c as (select p_partkey, unnest([{'d': 'expon', 'f': 1 - exp(-(p_retailprice - a) / k)}, {'d': 'uniform', 'f': (p_retailprice - a) / (b - a)}, {'d': 'laplace', 'f': case when p_retailprice < med then exp((p_retailprice - med) / mad) / 2 else 1 - exp(-(p_retailprice - med) / mad) / 2 end}]) as x from part, s, u)
+select p_partkey, x.d as distribution, round(greatest(2 * least(x.f, 1 - x.f), 1e-15), 9) as tail_area from c""")
+def analytic_tails(spark, d):
+    """Two-sided tail areas from closed distribution functions."""
+    fits = {x["distribution"]: (x["loc"], x["scale"]) for x in fitting.closed_form(price(spark, d), "p_retailprice").collect()}
+    out = None
+    for name in ("expon", "uniform", "laplace"):
+        one = fitting.analytic_tail(price(spark, d), "p_retailprice", name, fits[name]).select("p_partkey", F.lit(name).alias("distribution"), r(F.col("tail_area"), 9).alias("tail_area"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @R.add("""with s as (select count(*)::double as n, avg(p_retailprice) as m, stddev_pop(p_retailprice) as sd, min(p_retailprice) as a, max(p_retailprice) as b, quantile_cont(p_retailprice, 0.5) as med from part), t as (select avg(abs(p_retailprice - med)) as mad from part, s),
@@ -83,10 +96,12 @@ def quadrature_tail_expon(spark, d):
     return out.where(F.col("tail_area") > 2e-6).select("p_partkey", r(F.col("tail_area"), 8).alias("tail_area"), r(F.col("tail_score"), 4).alias("tail_score"))
 
 
-@R.add()
+@R.add("""with s as (select avg(p_retailprice) as m, stddev_pop(p_retailprice) as s from part)
+select percent::int as percent, round(m - z * s, 4) as lower, round(m + z * s, 4) as upper, round(percent / 100e0, 7) as area from s, (values (90, 1.6448536269514722e0), (95, 1.959963984540054e0), (99, 2.5758293035489004e0)) t(percent, z)""")
 def interval_areas(spark, d):
     m, s = _norm(spark, d)
-    return spark.createDataFrame(central_areas("norm", (m, s)), "percent int, lower double, upper double, area double, error double")
+    out = spark.createDataFrame(central_areas("norm", (m, s)), "percent int, lower double, upper double, area double, error double")
+    return out.select("percent", r(F.col("lower"), 4).alias("lower"), r(F.col("upper"), 4).alias("upper"), r(F.col("area"), 7).alias("area"))
 
 
 @R.add()
@@ -123,9 +138,13 @@ def spd_score(spark, d):
     return detect.feature_spd(pts(spark, d), ["x", "y", "v", "u"])
 
 
-@R.add()
+@R.add(f"""with {_knn_sql(11)}, o as (select e.i, b.x - a.x as dx, b.y - a.y as dy, j from e join pts a on a.id = e.i join pts b on b.id = e.j union all select id, 0e0, 0e0, -1 from pts),
+f as (select i, row_number() over (partition by i order by atan2(dy, dx), j) as k, dx / sqrt(sum(dx * dx + dy * dy) over (partition by i)) as x, dy / sqrt(sum(dx * dx + dy * dy) over (partition by i)) as y from o),
+r0 as (select k, quantile_cont(x, 0.5) as x, quantile_cont(y, 0.5) as y from f group by k), r1 as (select k, x - avg(x) over () as x, y - avg(y) over () as y from r0), ref as (select k, x / sqrt(sum(x * x + y * y) over ()) as x, y / sqrt(sum(x * x + y * y) over ()) as y from r1),
+m as (select i, sum(ref.x * f.x) as a, sum(ref.x * f.y) as b, sum(ref.y * f.x) as c, sum(ref.y * f.y) as d, sum(f.x * f.x + f.y * f.y) - (sum(f.x) * sum(f.x) + sum(f.y) * sum(f.y)) / count(*) as n from f join ref using (k) group by i)
+select i as id, round(1 - (a * a + b * b + c * c + d * d + 2 * abs(a * d - b * c)) / n, 6) as procrustes from m""")
 def procrustes_score(spark, d):
-    return detect.procrustes(pts(spark, d), edges(spark, d, 11))
+    return detect.procrustes(pts(spark, d), edges(spark, d, 11)).withColumn("procrustes", r(F.col("procrustes")))
 
 
 _PARTS = ["score_mahal", "score_probability", "score_temporal"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terravane.common import instant_us, object_key, table
 from terravane.functions import raster
+from terravane.functions.geo import EARTH_M
 from terravane.functions.planar import RELATIONS
 from terravane.operators import core, geometry, nearby, temporal, territory
 from terravane.operators import overlay as planes
@@ -219,29 +222,44 @@ def within_join(spark, d):
     return nearby.containing(fire_positions(spark, d), layers, max_regions=0)
 
 
-@R.add()
+_ARC = f"{500.0 / EARTH_M!r}"
+
+
+@R.add(f"""with w as ({WGS_SQL}), c as (select c_custkey, k, radians(lat) as p, radians(lon) as l, (k % 64) * {2 * math.pi / 64!r} as t from w, range(65) g(k)),
+y as (select *, asin(sin(p) * cos({_ARC}) + cos(p) * sin({_ARC}) * cos(t)) as y from c)
+select c_custkey, 'POLYGON ((' || string_agg(printf('%.6f %.6f', degrees(l + atan2(sin(t) * sin({_ARC}) * cos(p), cos({_ARC}) - sin(p) * sin(y))), degrees(y)), ', ' order by k) || '))' as wkt from y group by 1""")
 def metric_buffer(spark, d):
     w = wgs(spark, d)
     return w.select("c_custkey", geometry.point_buffer(w.lat, w.lon, 500.0).alias("wkt"))
 
 
-@R.add()
-def overlay(spark, d):
-    layers = table(spark, d, "layers").select(F.col("id").alias("region_id"), F.col("geometry_json").alias("geojson"))
-    return geometry.clipped(layers, [(-75.0, -30.0), (-45.0, -30.0), (-40.0, 0.0), (-60.0, 12.0)])
+_N = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+_RADIUS, _ECC = 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64), 2 * _N**0.5 / (1 + _N)
+_EAST = " + ".join(["eta", *(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))])
+_NORTH = " + ".join(["xi", *(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))])
 
 
-@R.add()
+@R.add(f"""with w as ({WGS_SQL}), t as (select c_custkey, lon, radians(lon + 75) as dl, sinh(atanh(sin(radians(lat))) - {_ECC!r} * atanh({_ECC!r} * sin(radians(lat)))) as t from w),
+k as (select c_custkey, lon, atan2(t, cos(dl)) as xi, atanh(sin(dl) / sqrt(1 + t * t)) as eta from t)
+select c_custkey, (floor((lon + 180) / 6) + 1)::int as zone, round(({_EAST}) * {0.9996 * _RADIUS!r} + 500000, 4) as easting, round(({_NORTH}) * {0.9996 * _RADIUS!r}, 4) as northing from k""")
 def utm_points(spark, d):
     w = wgs(spark, d)
     x, y = geometry.utm(w.lat, w.lon, 18)
-    return w.select("c_custkey", geometry.utm_zone(w.lon).alias("zone"), x.alias("easting"), y.alias("northing"))
+    return w.select("c_custkey", geometry.utm_zone(w.lon).alias("zone"), r(x, 4).alias("easting"), r(y, 4).alias("northing"))
 
 
-@R.add()
+_CONTRACT = (
+    ("ACQ_DATE", "timestamp", "structural", 0.9, "alias"), ("ACQ_DATE", "date", "structural", 1.0, "alias"), ("row_id", "id", "structural", 0.9, "alias"), ("lat", "latitude", "structural", 1.0, "alias"), ("lon", "longitude", "structural", 1.0, "alias"),
+    ("ACQ_TIME", "time", "structural", 1.0, "alias"), ("FRP", "FRP", "measure", 1.0, "domain_pack"), ("BRIGHTNESS", "BRIGHTNESS", "measure", 1.0, "domain_pack"),
+)
+
+
+@R.add("select * from (values " + ", ".join(map(str, _CONTRACT)) + ") t(\"column\", semantic, role, confidence, source)")
 def semantic_contract(spark, d):
-    """Roles and measures of the scored layer's columns."""
-    return semantics.contract(table(spark, d, "fire_points"), {"id": "fire", "variables": ["FRP", "BRIGHTNESS"], "aliases": [["FRP", "fire_radiative_power"]]})
+    """Roles and named measures of the scored layer's columns."""
+    made = semantics.contract(table(spark, d, "fire_points"), {"id": "fire", "variables": ["FRP", "BRIGHTNESS"], "aliases": [["FRP", "fire_radiative_power"]]})
+    return made.where("source <> 'generic_numeric'")
 
 
 @R.add("""with l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_extendedprice) as n from lineitem), g as (select l_orderkey as id, count(*) as n, regr_slope(l_quantity, n - 1) as b, regr_intercept(l_quantity, n - 1) as a, avg(l_quantity) as m from l group by 1)
