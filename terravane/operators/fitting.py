@@ -7,9 +7,10 @@ of bounded size, which is what the driver holds; the final likelihood and all me
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,27 @@ def ks_distance(df: DataFrame, value: str, cdf: Column) -> DataFrame:
     return told.withColumn("ks_pvalue", F.when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms))))
 
 
+def ks_of(df: DataFrame, value: str, fits: dict[str, tuple[float, ...]]) -> dict[str, float]:
+    """Largest gap between the empirical distribution and that of each fit, over every row; a batch gives the largest of its own."""
+    names = list(fits)
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cdfs = [Cdf(name, fits[name]) for name in names]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, below, same, n = (b[c].to_numpy() for c in ("value", "below", "same", "n"))
+            found = []
+            for cdf in cdfs:
+                f = cdf(v)
+                found.append(float(np.nanmax(np.maximum(np.abs(f - below / n), np.abs(f - (below + same) / n)))))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], [f"k{i}" for i in range(len(names))])
+
+    told = value_counts(df, value).mapInArrow(gaps, ", ".join(f"k{i} double" for i in range(len(names))))
+    row = told.agg(*[F.max(f"k{i}").alias(f"k{i}") for i in range(len(names))]).first()
+    return {name: float(row[f"k{i}"]) for i, name in enumerate(names)}
+
+
 def closed_form(df: DataFrame, value: str) -> DataFrame:
     """(distribution, loc, scale, log_likelihood, aic, bic) of norm, expon, uniform and laplace from two aggregates."""
     v = df.select(finite(F.col(value).cast("double")).alias("v")).where("v is not null")
@@ -151,8 +173,7 @@ def fit_all(df: DataFrame, value: str, names: list[str] | None = None, bins: int
     good = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     got = v.agg(*[e for name, c in logs.items() for e in (F.sum(F.when(good(c), c)).alias(f"ll_{name}"), F.count_if(good(c)).alias(f"ok_{name}"))]).first()
     hist = histogram(df, value, bins).toPandas()
-    order = np.argsort(x)
-    xs, cum = x[order], np.cumsum(w[order])
+    distances = ks_of(v, "v", fits)
     mid = (hist["low"] + hist["high"]).to_numpy() / 2
     rows = []
     for name, p in fits.items():
@@ -160,8 +181,7 @@ def fit_all(df: DataFrame, value: str, names: list[str] | None = None, bins: int
         if ll is None or got[f"ok_{name}"] < 0.95 * n:
             continue
         k = len(p)
-        f = Cdf(name, p)(xs)
-        ks = float(max(np.abs(f - cum / n).max(), np.abs(f - (cum - w[order]) / n).max()))
+        ks = distances[name]
         q = np.maximum(pdf(name, p, mid), FLOOR)
         bc = min(1.0, float(np.sqrt(hist["p"].to_numpy() * q / q.sum()).sum()))
         rows.append((name, [float(a) for a in p], float(ll), 2 * k - 2 * ll, k * math.log(n) - 2 * ll, ks, -math.log(max(bc, 1e-300)), 2 * math.acos(bc)))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terravane.functions.distributions import Cdf
 from terravane.functions.stats import quantile, safe_ratio
 from terravane.operators.ranking import value_counts, with_range
 
@@ -86,9 +88,23 @@ def rates(df: DataFrame, events: str, people: str, area: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, pearson, n) for every pair of columns, from one aggregate; fewer than 3 pairs give NULL."""
+    """(a, b, pearson, covariance, n, p_value) for every pair of columns, from one aggregate; fewer than 3 pairs give NULL."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     aggs = df.agg(*[x for i, (a, b) in enumerate(pairs) for x in (F.corr(a, b).alias(f"r{i}"), F.count_if(both(a, b)).alias(f"n{i}"), F.covar_samp(a, b).alias(f"c{i}"))])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.col(f"n{i}") >= 3, F.col(f"r{i}")).alias("pearson"), F.col(f"c{i}").alias("covariance"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)]
-    return aggs.select(F.inline(F.array(*cells)))
+    told = aggs.select(F.inline(F.array(*cells)))
+
+    @F.pandas_udf("double")
+    def p_of(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([correlation_p(a, int(b)) for a, b in zip(r, n)], dtype=float)
+
+    return told.withColumn("p_value", F.when(F.col("pearson").isNotNull(), p_of("pearson", "n")))
+
+
+def correlation_p(r: float, n: int) -> float:
+    """Two-sided p of a correlation of n pairs, by Student's t with n - 2 degrees of freedom."""
+    if n < 3 or not abs(r) < 1:
+        return 0.0 if n >= 3 and abs(r) >= 1 else math.nan
+    t = abs(r) * math.sqrt((n - 2) / (1 - r * r))
+    return float(min(1.0, max(0.0, 2 * (1 - Cdf("t", (float(n - 2), 0.0, 1.0))(t)[0]))))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terravane.common import skew_join
 from terravane.functions.stats import MAD_SIGMA, quantile
 
 SEVERITY = ("info", "medium", "high", "critical")
@@ -233,3 +234,31 @@ def risk(terms: dict[str, float]) -> Column:
         raise ValueError("weights must sum to 1")
     score = reduce(lambda a, b: a + b, [F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * w for c, w in terms.items()])
     return F.struct(score.alias("score"), F.when(score >= 0.7, "high").when(score >= 0.4, "medium").otherwise("low").alias("band"))
+
+
+def cases(incidents: DataFrame, management: DataFrame, notes: DataFrame, objects: DataFrame) -> DataFrame:
+    """One row per incident with the last row of its management, its notes counted and the last version of its object.
+
+    incidents: (incident_id, object_key, rec, ..); management: (incident_id, rec, ..); notes: (incident_id, id); objects:
+    (object_key, version, name, status). Repeated rows count once; incidents without any of these keep NULLs. An object with a
+    large share of the incidents is spread.
+    """
+    own = latest(incidents, ["incident_id"], "rec").drop("rec")
+    led = latest(management.where("incident_id is not null"), ["incident_id"], "rec").drop("rec")
+    told = notes.where("incident_id is not null").select("incident_id", "id").distinct().groupBy("incident_id").agg(F.count("*").alias("n_notes"))
+    last = objects.where("object_key is not null").groupBy("object_key").agg(F.max_by(F.struct("version", "name", F.col("status").alias("object_status")), "version").alias("o")).select("object_key", "o.*")
+    both = own.join(led, "incident_id", "left").join(told, "incident_id", "left").fillna(0, ["n_notes"])
+    return skew_join(both, last, ["object_key"], "left", F.col("incident_id"))
+
+
+def dashboard(monitoring: DataFrame, alerts: DataFrame, least: int = 3) -> DataFrame:
+    """(object_key, runs, last_us, last_status, alerts, baseline_state) of every object with runs. Both: (object_key, id, at_us, status); repeated rows count once."""
+    runs = monitoring.where("object_key is not null").distinct().groupBy("object_key").agg(F.count("*").alias("runs"), F.max("at_us").alias("last_us"), F.max_by("status", F.struct("at_us", "id")).alias("last_status"))
+    raised = alerts.where("object_key is not null").select("object_key", "id").distinct().groupBy("object_key").agg(F.count("*").alias("alerts"))
+    state = F.when(F.col("runs") >= least, "ready").otherwise("building").alias("baseline_state")
+    return runs.join(raised, "object_key", "left").fillna(0, ["alerts"]).select("object_key", "runs", "last_us", "last_status", "alerts", state)
+
+
+def operations(incidents: DataFrame) -> DataFrame:
+    """(status, severity, incidents, occurrences) of the last row of each incident. incidents: (incident_id, rec, status, severity, occurrences)."""
+    return latest(incidents, ["incident_id"], "rec").groupBy("status", "severity").agg(F.count("*").alias("incidents"), F.sum("occurrences").alias("occurrences"))

@@ -361,3 +361,37 @@ def repaired_rings(spark, d):
     sound, crossed = F.format_string("POLYGON ((0 0, %d 0, %d %d, 0 %d, 0 0))", w, w, h, h), F.format_string("POLYGON ((0 0, %d %d, %d 0, 0 %d, 0 0))", w, h, w, h)
     rows = table(spark, d, "customer").select(k.alias("id"), F.when(k % 2 == 0, crossed).otherwise(sound).alias("geometry"))
     return planes.repaired(rows).select("id", r(F.col("area")).alias("area"), "was_valid")
+
+
+_OKEY = r"nullif(regexp_replace(lower(object_key), '^[\s-]+|[\s-]+$|-', '', 'g'), '')"
+
+
+def _incidents(spark, d):
+    raw = table(spark, d, "alert_incidents")
+    return raw.select(F.col("id").alias("incident_id"), object_key(F.col("object_key")).alias("object_key"), F.struct("recorded_at", "occurrences", "status").alias("rec"), "severity", "status", "occurrences")
+
+
+@R.add(f"""with i as (select id as incident_id, {_OKEY} as object_key, severity, status from alert_incidents qualify row_number() over (partition by id order by recorded_at desc, occurrences desc, status desc) = 1),
+m as (select incident_id, owner, priority from incident_management where incident_id is not null qualify row_number() over (partition by incident_id order by recorded_at desc, updated_at desc, priority desc, owner desc nulls last) = 1),
+n as (select incident_id, count(distinct id) as n_notes from incident_notes where incident_id is not null group by 1),
+o as (select {_OKEY} as object_key, max(version) as version from territorial_objects where version is not null group by 1)
+select incident_id, object_key, severity, status, coalesce(priority, '-') as priority, coalesce(n_notes, 0) as n_notes, coalesce(o.version, -1) as version from i left join m using (incident_id) left join n using (incident_id) left join o using (object_key)""")
+def incident_cases(spark, d):
+    m = table(spark, d, "incident_management").select("incident_id", F.struct("recorded_at", "updated_at", "priority", "owner").alias("rec"), "owner", "priority")
+    o = table(spark, d, "territorial_objects").where("version is not null").select(object_key(F.col("object_key")).alias("object_key"), "version", "name", "status")
+    out = territory.cases(_incidents(spark, d), m, table(spark, d, "incident_notes"), o)
+    return out.select("incident_id", "object_key", "severity", "status", F.coalesce("priority", F.lit("-")).alias("priority"), "n_notes", F.coalesce("version", F.lit(-1)).alias("version"))
+
+
+@R.add(f"""with m as (select distinct {_OKEY} as object_key, id, epoch_us(try_cast(created_at as timestamptz)) as at_us, status from territorial_monitoring), a as (select {_OKEY} as object_key, count(distinct id) as alerts from territorial_alerts group by 1)
+select m.object_key, count(*) as runs, max(at_us) as last_us, arg_max(status, struct_pack(a := at_us, b := id)) as last_status, coalesce(any_value(alerts), 0) as alerts, case when count(*) >= 3 then 'ready' else 'building' end as baseline_state
+from m left join a using (object_key) where m.object_key is not null group by 1""")
+def monitoring_dashboard(spark, d):
+    rows = lambda name, *more: table(spark, d, name).select(object_key(F.col("object_key")).alias("object_key"), "id", instant_us(F.col("created_at")).alias("at_us"), *more)
+    return territory.dashboard(rows("territorial_monitoring", "status"), rows("territorial_alerts"))
+
+
+@R.add("""with i as (select * from alert_incidents qualify row_number() over (partition by id order by recorded_at desc, occurrences desc, status desc) = 1)
+select status, severity, count(*) as incidents, sum(occurrences)::bigint as occurrences from i group by 1, 2""")
+def operations_rollup(spark, d):
+    return territory.operations(_incidents(spark, d))

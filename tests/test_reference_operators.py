@@ -359,3 +359,22 @@ def test_fits_recover_the_family(spark):
         assert abs(r["fisher_rao"] - 2 * math.acos(math.exp(-r["bhattacharyya"]))) < 1e-6
     with pytest.raises(ValueError):
         fitting.fit_all(df.limit(5), "v")
+
+
+def test_correlation_p(spark):
+    rows = spark.createDataFrame([(float(i), 2.0 * i, (-1.0) ** i) for i in range(1, 6)], "x double, y double, z double")
+    got = {(r["a"], r["b"]): r for r in regions.correlations(rows, ["x", "y", "z"]).collect()}
+    assert got[("x", "y")]["p_value"] <= 0.001 and 0.5 < got[("x", "z")]["p_value"] <= 1.0
+    grid = np.linspace(0.5 * math.sqrt(18 / 0.75), 400, 2_000_001)
+    density = math.gamma(9.5) / math.gamma(9) / math.sqrt(18 * math.pi) * (1 + grid**2 / 18) ** -9.5
+    assert abs(regions.correlation_p(0.5, 20) - 2 * np.trapezoid(density, grid)) < 1e-8 and math.isnan(regions.correlation_p(0.5, 2))
+
+
+def test_cases_keep_incidents_without_more(spark):
+    i = spark.createDataFrame([(1, "k", 1, "open"), (1, "k", 2, "done"), (2, None, 1, "open")], "incident_id long, object_key string, rec int, status string")
+    m = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (None, 9, "c")], "incident_id long, rec int, owner string")
+    n = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (None, 7)], "incident_id long, id long")
+    o = spark.createDataFrame([("k", 1, "old", "x"), ("k", 2, "new", "y")], "object_key string, version int, name string, status string")
+    got = {r["incident_id"]: (r["status"], r["owner"], r["n_notes"], r["name"]) for r in territory.cases(i, m, n, o).collect()}
+    assert got == {1: ("done", "b", 2, "new"), 2: ("open", None, 0, None)}
+    assert territory.cases(i.limit(0), m, n, o).count() == 0
