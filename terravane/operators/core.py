@@ -56,7 +56,7 @@ def property_intelligence(nodes: DataFrame, pairs: DataFrame, history: DataFrame
     return out.select(key, "nearest_km", "nearby", "density", "connectivity", risk.alias("risk"), band.alias("risk_band"), "next_value", "slope", "confidence")
 
 
-def grey_wolf(objective: Callable[[np.ndarray], np.ndarray], bounds: list[tuple[float, float]], population: int = 24, iterations: int = 80, seed: int = 872) -> tuple[np.ndarray, float, list[float]]:
+def grey_wolf(objective: Callable[[np.ndarray], np.ndarray], bounds: list[tuple[float, float]], population: int = 24, iterations: int = 80, seed: int = 0) -> tuple[np.ndarray, float, list[float]]:
     """Position, value and curve of a grey-wolf search (Mirjalili et al. 2014); objective takes all positions at once, so it can be one aggregate over data."""
     if population < 3:
         raise ValueError("population must be at least 3")

@@ -1,7 +1,7 @@
 """Graphs as two tables: components, shortest paths, centrality, spanning trees and corridors.
 
-Components and paths work on edges of any size by rounds of joins, each round written to reliable storage. Centralities,
-trees and hulls are made per component in one task, for components of a bounded number of nodes.
+Components, paths and spanning trees work on edges of any size by rounds of joins, each round written to reliable storage; hulls are
+made of hulls of shares. Centralities are made per component in one task; a component above MAX_COMPONENT is an error there.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -142,9 +143,15 @@ def centrality(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = No
     return nodes.select("id").join(made, "id", "left").fillna(0.0, ["betweenness", "closeness"])
 
 
-def spanning_tree(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(component, src, dst, weight) of the minimum spanning forest, ties by (weight, src, dst)."""
-    labels = labels if labels is not None else components(nodes, edges)
+def spanning_tree(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None, most: int = MAX_COMPONENT) -> DataFrame:
+    """(component, src, dst, weight) of the minimum spanning forest, ties by (weight, src, dst).
+
+    Components of at most ``most`` nodes are made in one task each (Kruskal), larger ones by rounds of joins (Boruvka); the order of
+    the edges is total, so both give the same tree.
+    """
+    labels = cut(labels if labels is not None else components(nodes, edges))
+    large = cut(labels.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component"))
+    inside = _labelled(edges, labels)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         parent: dict[int, int] = {}
@@ -163,7 +170,29 @@ def spanning_tree(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None =
             parent[ra] = rb
         return pdf[keep][["component", "src", "dst", "weight"]]
 
-    return _labelled(edges, labels).groupBy("component").applyInPandas(one, "component long, src long, dst long, weight double")
+    schema = "component long, src long, dst long, weight double"
+    small = inside.join(large, "component", "left_anti").groupBy("component").applyInPandas(one, schema)
+    if large.isEmpty():
+        return small
+    return small.unionByName(_rounds_of_merging(inside.join(large, "component", "left_semi").select("component", "src", "dst", "weight")))
+
+
+def _rounds_of_merging(edges: DataFrame) -> DataFrame:
+    """Each part takes the least edge that leaves it and the parts it joins become one, until no edge leaves any: at most log2(nodes) rounds."""
+    left = cut(edges.where("src <> dst"))
+    part = cut(left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct().withColumn("part", F.col("id")))
+    tree: list[DataFrame] = []
+    while True:
+        a, b = part.select(F.col("id").alias("src"), F.col("part").alias("pa")), part.select(F.col("id").alias("dst"), F.col("part").alias("pb"))
+        left = cut(left.select("component", "src", "dst", "weight").join(a, "src").join(b, "dst").where("pa <> pb"))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, tree)
+        ends = left.select("*", F.explode(F.array("pa", "pb")).alias("p"))
+        taken = cut(ends.groupBy("p").agg(F.min(F.struct("weight", "src", "dst", "component", "pa", "pb")).alias("e")).select("e.*").distinct())
+        tree.append(taken.select("component", "src", "dst", "weight"))
+        parts = part.select(F.col("part").alias("id")).distinct()
+        joined = components(parts, taken.select(F.col("pa").alias("src"), F.col("pb").alias("dst")))
+        part = cut(part.join(joined.select(F.col("id").alias("part"), F.col("component").alias("now")), "part").select("id", F.col("now").alias("part")))
 
 
 def corridors(nodes: DataFrame, edges: DataFrame, density: DataFrame, least: int = 3, weights: tuple[float, float, float, float] = (0.30, 0.35, 0.20, 0.15), permutations: int = 99) -> DataFrame:
@@ -213,19 +242,29 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1])
 
 
-def hulls(nodes: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
-    """(component, nodes, share, confidence, wkt) of components of at least ``least`` points; confidence is min(.99, .5 + .5 share)."""
+def hulls(nodes: DataFrame, labels: DataFrame, least: int = 3, fan: int = 32) -> DataFrame:
+    """(component, nodes, share, confidence, wkt) of components of at least ``least`` points; confidence is min(.99, .5 + .5 share).
+
+    The hull of a component is that of the hulls of ``fan`` shares of it, so no task holds all points of a large one.
+    """
     n = nodes.count()
+    sized = nodes.join(labels, "id")
+    counts = sized.groupBy("component").agg(F.count("*").alias("nodes")).where(F.col("nodes") >= least)
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = hull(pdf[["lon", "lat"]].to_numpy())
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "lon": ring[:, 0], "lat": ring[:, 1]})
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ring = hull(pdf[["lon", "lat"]].to_numpy())
         text = ", ".join(f"{x:.6f} {y:.6f}" for x, y in [*ring, ring[0]])
-        share = len(pdf) / n
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "nodes": [len(pdf)], "share": [share], "confidence": [min(0.99, 0.5 + 0.5 * share)], "wkt": [f"POLYGON (({text}))" if len(ring) >= 3 else f"LINESTRING ({text})"]})
+        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "wkt": [f"POLYGON (({text}))" if len(ring) >= 3 else f"LINESTRING ({text})"]})
 
-    sized = nodes.join(labels, "id")
-    big = sized.groupBy("component").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("component")
-    return sized.join(big, "component", "left_semi").select("component", "lon", "lat").groupBy("component").applyInPandas(one, "component long, nodes long, share double, confidence double, wkt string")
+    points = sized.join(counts.select("component"), "component", "left_semi").select("component", "lon", "lat", F.pmod(F.xxhash64("id"), F.lit(fan)).alias("part"))
+    shares = points.groupBy("component", "part").applyInPandas(corners, "component long, lon double, lat double")
+    rings = shares.groupBy("component").applyInPandas(one, "component long, wkt string")
+    share = F.col("nodes") / F.lit(float(max(n, 1)))
+    return counts.join(rings, "component").select("component", "nodes", share.alias("share"), F.least(F.lit(0.99), 0.5 + 0.5 * share).alias("confidence"), "wkt")
 
 
 def ranked_corridors(edges: DataFrame, limit: int | None = None) -> DataFrame:

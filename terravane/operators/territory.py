@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,12 +136,40 @@ def watch(traj: DataFrame, key: str) -> DataFrame:
     return marked.withColumn("status", status).drop("__c")
 
 
-def speed_distances(traj: DataFrame, key: str, last: int) -> DataFrame:
-    """(a, b, distance) of the last ``last`` speeds of every two territories, matched by position from the end."""
+def speed_distances(traj: DataFrame, key: str, last: int, blocks: int = 16) -> DataFrame:
+    """(a, b, distance) of the last ``last`` speeds of every two territories, matched by position from the end.
+
+    The result holds a row for each two territories; they meet in pairs of ``blocks`` blocks, each a task of its own.
+    """
     w = Window.partitionBy(key).orderBy(F.desc("n"))
-    s = traj.where("speed is not null").withColumn("back", F.row_number().over(w)).where(F.col("back") <= last).select(key, "back", "speed")
-    a, b = s.select(F.col(key).alias("a"), "back", F.col("speed").alias("sa")), s.select(F.col(key).alias("b"), "back", F.col("speed").alias("sb"))
-    return a.join(b, "back").where("a < b").groupBy("a", "b").agg(F.sqrt(F.sum(F.pow(F.col("sa") - F.col("sb"), 2))).alias("distance"))
+    s = traj.where("speed is not null").withColumn("back", F.row_number().over(w)).where(F.col("back") <= last)
+    kind = traj.schema[key].dataType.simpleString()
+    lines = s.groupBy(F.col(key).alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("back", "speed"))), lambda x: x["speed"]).alias("speeds"))
+    own = lines.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    sent = own.select("k", "speeds", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    sent = sent.select("k", "speeds", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        keys, block = t["k"].to_pylist(), t["own"].to_numpy()
+        x = np.full((len(keys), last), np.nan)
+        for row, speeds in enumerate(t["speeds"].to_pylist()):
+            x[row, : len(speeds)] = speeds
+        out: list[tuple] = []
+        for a in np.flatnonzero(block == i):
+            b = np.flatnonzero(block == j)
+            gap = (x[b] - x[a]) ** 2
+            both = ~np.isnan(gap)
+            d = np.sqrt(np.where(both, gap, 0).sum(axis=1))
+            for m in np.flatnonzero(both.any(axis=1)):
+                if keys[a] < keys[b[m]]:
+                    out.append((keys[a], keys[b[m]], float(d[m])))
+                elif i != j and keys[b[m]] < keys[a]:
+                    out.append((keys[b[m]], keys[a], float(d[m])))
+        cols = list(zip(*out)) or [[], [], []]
+        return pa.table({"a": pa.array(cols[0], t["k"].type), "b": pa.array(cols[1], t["k"].type), "distance": pa.array(cols[2], pa.float64())})
+
+    return sent.groupBy("i", "j").applyInArrow(meet, f"a {kind}, b {kind}, distance double")
 
 
 def clusters(summary: DataFrame, key: str, k: int = 3, seed: int = 42) -> DataFrame:
@@ -262,3 +292,13 @@ def dashboard(monitoring: DataFrame, alerts: DataFrame, least: int = 3) -> DataF
 def operations(incidents: DataFrame) -> DataFrame:
     """(status, severity, incidents, occurrences) of the last row of each incident. incidents: (incident_id, rec, status, severity, occurrences)."""
     return latest(incidents, ["incident_id"], "rec").groupBy("status", "severity").agg(F.count("*").alias("incidents"), F.sum("occurrences").alias("occurrences"))
+
+
+CRITICAL_FROM, SIGNAL_FROM = 1, 0.75
+
+
+def findings(summary: DataFrame, key: str) -> DataFrame:
+    """(key, severity, type, value) of each finding: any critical row, and mean spatial or temporal scores from SIGNAL_FROM on. summary: (key, critical_99, mean_spatial, mean_temporal), NULLs find nothing."""
+    rules = [("critical", "critical_concentration", "critical_99", CRITICAL_FROM), ("high", "spatial_signal", "mean_spatial", SIGNAL_FROM), ("high", "temporal_signal", "mean_temporal", SIGNAL_FROM)]
+    cells = [F.when(F.col(c) >= least, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), F.col(c).cast("double").alias("value"))) for severity, kind, c, least in rules]
+    return summary.select(key, F.inline(F.array_compact(F.array(*cells))))

@@ -14,10 +14,11 @@ from terravane.operators import cleaning, detect, fitting, geometry, neighbours,
 from terravane.session import cut
 
 LEAST_ROWS, BALANCED, LARGE = 30, 60_000, 150_000
+PERMUTATIONS, ORDER = 199, 48
 
 
 def strategy(rows: int) -> dict:
-    """Settings by size: quadrature order, permutations and rows that neighbourhood shapes are looked for among."""
+    """Advice for a table of so many rows: profile, quadrature order and permutations. ``analyze`` takes what it is given and alike at every size."""
     if rows > LARGE:
         return {"profile": "large", "order": 24, "permutations": 49}
     if rows > BALANCED:
@@ -32,7 +33,7 @@ def gate(df: DataFrame, lon: str, lat: str) -> dict:
     return q
 
 
-def analyze(df: DataFrame, features: list[str], feature: str, series: str, order: list[str], k: int = 12, permutations: int | None = None, weights: dict[str, float] | None = None, candidates: list[str] | None = None) -> DataFrame:
+def analyze(df: DataFrame, features: list[str], feature: str, series: str, order: list[str], k: int = 12, permutations: int = PERMUTATIONS, order_of_quadrature: int = ORDER, weights: dict[str, float] | None = None, candidates: list[str] | None = None) -> DataFrame:
     """Scored rows. df: (id long, lon, lat, ``series``, ``order``, features); ``feature`` is the one whose distribution and context are judged.
 
     Temporal evidence is taken per ``series``, so no window runs over all rows. Rows need a position; missing features become
@@ -41,9 +42,6 @@ def analyze(df: DataFrame, features: list[str], feature: str, series: str, order
     rows = df.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     clean = cleaning.impute_median(rows.withColumn("__raw", finite(F.col(feature).cast("double"))), features)
     scaled = cut(cleaning.robust_scale(clean, features, "__z"))
-    n = scaled.count()
-    conf = strategy(n)
-    permutations = permutations or conf["permutations"]
     z = [f"{c}__z" for c in features]
     mid = scaled.agg(F.avg("lon").alias("x")).first()["x"] or 0.0
     x, y = geometry.utm(F.col("lat"), F.col("lon"), min(60, max(1, int((mid + 180) // 6) + 1)))
@@ -56,7 +54,7 @@ def analyze(df: DataFrame, features: list[str], feature: str, series: str, order
     name, params = best["distribution"], tuple(best["params"])
     low = Cdf(name, params).quantile(1e-10)
     parts = detect.robust_mahalanobis(scaled.select("id", *z), z, "mahal").select("id", "mahal")
-    tail = fitting.tail_score(valued, "v", name, params, low, conf["order"]).select("id", "tail_area", "tail_score")
+    tail = fitting.tail_score(valued, "v", name, params, low, order_of_quadrature).select("id", "tail_area", "tail_score")
     spd = detect.feature_spd(scaled.select("id", *z), z)
     shape = detect.procrustes(base, edges.where(F.col("rank") < k))
     moran = spatialstats.local_moran(valued, near, "v", permutations).select("id", "local_i", "p_value", F.col("cluster").alias("lisa_cluster"))

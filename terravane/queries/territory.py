@@ -141,16 +141,14 @@ def drift_signature(spark, d):
     return territory.drift(nation_month(spark, d), "territory", "t", ["n"]).select("territory", r(F.col("t")).alias("t"), "signals", "drift_status")
 
 
-@R.add("""with e as (select o_custkey % 7 as strategy, count(*) as evaluations, avg(o_totalprice) as mean_result from orders group by 1) select strategy, evaluations, round(mean_result, 4) as mean_result, evaluations >= 5 as eligible from e""")
-def promotion_gate(spark, d):
-    e = table(spark, d, "orders").groupBy((F.col("o_custkey") % 7).alias("strategy")).agg(F.count("*").alias("evaluations"), r(F.avg("o_totalprice"), 4).alias("mean_result"))
-    return e.withColumn("eligible", F.col("evaluations") >= 5)
-
-
-@R.add("""with n as (select c_nationkey, count_if(c_acctbal > 9500) as critical, avg(c_acctbal) / 10000 as m from customer group by 1) select c_nationkey, f.finding from n, (values ('critical_rows'), ('mean_signal')) f(finding) where (finding = 'critical_rows' and critical > 0) or (finding = 'mean_signal' and m >= 0.45)""")
+@R.add("""with s as (select _source_file as source, count_if(outlier_level = '99') as critical_99, avg(case when not isnan(outlier_score) then outlier_score end) as mean_spatial, avg(case when isfinite(FRP) then least(FRP, 40) / 40 end) as mean_temporal from fire_points group by 1)
+select source, 'critical' as severity, 'critical_concentration' as type, critical_99::double as value from s where critical_99 >= 1 union all select source, 'high', 'spatial_signal', round(mean_spatial, 6) from s where mean_spatial >= 0.75e0 union all select source, 'high', 'temporal_signal', round(mean_temporal, 6) from s where mean_temporal >= 0.75e0""")
 def findings(spark, d):
-    n = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 9500).alias("critical"), (F.avg("c_acctbal") / 10000).alias("m"))
-    return n.select("c_nationkey", F.explode(F.array_compact(F.array(F.when(F.col("critical") > 0, "critical_rows"), F.when(F.col("m") >= 0.45, "mean_signal")))).alias("finding"))
+    """Findings over the sources of the fire points; two of their columns stand for the mean scores."""
+    t = table(spark, d, "fire_points")
+    score, frp = F.when(~F.isnan("outlier_score"), F.col("outlier_score")), F.when(~F.isnan("FRP") & (F.abs("FRP") != float("inf")), F.least("FRP", F.lit(40.0)) / 40)
+    s = t.groupBy(F.col("_source_file").alias("source")).agg(F.count_if(F.col("outlier_level") == "99").alias("critical_99"), F.avg(score).alias("mean_spatial"), F.avg(frp).alias("mean_temporal"))
+    return territory.findings(s, "source").withColumn("value", r(F.col("value")))
 
 
 @R.add("select n_nationkey, n_name, count(s_suppkey) as object_count from nation left join supplier on s_nationkey = n_nationkey and s_acctbal > 0 group by 1, 2")

@@ -34,11 +34,3 @@ w as (select greatest(2 * (q[2] - q[1]) / cbrt(n), (b - a) / 200, 1e-12) as w, a
 def display_histogram(spark, d):
     t = table(spark, d, "fire_points").select(finite(F.col("outlier_score")).alias("v"))
     return export.display_histogram(t, "v")
-
-
-@R.add("select api_source, field_name, low_value, high_value, high_value - low_value as width from field_limits")
-def field_ranges(spark, d):
-    f = table(spark, d, "field_limits")
-    return f.withColumn("width", F.col("high_value") - F.col("low_value"))
-
-

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Products the fire archive serves, and the columns renamed to their common names.
-FIRE_PRODUCTS = ("VIIRS_NOAA20_NRT", "VIIRS_NOAA21_NRT", "VIIRS_SNPP_NRT", "VIIRS_SNPP_SP", "MODIS_NRT", "MODIS_SP", "LANDSAT_NRT", "VIIRS_NOAA20_SP")
+FIRE_PRODUCTS = ("LANDSAT_NRT", "MODIS_NRT", "MODIS_SP", "VIIRS_NOAA20_NRT", "VIIRS_NOAA20_SP", "VIIRS_NOAA21_NRT", "VIIRS_SNPP_NRT", "VIIRS_SNPP_SP")
 RENAMED = {"BRIGHT_TI4": "BRIGHTNESS", "BRIGHT_TI5": "BRIGHT_T31"}
 
 
@@ -101,8 +101,8 @@ def box_of(geometry: str) -> list[float]:
     return [min(xs), min(ys), max(xs), max(ys)]
 
 
-def scenes(items: DataFrame, max_cloud: float, needs: dict[str, list[str]]) -> DataFrame:
-    """(id, time, cloud, derivable) of catalog items below a cloud cover; ``items`` has a JSON ``item``; needs: index -> asset keys."""
+def scenes(items: DataFrame, max_cloud: float, needs: dict[str, list[str]], limit: int = 100) -> DataFrame:
+    """(id, time, cloud, derivable) of the at most ``limit`` (1 to 100) clearest catalog items below a cloud cover; ``items`` has a JSON ``item``; needs: index -> asset keys."""
     j = F.from_json("item", "struct<id:string,properties:map<string,string>,assets:map<string,string>>")
     rows = items.select(j.alias("j")).select("j.id", F.col("j.properties")["datetime"].try_cast("timestamp").alias("time"), F.col("j.properties")["eo:cloud_cover"].try_cast("double").alias("cloud"), F.map_keys("j.assets").alias("keys"))
 
@@ -110,4 +110,4 @@ def scenes(items: DataFrame, max_cloud: float, needs: dict[str, list[str]]) -> D
         return F.size(F.array_intersect("keys", F.array(*[F.lit(k) for k in keys]))) == len(keys)
 
     derivable = F.array_compact(F.array(*[F.when(has(k), n) for n, k in needs.items()]))
-    return rows.where(F.coalesce(F.col("cloud"), F.lit(0.0)) <= max_cloud).select("id", "time", "cloud", derivable.alias("derivable")).orderBy("cloud", "id")
+    return rows.where(F.coalesce(F.col("cloud"), F.lit(0.0)) <= max_cloud).select("id", "time", "cloud", derivable.alias("derivable")).orderBy("cloud", "id").limit(min(max(limit, 1), 100))

@@ -378,3 +378,21 @@ def test_cases_keep_incidents_without_more(spark):
     got = {r["incident_id"]: (r["status"], r["owner"], r["n_notes"], r["name"]) for r in territory.cases(i, m, n, o).collect()}
     assert got == {1: ("done", "b", 2, "new"), 2: ("open", None, 0, None)}
     assert territory.cases(i.limit(0), m, n, o).count() == 0
+
+
+def test_spanning_tree_of_large_components(spark):
+    g = np.random.default_rng(7)
+    pairs = {tuple(sorted(map(int, p))) for p in g.integers(0, 60, (150, 2)) if p[0] != p[1]}
+    edges = spark.createDataFrame([(a, b, float(g.integers(1, 9))) for a, b in pairs], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(i,) for i in range(60)], "id long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    local, joined = graph.spanning_tree(nodes, edges), graph.spanning_tree(nodes, edges, most=3)
+    assert rows(local) == rows(joined) and len(rows(local)) > 40
+
+
+def test_speed_distances_meet_once(spark):
+    rows = [(k, n, float(k * n % 7)) for k in range(1, 9) for n in range(1, 6)] + [(99, 1, None)]
+    t = spark.createDataFrame(rows, "k long, n int, speed double")
+    got = {(r["a"], r["b"]): r["distance"] for r in territory.speed_distances(t, "k", 3, blocks=3).collect()}
+    want = {(a, b): sum((a * n % 7 - b * n % 7) ** 2 for n in (3, 4, 5)) ** 0.5 for a in range(1, 9) for b in range(a + 1, 9)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
