@@ -2,7 +2,9 @@
 
 The log of an entity is cut into segments of fixed length in time. A segment's store begins with a full version (the
 checkpoint) and goes on with patches that hold only the attributes a version changed; after ``chain`` versions another
-full one is put in. ``validity`` folds the patches forward from the nearest checkpoint and joins equal states across
+full one is put in. A store is kept in a folder with one partition a segment: ``write_store`` makes it, ``merge_into_store`` takes in
+later and late versions by rewriting only the segments they fall in, ``as_of`` reads the state at an instant from the nearest
+checkpoint before it. ``validity`` folds the patches forward from the nearest checkpoint and joins equal states across
 segments. All sorting is done per (entity, segment), so an entity with a third of all rows is spread over its segments;
 across segments only one small row each is looked at.
 
@@ -13,11 +15,12 @@ states like any other; an empty log gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terravane.common import US_PER_DAY
+from terravane.session import cut
 
 SEGMENT_DAYS = 30
 CHAIN = 32
@@ -40,11 +43,11 @@ def effective_versions(log: DataFrame, key: Column, version: Column, start_us: C
     )
 
 
-def encode(versions: DataFrame, chain: int = CHAIN) -> DataFrame:
+def encode(versions: DataFrame, chain: int = CHAIN, every: bool = False) -> DataFrame:
     """The store: (key, seg, start_us, version, kind full|patch, patch).
 
     patch has a field per attribute: NULL if unchanged, else a struct holding the new value, which may be NULL.
-    Versions that change nothing are not stored.
+    Versions that change nothing are only stored with ``every``, which a store that late versions are merged into needs.
     """
     names = versions.schema["state"].dataType.names
     w = Window.partitionBy("key", "seg").orderBy("start_us")
@@ -52,7 +55,7 @@ def encode(versions: DataFrame, chain: int = CHAIN) -> DataFrame:
     full = F.pmod(F.col("nth") - 1, F.lit(chain)) == 0
     patch = F.struct(*[F.when(full | ~F.col(f"state.{n}").eqNullSafe(F.col(f"before.{n}")), F.struct(F.col(f"state.{n}").alias("v"))).alias(n) for n in names])
     stored = seen.select("key", "seg", "start_us", "version", F.when(full, F.lit("full")).otherwise(F.lit("patch")).alias("kind"), patch.alias("patch"))
-    changed = F.lit(False)
+    changed = F.lit(every)
     for n in names:
         changed = changed | F.col(f"patch.{n}").isNotNull()
     return stored.where(changed)
@@ -65,6 +68,31 @@ def fold(store: DataFrame) -> DataFrame:
     return store.select("key", "seg", "start_us", "version", F.struct(*[F.last(f"patch.{n}", ignorenulls=True).over(w).getField("v").alias(n) for n in names]).alias("state"))
 
 
+def write_store(versions: DataFrame, path: str, chain: int = CHAIN) -> None:
+    """Effective versions as a store in a folder."""
+    encode(versions, chain, every=True).write.mode("overwrite").partitionBy("seg").parquet(path)
+
+
+def merge_into_store(spark: SparkSession, path: str, versions: DataFrame, chain: int = CHAIN) -> None:
+    """Takes effective versions into a store; of two at one instant the new one counts. Other segments stay untouched."""
+    touched = versions.select("seg").distinct()  # one row a segment, bounded by the time the log spans
+    old = fold(spark.read.parquet(path).join(F.broadcast(touched), "seg", "left_semi")).withColumn("new", F.lit(0))
+    both = old.unionByName(versions.withColumn("new", F.lit(1)))
+    kept = both.groupBy("key", "seg", "start_us").agg(F.max_by(F.struct("version", "state"), "new").alias("top")).select("key", "seg", "start_us", "top.version", "top.state")
+    merged = cut(encode(kept, chain, every=True))  # what is read is about to be replaced
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seg").parquet(path)
+
+
+def as_of(store: DataFrame, instant_us: int, segment_days: int = SEGMENT_DAYS) -> DataFrame:
+    """(key, version, state) at an instant: patches folded forward from the last checkpoint before it; entities that began later are left out."""
+    names = store.schema["patch"].dataType.names
+    before = store.where((F.col("seg") <= int(instant_us // (segment_days * US_PER_DAY))) & (F.col("start_us") <= instant_us))
+    checkpoint = before.where("kind = 'full'").groupBy("key").agg(F.max("start_us").alias("from_us"))
+    rows = before.join(checkpoint, "key").where("start_us >= from_us")
+    told = [F.max_by(f"patch.{n}", F.when(F.col(f"patch.{n}").isNotNull(), F.col("start_us"))).getField("v").alias(n) for n in names]
+    return rows.groupBy("key").agg(F.max_by("version", "start_us").alias("version"), *told).select("key", "version", F.struct(*names).alias("state"))
+
+
 def validity(store: DataFrame) -> DataFrame:
     """(key, version, valid_from_us, valid_to_us, state): one row per longest period of equal state, -1 for no end."""
     w = Window.partitionBy("key", "seg").orderBy("start_us")

@@ -20,6 +20,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.select(F.col("key").alias("object_key"), "version", "valid_from_us", "valid_to_us")
 
 
+AS_OF_US = 1_730_000_000_000_000
+
+
+def p4_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attributes of every object at one instant."""
+    told = history.as_of(history.encode(object_versions(table(spark, sf_dir, "territorial_objects"))), AS_OF_US)
+    return told.select(F.col("key").alias("object_key"), "state.name", "state.object_type", "state.status")
+
+
 def reference_graph(spark: SparkSession, sf_dir: str) -> orphans.Graph:
     """Notes and management rows refer to incidents; incidents, alerts and monitoring rows refer to objects."""
     t = lambda name: table(spark, sf_dir, name)
@@ -63,7 +72,7 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.counts(orphans.find(reference_graph(spark, sf_dir)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_inherited": p1_inherited, "p1_counts": p1_counts, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_inherited": p1_inherited, "p1_counts": p1_counts, "p4_found": p4_found, "p4_as_of": p4_as_of}
 SQL: dict[str, str] = {}
 
 _KEY = r"nullif(regexp_replace(lower(object_key), '^[\s-]+|[\s-]+$|-', '', 'g'), '')"
@@ -83,6 +92,7 @@ opened as (select * from lagged where nth = 1 or name is distinct from n0 or obj
 periods as (select key, version, status, start_us as from_us, coalesce(lead(start_us) over (partition by key order by start_us), -1) as to_us from opened)
 """
 SQL["p4_found"] = f"with {PERIODS_SQL} select key as object_key, version::bigint as version, from_us as valid_from_us, to_us as valid_to_us from periods"
+SQL["p4_as_of"] = f"with {PERIODS_SQL} select key as object_key, name, object_type, status from instants where start_us <= {AS_OF_US} qualify row_number() over (partition by key order by start_us desc) = 1"
 _REFERENCES = rf"""
 objects as (select {_KEY} as key, min(recorded_at) as rec from territorial_objects group by 1),
 cases as (select id as key, min(recorded_at) as rec, min({_us('deleted_at')}) as gone from alert_incidents group by 1),

@@ -98,3 +98,26 @@ def test_skew_join_is_a_join(spark):
     for how in ("left", "inner", "left_semi", "left_anti"):
         a = sorted(map(str, skew_join(left, right, ["k"], how, F.col("i"), share=0.1, fan=4).collect()))
         assert a == sorted(map(str, left.join(right, "k", how).collect())), how
+
+
+def test_store_takes_in_late_versions(spark, tmp_path):
+    import random
+
+    rnd, day = random.Random(3), 86_400_000_000
+    rows = [(f"k{k}", v, 1 + rnd.randrange(200 * day), rnd.choice("abc"), rnd.choice(["x", None])) for k in range(12) for v in range(1, 40)]
+    make = lambda part: history.effective_versions(
+        spark.createDataFrame(part, "key string, version long, at long, name string, status string"), F.col("key"), F.col("version"), F.col("at"), {"name": F.col("name"), "status": F.col("status")}, (F.col("version"),)
+    )
+    parts, path = [rows[i::3] for i in range(3)], str(tmp_path / "store")
+    history.write_store(make(parts[0]), path, chain=4)
+    for part in parts[1:]:
+        history.merge_into_store(spark, path, make(part), chain=4)
+    store = spark.read.parquet(path)
+    plain = lambda df: sorted((r["key"], r["valid_from_us"], r["valid_to_us"], *r["state"]) for r in df.collect())
+    assert plain(history.validity(store)) == plain(history.validity(history.encode(make(rows))))
+    for instant in (5 * day, 77 * day, 500 * day):
+        want = {}
+        for k, _, at, name, status in sorted(rows, key=lambda r: (r[2], r[1])):
+            if at <= instant:
+                want[k] = (name, status)
+        assert {r["key"]: tuple(r["state"]) for r in history.as_of(store, instant).collect()} == want
