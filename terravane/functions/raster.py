@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Band pairs of the indices.
@@ -43,3 +45,19 @@ def clear(sensor: str, qa: Column) -> Column:
         mask = sum(1 << b for b in QA_BITS)
         return qa.bitwiseAND(F.lit(mask)) == 0
     return F.lit(True)
+
+
+def window(pixels: DataFrame, first_row: int, first_col: int, height: int, width: int, bands: list[str], quality: str | None = None, max_pixels: int = 1_000_000) -> DataFrame:
+    """(row, col, bands, quality, n) of a window, at most about ``max_pixels`` of them. pixels: (row, col, bands).
+
+    Above that the window shrinks by sqrt(pixels / max_pixels): a target pixel has the mean of the bands of the pixels whose middles it holds,
+    and the quality of the one nearest to its own middle, ties by row and column.
+    """
+    factor = max(1.0, math.sqrt(height * width / max(1, max_pixels)))
+    rows, cols = max(1, math.ceil(height / factor)), max(1, math.ceil(width / factor))
+    inside = pixels.where(F.col("row").between(first_row, first_row + height - 1) & F.col("col").between(first_col, first_col + width - 1))
+    y, x = (F.col("row") - first_row + 0.5) * (rows / height), (F.col("col") - first_col + 0.5) * (cols / width)
+    at = inside.select(*bands, *([quality] if quality else []), F.floor(y).cast("int").alias("__r"), F.floor(x).cast("int").alias("__c"), y.alias("__y"), x.alias("__x"), F.col("row").alias("__row"), F.col("col").alias("__col"))
+    off = F.struct(F.round(F.pow(F.col("__y") - F.col("__r") - 0.5, 2) + F.pow(F.col("__x") - F.col("__c") - 0.5, 2), 9), "__row", "__col")
+    told = [F.avg(b).alias(b) for b in bands] + ([F.min_by(quality, off).alias(quality)] if quality else [])
+    return at.groupBy(F.col("__r").alias("row"), F.col("__c").alias("col")).agg(*told, F.count("*").alias("n"))

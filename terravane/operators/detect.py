@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,3 +220,34 @@ def distance_model(df: DataFrame, a: list[str], b: list[str], reference: DataFra
         "euclidean": euclid(d), "standardized": euclid([x / float(s if s > 0 else 1.0) for x, s in zip(d, sd)]), "mahalanobis": F.sqrt(F.greatest(form, F.lit(0.0))),
         "cosine": F.when((na > 0) & (nb > 0), 1 - dot / (na * nb)),
     })
+
+
+MAX_SCORED = 20_000
+
+
+def transfer(rows: DataFrame, scored: DataFrame, columns: list[str], score: str, key: str = "id", most: int = MAX_SCORED) -> DataFrame:
+    """(key, score, source): the score of the nearest scored row in feature space, ties by the smaller key; a scored row keeps its own.
+
+    scored has at most ``most`` rows, which is checked; it goes to every task. Rows without all features get NULL.
+    """
+    held = scored.dropna(subset=columns).select(key, *columns, score).limit(most + 1).toPandas().sort_values(key)
+    if len(held) > most:
+        raise ValueError(f"more than {most} scored rows")
+    x, ids, values = held[columns].to_numpy(float), held[key].to_numpy(), held[score].to_numpy(float)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = np.stack([pc.fill_null(b[c].cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+            found = np.full(len(q), -1)
+            step = max(1, 2_000_000 // max(1, len(x)))
+            for s in range(0, len(q) if len(x) else 0, step):
+                d = ((q[s : s + step, None] - x[None]) ** 2).sum(axis=2)
+                known = ~np.isnan(d[:, 0])
+                found[s : s + step][known] = d[known].argmin(axis=1)
+            lost = found < 0
+            take = np.where(lost, 0, found)
+            value = values[take] if len(x) else np.zeros(len(q))
+            source = ids[take] if len(x) else np.zeros(len(q), np.int64)
+            yield pa.RecordBatch.from_arrays([b[key], pa.array(value, pa.float64(), mask=lost), pa.array(source, pa.int64(), mask=lost)], [key, score, "source"])
+
+    return rows.select(key, *columns).mapInArrow(ask, f"{key} long, {score} double, source long")

@@ -69,6 +69,12 @@ def change_points(df: DataFrame, by: list[str], order: list[str], value: str, li
     return d.where(F.col("change_score") > limit).drop("__m", "__o", "__s")
 
 
+def first_changes(changes: DataFrame, by: list[str], order: list[str], most: int = 25) -> DataFrame:
+    """The first ``most`` change points of each series."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return changes.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__k")
+
+
 def trend(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Least-squares slope per step of the series, and the value the line gives next."""
     w = Window.partitionBy(*by).orderBy(*order)

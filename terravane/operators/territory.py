@@ -294,11 +294,12 @@ def operations(incidents: DataFrame) -> DataFrame:
     return latest(incidents, ["incident_id"], "rec").groupBy("status", "severity").agg(F.count("*").alias("incidents"), F.sum("occurrences").alias("occurrences"))
 
 
-CRITICAL_FROM, SIGNAL_FROM = 1, 0.75
+# Severity, kind, measure and least value of the findings over a territory and over a whole analysis.
+TERRITORY_RULES = (("critical", "critical_concentration", "critical_99", 1.0), ("high", "spatial_signal", "mean_spatial", 0.75), ("high", "temporal_signal", "mean_temporal", 0.75))
+ANALYSIS_RULES = (("critical", "statistical", "critical_99", 1.0), ("high", "spatial", "hotspots", 1.0), ("elevated", "spatial", "clusters", 1.0), ("elevated", "temporal", "change_points", 1.0))
 
 
-def findings(summary: DataFrame, key: str) -> DataFrame:
-    """(key, severity, type, value) of each finding: any critical row, and mean spatial or temporal scores from SIGNAL_FROM on. summary: (key, critical_99, mean_spatial, mean_temporal), NULLs find nothing."""
-    rules = [("critical", "critical_concentration", "critical_99", CRITICAL_FROM), ("high", "spatial_signal", "mean_spatial", SIGNAL_FROM), ("high", "temporal_signal", "mean_temporal", SIGNAL_FROM)]
-    cells = [F.when(F.col(c) >= least, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), F.col(c).cast("double").alias("value"))) for severity, kind, c, least in rules]
+def findings(summary: DataFrame, key: str, rules: tuple[tuple[str, str, str, float], ...] = TERRITORY_RULES) -> DataFrame:
+    """(key, severity, type, measure, value) of every rule whose measure reaches its least value; NULLs find nothing."""
+    cells = [F.when(F.col(c) >= least, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("type"), F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))) for severity, kind, c, least in rules]
     return summary.select(key, F.inline(F.array_compact(F.array(*cells))))

@@ -62,3 +62,8 @@ def run_with_retry(operation, attempts: int = 3, fallback=None, wait: float = 0.
                 raise
             time.sleep(wait * 2**i)
     return None
+
+
+def health(jobs: DataFrame, order: str, status: str = "status", last: int = 100) -> DataFrame:
+    """(status, n) over the ``last`` newest jobs."""
+    return jobs.orderBy(F.desc(order)).limit(last).groupBy(status).agg(F.count("*").alias("n"))

@@ -11,10 +11,10 @@ from terravane.common import instant_us, object_key, table
 from terravane.functions import raster
 from terravane.functions.geo import EARTH_M
 from terravane.functions.planar import RELATIONS
-from terravane.operators import core, geometry, nearby, temporal, territory
+from terravane.operators import core, detect, geometry, keys, nearby, temporal, territory
 from terravane.operators import overlay as planes
 from terravane.operators.history import encode
-from terravane.plans import semantics
+from terravane.plans import enrichment, semantics, state
 from terravane.queries.general import PERIODS_SQL, fire_positions, object_versions
 from terravane.queries.general import SQL as GENERAL
 from terravane.queries.registry import Registry
@@ -148,7 +148,7 @@ def findings(spark, d):
     t = table(spark, d, "fire_points")
     score, frp = F.when(~F.isnan("outlier_score"), F.col("outlier_score")), F.when(~F.isnan("FRP") & (F.abs("FRP") != float("inf")), F.least("FRP", F.lit(40.0)) / 40)
     s = t.groupBy(F.col("_source_file").alias("source")).agg(F.count_if(F.col("outlier_level") == "99").alias("critical_99"), F.avg(score).alias("mean_spatial"), F.avg(frp).alias("mean_temporal"))
-    return territory.findings(s, "source").withColumn("value", r(F.col("value")))
+    return territory.findings(s, "source").drop("measure").withColumn("value", r(F.col("value")))
 
 
 @R.add("select n_nationkey, n_name, count(s_suppkey) as object_count from nation left join supplier on s_nationkey = n_nationkey and s_acctbal > 0 group by 1, 2")
@@ -393,3 +393,70 @@ def monitoring_dashboard(spark, d):
 select status, severity, count(*) as incidents, sum(occurrences)::bigint as occurrences from i group by 1, 2""")
 def operations_rollup(spark, d):
     return territory.operations(_incidents(spark, d))
+
+
+@R.add("""with s as (select _api_source as product, count_if(outlier_level = '99') as critical_99, count_if(consensus_methods >= 3) as hotspots, 0 as clusters, case when count(*) > 3000 then count_if(FRP > 40 and not isnan(FRP)) end as change_points from fire_points group by 1)
+select product, 'critical' as severity, 'statistical' as type, critical_99::double as value from s where critical_99 >= 1 union all select product, 'high', 'spatial', hotspots from s where hotspots >= 1 union all select product, 'elevated', 'temporal', change_points from s where change_points >= 1""")
+def analysis_findings(spark, d):
+    """Findings over a summary of the products; some of its measures are stand-ins, one is always 0 and one may be NULL."""
+    t = table(spark, d, "fire_points")
+    s = t.groupBy(F.col("_api_source").alias("product")).agg(F.count_if(F.col("outlier_level") == "99").alias("critical_99"), F.count_if(F.col("consensus_methods") >= 3).alias("hotspots"), F.lit(0).alias("clusters"), F.when(F.count("*") > 3000, F.count_if((F.col("FRP") > 40) & ~F.isnan("FRP"))).alias("change_points"))
+    return territory.findings(s, "product", territory.ANALYSIS_RULES).drop("measure")
+
+
+@R.add("select c_custkey, exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'O') as admitted from customer")
+def admitted_requests(spark, d):
+    c = table(spark, d, "customer").select("c_custkey")
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return keys.admitted(c, o, ["c_custkey"], F.col("o_orderstatus") == "O")
+
+
+@R.add("select c_custkey, 'none' as orders from customer where c_custkey not in (select o_custkey from orders) union all select c_custkey, 'some' from customer where c_custkey in (select o_custkey from orders)")
+def key_sets(spark, d):
+    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return keys.missing(c, o, ["c_custkey"]).withColumn("orders", F.lit("none")).unionByName(keys.common(c, o, ["c_custkey"]).withColumn("orders", F.lit("some")))
+
+
+@R.add("""with p as (select distinct lon, lat from fire_points where lon between -180 and 180 and lat between -90 and 90)
+select round(min(lon), 6) as west, round(min(lat), 6) as south, round(max(lon), 6) as east, round(max(lat), 6) as north, round(avg(lon), 6) as mid_lon, round(avg(lat), 6) as mid_lat, true as weather, false as fires,
+ (select strftime(min(ACQ_DATE), '%Y-%m-%d') from fire_points where lon between -180 and 180 and lat between -90 and 90) as first_day, (select strftime(max(ACQ_DATE), '%Y-%m-%d') from fire_points where lon between -180 and 180 and lat between -90 and 90) as last_day from p""")
+def enrichment_plan(spark, d):
+    p = enrichment.plan(table(spark, d, "fire_points"), "ACQ_DATE", weather=True, fires=True, fire_key=True)
+    return p.select(*[r(F.col(c)).alias(c) for c in ("west", "south", "east", "north", "mid_lon", "mid_lat")], "weather", "fires", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_day", "last_day")])
+
+
+@R.add("select status, count(*) as n from (select * from territorial_monitoring order by id desc limit 100) group by 1")
+def job_health(spark, d):
+    return state.health(table(spark, d, "territorial_monitoring"), "id")
+
+
+@R.add("""with d as (select user_id, event_id, ts, abs(value - coalesce(lag(value) over w, value)) as diff from events window w as (partition by user_id order by ts, event_id)),
+m as (select user_id, quantile_cont(diff, 0.5) as m from d group by 1), s as (select user_id, quantile_cont(abs(diff - m), 0.5) + 1e-12 as s from d join m using (user_id) group by 1),
+c as (select user_id, event_id, ts, (diff - m) / (1.4826e0 * s) as score from d join m using (user_id) join s using (user_id))
+select user_id, event_id, round(score, 6) as change_score from c where score > 3.5 qualify row_number() over (partition by user_id order by ts, event_id) <= 3""")
+def first_change_points(spark, d):
+    """The first three change points of each user."""
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", "value")
+    found = temporal.change_points(e, ["user_id"], ["ts", "event_id"], "value")
+    return temporal.first_changes(found, ["user_id"], ["ts", "event_id"], 3).select("user_id", "event_id", r(F.col("change_score")).alias("change_score"))
+
+
+@R.add("""with p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as v from embeddings), s as (select * from p where id % 7 = 0)
+select p.id, round(arg_min(s.v, (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)), 9) as v, arg_min(s.id, (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) as source from p, s group by p.id""")
+def score_transfer(spark, d):
+    """Every vector takes the value of the nearest of those whose id is divisible by 7."""
+    e = F.col("embedding")
+    p = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[e[i].cast("double").alias(n) for i, n in enumerate(("x", "y", "v"))])
+    return detect.transfer(p, p.where("id % 7 = 0"), ["x", "y"], "v").withColumn("v", r(F.col("v"), 9))
+
+
+_GRID = "px as (select distinct on (row, col) l_orderkey % 90 as row, l_partkey % 110 as col, l_quantity as red, l_linenumber as qa from lineitem order by row, col, l_orderkey, l_linenumber, l_quantity)"
+
+
+@R.add(f"""with {_GRID}, f as (select sqrt(80 * 100 / 500e0) as f), z as (select ceil(80 / f)::int as h, ceil(100 / f)::int as w from f), t as (select (row - 5 + 0.5e0) * (h / 80e0) as y, (col - 3 + 0.5e0) * (w / 100e0) as x, red, qa, row, col from px, z where row between 5 and 84 and col between 3 and 102)
+select floor(y)::int as row, floor(x)::int as col, round(avg(red), 6) as red, arg_min(qa, struct_pack(a := round(pow(y - floor(y) - 0.5e0, 2) + pow(x - floor(x) - 0.5e0, 2), 9), b := t.row, c := t.col)) as qa, count(*) as n from t group by 1, 2""")
+def raster_window(spark, d):
+    """A window of a pixel table, shrunk to about 500 pixels."""
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 90).alias("row"), (F.col("l_partkey") % 110).alias("col"), "l_orderkey", "l_linenumber", "l_quantity")
+    px = li.groupBy("row", "col").agg(F.min_by(F.struct(F.col("l_quantity").alias("red"), F.col("l_linenumber").alias("qa")), F.struct("l_orderkey", "l_linenumber", "l_quantity")).alias("p")).select("row", "col", "p.*")
+    return raster.window(px, 5, 3, 80, 100, ["red"], "qa", 500).withColumn("red", r(F.col("red")))

@@ -111,3 +111,9 @@ def scenes(items: DataFrame, max_cloud: float, needs: dict[str, list[str]], limi
 
     derivable = F.array_compact(F.array(*[F.when(has(k), n) for n, k in needs.items()]))
     return rows.where(F.coalesce(F.col("cloud"), F.lit(0.0)) <= max_cloud).select("id", "time", "cloud", derivable.alias("derivable")).orderBy("cloud", "id").limit(min(max(limit, 1), 100))
+
+
+def registry(spark: SparkSession, keys: dict[str, str | None]) -> DataFrame:
+    """(name, kind, needs_key, configured) of the remote sources; ``keys`` holds the keys there are, none of which is shown."""
+    known = [("fires", "points", True), ("weather", "series", False), ("scenes", "catalog", False)]
+    return spark.createDataFrame([(n, k, need, not need or bool((keys.get(n) or "").strip())) for n, k, need in known], "name string, kind string, needs_key boolean, configured boolean")
