@@ -247,6 +247,11 @@ def relate(a: Shape, b: Shape) -> dict[str, bool]:
     if box_a is None or box_b is None or box_a[0] > box_b[2] or box_b[0] > box_a[2] or box_a[1] > box_b[3] or box_b[1] > box_a[3]:
         return no
     tol = 1e-12 * max(1.0, *(abs(v) for v in (*box_a, *box_b)))
+    for one, other, names in ((a, b, ("within", "covered_by")), (b, a, ("contains", "covers"))):
+        if one.dimension == 0 and len(one.points) == 1 and other.dimension > 0 and not len(other.points):  # a point and lines or areas
+            code = where(one.points, other, tol)[0]
+            held = {"intersects"} | (set(names) if code == IN else {"touches", names[1]})
+            return {k: code != OUT and k in held for k in RELATIONS}
     nodes, cuts_a = _meets(a, b, tol)
     _, cuts_b = _meets(b, a, tol)
     in_b = np.concatenate([where(_pieces(a, cuts_a, tol), b, tol), where(a.points, b, tol)])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from terravane.common import skew_join
 from terravane.functions import planar
+from terravane.session import cut
 
 FINEST, COARSEST = -24, 40  # widths of cells as powers of two
 
@@ -61,7 +62,7 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _texts(left: DataFrame, right: DataFrame) -> DataFrame:
-    pairs = candidates(left, right)
+    pairs = cut(candidates(left, right))  # read several times below
     with_left = skew_join(pairs, left.select(F.col("id").cast("long").alias("left_id"), F.col("geometry").alias("a")), ["left_id"], "inner", F.col("right_id"))
     return skew_join(with_left, right.select(F.col("id").cast("long").alias("right_id"), F.col("geometry").alias("b")), ["right_id"], "inner", F.col("left_id"))
 

@@ -164,7 +164,7 @@ def spearman(spark, d):
 
 @R.add(" union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 9) as pearson, round(covar_samp({a}, {b}), 6) as covariance, count(*) as n from lineitem" for i, a in enumerate(MEASURES) for b in MEASURES[i + 1 :]))
 def corr_matrix(spark, d):
-    return regions.correlations(table(spark, d, "lineitem"), MEASURES).withColumn("pearson", r(F.col("pearson"), 9)).withColumn("covariance", r(F.col("covariance")))
+    return regions.correlations(table(spark, d, "lineitem"), MEASURES).withColumn("pearson", r(F.col("pearson"), 9)).withColumn("covariance", r(F.col("covariance"))).drop("p_value")
 
 
 @R.add("""select event_type, date_trunc('hour', ts)::timestamp as hour, count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median from events group by 1, 2""")

@@ -75,9 +75,22 @@ def trajectory_cluster(spark, d):
     return territory.clusters(territory.path_summary(traj(spark, d), "territory"), "territory")
 
 
-@R.add()
+def _watch_sql(c: str) -> str:
+    return f"""{c}_p as (select territory, quantile_cont({c}, 0.5) as m, count({c}) as k from al where n < last and {c} is not null group by 1), {c}_d as (select territory, quantile_cont(abs({c} - m), 0.5) as mad from al join {c}_p using (territory) where n < last and {c} is not null group by 1),
+{c}_z as (select territory, coalesce(k >= 2, false) as ready, case when k >= 2 then ({c} - m) / greatest(1.4826e0 * mad, 0.1e0 * abs(m), 0.25e0) else 0 end as z from al left join {c}_p using (territory) left join {c}_d using (territory) where n = last),
+{c}_l as (select territory, z, case when not ready then 'BASELINE_BUILDING' when z >= 3.5 then 'HIGH' when z >= 2 then 'ELEVATED' else 'NORMAL' end as level from {c}_z)"""
+
+
+@R.add(f"""with {_TRAJ}, used as (select *, k <= least(4, count(*) over (partition by territory) - 1) as u from z), mid as (select territory, quantile_cont(zn, 0.5) filter (where u) as mn, quantile_cont(zp, 0.5) filter (where u) as mp from used group by 1),
+wide as (select territory, greatest(1.4826e0 * quantile_cont(abs(zn - mn), 0.5) filter (where u), 0.25e0) as rn, greatest(1.4826e0 * quantile_cont(abs(zp - mp), 0.5) filter (where u), 0.25e0) as rp from used join mid using (territory) group by 1),
+al as (select tr.territory, tr.n, tr.speed, sqrt(pow((zn - mn) / rn, 2) + pow((zp - mp) / rp, 2)) as departure, max(tr.n) over (partition by tr.territory) as last from tr join used on used.territory = tr.territory and used.k = tr.n join mid on mid.territory = tr.territory join wide on wide.territory = tr.territory),
+{_watch_sql('departure')}, {_watch_sql('speed')}, sp as (select territory, speed, quantile_cont(speed, 0.5) over (partition by territory) as m, count(*) over (partition by territory) as k from tr where speed is not null),
+sd as (select territory, any_value(m) + 3.5e0 * greatest(1.4826e0 * quantile_cont(abs(speed - m), 0.5), 1e-9) as edge from sp where k >= 3 group by 1), ch as (select distinct territory, true as c from sp join sd using (territory) where speed > edge)
+select d.territory, round(d.z, 6) as departure_z, d.level as departure_level, round(s.z, 6) as speed_z, s.level as speed_level, case when d.level = 'HIGH' and s.level = 'HIGH' then 'HIGH' when d.level in ('HIGH', 'ELEVATED') or s.level in ('HIGH', 'ELEVATED') or c then 'ELEVATED' else 'NORMAL' end as status
+from departure_l d join speed_l s using (territory) left join ch using (territory)""")
 def trajectory_watch(spark, d):
-    return territory.watch(traj(spark, d), "territory")
+    out = territory.watch(traj(spark, d), "territory")
+    return out.withColumns({c: r(F.col(c)) for c in ("departure_z", "speed_z")})
 
 
 @R.add("""with c as (select o_custkey as territory, list(distinct lower(o_orderpriority)) as u, max(o_orderpriority) as a, min(o_orderpriority) as b, any_value(case when o_custkey % 3 = 0 then null else min_p end) as c from (select *, min(o_orderpriority) over (partition by o_custkey, o_orderstatus) as min_p from orders) group by 1)

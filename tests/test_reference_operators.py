@@ -396,3 +396,19 @@ def test_speed_distances_meet_once(spark):
     got = {(r["a"], r["b"]): r["distance"] for r in territory.speed_distances(t, "k", 3, blocks=3).collect()}
     want = {(a, b): sum((a * n % 7 - b * n % 7) ** 2 for n in (3, 4, 5)) ** 0.5 for a in range(1, 9) for b in range(a + 1, 9)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_series_are_cut_into_blocks(spark):
+    g = np.random.default_rng(5)
+    rows = [(s, int(g.integers(0, 50)), i, None if i % 11 == 0 else float(g.normal() + 9 * (i % 37 == 0))) for i, s in enumerate(["a"] * 300 + ["b"] * 40 + [None] * 20)]
+    df = spark.createDataFrame(rows, "s string, day int, i int, v double")
+    rounded = lambda d, c: sorted((r["i"], None if r[c] is None else round(r[c], 9)) for r in d.collect())
+    for window in (5, 21):
+        whole = temporal.rolling_deviation(df, ["s"], ["day", "i"], "v", window)
+        assert rounded(temporal.rolling_deviation(df, ["s"], ["day", "i"], "v", window, block=16), "robust_z") == rounded(whole, "robust_z")
+    ordered = [r["v"] for r in df.where("s = 'a'").orderBy("day", "i").collect()]
+    by_hand = {i: abs((ordered[i] or 0) - (ordered[i - 1] or 0)) for i in range(1, 300) if ordered[i] is not None and ordered[i - 1] is not None}
+    some = temporal.change_points(df.where("s = 'a'"), ["s"], ["day", "i"], "v", limit=0.0, block=16)
+    assert {round(r["diff"], 9) for r in some.collect()} <= {round(x, 9) for x in by_hand.values()} | {0.0}
+    assert rounded(temporal.change_points(df, ["s"], ["day", "i"], "v", block=16), "change_score") == rounded(temporal.change_points(df, ["s"], ["day", "i"], "v"), "change_score")
+    assert temporal.rolling_deviation(df.limit(0), ["s"], ["day", "i"], "v", 5).count() == 0
