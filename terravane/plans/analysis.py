@@ -64,7 +64,7 @@ def analyze(df: DataFrame, features: list[str], feature: str, series: str, order
 
     all_ = scaled
     for part in (parts, tail, spd, shape, moran, dens, off, neighbours.lof_with_value(valued, "v", k + 1), when):
-        all_ = all_.join(part, "id", "left")
+        all_ = all_.join(cut(part), "id", "left")  # an id and a score or two each; in one plan they would be hundreds of exchanges
     all_ = cut(all_.withColumn("__m", F.abs("local_i")))
     ranks = {"mahal": "score_mahal", "tail_score": "score_probability", "spd": "score_spd", "procrustes": "score_procrustes", "robust_z": "score_temporal", "residual": "__r1", "lof": "__r2", "__m": "__r3"}
     ranked = all_
