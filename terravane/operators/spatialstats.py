@@ -27,7 +27,8 @@ def permuted(points: DataFrame, columns: list[str], permutations: int) -> DataFr
     """(perm, id, columns): ``columns`` moved between ids, once per permutation."""
     home = numbered(points.select("id"), "id", "pos").select(F.col("id").alias("to"), "pos")
     drawn = points.select("id", *columns).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    drawn = drawn.withColumn("__h", F.md5(F.concat(F.col("perm").cast("string"), F.lit(":"), F.col("id").cast("string")))).withColumn("__b", F.substring("__h", 1, DIGITS))
+    drawn = drawn.withColumn("__h", F.unhex(F.md5(F.concat(F.col("perm").cast("string"), F.lit(":"), F.col("id").cast("string")))))
+    drawn = drawn.withColumn("__b", F.conv(F.substring(F.hex("__h"), 1, DIGITS), 16, 10).cast("int"))
     along = Window.partitionBy("perm").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     before = drawn.groupBy("perm", "__b").agg(F.count("*").alias("__n")).select("perm", "__b", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__before"))
     within = Window.partitionBy("perm", "__b").orderBy("__h")
