@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import itertools
 import random
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terravane.llm import packing, quality, tokens
+from terravane.llm import packing, quality, queries, tokens
 from terravane.llm import quantiles as Q
 
 PATH = tokens.vocabulary_path()
@@ -265,3 +267,13 @@ def test_prose_is_told_in_any_language():
     for texts, want in ((PROSE_OF, False), (JUNK, True)):
         failed = quality.rules(quality.measure(pa.array(list(texts.values())), common))
         assert {k: bool(x) for k, x in zip(texts, failed["no_prose"])} == dict.fromkeys(texts, want)
+
+
+@pytest.mark.parametrize("name", ["p2_checks", "p7_checks", "p8_line_statistics"])
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    plain = lambda df: sorted((tuple(None if v is None or v != v else round(v, 6) if isinstance(v, float) else v for v in row) for row in df[sorted(df.columns)].astype(object).values.tolist()), key=str)
+    got, want = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(queries.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
