@@ -12,6 +12,8 @@ import __spark_entry__ as entry
 
 DIR = Path("/root/testdata/sf0.001")
 CHECKED = ["p1_found", "p1_counts", "p3_found", "p4_found", "scale_robust", "pct_rank", "quality_metrics", "region_compare_mw", "region_compare_ks", "rolling_mad", "euclidean_intelligence", "temporal_profile", "trajectory", "monitoring_change", "alert_incidents", "indices", "histogram80", "ensemble_flags"]
+CHECKED += ["p1_inherited", "p4_as_of", "p5_range_and_run", "spatial_predicates", "spatial_left_join", "overlay_difference", "overlay_strip", "corridor_buffers", "repaired_rings", "spatial_score", "temporal_deviation"]
+CHECKED += ["incident_cases", "monitoring_dashboard", "enrichment_plan", "raster_window", "trajectory_watch", "procrustes_score", "score_transfer", "utm_points", "metric_buffer"]
 
 
 def plain(v):
