@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions.stats import MAD_SIGMA, euclid, quantile
 from terravane.operators.featurespace import per_neighbourhood
+from terravane.operators.ranking import quantiles
 from terravane.session import cut
 
 #: Default weights of the six components.
@@ -138,6 +139,13 @@ def procrustes(points: DataFrame, edges: DataFrame) -> DataFrame:
     return told.select(F.col("i").alias("id"), fit.alias("procrustes"))
 
 
+def consensus(df: DataFrame, columns: list[str]) -> DataFrame:
+    """consensus_methods and anomaly_reason: how many and which of the scores reach HIGH."""
+    high = F.filter(F.array(*[F.when(F.col(c) >= HIGH, c.removeprefix("score_")) for c in columns]), lambda c: c.isNotNull())
+    out = df.withColumn("__high", high).withColumn("consensus_methods", F.size("__high"))
+    return out.withColumn("anomaly_reason", F.when(F.col("consensus_methods") > 0, F.array_join("__high", ",")).otherwise("ensemble")).drop("__high")
+
+
 def ensemble(df: DataFrame, weights: dict[str, float], levels: tuple[float, ...] = (0.90, 0.95, 0.99)) -> DataFrame:
     """Weighted score, flags at empirical quantiles, level, consensus, reason, candidate, noise and status."""
     w = {c: max(0.0, float(v)) for c, v in weights.items()}
@@ -145,30 +153,27 @@ def ensemble(df: DataFrame, weights: dict[str, float], levels: tuple[float, ...]
         raise ValueError("at least one weight must be positive")
     total = sum(w.values())
     out = df.withColumn("outlier_score", reduce(lambda a, b: a + b, [F.col(c) * (v / total) for c, v in w.items()]))
-    cuts = out.agg(quantile(F.col("outlier_score"), list(levels)).alias("q")).scalar()
+    cuts = quantiles(out, {"outlier_score": list(levels)})["outlier_score"]
     names = [round(x * 100) for x in levels]
-    for i, n in enumerate(names):
-        out = out.withColumn(f"outlier_{n}", F.col("outlier_score") >= cuts[i])
+    for n, edge in zip(names, cuts):
+        out = out.withColumn(f"outlier_{n}", F.col("outlier_score") >= F.lit(edge).cast("double"))
     level = F.lit("normal")
     for n in names:
         level = F.when(F.col(f"outlier_{n}"), str(n)).otherwise(level)
-    high = F.filter(F.array(*[F.when(F.col(c) >= HIGH, c.removeprefix("score_")) for c in w]), lambda c: c.isNotNull())
-    out = out.withColumn("outlier_level", level).withColumn("__high", high).withColumn("consensus_methods", F.size("__high"))
-    out = out.withColumn("anomaly_reason", F.when(F.col("consensus_methods") > 0, F.array_join("__high", ",")).otherwise("ensemble")).drop("__high")
+    out = consensus(out.withColumn("outlier_level", level), list(w))
     out = out.withColumn("anomaly_candidate", F.col("outlier_95")).withColumn("noise_candidate", F.col("outlier_99") & (F.col("consensus_methods") >= 3))
     return out.withColumn("record_status", F.when(F.col("noise_candidate"), "probable_noise").when(F.col("anomaly_candidate"), "valid_anomaly_candidate").otherwise("normal"))
 
 
 def ablation(df: DataFrame, weights: dict[str, float], level: float = 0.99) -> DataFrame:
-    """(component, jaccard, threshold): overlap of the top rows with and without each component, from two aggregates."""
+    """(component, jaccard, threshold): overlap of the top rows with and without each component, from aggregates without a map of all values."""
     def mix(w: dict[str, float]) -> Column:
         s = sum(w.values())
         return reduce(lambda a, b: a + b, [F.col(c) * (v / s) for c, v in w.items()])
 
     without = {c: {k: v for k, v in weights.items() if k != c} for c in weights}
     s = df.select(mix(weights).alias("full"), *[mix(w).alias(c) for c, w in without.items()])
-    q = s.agg(*[quantile(F.col(c), level).alias(c) for c in s.columns])
-    at = {c: q.select(c).scalar() for c in s.columns}
+    at = {c: F.lit(q[0]).cast("double") for c, q in quantiles(s, {c: [level] for c in s.columns}).items()}
     top = lambda c: F.col(c) >= at[c]
     aggs = s.agg(*[e for c in weights for e in (F.count_if(top("full") & top(c)).alias(f"b_{c}"), F.count_if(top("full") | top(c)).alias(f"u_{c}"))])
     return aggs.select(F.inline(F.array(*[F.struct(F.lit(c).alias("component"), F.when(F.col(f"u_{c}") > 0, F.col(f"b_{c}") / F.col(f"u_{c}")).otherwise(F.lit(1.0)).alias("jaccard"), at[c].alias("threshold")) for c in weights])))

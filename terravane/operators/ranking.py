@@ -9,14 +9,21 @@ tells them apart.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terravane.session import cut
+
 COARSE, FINE = 32, 32
 HOT_SHARE = 1 / 256
+FEW_VALUES = 1_000_000
+ACCURACY = 10_000
 
 
 def _with_cuts(df: DataFrame, values: dict[str, Column], ranges: int) -> DataFrame:
@@ -39,10 +46,10 @@ def _under(cuts: Column | str, value: Column) -> Column:
 
 def with_range(df: DataFrame, value: Column) -> DataFrame:
     """Adds __r, the number of cuts below the value, 0 where it is missing."""
-    cut = _with_cuts(df, {"__cuts": value}, COARSE * FINE).withColumn("__coarse", _under("__cuts_", value))
+    cuts = _with_cuts(df, {"__cuts": value}, COARSE * FINE).withColumn("__coarse", _under("__cuts_", value))
     fine = _under(F.slice("__cuts", F.col("__coarse") * FINE + 1, F.lit(FINE - 1)), value)
     known = F.col("__cuts").isNotNull() & value.isNotNull()
-    return cut.withColumn("__r", F.when(known, F.col("__coarse") * FINE + fine).otherwise(F.lit(0))).drop("__cuts", "__cuts_", "__coarse")
+    return cuts.withColumn("__r", F.when(known, F.col("__coarse") * FINE + fine).otherwise(F.lit(0))).drop("__cuts", "__cuts_", "__coarse")
 
 
 def offsets(counted: DataFrame, by: list[str], n: str) -> DataFrame:
@@ -61,23 +68,64 @@ def value_counts(df: DataFrame, value: str) -> DataFrame:
     return inner.join(F.broadcast(offsets(counted, ["__r"], "same")), "__r").select("value", "same", (F.col("__in") + F.col("__before")).alias("below"), F.col("__all").alias("n"))
 
 
-def percent_ranks(df: DataFrame, outs: dict[str, str], share: float = 1 / 512, fan: int = 32) -> DataFrame:
+def percent_ranks(df: DataFrame, outs: dict[str, str], share: float = 1 / 512, fan: int = 32, few: int = FEW_VALUES, keep: bool = False) -> DataFrame:
     """Average rank over the number of non-null values, 0.5 where the value is missing, for each {value column: new column}.
 
-    All counts come from df itself, not from each other's results. Values with more than ``share`` of the rows, at most
-    1/share of them, and missing ones are spread over ``fan`` tasks in the join back.
+    All counts come from df itself, not from each other's results. The ranks of a column with about ``few`` different values at most,
+    counted first by a sketch, come to the driver, are put in order there and go to every task. Of other columns, values with more than ``share`` of the rows, at most
+    1/share of them, and missing ones are spread over ``fan`` tasks in the join back; with ``keep`` such a result is cut.
     """
-    out = df
+    out, sent = df, True
+    many = df.agg(*[F.approx_count_distinct(value).alias(name) for value, name in outs.items()]).first()
     for value, name in outs.items():
-        counts = value_counts(df, value)
+        v = F.when(~F.isnan(value), F.col(value))
+        if many[name] <= few:
+            told = df.where(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count("*").alias("same")).toArrow().sort_by("__v")
+            same = told["same"].to_numpy()
+            rank = ((np.cumsum(same) - same) + (same + 1) / 2e0) / same.sum() if len(same) else np.empty(0)
+            ranks = df.sparkSession.createDataFrame(pa.table({"__v": told["__v"], name: pa.array(rank, pa.float64())}))
+            out = out.withColumn("__v", v).join(F.broadcast(ranks), "__v", "left").withColumn(name, F.coalesce(name, F.lit(0.5))).drop("__v")
+            continue
+        sent, counts = False, value_counts(df, value)
+        rank = ((F.col("below") + (F.col("same") + 1) / F.lit(2e0)) / F.col("n")).alias(name)
         hot = F.col("same") > F.col("n") * share
         known = F.broadcast(counts.where(hot).select(F.col("value").alias("__h")))
-        ranks = counts.select(F.col("value").alias("__v"), ((F.col("below") + (F.col("same") + 1) / F.lit(2e0)) / F.col("n")).alias(name), F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))).alias("__s"))
-        v = F.when(~F.isnan(value), F.col(value))
+        ranks = counts.select(F.col("value").alias("__v"), rank, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))).alias("__s"))
         salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(fan)).cast("int")
         left = out.join(known, v == F.col("__h"), "left").withColumn("__v", v).withColumn("__s", F.when(F.col("__h").isNotNull() | F.col("__v").isNull(), salt).otherwise(F.lit(0)))
         out = left.join(ranks, ["__v", "__s"], "left").withColumn(name, F.coalesce(name, F.lit(0.5))).drop("__v", "__s", "__h")
-    return out
+    return out if sent or not keep else cut(out)
+
+
+def quantiles(df: DataFrame, wanted: dict[str, list[float]], accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation of each column, NULLs left out, as ``percentile`` gives them, but without a map of all values.
+
+    A sketch brackets every quantile; a second aggregate counts the rows below the bracket and brings the few inside it, about
+    6/accuracy of all, in which the places asked for are looked up. Should a place not be in its bracket, ``percentile`` answers.
+    """
+    slack = 2 / accuracy
+    asked = [(c, q) for c, qs in wanted.items() for q in qs]
+    ends = [F.array(*[F.lit(float(min(1.0, max(0.0, q + s)))) for q in qs for s in (-slack, slack)]) for qs in wanted.values()]
+    rough = df.agg(*[F.percentile_approx(F.col(c).cast("double"), e, F.lit(accuracy)).alias(f"q{k}") for k, (c, e) in enumerate(zip(wanted, ends))], *[F.count(c).alias(f"n{k}") for k, c in enumerate(wanted)]).first()
+    at = {c: k for k, c in enumerate(wanted)}
+    brackets = {(c, q): rough[f"q{at[c]}"][2 * wanted[c].index(q) :][:2] for c, q in asked if rough[f"n{at[c]}"]}
+    aggs = []
+    for k, ((c, _), (lo, hi)) in enumerate(brackets.items()):
+        v, lo, hi = F.col(c).cast("double"), F.lit(lo), F.lit(hi)
+        aggs += [F.count_if(v < lo).alias(f"b{k}"), F.count_if(v == lo).alias(f"l{k}"), F.collect_list(F.when((v > lo) & (v < hi), v)).alias(f"i{k}"), F.count_if((v == hi) & (hi > lo)).alias(f"h{k}")]
+    told = df.agg(*aggs).first() if aggs else None
+    out: dict[tuple[str, float], float | None] = dict.fromkeys(asked)
+    for k, ((c, q), (lo, hi)) in enumerate(brackets.items()):
+        inner, place = np.sort(np.array(told[f"i{k}"], float)), (rough[f"n{at[c]}"] - 1) * q
+        runs = [(lo, told[f"l{k}"]), *[(float(x), 1) for x in inner], (hi, told[f"h{k}"])]
+        upto = told[f"b{k}"] + np.cumsum([n for _, n in runs])
+        low, high = math.floor(place), math.ceil(place)
+        if low < told[f"b{k}"] or high >= upto[-1]:
+            out[c, q] = df.agg(F.percentile(c, F.lit(q))).first()[0]
+            continue
+        x, y = (runs[int(np.searchsorted(upto, i, side="right"))][0] for i in (low, high))
+        out[c, q] = x if low == high or x == y else (high - place) * x + (place - low) * y
+    return {c: [out[c, q] for q in qs] for c, qs in wanted.items()}
 
 
 def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:

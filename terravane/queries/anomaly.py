@@ -156,7 +156,7 @@ _ENS = f"{_COMP}, e as (select *, 0.4e0 * score_mahal + 0.35e0 * score_probabili
 
 def components_table(spark, d):
     t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_COLS.values())
-    return cut(ranking.percent_ranks(t, {v: c for c, v in _COLS.items()}).select("l_orderkey", "l_linenumber", *_PARTS))
+    return ranking.percent_ranks(t, {v: c for c, v in _COLS.items()}, keep=True).select("l_orderkey", "l_linenumber", *_PARTS)
 
 
 @R.add(f"with {_ENS} select l_orderkey, l_linenumber, round(sc, 9) as outlier_score, sc >= q[1] as outlier_90, sc >= q[2] as outlier_95, sc >= q[3] as outlier_99, case when sc >= q[3] then '99' when sc >= q[2] then '95' when sc >= q[1] then '90' else 'normal' end as outlier_level from e, t")
@@ -170,7 +170,7 @@ _CONS = "(score_mahal >= 0.95)::int + (score_probability >= 0.95)::int + (score_
 
 @R.add(f"with {_COMP} select l_orderkey, l_linenumber, ({_CONS})::int as consensus_methods, coalesce(nullif(concat_ws(',', case when score_mahal >= 0.95 then 'mahal' end, case when score_probability >= 0.95 then 'probability' end, case when score_temporal >= 0.95 then 'temporal' end), ''), 'ensemble') as anomaly_reason from k")
 def consensus_reason(spark, d):
-    return detect.ensemble(components_table(spark, d), _W).select("l_orderkey", "l_linenumber", "consensus_methods", "anomaly_reason")
+    return detect.consensus(components_table(spark, d), list(_W)).select("l_orderkey", "l_linenumber", "consensus_methods", "anomaly_reason")
 
 
 @R.add(f"with {_ENS} select case when sc >= q[3] and {_CONS} >= 3 then 'probable_noise' when sc >= q[2] then 'valid_anomaly_candidate' else 'normal' end as record_status, count(*) as n from e, t group by 1")
