@@ -2,55 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from terravane.functions.geo import EARTH_M, haversine_m, haversine_np
+from terravane.functions.geo import EARTH_M, haversine_np
+from terravane.session import cut
 
 MAX_RIGHT = 50_000
 
 
+def _nearest(li: np.ndarray, la: np.ndarray, lo: np.ndarray, ids: np.ndarray, lat: np.ndarray, lon: np.ndarray, most: float) -> pa.Table:
+    """(left_id, right_id, distance_m): nearest right rows at most ``most`` away of each left row, ties kept."""
+    out: list[np.ndarray] = []
+    step = max(1, 1_000_000 // max(1, len(ids)))
+    for s in range(0, len(li) if len(ids) else 0, step):
+        d = haversine_np(la[s : s + step, None], lo[s : s + step, None], lat[None, :], lon[None, :])
+        r, c = np.nonzero((d == d.min(axis=1)[:, None]) & (d <= most) & np.isfinite(d))
+        out.append((li[s : s + step][r], ids[c], d[r, c]))
+    cols = [np.concatenate(x) for x in zip(*out)] or [np.empty(0)] * 3
+    return pa.table({"left_id": pa.array(cols[0].astype(np.int64)), "right_id": pa.array(cols[1].astype(np.int64)), "distance_m": pa.array(cols[2])})
+
+
+def _cell(side: float) -> list[Column]:
+    """The cell, ``side`` wide in each direction, of a place on the unit sphere."""
+    p, q = F.radians("lat"), F.radians("lon")
+    return [F.floor(x / side).cast("long") for x in (F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p))]
+
+
+def _nearest_by_cells(left: DataFrame, right: DataFrame, max_m: float | None, rows: int = 16) -> DataFrame:
+    """Rounds over cells of the unit sphere: a left row is done when a right row stands in its cell or those around it, nearer than a cell is wide; the others see wider cells."""
+    levels = range(0, 25)
+    n = right.count()
+    used = right.agg(*[F.approx_count_distinct(F.struct(*_cell(2.0 ** (1 - k)))).alias(f"c{k}") for k in levels]).first()
+    level = next((k for k in levels if n <= rows * used[f"c{k}"]), levels[-1])
+    found: list[DataFrame] = []
+
+    def within(most: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def ask(a: pa.Table, b: pa.Table) -> pa.Table:
+            x, y = ([t[c].to_numpy() if t.num_rows else np.empty(0) for c in ("id", "lat", "lon")] for t in (a, b))
+            return _nearest(*x, *y, most)
+
+        return ask
+
+    while True:
+        side = 2.0 ** (1 - level)
+        reach = np.inf if level == 0 else 2 * EARTH_M * np.arcsin(side / 2) * (1 - 1e-9)
+        most = reach if max_m is None else min(reach, max_m)
+
+        named = [c.alias(k) for c, k in zip(_cell(side), ("a", "b", "c"))]
+        around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+        sent = right.select("id", "lat", "lon", *named)
+        for k in ("a", "b", "c"):
+            sent = sent.withColumn("__k", F.explode(around)).withColumn(k, F.col(k) + F.col("__k")).drop("__k")
+        keys = ["a", "b", "c"]
+        here = left.select("id", "lat", "lon", *named).groupBy(*keys).cogroup(sent.join(left.select(*named).distinct(), keys, "left_semi").groupBy(*keys))
+        got = cut(here.applyInArrow(within(most), "left_id long, right_id long, distance_m double"))
+        found.append(got)
+        if level == 0 or (max_m is not None and reach >= max_m):
+            break
+        left = cut(left.join(got.select(F.col("left_id").alias("id")), "id", "left_anti"))
+        if left.isEmpty():
+            break
+        level = max(0, level - 3)
+    return reduce(DataFrame.unionByName, found)
+
+
 def nearest_join(left: DataFrame, right: DataFrame, max_m: float | None = None, max_right: int = MAX_RIGHT) -> DataFrame:
     """(left_id, right_id, distance_m): nearest right rows of each left row, ties kept; left rows without one have NULLs.
 
-    A right side of at most ``max_right`` rows, counted first, is sent to all tasks. A larger one needs ``max_m`` and is met by
-    an equi-join on cells of that size. Both sides: (id, lat, lon).
+    A right side of at most ``max_right`` rows, counted first, is sent to all tasks. A larger one is met cell by cell, in cells
+    that widen for left rows far from it. Both sides: (id, lat, lon); rows without a position find nothing and are not found.
     """
-    few = right.select("id", "lat", "lon").limit(max_right + 1).collect()
+    known = lambda df: df.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
+    placed, rows = known(left), known(right)
+    few = rows.limit(max_right + 1).collect()
     if len(few) <= max_right:
         ids, lat, lon = (np.array([r[c] for r in few]) for c in ("id", "lat", "lon"))
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                li, la, lo = b["id"].to_numpy(), b["lat"].to_numpy(), b["lon"].to_numpy()
-                out: list[np.ndarray] = []
-                step = max(1, 1_000_000 // max(1, len(ids)))
-                for s in range(0, len(li), step):
-                    d = haversine_np(la[s : s + step, None], lo[s : s + step, None], lat[None, :], lon[None, :]) if len(ids) else np.full((len(li[s : s + step]), 1), np.inf)
-                    m = d.min(axis=1)
-                    r, c = np.nonzero((d == m[:, None]) & (d <= (np.inf if max_m is None else max_m)) & np.isfinite(d))
-                    out.append(np.stack([li[s : s + step][r], ids[c] if len(ids) else c, d[r, c]], axis=1) if len(r) else np.empty((0, 3)))
-                all_ = np.concatenate(out) if out else np.empty((0, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(all_[:, 0].astype(np.int64)), pa.array(all_[:, 1].astype(np.int64)), pa.array(all_[:, 2])], ["left_id", "right_id", "distance_m"])
-
-        found = left.select("id", "lat", "lon").mapInArrow(ask, "left_id long, right_id long, distance_m double")
+                yield from _nearest(*(b[c].to_numpy() for c in ("id", "lat", "lon")), ids, lat, lon, np.inf if max_m is None else max_m).to_batches()
+
+        found = placed.mapInArrow(ask, "left_id long, right_id long, distance_m double")
     else:
-        if max_m is None:
-            raise ValueError("a large right side needs max_m")
-        deg = max_m / (EARTH_M * np.pi / 180)
-        cell = lambda c: F.floor(F.col(c) / deg).cast("long")
-        wide = lambda c: F.floor(F.col("lon") * F.cos(F.radians((F.col(c) + 0.5) * deg)) / deg).cast("long")
-        a = left.select(F.col("id").alias("left_id"), "lat", "lon", cell("lat").alias("own"), F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1)).alias("cy"))
-        a = a.withColumn("cx", F.explode(F.sequence(wide("cy") - 2, wide("cy") + 2))).select("left_id", F.col("lat").alias("la"), F.col("lon").alias("lo"), "cy", "cx")
-        b = right.select(F.col("id").alias("right_id"), "lat", "lon", cell("lat").alias("cy")).withColumn("cx", wide("cy"))
-        found = a.join(b, ["cy", "cx"]).withColumn("distance_m", haversine_m(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))).where(F.col("distance_m") <= max_m)
-        w = Window.partitionBy("left_id").orderBy("distance_m")
-        found = found.withColumn("k", F.rank().over(w)).where("k = 1").select("left_id", "right_id", "distance_m").distinct()
+        found = _nearest_by_cells(placed, rows, max_m)
     return left.select(F.col("id").alias("left_id")).join(found, "left_id", "left")
 
 

@@ -3,7 +3,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from terravane.operators import detect, ranking
+from terravane.operators import detect, geometry, ranking
+from terravane.functions.geo import haversine_np
 
 
 def test_quantiles_without_a_map_of_values(spark):
@@ -28,3 +29,18 @@ def test_ablation_keeps_no_map_of_all_values(spark):
     df = spark.range(5_000).select((F.rand(1)).alias("a"), F.rand(2).alias("b"))
     plan = detect.ablation(df, {"a": 0.5, "b": 0.5})._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_nearest_of_a_large_right_side(spark):
+    g = np.random.default_rng(5)
+    schema = "id long, lat double, lon double"
+    r = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(g.uniform(5, 6, 300), g.uniform(179.5, 180.5, 300)))]
+    r = [(i, a, b - 360 if b > 180 else b) for i, a, b in r]
+    r.append((900, *r[0][1:]))
+    q = [*[(i, float(a), float(b)) for i, (a, b) in enumerate(zip(g.uniform(5, 6, 60), g.uniform(179, 180, 60)))], (98, -60.0, 20.0), (99, *r[0][1:]), (100, None, 1.0)]
+    got = geometry.nearest_join(spark.createDataFrame(q, schema), spark.createDataFrame(r, schema), max_right=10).collect()
+    want = {(100, None)}
+    for i, a, b in q[:-1]:
+        d = haversine_np(np.full(len(r), a), np.full(len(r), b), np.array([x[1] for x in r]), np.array([x[2] for x in r]))
+        want |= {(i, r[k][0]) for k in np.flatnonzero(d == d.min())}
+    assert {(x["left_id"], x["right_id"]) for x in got} == want and len(got) == len(want) == 64
