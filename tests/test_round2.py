@@ -44,3 +44,11 @@ def test_nearest_of_a_large_right_side(spark):
         d = haversine_np(np.full(len(r), a), np.full(len(r), b), np.array([x[1] for x in r]), np.array([x[2] for x in r]))
         want |= {(i, r[k][0]) for k in np.flatnonzero(d == d.min())}
     assert {(x["left_id"], x["right_id"]) for x in got} == want and len(got) == len(want) == 64
+
+
+def test_ensemble_keeps_no_map_of_all_values(spark):
+    df = spark.range(5_000).select("id", F.rand(1).alias("score_a"), F.rand(2).alias("score_b"))
+    out = detect.ensemble(df, {"score_a": 0.5, "score_b": 0.5})
+    assert "percentile(" not in out._jdf.queryExecution().executedPlan().toString()
+    edge = df.agg(F.percentile(0.5 * F.col("score_a") + 0.5 * F.col("score_b"), 0.99)).first()[0]
+    assert out.where("outlier_99").count() == out.where(F.col("outlier_score") >= edge).count() == 50
