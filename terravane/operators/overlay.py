@@ -22,6 +22,8 @@ from terravane.functions import planar
 from terravane.session import cut
 
 FINEST, COARSEST = -24, 40  # widths of cells as powers of two
+MAX_SENT, MAX_TEXT = 200_000, 30_000_000  # rows and characters of a right side that goes to every task
+SLICE = 1_000_000  # candidates at once
 
 
 def _cells(df: DataFrame, above: list[int]) -> DataFrame:
@@ -48,6 +50,195 @@ def _cells(df: DataFrame, above: list[int]) -> DataFrame:
     return df.select(F.col("id").cast("long").alias("id"), "geometry").mapInArrow(run, boxes)
 
 
+def _flat(shape: planar.Shape) -> bool:
+    """Whether the shape is exactly its box: one upright rectangle, level or upright line, or point."""
+    if len(shape.points) + len(shape.lines) + len(shape.polygons) != 1:
+        return False
+    if len(shape.points):
+        return True
+    x0, y0, x1, y1 = shape.box()
+    if shape.lines:
+        return len(shape.lines[0]) == 2 and (x0 == x1) != (y0 == y1)
+    rings = shape.polygons[0]
+    if len(rings) != 1 or len(rings[0]) != 4 or x0 == x1 or y0 == y1:
+        return False
+    p = rings[0].tolist()
+    turns = sum((p[k][0] == p[k - 1][0]) != (p[k][1] == p[k - 1][1]) for k in range(4))
+    return turns == 4 and [x0, y0] in p and [x1, y1] in p
+
+
+class _Boxes:
+    """Shapes by their boxes: (rows, 4), and whether each is its box."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        shapes = [planar.read(x) for x in texts]
+        boxes = [s.box() for s in shapes]
+        self.box = np.array([b or (np.nan,) * 4 for b in boxes], float).reshape(-1, 4)
+        self.flat = np.array([b is not None and _flat(s) for s, b in zip(shapes, boxes)], bool)
+        self.area = np.array([bool(s.polygons) for s in shapes], bool)
+
+
+def _spread(left: DataFrame) -> DataFrame:
+    """(id, geometry) in parts enough for all cores: a small file is read by few tasks, but its pairs are many."""
+    return left.select(F.col("id").cast("long").alias("id"), "geometry").repartition(8 * left.sparkSession.sparkContext.defaultParallelism)
+
+
+class _Sent:
+    """The right side in a grid over its boxes, about as wide as they are."""
+
+    def __init__(self, ids: np.ndarray, texts: list[str], box: np.ndarray, flat: np.ndarray) -> None:
+        self.ids, self.texts, self.box, self.flat = ids, texts, box, flat
+        if not len(ids):
+            return
+        self.low = box[:, :2].min(axis=0)
+        high = box[:, 2:].max(axis=0)
+        width = np.maximum((box[:, 2:] - box[:, :2]).mean(axis=0), (high - self.low) / max(1.0, np.sqrt(len(ids))))
+        self.step = np.where(width > 0, width, 1.0)
+        self.side = np.floor((high - self.low) / self.step).astype(int) + 1
+        cell, row = self._cells(box)
+        order = np.argsort(cell, kind="stable")
+        self.cell, self.row = cell[order], row[order]
+
+    def _cells(self, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, row) of all cells a box stands in."""
+        a, b = (np.clip(np.floor((box[:, k : k + 2] - self.low) / self.step), 0, self.side - 1).astype(int) for k in (0, 2))
+        n = (b - a + 1).prod(axis=1)
+        row = np.repeat(np.arange(len(box)), n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        tall = (b - a + 1)[row, 1]
+        return (a[row, 0] + k // tall) * self.side[1] + a[row, 1] + k % tall, row
+
+    def meeting(self, box: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(left row, right row) of all boxes that meet, once each and slice by slice; all pairs of a left row come in one slice."""
+        at = np.flatnonzero(~np.isnan(box[:, 0])) if len(self.ids) else np.empty(0, int)
+        if not len(at):
+            return
+        cell, row = self._cells(box[at])
+        row = at[row]
+        first, last = (np.searchsorted(self.cell, cell, side=s) for s in ("left", "right"))
+        n = last - first
+        total = np.cumsum(n)
+        ends = np.flatnonzero(np.append(row[1:] != row[:-1], True)) + 1  # behind the last cell of each left row
+        start = 0
+        while start < len(row):
+            done = total[start] - n[start]
+            stop = int(ends[max(np.searchsorted(ends, start, side="right"), np.searchsorted(total[ends - 1], done + SLICE, side="right") - 1)])
+            m = n[start:stop]
+            i, c = np.repeat(row[start:stop], m), np.repeat(cell[start:stop], m)
+            j = self.row[np.repeat(first[start:stop], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            a, b = box[i], self.box[j]
+            corner = np.clip(np.floor((np.maximum(a[:, :2], b[:, :2]) - self.low) / self.step), 0, self.side - 1).astype(int)
+            keep = (a[:, :2] <= b[:, 2:]).all(axis=1) & (b[:, :2] <= a[:, 2:]).all(axis=1) & (corner[:, 0] * self.side[1] + corner[:, 1] == c)
+            yield i[keep], j[keep]
+            start = stop
+
+
+def _sent(right: DataFrame) -> _Sent | None:
+    """The right side for every task, its boxes found by the cluster; None if it is too large for that."""
+    told = "id long, geometry string, x0 double, y0 double, x1 double, y1 double, flat boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = _Boxes(b["geometry"].to_pylist())
+            cols = [b["id"], b["geometry"], *[pa.array(made.box[:, k]) for k in range(4)], pa.array(made.flat)]
+            yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in told.split(", ")]).filter(pa.array(~np.isnan(made.box[:, 0])))
+
+    rows = right.select(F.col("id").cast("long").alias("id"), "geometry").where("id is not null and geometry is not null")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("geometry")).alias("c")).first()
+    if size["n"] > MAX_SENT or (size["c"] or 0) > MAX_TEXT:
+        return None
+    t = rows.mapInArrow(run, told).toArrow()
+    box = np.stack([t[c].to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1)
+    return _Sent(t["id"].to_numpy(), t["geometry"].to_pylist(), box, t["flat"].to_numpy())
+
+
+def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether box shapes a lie in box shapes b, and not only on their rims."""
+    tol = 1e-12 * np.maximum(1.0, np.maximum(np.abs(a).max(axis=1), np.abs(b).max(axis=1)))[:, None]
+    covered = (a[:, :2] >= b[:, :2] - tol).all(axis=1) & (a[:, 2:] <= b[:, 2:] + tol).all(axis=1)
+    low, high = np.maximum(a[:, :2], b[:, :2]), np.minimum(a[:, 2:], b[:, 2:])
+    point = a[:, :2] == a[:, 2:]  # in this direction
+    inner = np.where(point, (a[:, :2] > b[:, :2] + tol) & (a[:, :2] < b[:, 2:] - tol), low < high)
+    return covered & inner.all(axis=1)
+
+
+def _within_sent(left: DataFrame, right: _Sent, how: str) -> DataFrame:
+    """(left_id, right_id): in which right shapes each left shape lies; no pair moves."""
+    area = right.flat & (right.box[:, 0] < right.box[:, 2]) & (right.box[:, 1] < right.box[:, 3]) if len(right.ids) else right.flat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, ids = b["geometry"].to_pylist(), b["id"]
+            boxes = _Boxes([None if k is None else x for k, x in zip(ids.to_pylist(), texts)])
+            alone = np.ones(len(texts), bool)
+            for i, j in right.meeting(boxes.box):
+                held = np.zeros(len(i), bool)
+                plain = boxes.flat[i] & area[j]
+                held[plain] = _within(boxes.box[i[plain]], right.box[j[plain]])
+                for k in np.flatnonzero(~plain):
+                    held[k] = planar.relate(planar.read(texts[i[k]]), planar.read(right.texts[j[k]]))["within"]
+                i, j = i[held], j[held]
+                alone[i] = False
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(right.ids[j], pa.int64())], ["left_id", "right_id"])
+            if how == "left":
+                rest = ids.filter(pa.array(alone))
+                yield pa.RecordBatch.from_arrays([rest, pa.nulls(len(rest), pa.int64())], ["left_id", "right_id"])
+
+    return _spread(left).mapInArrow(run, "left_id long, right_id long")
+
+
+def _rest_of_box(box: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
+    """Rectangles that the boxes leave of a box: free runs between their sides, row by row, equal runs above each other put together."""
+    x, y = (np.unique(np.clip(np.concatenate([others[:, k], others[:, k + 2], box[[k, k + 2]]]), box[k], box[k + 2])) for k in (0, 1))
+    taken = np.zeros((len(y), len(x)), int)
+    (i0, i1), (j0, j1) = ((np.searchsorted(c, np.clip(others[:, k], *box[[k, k + 2]])), np.searchsorted(c, np.clip(others[:, k + 2], *box[[k, k + 2]]))) for k, c in ((0, x), (1, y)))
+    for j, i, n in ((j0, i0, 1), (j1, i1, 1), (j0, i1, -1), (j1, i0, -1)):
+        np.add.at(taken, (j, i), n)
+    free = taken.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] == 0
+    made, going = [], {}
+    for k, row in enumerate([*free, np.zeros(len(x) - 1, bool)]):
+        turn = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(int), [0]])))
+        runs = set(zip(turn[::2].tolist(), turn[1::2].tolist()))
+        for run in [g for g in going if g not in runs]:
+            low = going.pop(run)
+            made.append(np.array([(x[run[0]], y[low]), (x[run[1]], y[low]), (x[run[1]], y[k]), (x[run[0]], y[k])]))
+        for run in runs:
+            going.setdefault(run, k)
+    return made
+
+
+def _left_over_sent(left: DataFrame, right: _Sent) -> DataFrame:
+    """``_left_over`` with the right side in every task: no pair moves, and rectangles are cut by rectangles on their sides."""
+    area = right.flat & (right.box[:, 0] < right.box[:, 2]) & (right.box[:, 1] < right.box[:, 3]) if len(right.ids) else right.flat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b["geometry"].to_pylist()
+            boxes = _Boxes(texts)
+            made: dict[int, list[np.ndarray]] = {}
+            met = np.zeros(len(texts), bool)
+            for i, j in right.meeting(boxes.box):
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                cuts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.empty(0, int)
+                for lo, hi in zip(cuts, np.append(cuts[1:], len(i))):
+                    k, others = int(i[lo]), j[lo:hi]
+                    met[k] = True
+                    if boxes.flat[k] and boxes.area[k] and area[others].all():
+                        c, d = boxes.box[k], right.box[others]
+                        made[k] = [] if ((d[:, :2] <= c[:2]) & (d[:, 2:] >= c[2:])).all(axis=1).any() else _rest_of_box(c, d)
+                    else:
+                        made[k] = planar.combine(planar.read(texts[k]).polygons, [p for o in others for p in planar.read(right.texts[o]).polygons], planar.OVERLAYS["difference"])
+            for k in np.flatnonzero(~met):
+                made[int(k)] = planar.combine(planar.read(texts[k]).polygons, [], planar.OVERLAYS["difference"])
+            rows = [(k, planar.to_geojson(m), planar.total_area(m)) for k, m in made.items() if m]
+            rows = [x for x in rows if x[2] > 0]
+            cols = [b["id"].take(pa.array([x[0] for x in rows], pa.int64())), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["left_id", "geometry", "area"])
+
+    return _spread(left.where("id is not null")).mapInArrow(run, "left_id long, geometry string, area double")
+
+
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id) of all geometries whose boxes meet."""
     named = lambda df, p: df.select(*[F.col(c).alias(c if c in ("level", "cx", "cy") else f"{p}_{c}") for c in df.columns])
@@ -84,6 +275,8 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
     """(left_id, right_id) of all pairs for which ``predicate`` holds; with how="left" also left rows without a partner."""
     if predicate not in planar.RELATIONS or how not in ("inner", "left"):
         raise ValueError(f"predicate must be one of {planar.RELATIONS}, how inner or left")
+    if predicate == "within" and (sent := _sent(right)) is not None:
+        return _within_sent(left, sent, how)
     found = relations(left, right).where(predicate).select("left_id", "right_id")
     return found if how == "inner" else left.select(F.col("id").cast("long").alias("left_id")).join(found, "left_id", "left")
 
@@ -103,6 +296,8 @@ def intersections(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def _left_over(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, geometry, area) of what is left of each area without those of the other table. All areas that meet one come together."""
+    if (sent := _sent(right)) is not None:
+        return _left_over_sent(left, sent)
     met = _texts(left, right).select("left_id", "a", "b")
     alone = left.select(F.col("id").cast("long").alias("left_id"), F.col("geometry").alias("a"), F.lit(None).cast("string").alias("b"))
 

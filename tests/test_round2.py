@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from terravane.operators import detect, geometry, ranking
+from terravane.operators import detect, geometry, overlay, ranking
 from terravane.functions.geo import haversine_np
 
 
@@ -52,3 +52,29 @@ def test_ensemble_keeps_no_map_of_all_values(spark):
     assert "percentile(" not in out._jdf.queryExecution().executedPlan().toString()
     edge = df.agg(F.percentile(0.5 * F.col("score_a") + 0.5 * F.col("score_b"), 0.99)).first()[0]
     assert out.where("outlier_99").count() == out.where(F.col("outlier_score") >= edge).count() == 50
+
+
+def shapes(spark, n, seed, kinds):
+    g = np.random.default_rng(seed)
+    out = [(-1, None), (None, "POINT (3 3)"), (-2, "POINT EMPTY")]
+    for i in range(n):
+        x, y, w, h = (int(v) for v in (*g.integers(0, 12, 2), *g.integers(1, 5, 2)))
+        out.append((i, {0: f"POLYGON (({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y}))", 1: f"LINESTRING ({x} {y}, {x + w} {y})", 2: f"POINT ({x} {y})", 3: f"POLYGON (({x} {y}, {x + w} {y}, {x} {y + h}, {x} {y}))"}[kinds[i % len(kinds)]]))
+    return spark.createDataFrame(out, "id long, geometry string")
+
+
+def test_left_join_within_moves_no_pairs(spark, monkeypatch):
+    left, right = shapes(spark, 60, 1, (0, 1, 2, 3)), shapes(spark, 50, 2, (0, 0, 3, 1))
+    got = overlay.spatial_join(left, right, "within", "left")
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(overlay, "MAX_SENT", 0)
+    assert sorted(map(str, got.collect())) == sorted(map(str, overlay.spatial_join(left, right, "within", "left").collect()))
+
+
+def test_difference_moves_no_pairs(spark, monkeypatch):
+    left, right = shapes(spark, 40, 3, (0, 0, 3)), shapes(spark, 15, 4, (0, 0, 0, 3))
+    area = lambda df: {r["left_id"]: round(r["area"], 9) for r in df.collect()}
+    got = overlay.overlay(left, right, "difference")
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(overlay, "MAX_SENT", 0)
+    assert area(got) == area(overlay.overlay(left, right, "difference")) != {}
