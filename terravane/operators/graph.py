@@ -1,7 +1,7 @@
 """Graphs as two tables: components, shortest paths, centrality, spanning trees and corridors.
 
 Components, paths and spanning trees work on edges of any size by rounds of joins, each round written to reliable storage; hulls are
-made of hulls of shares. Centralities are made per component in one task; a component above MAX_COMPONENT is an error there.
+made of hulls of shares. Centralities are made in shares of the sources, each of which holds the edges of one component.
 """
 
 from __future__ import annotations
@@ -87,10 +87,10 @@ def _adjacency(pdf: pd.DataFrame) -> dict[int, list[tuple[int, float]]]:
     return adj
 
 
-def _brandes(adj: dict[int, list[tuple[int, float]]]) -> tuple[dict[int, float], dict[int, float]]:
-    """Weighted betweenness (unordered pairs) and mean distance inputs of closeness (Brandes 2001)."""
+def _brandes(adj: dict[int, list[tuple[int, float]]], sources: list[int]) -> tuple[dict[int, float], dict[int, float]]:
+    """Weighted betweenness (unordered pairs) and sum of distances of the given sources (Brandes 2001)."""
     between, total = dict.fromkeys(adj, 0.0), {}
-    for s in adj:
+    for s in sources:
         done: dict[int, float] = {}
         seen = {s: 0.0}
         paths, before, order = {s: 1.0}, {s: []}, []
@@ -125,21 +125,26 @@ def _labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(labels.select(F.col("id").alias("src"), "component"), "src")
 
 
-def centrality(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(id, betweenness, closeness) with weights as lengths; closeness is scaled by the share of nodes reached."""
-    labels = labels if labels is not None else components(nodes, edges)
+def centrality(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None, share: int = 256, fan: int = 64) -> DataFrame:
+    """(id, betweenness, closeness) with weights as lengths; closeness is scaled by the share of nodes reached.
+
+    The sources of a component are cut into shares of about ``share`` nodes, ``fan`` of them at most; each share is a task with
+    all edges of its component, and the sums of the shares are the whole. Exact for any size: the work grows with nodes times edges.
+    """
+    labels = cut(labels if labels is not None else components(nodes, edges))
     n = nodes.count()
+    parts = labels.groupBy("component").agg(F.least(F.lit(fan), F.ceil(F.count("*") / F.lit(float(share)))).cast("int").alias("parts"))
+    sent = cut(_labelled(edges, labels)).join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj = _adjacency(pdf)
-        if len(adj) > MAX_COMPONENT:
-            raise ValueError("component too large for exact centrality")
-        between, total = _brandes(adj)
+        adj, at, of = _adjacency(pdf), int(pdf["part"].iloc[0]), int(pdf["parts"].iloc[0])
+        between, total = _brandes(adj, [v for k, v in enumerate(sorted(adj)) if k % of == at])
         ids, m = list(adj), len(adj)
         pairs = max((n - 1) * (n - 2) / 2, 1)
-        return pd.DataFrame({"id": ids, "betweenness": [between[i] / pairs for i in ids], "closeness": [(m - 1) / total[i] * (m - 1) / (n - 1) if total[i] > 0 else 0.0 for i in ids]})
+        return pd.DataFrame({"id": ids, "betweenness": [between[i] / pairs for i in ids], "closeness": [(m - 1) / total[i] * (m - 1) / (n - 1) if total.get(i, 0.0) > 0 else 0.0 for i in ids]})
 
-    made = _labelled(edges, labels).groupBy("component").applyInPandas(one, "id long, betweenness double, closeness double")
+    made = sent.groupBy("component", "part").applyInPandas(one, "id long, betweenness double, closeness double")
+    made = made.groupBy("id").agg(F.sum("betweenness").alias("betweenness"), F.sum("closeness").alias("closeness"))
     return nodes.select("id").join(made, "id", "left").fillna(0.0, ["betweenness", "closeness"])
 
 

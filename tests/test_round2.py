@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from terravane.operators import detect, geometry, overlay, ranking
+from terravane.operators import detect, geometry, graph, overlay, ranking
 from terravane.functions.geo import haversine_np
 
 
@@ -78,3 +78,14 @@ def test_difference_moves_no_pairs(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(overlay, "MAX_SENT", 0)
     assert area(got) == area(overlay.overlay(left, right, "difference")) != {}
+
+
+def test_centrality_of_a_large_component_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_COMPONENT", 5)
+    g = np.random.default_rng(9)
+    pairs = {tuple(sorted(map(int, p))) for p in g.integers(0, 30, (60, 2)) if p[0] != p[1]}
+    edges = spark.createDataFrame([(a, b, float(g.uniform(1, 9))) for a, b in pairs], "src long, dst long, weight double")
+    nodes = spark.range(32)
+    labels = nodes.select("id", F.when(F.col("id") < 30, 0).otherwise(F.col("id")).cast("long").alias("component"))
+    one, many = (sorted(map(tuple, graph.centrality(nodes, edges, labels, share=s).collect())) for s in (100, 4))
+    assert len(one) == 32 and np.allclose(one, many) and max(x[1] for x in one) > 0
