@@ -182,16 +182,20 @@ def spanning_tree(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None =
     return small.unionByName(_rounds_of_merging(inside.join(large, "component", "left_semi").select("component", "src", "dst", "weight")))
 
 
-def _rounds_of_merging(edges: DataFrame) -> DataFrame:
-    """Each part takes the least edge that leaves it and the parts it joins become one, until no edge leaves any: at most log2(nodes) rounds."""
+def _rounds_of_merging(edges: DataFrame, part: DataFrame | None = None) -> DataFrame:
+    """Each part takes the least edge that leaves it and the parts it joins become one, until no edge leaves any: at most log2(nodes) rounds.
+
+    part: (id, part) that the nodes are in at first, each its own if not given.
+    """
     left = cut(edges.where("src <> dst"))
-    part = cut(left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct().withColumn("part", F.col("id")))
+    if part is None:
+        part = cut(left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct().withColumn("part", F.col("id")))
     tree: list[DataFrame] = []
     while True:
         a, b = part.select(F.col("id").alias("src"), F.col("part").alias("pa")), part.select(F.col("id").alias("dst"), F.col("part").alias("pb"))
         left = cut(left.select("component", "src", "dst", "weight").join(a, "src").join(b, "dst").where("pa <> pb"))
         if left.isEmpty():
-            return reduce(DataFrame.unionByName, tree)
+            return reduce(DataFrame.unionByName, tree) if tree else left.select("component", "src", "dst", "weight")
         ends = left.select("*", F.explode(F.array("pa", "pb")).alias("p"))
         taken = cut(ends.groupBy("p").agg(F.min(F.struct("weight", "src", "dst", "component", "pa", "pb")).alias("e")).select("e.*").distinct())
         tree.append(taken.select("component", "src", "dst", "weight"))
