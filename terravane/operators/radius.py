@@ -14,6 +14,7 @@ Defined cases: points at one position are joined to the smallest id among them;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,32 +34,46 @@ MAX_LEFT = 200_000
 INSIDE, ACROSS, OPEN, HOME, LINK = range(5)
 
 
+def _with_place(points: DataFrame) -> DataFrame:
+    known = points.where(F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
+    return known.select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+
+
+class Reach:
+    """The tiles that have a point within the radius of a point, across the date line and the poles too."""
+
+    def __init__(self, points: DataFrame, radius_m: float, rows: int = TILE_ROWS) -> None:
+        self.grid = tiles(points.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), rows)
+        self.turn = radius_m / EARTH_M + 1e-9
+
+    def of(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tile, point, is home)."""
+        wide, turn = np.full(len(lat), 360.0), self.turn
+        inner = np.radians(np.abs(lat)) + turn < np.pi / 2
+        wide[inner] = np.degrees(np.arcsin(np.sin(turn) / np.cos(np.radians(lat[inner]))))
+        far = np.maximum(wide, np.degrees(turn)) + 1e-9
+        own = self.grid.of(lon, lat)
+        key = [own * np.int64(len(lat)) + np.arange(len(lat))]
+        for shift in (0.0, -360.0, 360.0):
+            at = np.arange(len(lat)) if shift == 0 else np.flatnonzero(lon + far > 180 if shift < 0 else lon - far < -180)
+            tile, point = self.grid.reached(lon[at] + shift, lat[at], far[at])
+            key.append(tile.astype(np.int64) * len(lat) + at[point])
+        tile, point = np.divmod(np.unique(np.concatenate(key)), max(len(lat), 1))
+        return tile.astype(np.int32), point, own[point] == tile
+
+
 def tiled(points: DataFrame, radius_m: float, rows: int = TILE_ROWS) -> DataFrame:
     """(tile, id, lat, lon, home): every point in its own tile and in all that have a point within the radius of it. points: (id long, lat, lon)."""
-    known = points.where(F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
-    grid = tiles(known.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), rows)
-    turn = radius_m / EARTH_M + 1e-9
+    known = _with_place(points)
+    reach = Reach(known, radius_m, rows)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            lat, lon = b["lat"].to_numpy(), b["lon"].to_numpy()
-            wide = np.full(len(lat), 360.0)
-            inner = np.radians(np.abs(lat)) + turn < np.pi / 2
-            wide[inner] = np.degrees(np.arcsin(np.sin(turn) / np.cos(np.radians(lat[inner]))))
-            far = np.maximum(wide, np.degrees(turn)) + 1e-9
-            own = grid.of(lon, lat)
-            key = [own * np.int64(len(lat)) + np.arange(len(lat))]
-            for shift in (0.0, -360.0, 360.0):
-                at = np.arange(len(lat)) if shift == 0 else np.flatnonzero(lon + far > 180 if shift < 0 else lon - far < -180)
-                tile, point = grid.reached(lon[at] + shift, lat[at], far[at])
-                key.append(tile.astype(np.int64) * len(lat) + at[point])
-            tile, point = np.divmod(np.unique(np.concatenate(key)), len(lat))
+            tile, point, home = reach.of(b["lat"].to_numpy(), b["lon"].to_numpy())
             take = pa.array(point)
-            yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int32()), b["id"].take(take), b["lat"].take(take), b["lon"].take(take), pa.array(own[point] == tile)], ["tile", "id", "lat", "lon", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(tile), b["id"].take(take), b["lat"].take(take), b["lon"].take(take), pa.array(home)], ["tile", "id", "lat", "lon", "home"])
 
-    return known.select(F.col("id").cast("long").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).mapInArrow(place, "tile int, id long, lat double, lon double, home boolean")
+    return known.mapInArrow(place, "tile int, id long, lat double, lon double, home boolean")
 
 
 class Cells:
@@ -252,3 +267,125 @@ def spanning_tree_within(points: DataFrame, radius_m: float, made: DataFrame | N
     tree = edge.where(F.col("kind") == INSIDE).drop("kind").unionByName(across).unionByName(_open_edges(made, most))
     moved = _moved(made).withColumnRenamed("component", "now")
     return tree.join(moved, tree["component"] == moved["label"], "left").select(F.coalesce("now", "component").alias("component"), "src", "dst", "weight")
+
+
+class Metres:
+    """Great-circle distances of a tile's points, from chords."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, radius_m: float) -> None:
+        self.lat, self.lon, self.radius = lat, lon, radius_m
+        self.u = unit(lat, lon)
+        self.cells = Cells(self.u, (radius_m * (1 + 1e-9) + EVEN_M) / EARTH_M)
+        self.xyz = (self.u - (self.u[0] if len(lat) else 0)).T * EARTH_M
+
+    def groups(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows of one cell, all that may be near them)."""
+        rows = rows[np.argsort(self.cells.code[rows], kind="stable")]
+        code = self.cells.code[rows]
+        edge = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(rows) else np.empty(0, int)
+        first, n = self.cells.runs(code[edge])
+        for k, (lo, hi) in enumerate(zip(edge, np.append(edge[1:], len(rows)))):
+            yield rows[lo:hi], np.concatenate([self.cells.order[a : a + m] for a, m in zip(first[k], n[k])])
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distance of each of a to each of b, infinite beyond the radius."""
+        x, y, z = self.xyz
+        d = np.subtract.outer(x[a], x[b])
+        d *= d
+        for c in (y, z):
+            gap = np.subtract.outer(c[a], c[b])
+            gap *= gap
+            d += gap
+        if self.radius > EARTH_M / 100:
+            d = 2 * EARTH_M * np.arcsin(np.minimum(np.sqrt(d) / (2 * EARTH_M), 1.0))
+        else:  # the next term of the arc is below 1e-9 of it
+            arc = np.sqrt(d)
+            d *= arc
+            d *= 1 / (24 * EARTH_M**2)
+            d += arc
+        i, j = np.nonzero(np.abs(d - self.radius) <= EVEN_M)
+        fit = haversine_np(self.lat[a[i]], self.lon[a[i]], self.lat[b[j]], self.lon[b[j]]) <= self.radius
+        d[d > self.radius] = np.inf
+        d[i, j] = np.where(fit, self.radius, np.inf)
+        return d
+
+
+def _settle(m: Metres, best: np.ndarray, front: np.ndarray) -> np.ndarray:
+    """Relaxes the points in front, those at the least distances first, until none is left; which points came nearer."""
+    changed = np.zeros(len(best), bool)
+    while front.any():
+        low = best[front].min()
+        rows = np.flatnonzero(front & (best <= low + m.radius / 4))
+        front[rows] = False
+        for a, b in m.groups(rows):
+            b = b[best[b] > low]
+            step = max(1, CANDIDATES // max(1, len(b)))
+            for s in range(0, len(a) if len(b) else 0, step):
+                d = m.apart(a[s : s + step], b)
+                d += best[a[s : s + step], None]
+                offer = d.min(axis=0)
+                better = offer < best[b] - 1e-9
+                best[b[better]] = offer[better]
+                front[b[better]] = changed[b[better]] = True
+    return changed
+
+
+def shortest_paths_within(points: DataFrame, source: int, radius_m: float, rows: int = TILE_ROWS) -> DataFrame:
+    """(id, distance): least length of a path from the source to every point it reaches by steps of at most ``radius_m``.
+
+    In each round the tiles that were told of nearer points settle their own and tell the tiles around of what changed, until nothing
+    changes. Only what changed is kept of a round.
+    """
+    known = cut(_with_place(points))
+    reach = Reach(known, radius_m, rows)
+    spark, schema = points.sparkSession, "turn int, tile int, id long, lat double, lon double, distance double, home boolean"
+    kinds = ("turn", "tile", "id", "lat", "lon", "distance", "home")
+
+    def told(turn: int, ids: np.ndarray, lat: np.ndarray, lon: np.ndarray, distance: np.ndarray) -> pa.Table:
+        tile, point, home = reach.of(lat, lon)
+        return pa.table(dict(zip(kinds, (pa.array(np.full(len(tile), turn, np.int32)), pa.array(tile), ids[point], lat[point], lon[point], distance[point], pa.array(home)))))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tile = reach.grid.of(b["lon"].to_numpy(), b["lat"].to_numpy())
+            n = len(tile)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.array(tile), b["id"], b["lat"], b["lon"], pa.array(np.full(n, np.inf)), pa.array(np.ones(n, bool))], kinds)
+
+    static = cut(known.mapInArrow(own, schema))
+    start = known.where(F.col("id") == source).select("id", "lat", "lon").toPandas()
+    first = told(0, *(start[c].to_numpy() for c in ("id", "lat", "lon")), np.zeros(len(start)))
+    log = [spark.createDataFrame(first, schema)]
+    for turn in range(1, 2**31 - 1):
+        active = log[-1].select("tile").distinct()
+
+        def one(t: pa.Table) -> pa.Table:  # sent off before the turn moves on
+            turns, ids, lat, lon, distance, home = (t[c].to_numpy() for c in ("turn", "id", "lat", "lon", "distance", "home"))
+            at = np.flatnonzero(home & (turns < 0))
+            order = at[np.argsort(ids[at])]
+            news = np.flatnonzero((turns == turn - 1) & (~home | (turn == 1)))
+            m = Metres(np.append(lat[order], lat[news]), np.append(lon[order], lon[news]), radius_m)
+            best = np.full(len(order) + len(news), -np.inf)  # points of other tiles are only sources here
+            best[: len(order)] = np.inf
+            known = np.flatnonzero(home & (turns >= 0))
+            np.minimum.at(best, np.searchsorted(ids[order], ids[known]), distance[known])
+            changed = np.zeros(len(order), bool)
+            offers, front = distance[news], np.zeros(len(best), bool)
+            for a, b in m.groups(np.arange(len(order), len(best))):
+                b = b[b < len(order)]
+                b = b[best[b] > offers[a - len(order)].min()]
+                step = max(1, CANDIDATES // max(1, len(b)))
+                for s in range(0, len(a) if len(b) else 0, step):
+                    offer = (m.apart(a[s : s + step], b) + offers[a[s : s + step] - len(order), None]).min(axis=0)
+                    better = offer < best[b] - 1e-9
+                    best[b[better]] = offer[better]
+                    front[b[better]] = changed[b[better]] = True
+            changed |= _settle(m, best, front)[: len(order)]
+            c = np.flatnonzero(changed)
+            return told(turn, ids[order][c], lat[order][c], lon[order][c], best[c])
+
+        seen = reduce(DataFrame.unionByName, [static, *log]).join(F.broadcast(active), "tile", "left_semi").select(*kinds)  # as many as tiles at most
+        log.append(cut(seen.groupBy("tile").applyInArrow(one, schema)))
+        if log[-1].isEmpty():
+            found = reduce(DataFrame.unionByName, log).where("home").groupBy("id").agg(F.min("distance").alias("distance"))
+            alone = spark.createDataFrame([(source, 0.0)], "id long, distance double")
+            return found if len(start) else alone

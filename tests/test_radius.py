@@ -43,3 +43,23 @@ def test_spanning_tree_without_a_list_of_edges(field, rows, most):
     points, edges = field
     got = radius.spanning_tree_within(points, R_M, radius.forest(points, R_M, rows), most)
     assert plain(got) == plain(graph.spanning_tree(points, edges))
+
+
+@pytest.mark.parametrize("rows", [40, 10_000])
+def test_paths_without_a_list_of_edges(spark, rows):
+    g = np.random.default_rng(8)
+    at = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(g.integers(0, 40, 150) / 600 + 60, g.integers(0, 40, 150) / 300 + 179.95))]
+    at = [(i, a, b - 360 if b > 180 else b) for i, a, b in at]
+    points = spark.createDataFrame([*at, (900, None, 1.0)], "id long, lat double, lon double")
+    i, j = np.triu_indices(len(at), 1)
+    xy = np.array([r[1:] for r in at])
+    w = haversine_np(xy[i, 0], xy[i, 1], xy[j, 0], xy[j, 1])
+    want = np.full((len(at), len(at)), np.inf)
+    want[i, j] = want[j, i] = np.where(w <= R_M, w, np.inf)
+    np.fill_diagonal(want, 0)
+    for k in range(len(at)):
+        want = np.minimum(want, want[:, k : k + 1] + want[k : k + 1])
+    got = {r["id"]: r["distance"] for r in radius.shortest_paths_within(points, 3, R_M, rows).collect()}
+    assert set(got) == set(np.flatnonzero(np.isfinite(want[3])).tolist()) and len(got) > 20
+    assert all(abs(want[3][k] - v) < 1e-6 for k, v in got.items())
+    assert [tuple(r) for r in radius.shortest_paths_within(points, 900, R_M).collect()] == [(900, 0.0)]
