@@ -20,6 +20,7 @@ from terravane.operators.ranking import ordinal01
 from terravane.session import cut
 
 MAX_COMPONENT = 20_000
+MAX_POOL, DRAWS = 2_000_000, 100_000
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -205,18 +206,23 @@ def _rounds_of_merging(edges: DataFrame, part: DataFrame | None = None) -> DataF
 
 
 def corridors(nodes: DataFrame, edges: DataFrame, density: DataFrame, least: int = 3, weights: tuple[float, float, float, float] = (0.30, 0.35, 0.20, 0.15), permutations: int = 99) -> DataFrame:
+    """``corridors_of`` the components and the spanning forest of a list of edges."""
+    labels = components(nodes, edges)
+    links = _labelled(edges, labels).groupBy("component").agg(F.count("*").alias("links"))
+    return corridors_of(nodes, labels, links, spanning_tree(nodes, edges, labels), density, least, weights, permutations)
+
+
+def corridors_of(nodes: DataFrame, labels: DataFrame, links: DataFrame, forest: DataFrame, density: DataFrame, least: int = 3, weights: tuple[float, float, float, float] = (0.30, 0.35, 0.20, 0.15), permutations: int = 99) -> DataFrame:
     """Support of each component as a corridor, best first: mean density, connectivity, evenness of its tree, dated nodes. nodes may hold a date ``day``.
 
     p_value is one-sided: how often as many densities, drawn from all nodes with replacement, give at least this support. A
-    draw is the hash of its number, component and place, so it is the same on any cluster.
+    draw is the hash of its number, component and place, so it is the same on any cluster. Up to MAX_POOL densities go to every task.
     """
-    labels = components(nodes, edges)
     density = cut(density.select("id", "density"))
     members = nodes.join(labels, "id").join(density.select("id", F.col("density").alias("dn")), "id", "left")
     day = F.col("day") if "day" in nodes.columns else F.lit(None).cast("date")
     per = members.groupBy("component").agg(F.count("*").alias("nodes"), F.avg("dn").alias("density"), F.count(day).alias("dated"), F.datediff(F.max(day), F.min(day)).alias("span"))
-    links = _labelled(edges, labels).groupBy("component").agg(F.count("*").alias("links"))
-    tree = spanning_tree(nodes, edges, labels).groupBy("component").agg(F.avg("weight").alias("m"), F.stddev_pop("weight").alias("s"), F.count("*").alias("t"))
+    tree = forest.groupBy("component").agg(F.avg("weight").alias("m"), F.stddev_pop("weight").alias("s"), F.count("*").alias("t"))
     all_ = per.join(links, "component").join(tree, "component").where(F.col("nodes") >= least)
     connect = F.col("links") / F.greatest(F.col("nodes") * (F.col("nodes") - 1) / 2, F.lit(1))
     even = F.when(F.col("t") > 1, 1 / (1 + F.col("s") / (F.col("m") + 1e-9))).otherwise(F.lit(1.0))
@@ -227,7 +233,11 @@ def corridors(nodes: DataFrame, edges: DataFrame, density: DataFrame, least: int
     known = density.where(F.col("density").isNotNull())
     n = known.count()
     pool = ordinal01(known, "density", "id", "pos").select(F.round(F.col("pos") * max(n - 1, 0)).cast("long").alias("pos"), F.col("density").alias("drawn"))
-    draws = out.select("component", F.col("density").alias("own"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"), "nodes").withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("nodes"))))
+    pool = F.broadcast(pool) if n <= MAX_POOL else pool
+    each = out.select("component", F.col("density").alias("own"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"), "nodes")
+    first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("nodes"), F.lit(DRAWS).cast("long")))  # in blocks, so that no task makes all draws of a large component
+    draws = each.withColumn("first", first).repartition(8 * out.sparkSession.sparkContext.defaultParallelism, "component", "perm", "first")
+    draws = draws.withColumn("place", F.explode(F.sequence("first", F.least("nodes", F.col("first") + (DRAWS - 1)))))
     drawn = draws.withColumn("pos", F.pmod(F.xxhash64("perm", "component", "place"), F.lit(max(n, 1)))).join(pool, "pos").groupBy("component", "perm").agg(F.avg("drawn").alias("null"), F.first("own").alias("own"))
     beyond = drawn.groupBy("component").agg(F.count_if(a * F.col("null") >= a * F.col("own") - 1e-12).alias("beyond"))
     return out.join(beyond, "component", "left").withColumn("p_value", (F.coalesce("beyond", F.lit(0)) + 1) / F.lit(float(permutations + 1))).drop("beyond").orderBy(F.desc("confidence"), "component")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions.geo import EARTH_M, haversine_np, unit
-from terravane.operators.graph import _rounds_of_merging, components
+from terravane.operators.graph import _rounds_of_merging, components, corridors_of
 from terravane.operators.neighbours import tiles
 from terravane.session import cut
 
@@ -389,3 +389,26 @@ def shortest_paths_within(points: DataFrame, source: int, radius_m: float, rows:
             found = reduce(DataFrame.unionByName, log).where("home").groupBy("id").agg(F.min("distance").alias("distance"))
             alone = spark.createDataFrame([(source, 0.0)], "id long, distance double")
             return found if len(start) else alone
+
+
+def links_within(points: DataFrame, radius_m: float, rows: int = TILE_ROWS) -> DataFrame:
+    """(id, links): how many others are at most ``radius_m`` away, for points with a position."""
+
+    def one(t: pa.Table) -> pa.Table:
+        ids, lat, lon, home = (t[c].to_numpy() for c in ("id", "lat", "lon", "home"))
+        m, n = Metres(lat, lon, radius_m), np.zeros(len(ids), np.int64)
+        for a, b in m.groups(np.flatnonzero(home)):
+            step = max(1, CANDIDATES // len(b))
+            for s in range(0, len(a), step):
+                n[a[s : s + step]] = np.isfinite(m.apart(a[s : s + step], b)).sum(axis=1) - 1
+        return pa.table({"id": ids[home], "links": n[home]})
+
+    return tiled(points, radius_m, rows).groupBy("tile").applyInArrow(one, "id long, links long")
+
+
+def corridors_within(points: DataFrame, radius_m: float, density: DataFrame, rows: int = TILE_ROWS, **asked) -> DataFrame:
+    """``corridors`` of the graph of points at most ``radius_m`` apart."""
+    made = forest(points, radius_m, rows)
+    labels = cut(components_within(points, radius_m, made))
+    links = links_within(points, radius_m, rows).join(labels, "id").groupBy("component").agg((F.sum("links") / 2).cast("long").alias("links")).where("links > 0")
+    return corridors_of(points, labels, links, spanning_tree_within(points, radius_m, made), density, **asked)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from terravane.functions.geo import haversine_np
-from terravane.operators import graph, radius
+from terravane.operators import graph, neighbours, radius
 
 R_M = 2_000.0
 
@@ -63,3 +63,27 @@ def test_paths_without_a_list_of_edges(spark, rows):
     assert set(got) == set(np.flatnonzero(np.isfinite(want[3])).tolist()) and len(got) > 20
     assert all(abs(want[3][k] - v) < 1e-6 for k, v in got.items())
     assert [tuple(r) for r in radius.shortest_paths_within(points, 900, R_M).collect()] == [(900, 0.0)]
+
+
+def test_corridors_without_a_list_of_edges(spark):
+    g = np.random.default_rng(6)
+    at = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(g.integers(0, 60, 120) / 250 + 6, g.integers(0, 60, 120) / 250 - 75))]
+    points = spark.createDataFrame(at, "id long, lat double, lon double")
+    i, j = np.triu_indices(len(at), 1)
+    xy = np.array([r[1:] for r in at])
+    w = haversine_np(xy[i, 0], xy[i, 1], xy[j, 0], xy[j, 1])
+    edges = spark.createDataFrame([(int(a), int(b), float(d)) for a, b, d in zip(i[w <= R_M], j[w <= R_M], w[w <= R_M])], "src long, dst long, weight double")
+    density = points.select("id", (points["lat"] - 6).alias("density"))
+    got = plain(radius.corridors_within(points, R_M, density, rows=30))
+    assert got == plain(graph.corridors(points, edges, density)) and len(got) > 1
+
+
+def test_density_of_full_and_other_squares(spark):
+    g = np.random.default_rng(2)
+    xy = np.concatenate([g.normal(0.6, 0.5, (2_400, 2)), g.uniform(-6, 6, (99, 2))])  # more than NODES x NODES in the square of 0..1.2
+    v = np.arange(len(xy)) % 3
+    df = spark.createDataFrame([*[(i, float(x), float(y), float(u)) for i, ((x, y), u) in enumerate(zip(xy, v))], (9_990, None, 1.0, 2.0)], "id long, x double, y double, v double")
+    got = {r["id"]: r["density"] for r in neighbours.kde(df, 0.3, df["v"]).collect()}
+    want = np.exp(-((xy[:, None] - xy[None]) ** 2).sum(axis=2) / (2 * 0.3**2)) @ v / (2 * np.pi * 0.3**2 * (v.sum() + 2))
+    assert len(got) == len(xy) + 1 and abs(got[9_990] - 2 / (2 * np.pi * 0.3**2 * (v.sum() + 2))) < 1e-15
+    assert np.allclose([got[i] for i in range(len(xy))], want, atol=1e-11 * want.max(), rtol=1e-7)
