@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.functions.distributions import SHAPES, Cdf, integral_column, log_pdf, log_pdf_column, pdf
+from terravane.functions.distributions import SHAPES, Cdf, integral_column, legendre, log_pdf, log_pdf_column, pdf
 from terravane.functions.stats import finite
-from terravane.operators.ranking import value_counts
+from terravane.operators.ranking import ranked_counts, value_counts
+from terravane.session import cut
 
 CELLS = 4_000
 FLOOR = 1e-15
@@ -55,25 +56,28 @@ def ks_distance(df: DataFrame, value: str, cdf: Column) -> DataFrame:
     return told.withColumn("ks_pvalue", F.when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms))))
 
 
-def ks_of(df: DataFrame, value: str, fits: dict[str, tuple[float, ...]]) -> dict[str, float]:
-    """Largest gap between the empirical distribution and that of each fit, over every row; a batch gives the largest of its own."""
+def judged_fits(counts: DataFrame, fits: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, float, int]]:
+    """(KS distance, log-likelihood, rows of a finite density) of each fit over every row; counts: (value, same, below, n). A batch gives its own share."""
     names = list(fits)
+    fields = [f"{k}{i}" for i in range(len(names)) for k in ("k", "l", "r")]
 
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cdfs = [Cdf(name, fits[name]) for name in names]
         for b in batches:
             if not b.num_rows:
                 continue
             v, below, same, n = (b[c].to_numpy() for c in ("value", "below", "same", "n"))
-            found = []
-            for cdf in cdfs:
-                f = cdf(v)
-                found.append(float(np.nanmax(np.maximum(np.abs(f - below / n), np.abs(f - (below + same) / n)))))
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], [f"k{i}" for i in range(len(names))])
+            found: list[float] = []
+            for name, cdf in zip(names, cdfs):
+                f, ll = np.concatenate([cdf(v[s : s + 65_536]) for s in range(0, len(v), 65_536)]), log_pdf(name, fits[name], v)
+                good = np.isfinite(ll)
+                gap = float(np.nanmax(np.maximum(np.abs(f - below / n), np.abs(f - (below + same) / n))))
+                found += [gap, float((ll[good] * same[good]).sum()), float(same[good].sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], fields)
 
-    told = value_counts(df, value).mapInArrow(gaps, ", ".join(f"k{i} double" for i in range(len(names))))
-    row = told.agg(*[F.max(f"k{i}").alias(f"k{i}") for i in range(len(names))]).first()
-    return {name: float(row[f"k{i}"]) for i, name in enumerate(names)}
+    told = counts.mapInArrow(share, ", ".join(f"{f} double" for f in fields))
+    row = told.agg(*[(F.max(f) if f[0] == "k" else F.sum(f)).alias(f) for f in fields]).first()
+    return {name: (row[f"k{i}"], row[f"l{i}"], round(row[f"r{i}"])) for i, name in enumerate(names)}
 
 
 def closed_form(df: DataFrame, value: str) -> DataFrame:
@@ -146,16 +150,21 @@ def _fit_one(name: str, x: np.ndarray, w: np.ndarray) -> tuple[float, ...]:
     return unpack(_nelder_mead(cost, best))
 
 
-def compress(df: DataFrame, value: str, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Means and counts of at most 2*cells cells of the column, equal steps in the value and in its logarithm above the minimum, and the number of rows."""
-    v = df.select(finite(F.col(value).cast("double")).alias("v")).where("v is not null")
-    lim = v.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).first()
+def counted(df: DataFrame, value: str) -> DataFrame:
+    """(value, same): the finite values and how many rows have each, materialised."""
+    v = df.select((finite(F.col(value).cast("double")) + F.lit(0.0)).alias("value")).where("value is not null")
+    return cut(v.groupBy("value").agg(F.count("*").alias("same")))
+
+
+def compress(counts: DataFrame, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, int, float, float]:
+    """Means and counts of at most 2*cells cells of the column, equal steps in the value and in its logarithm above the minimum, the number of rows, and the ends."""
+    lim = counts.agg(F.min("value").alias("a"), F.max("value").alias("b"), F.sum("same").alias("n")).first()
     if not lim["n"]:
-        return np.empty(0), np.empty(0), 0
+        return np.empty(0), np.empty(0), 0, math.nan, math.nan
     span = (lim["b"] - lim["a"]) or 1.0
-    u = (F.col("v") - F.lit(lim["a"])) / F.lit(span)
-    rows = v.groupBy(F.floor(u * cells).alias("i"), F.floor(F.log1p(u * 1e6) * (cells / 28.0)).alias("j")).agg(F.avg("v").alias("m"), F.count("*").alias("c")).toPandas()
-    return rows["m"].to_numpy(), rows["c"].to_numpy(float), lim["n"]
+    u = (F.col("value") - F.lit(lim["a"])) / F.lit(span)
+    rows = counts.groupBy(F.floor(u * cells).alias("i"), F.floor(F.log1p(u * 1e6) * (cells / 28.0)).alias("j")).agg(F.when(F.min("value") == F.max("value"), F.min("value")).otherwise(F.sum(F.col("value") * F.col("same")) / F.sum("same")).alias("m"), F.sum("same").alias("c")).toPandas()
+    return rows["m"].to_numpy(), rows["c"].to_numpy(float), lim["n"], lim["a"], lim["b"]
 
 
 def fit_all(df: DataFrame, value: str, names: list[str] | None = None, bins: int = 80, least: int = 30) -> DataFrame:
@@ -163,28 +172,32 @@ def fit_all(df: DataFrame, value: str, names: list[str] | None = None, bins: int
 
     A candidate whose density is 0 for more than 5 percent of the rows is left out; fewer than ``least`` values are an error.
     """
-    x, w, n = compress(df, value)
+    return fit_counted(counted(df, value), names, bins, least)
+
+
+def fit_counted(counts: DataFrame, names: list[str] | None = None, bins: int = 80, least: int = 30) -> DataFrame:
+    """``fit_all`` of the column that ``counted`` counts; each candidate is fitted in a task of its own."""
+    x, w, n, a, b = compress(counts)
     if n < least:
         raise ValueError(f"at least {least} values are needed")
-    spark = df.sparkSession
-    fits = {name: _fit_one(name, x, w) for name in names or SHAPES}
-    v = df.select(finite(F.col(value).cast("double")).alias("v")).where("v is not null")
-    logs = {name: log_pdf_column(name, p, F.col("v")) for name, p in fits.items()}
-    good = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    got = v.agg(*[e for name, c in logs.items() for e in (F.sum(F.when(good(c), c)).alias(f"ll_{name}"), F.count_if(good(c)).alias(f"ok_{name}"))]).first()
-    hist = histogram(df, value, bins).toPandas()
-    distances = ks_of(v, "v", fits)
-    mid = (hist["low"] + hist["high"]).to_numpy() / 2
+    spark = counts.sparkSession
+    tried = list(names or SHAPES)
+    fits = dict(spark.sparkContext.parallelize(tried, len(tried)).map(lambda name: (name, _fit_one(name, x, w))).collect())
+    width = (b - a) / bins if b > a else 1.0
+    step = F.least(F.floor((F.col("value") - F.lit(a)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    told = {r["bin"]: r["n"] for r in counts.groupBy(step.alias("bin")).agg(F.sum("same").alias("n")).collect()}
+    p0 = np.maximum(np.array([told.get(i, 0) for i in range(bins)]) / n, FLOOR)
+    mid = ((a + np.arange(bins) * width) + (a + (np.arange(bins) + 1) * width)) / 2
+    measures = judged_fits(ranked_counts(counts), fits)
     rows = []
     for name, p in fits.items():
-        ll = got[f"ll_{name}"]
-        if ll is None or got[f"ok_{name}"] < 0.95 * n:
+        ks, ll, ok = measures[name]
+        if not ok or ok < 0.95 * n:
             continue
         k = len(p)
-        ks = distances[name]
         q = np.maximum(pdf(name, p, mid), FLOOR)
-        bc = min(1.0, float(np.sqrt(hist["p"].to_numpy() * q / q.sum()).sum()))
-        rows.append((name, [float(a) for a in p], float(ll), 2 * k - 2 * ll, k * math.log(n) - 2 * ll, ks, -math.log(max(bc, 1e-300)), 2 * math.acos(bc)))
+        bc = min(1.0, float(np.sqrt(p0 / p0.sum() * q / q.sum()).sum()))
+        rows.append((name, [float(v) for v in p], float(ll), 2 * k - 2 * ll, k * math.log(n) - 2 * ll, ks, -math.log(max(bc, 1e-300)), 2 * math.acos(bc)))
     out = spark.createDataFrame(rows, "distribution string, params array<double>, log_likelihood double, aic double, bic double, ks double, bhattacharyya double, fisher_rao double")
     from pyspark.sql.window import Window
 
@@ -203,6 +216,24 @@ def tail_score(df: DataFrame, value: str, name: str, params: tuple[float, ...],
     return df.withColumn("tail_area", tail).withColumn("tail_score", -F.log10("tail_area"))
 
 
+def tails_of(counts: DataFrame, name: str, params: tuple[float, ...], low: float, order: int = 48) -> DataFrame:
+    """(value, same, tail_area, tail_score) as ``tail_score`` gives them, a batch of values at a time."""
+    x, w = legendre(order)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, f = b["value"].to_numpy(), np.empty(b.num_rows)
+            for s in range(0, len(v), 8_192):
+                top = np.maximum(v[s : s + 8_192], low)
+                half = (top - low) / 2
+                f[s : s + 8_192] = half * (pdf(name, params, half[:, None] * x + ((low + top) / 2)[:, None]) * w).sum(axis=1)
+            cdf = np.clip(f, 0.0, 1.0)
+            tail = np.maximum(np.minimum(2 * np.minimum(cdf, 1 - cdf), 1.0), 1e-15)
+            yield pa.RecordBatch.from_arrays([b["value"], b["same"], pa.array(tail), pa.array(-np.log10(tail))], ["value", "same", "tail_area", "tail_score"])
+
+    return counts.select("value", "same").mapInArrow(judge, "value double, same long, tail_area double, tail_score double")
+
+
 #: Distribution functions in closed form, of the shapes and z = (x - loc) / scale inside the support.
 CLOSED: dict[str, Callable[..., Column]] = {
     "expon": lambda z: 1 - F.exp(-F.greatest(z, F.lit(0.0))),

@@ -61,7 +61,11 @@ def offsets(counted: DataFrame, by: list[str], n: str) -> DataFrame:
 def value_counts(df: DataFrame, value: str) -> DataFrame:
     """(value, same, below, n) per distinct non-null value: rows equal to it, rows below it, all rows."""
     v = F.col(value)
-    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(F.count("*").alias("same"))
+    return ranked_counts(df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(F.count("*").alias("same")))
+
+
+def ranked_counts(counted: DataFrame) -> DataFrame:
+    """``value_counts`` of values that are counted already; counted: (value, same)."""
     counted = with_range(counted, F.col("value"))
     w = Window.partitionBy("__r").orderBy("value")
     inner = counted.withColumn("__in", F.sum("same").over(w) - F.col("same"))
@@ -155,6 +159,22 @@ def ordinal01(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
     return numbered.withColumn(out, F.when(F.col("__all") > 1, scaled).otherwise(F.lit(0.0))).drop(*keys, "__in", "__before", "__all")
 
 
+def positions(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
+    """(tie, out) with out as ``ordinal01`` gives it, for narrow rows: they are sorted over ranges of (value, tie), cut, and numbered by the rows of the ranges before."""
+    v = F.when(~F.isnan(value), F.col(value))
+    placed = cut(df.select(tie, v.alias("__v")).orderBy(F.col("__v").asc_nulls_last(), tie).select(tie)).select(tie, F.monotonically_increasing_id().alias("__at"))
+    part, size = F.shiftrightunsigned("__at", 33).cast("int"), 1 << 33
+    found = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # as many as partitions
+    n, before, shifts = sum(found.values()), 0, []
+    for p in range(max(found, default=-1) + 1):
+        shifts.append(float(before - p * size))
+        before += found.get(p, 0)
+    if n <= 1:
+        return placed.select(tie, F.lit(0.0).alias(out))
+    shift = F.element_at(F.array(*[F.lit(s) for s in shifts]), part + 1)
+    return placed.select(tie, ((F.col("__at") + shift) / F.lit(float(n - 1))).alias(out))
+
+
 def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
     """Adds the running number from 0 in order of the number ``by``."""
     ranged = with_range(df, F.col(by).cast("double"))

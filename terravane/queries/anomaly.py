@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terravane.common import table
 from terravane.functions.distributions import central_areas, inflections
@@ -211,7 +212,8 @@ def variable_comparison(spark, d):
     """Best fit, tail and the counts of rows that stand out, per measure; an item lies where its customer does, and its series is their nation."""
     n = wgs(spark, d).select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", *[c.alias(a) for c, a in zip(geometry.utm(F.col("lat"), F.col("lon"), 18), ("x", "y"))])
     items = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey", "left").join(n, "o_custkey", "left")
-    rows = items.withColumn("id", F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber"))
+    alike = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[c for c in items.columns if c.startswith("l_")])  # a line number is not unique in its order
+    rows = items.withColumn("id", (F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")) * (1 << 20) + F.row_number().over(alike))
     return analysis.compare_variables(rows, ["l_quantity", "l_extendedprice", "l_discount"], "c_nationkey", ["l_shipdate"])
 
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terravane-"))
 
 
+def at_once(*steps: Callable[[], Any]) -> list[Any]:
+    """Results of independent steps; their jobs run side by side, so that short stages don't leave the cluster idle."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(min(8, len(steps))) as pool:
+        return [f.result() for f in [pool.submit(inherit(s)) for s in steps]]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise on reliable storage, so that a lost executor costs no earlier stage.
 
