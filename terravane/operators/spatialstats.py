@@ -7,6 +7,11 @@ and shifted by the rows of the buckets before, so no task sorts a whole permutat
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +21,7 @@ from terravane.operators.ranking import numbered
 ALPHA = 0.05
 DIGITS = 3
 BUCKETS = 16**DIGITS
+HELD_POINTS, HELD_EDGES = 4_000_000, 40_000_000  # up to so many, a task holds all values and neighbours and judges whole permutations
 
 
 def standardized(points: DataFrame, value: str, out: str) -> DataFrame:
@@ -45,16 +51,76 @@ def quadrant(significant: Column, own: Column, around: Column) -> Column:
     return F.when(significant & (own > 0) & (around > 0), "HH").when(significant & (own < 0) & (around < 0), "LL").when(significant & (own > 0) & (around < 0), "HL").when(significant & (own < 0) & (around > 0), "LH").otherwise("NS")
 
 
+def _beyond_held(z: DataFrame, edges: DataFrame, permutations: int, own_moves: bool) -> DataFrame | None:
+    """(id, beyond): how many permutations give a local coefficient at least as far from 0 as the real one, by the permutations of ``permuted``; None for tables that don't fit in a task."""
+    if z.count() > HELD_POINTS or edges.count() > HELD_EDGES:
+        return None
+    spark = z.sparkSession
+    held = z.select("id", "z", "y").toArrow().sort_by("id")
+    if any(held[c].null_count for c in held.column_names) or not held.num_rows:
+        return None
+    ids, own, y = (held[c].to_numpy() for c in ("id", "z", "y"))
+    sent = spark.sparkContext.broadcast(ids)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            i, j = (b[c].to_numpy() for c in ("i", "j"))
+            at, to = np.searchsorted(known, i), np.searchsorted(known, j)
+            good = (known[np.minimum(at, len(known) - 1)] == i) & (known[np.minimum(to, len(known) - 1)] == j)
+            yield pa.RecordBatch.from_arrays([pa.array((at[good] << 32) | to[good])], ["e"])
+
+    pairs = np.sort(edges.select("i", "j").mapInArrow(place, "e long").toArrow()["e"].to_numpy())
+    if not len(pairs):
+        return None
+    degree = np.bincount(pairs >> 32, minlength=len(ids))
+    rows = np.flatnonzero(degree)
+    near, starts = (pairs & 0xFFFFFFFF).astype(np.int32), np.concatenate([[0], np.cumsum(degree[rows])])
+    del pairs
+    world = spark.sparkContext.broadcast((ids, own, y, rows, near, starts))
+
+    def judged(numbers: Iterator[int]) -> Iterator[np.ndarray]:
+        ids, own, y, rows, near, starts = world.value
+        degree = np.diff(starts)
+
+        def product(v: np.ndarray, mine: np.ndarray) -> np.ndarray:
+            around = np.empty(len(rows))
+            for a in range(0, len(rows), 65_536):
+                b = min(a + 65_536, len(rows))
+                around[a:b] = np.add.reduceat(v[near[starts[a] : starts[b]]], starts[a:b] - starts[a]) / degree[a:b]
+            return np.abs(mine[rows] * around)
+
+        real, count, texts = product(y, own), np.zeros(len(rows), np.int32), [str(i).encode() for i in ids.tolist()]
+        for number in numbers:
+            first, md5 = f"{number}:".encode(), hashlib.md5
+            h = np.frombuffer(b"".join([md5(first + t).digest() for t in texts]), ">u8").reshape(-1, 2)
+            high = h[:, 0].astype(np.uint64)
+            order = np.argsort(high, kind="stable")
+            if (high[order[1:]] == high[order[:-1]]).any():
+                order = np.lexsort((h[:, 1].astype(np.uint64), high))
+            moved = y[order]
+            count += product(moved, moved if own_moves else own) >= real
+        yield count
+
+    slices = min(permutations, 4 * spark.sparkContext.defaultParallelism)
+    total = spark.sparkContext.parallelize(range(1, permutations + 1), slices).mapPartitions(judged).treeReduce(np.add)
+    sent.unpersist()
+    world.unpersist()
+    return spark.createDataFrame(pa.table({"id": ids[rows], "beyond": total.astype(np.int64)}))
+
+
 def local_moran(points: DataFrame, edges: DataFrame, value: str, permutations: int, with_value: str | None = None) -> DataFrame:
     """(id, z, lag, local_i, p_value, cluster). With ``with_value`` the lag is of that variable and only it is permuted (bivariate); else a permutation moves a point's own value too."""
     other = with_value or value
     z = standardized(points.select("id", F.col(value).alias("a"), F.col(other).alias("b")), "a", "z")
     z = standardized(z, "b", "y").select("id", "z", "y")
     own = z.join(lag(edges, z, "y", [], "lag"), "id").withColumn("local_i", F.col("z") * F.col("lag"))
-    shuffled = permuted(z, ["y"], permutations)
-    null = lag(edges, shuffled, "y", ["perm"], "lag_p")
-    null = null.join(z.select("id", F.col("z").alias("own")), "id") if with_value else null.join(shuffled.select("perm", "id", F.col("y").alias("own")), ["perm", "id"])
-    beyond = null.join(own.select("id", "local_i"), "id").groupBy("id").agg(F.count_if(F.abs(F.col("own") * F.col("lag_p")) >= F.abs("local_i")).alias("beyond"))
+    beyond = _beyond_held(z, edges, permutations, with_value is None)
+    if beyond is None:
+        shuffled = permuted(z, ["y"], permutations)
+        null = lag(edges, shuffled, "y", ["perm"], "lag_p")
+        null = null.join(z.select("id", F.col("z").alias("own")), "id") if with_value else null.join(shuffled.select("perm", "id", F.col("y").alias("own")), ["perm", "id"])
+        beyond = null.join(own.select("id", "local_i"), "id").groupBy("id").agg(F.count_if(F.abs(F.col("own") * F.col("lag_p")) >= F.abs("local_i")).alias("beyond"))
     p = (F.col("beyond") + 1) / F.lit(float(permutations + 1))
     out = own.join(beyond, "id").withColumn("p_value", p)
     return out.select("id", "z", "lag", "local_i", "p_value", quadrant(F.col("p_value") <= ALPHA, F.col("z"), F.col("lag")).alias("cluster"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terravane.operators import fitting, ranking, temporal
+from terravane.operators import fitting, ranking, spatialstats, temporal
 from terravane.plans import analysis
 from terravane.queries import anomaly
 from terravane.session import cut
@@ -50,3 +50,15 @@ def test_tails_of_values_equal_those_of_rows(spark):
     each = {r["v"]: r["tail_area"] for r in fitting.tail_score(rows, "v", "norm", params, low).collect()}
     told = fitting.tails_of(fitting.counted(rows, "v"), "norm", params, low).collect()
     assert sum(r["same"] for r in told) == 200 and all(abs(each[r["value"]] - r["tail_area"]) < 1e-12 for r in told)
+
+
+@pytest.mark.parametrize("other", [None, "u"])
+def test_held_permutations_equal_those_by_joins(spark, monkeypatch, other):
+    g = np.random.default_rng(9)
+    points = spark.createDataFrame([(i * 7 - 50, float(g.normal()), float(g.normal())) for i in range(60)], "id long, v double, u double")
+    edges = spark.createDataFrame([(i * 7 - 50, ((i + d) % 60) * 7 - 50) for i in range(55) for d in range(1, 3 + i % 4)], "i long, j long")
+    monkeypatch.setattr(spatialstats, "permuted", lambda *a: pytest.fail("permutations as rows"))
+    held = {r["id"]: r["p_value"] for r in spatialstats.local_moran(points, edges, "v", 39, other).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(spatialstats, "HELD_POINTS", 0)
+    assert len(held) == 55 and held == {r["id"]: r["p_value"] for r in spatialstats.local_moran(points, edges, "v", 39, other).collect()}
