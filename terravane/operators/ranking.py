@@ -4,26 +4,30 @@ Values are cut into ranges at approximate quantiles (a bounded array, computed i
 per range and shifted by the rows of the ranges before. The result is exact: the cuts only steer the load. There are
 COARSE x FINE ranges, found in two short steps, so that a range stays small on large tables. A value shared by
 very many rows is counted once as a value and joined back, or, where its rows have to be told apart, cut into ranges of what
-tells them apart.
+tells them apart. Average ranks of columns with many different values move every row once, to the range its value is in, and join nothing.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType, StructField, StructType
 from pyspark.sql.window import Window
 
-from terravane.session import cut
+from terravane.session import cut, held
 
 COARSE, FINE = 32, 32
 HOT_SHARE = 1 / 256
 FEW_VALUES = 1_000_000
 ACCURACY = 10_000
+PART_ROWS = 500_000
+AS_DOUBLE = (DoubleType, FloatType, IntegerType, ShortType, ByteType)  # numbers that are told apart as double
 
 
 def _with_cuts(df: DataFrame, values: dict[str, Column], ranges: int) -> DataFrame:
@@ -72,16 +76,67 @@ def ranked_counts(counted: DataFrame) -> DataFrame:
     return inner.join(F.broadcast(offsets(counted, ["__r"], "same")), "__r").select("value", "same", (F.col("__in") + F.col("__before")).alias("below"), F.col("__all").alias("n"))
 
 
+def _ranks_in_ranges(df: DataFrame, value: str, out: str, fan: int) -> DataFrame:
+    """Average rank over the number of values, 0.5 where the value is missing, of a column that is exact as double; every row moves once, to its range.
+
+    Each cut is a range of its own, from itself to the next double, so a value with more than about 1/COARSE/FINE of the rows is alone in its
+    range: its rank is known from the counts of the ranges, and its rows, as the missing ones, are spread over ``fan`` parts.
+    """
+    v = F.when(~F.isnan(value), F.col(value).cast("double") + F.lit(0.0))  # no -0.0
+    ranges = COARSE * FINE
+    found = df.agg(F.percentile_approx(v, [i / ranges for i in range(1, ranges)], 4 * ranges).alias("q")).first()["q"]
+    if found is None:
+        return df.withColumn(out, F.lit(0.5))
+    ends = np.array([-np.inf, *found], float)
+    ends = np.unique(np.concatenate([ends, np.nextafter(ends, np.inf), [np.inf]]))
+    last = len(ends) - 1  # the range of infinity
+    alone = np.append(np.nextafter(ends[:-1], np.inf) == ends[1:], True)
+    alone[last - 1] &= ends[last - 1] != np.finfo(float).max  # the last range of a Bucketizer is closed
+    known = df.withColumn("__v", F.coalesce(v, F.lit(0.0)))
+    placed = Bucketizer(splits=ends.tolist(), inputCol="__v", outputCol="__b").transform(known)
+    place = F.when(v.isNull(), F.lit(-1)).when(F.col("__v") == float("inf"), F.lit(last)).otherwise(F.col("__b").cast("int"))
+    n = np.zeros(last + 2, np.int64)  # the missing ones come last
+    for row in placed.groupBy(place.alias("p")).agg(F.count("*").alias("n")).collect():  # as many as ranges
+        n[row["p"]] = row["n"]
+    before, total = np.cumsum(n) - n, int(n[:-1].sum())
+    fixed = np.append(np.where(alone, (before[:-1] + (n[:-1] + 1) / 2e0) / total, np.nan), 0.5)  # by the range alone
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = list(batches)
+        if not mine:
+            return
+        t = pa.Table.from_batches(mine)
+        p, x = t["__p"].to_numpy() // fan, t[value].to_numpy()
+        ranks = fixed[p]
+        open_ = np.flatnonzero(np.isnan(ranks))
+        order = open_[np.argsort(x[open_])]
+        p, x = p[order], x[order]
+        new = np.append(True, x[1:] != x[:-1])[: len(x)]
+        first, start = np.flatnonzero(new), np.searchsorted(p, p)  # of each value; of each row's range
+        same = np.diff(np.append(first, len(x)))
+        ranks[order] = np.repeat((before[p[first]] + first - start[first] + (same + 1) / 2e0) / total, same)
+        yield from t.drop_columns(["__p"]).append_column(out, pa.array(ranks)).to_batches()
+
+    shared = [-1, *np.flatnonzero(alone).tolist()]
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(fan)).cast("int")
+    keyed = placed.withColumn("__p", place).withColumn("__p", F.col("__p") * fan + F.when(F.col("__p").isin(shared), salt).otherwise(F.lit(0)))
+    parts = -(-int(n.sum()) // PART_ROWS)  # a task holds the rows of its part
+    wide = [parts] if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    moved = keyed.select(*[F.col(f"`{c}`") for c in df.columns], "__p").repartition(*wide, "__p")
+    return moved.mapInArrow(rank, StructType([*df.schema.fields, StructField(out, DoubleType())]))
+
+
 def percent_ranks(df: DataFrame, outs: dict[str, str], share: float = 1 / 512, fan: int = 32, few: int = FEW_VALUES, keep: bool = False) -> DataFrame:
     """Average rank over the number of non-null values, 0.5 where the value is missing, for each {value column: new column}.
 
     All counts come from df itself, not from each other's results. The ranks of a column with about ``few`` different values at most,
-    counted first by a sketch, come to the driver, are put in order there and go to every task. Of other columns, values with more than ``share`` of the rows, at most
-    1/share of them, and missing ones are spread over ``fan`` tasks in the join back; with ``keep`` such a result is cut.
+    counted first by a sketch, come to the driver, are put in order there and go to every task. Of other columns the rows are ranked in ranges of their values, once
+    moved there; whole numbers and decimals beyond what a double holds are counted by value and joined back. Values with more than ``share`` of the rows, at most
+    1/share of them, and missing ones are spread over ``fan`` tasks; with ``keep`` a result that moved rows is read from where they are, each time.
     """
     out, sent = df, True
     many = df.agg(*[F.approx_count_distinct(value).alias(name) for value, name in outs.items()]).first()
-    for value, name in outs.items():
+    for value, name in sorted(outs.items(), key=lambda x: many[x[1]] <= few):  # what moves, moves without the ranks of few values
         v = F.when(~F.isnan(value), F.col(value))
         if many[name] <= few:
             told = df.where(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count("*").alias("same")).toArrow().sort_by("__v")
@@ -90,7 +145,11 @@ def percent_ranks(df: DataFrame, outs: dict[str, str], share: float = 1 / 512, f
             ranks = df.sparkSession.createDataFrame(pa.table({"__v": told["__v"], name: pa.array(rank, pa.float64())}))
             out = out.withColumn("__v", v).join(F.broadcast(ranks), "__v", "left").withColumn(name, F.coalesce(name, F.lit(0.5))).drop("__v")
             continue
-        sent, counts = False, value_counts(df, value)
+        sent = False
+        if isinstance(df.schema[value].dataType, AS_DOUBLE):
+            out = _ranks_in_ranges(out, value, name, fan)
+            continue
+        counts = value_counts(df, value)
         rank = ((F.col("below") + (F.col("same") + 1) / F.lit(2e0)) / F.col("n")).alias(name)
         hot = F.col("same") > F.col("n") * share
         known = F.broadcast(counts.where(hot).select(F.col("value").alias("__h")))
@@ -98,7 +157,8 @@ def percent_ranks(df: DataFrame, outs: dict[str, str], share: float = 1 / 512, f
         salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(fan)).cast("int")
         left = out.join(known, v == F.col("__h"), "left").withColumn("__v", v).withColumn("__s", F.when(F.col("__h").isNotNull() | F.col("__v").isNull(), salt).otherwise(F.lit(0)))
         out = left.join(ranks, ["__v", "__s"], "left").withColumn(name, F.coalesce(name, F.lit(0.5))).drop("__v", "__s", "__h")
-    return out if sent or not keep else cut(out)
+    out = out.select(*[F.col(f"`{c}`") for c in (*df.columns, *outs.values())])
+    return held(out) if keep and not sent else out
 
 
 def quantiles(df: DataFrame, wanted: dict[str, list[float]], accuracy: int = ACCURACY) -> dict[str, list[float | None]]:

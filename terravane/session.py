@@ -58,3 +58,9 @@ def cut(df: DataFrame) -> DataFrame:
     out = DataFrame(fresh, session)
     out._kept = kept  # the files live as long as this frame
     return out
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The same rows on what their last shuffle wrote: later reads start there, and a lost executor's share is made again from its lineage."""
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), session)
