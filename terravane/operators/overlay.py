@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ from terravane.session import cut
 FINEST, COARSEST = -24, 40  # widths of cells as powers of two
 MAX_SENT, MAX_TEXT = 200_000, 30_000_000  # rows and characters of a right side that goes to every task
 SLICE = 1_000_000  # candidates at once
+FINER, MAX_CELLS = 8, 1_000_000  # small cells in a cell, in one direction; small cells of all
+FEW_SENT = 5_000  # right rows that are read where they are
+_PLAIN = r"(?i)^\s*POLYGON\s*\(\(" + r"\s*,".join(rf"\s*(?P<x{k}>-?\d{{1,15}}(?:\.\d{{1,17}})?)\s+(?P<y{k}>-?\d{{1,15}}(?:\.\d{{1,17}})?)" for k in range(5)) + r"\s*\)\s*\)\s*$"
 
 
 def _cells(df: DataFrame, above: list[int]) -> DataFrame:
@@ -67,15 +71,29 @@ def _flat(shape: planar.Shape) -> bool:
     return turns == 4 and [x0, y0] in p and [x1, y1] in p
 
 
+def _rectangles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, box) of the texts that plainly are one upright rectangle, read without shapes; others are left out."""
+    found = pc.extract_regex(texts, _PLAIN)
+    rows = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
+    x, y = (np.stack([pc.struct_field(found, f"{c}{k}").take(pa.array(rows)).cast(pa.float64()).to_numpy() for k in range(5)], axis=1) for c in "xy")
+    turns = (x[:, 1:] == x[:, :-1]) != (y[:, 1:] == y[:, :-1])
+    box = np.stack([x.min(axis=1), y.min(axis=1), x.max(axis=1), y.max(axis=1)], axis=1)
+    plain = turns.all(axis=1) & (x[:, 0] == x[:, 4]) & (y[:, 0] == y[:, 4]) & (x[:, 0] != x[:, 2]) & (y[:, 0] != y[:, 2])
+    return rows[plain], box[plain]
+
+
 class _Boxes:
     """Shapes by their boxes: (rows, 4), and whether each is its box."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        shapes = [planar.read(x) for x in texts]
-        boxes = [s.box() for s in shapes]
-        self.box = np.array([b or (np.nan,) * 4 for b in boxes], float).reshape(-1, 4)
-        self.flat = np.array([b is not None and _flat(s) for s, b in zip(shapes, boxes)], bool)
-        self.area = np.array([bool(s.polygons) for s in shapes], bool)
+        self.box = np.full((len(texts), 4), np.nan)
+        self.flat, self.area = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+        plain, box = _rectangles(pa.array(texts, pa.string()))
+        self.box[plain], self.flat[plain], self.area[plain] = box, True, True
+        for k in np.setdiff1d(np.arange(len(texts)), plain).tolist():
+            shape = planar.read(texts[k])
+            if (b := shape.box()) is not None:
+                self.box[k], self.flat[k], self.area[k] = b, _flat(shape), bool(shape.polygons)
 
 
 def _spread(left: DataFrame) -> DataFrame:
@@ -90,8 +108,8 @@ class _Sent:
         self.ids, self.texts, self.box, self.flat = ids, texts, box, flat
         if not len(ids):
             return
-        self.low = box[:, :2].min(axis=0)
-        high = box[:, 2:].max(axis=0)
+        self.low, self.high = box[:, :2].min(axis=0), box[:, 2:].max(axis=0)
+        high = self.high
         width = np.maximum((box[:, 2:] - box[:, :2]).mean(axis=0), (high - self.low) / max(1.0, np.sqrt(len(ids))))
         self.step = np.where(width > 0, width, 1.0)
         self.side = np.floor((high - self.low) / self.step).astype(int) + 1
@@ -108,6 +126,53 @@ class _Sent:
         tall = (b - a + 1)[row, 1]
         return (a[row, 0] + k // tall) * self.side[1] + a[row, 1] + k % tall, row
 
+    def outer(self, area: np.ndarray) -> _Sent:
+        """Without the rectangles, told by ``area``, that lie in another one and share a corner with it: together they cover the same."""
+        keep = np.ones(len(self.ids), bool)
+        for k in (0, 2):
+            for m in (1, 3):
+                at = np.flatnonzero(area & keep)
+                x, y = self.box[at, k], self.box[at, m]
+                far_x, far_y = (self.box[at, 2 - k] * (1 - k), self.box[at, 4 - m] * (2 - m))
+                _, far_y = np.unique(far_y, return_inverse=True)
+                order = np.lexsort((-far_y, -far_x, y, x))
+                corner = np.append(0, np.cumsum((x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])))[: len(at)]
+                reach = corner * (len(at) + 1) + far_y[order]
+                inner = (corner[1:] == corner[:-1]) & (np.maximum.accumulate(reach)[:-1] >= reach[1:])
+                keep[at[order[1:][inner]]] = False
+        rows = np.flatnonzero(keep)
+        return _Sent(self.ids[rows], [self.texts[r] for r in rows], self.box[rows], self.flat[rows])
+
+    def fill(self, area: np.ndarray) -> None:
+        """Counts the small cells that do not lie whole, and a little beyond, in one of the rectangles told by ``area``: ``open`` has those below and left of each corner."""
+        if not len(self.ids):
+            return
+        parts = max(1, min(FINER, int(np.sqrt(MAX_CELLS / self.side.prod()))))
+        self.fine, size = self.step / parts, self.side * parts
+        self.edge = 1e-9 + 4 * np.finfo(float).eps * np.maximum(np.abs(self.low), np.abs(self.high)) / self.fine  # cells are found by rounding
+        low, high = self.box[area, :2], self.box[area, 2:]
+        a = np.where(low <= self.low, 0, np.ceil((low - self.low) / self.fine + 2 * self.edge)).astype(int)
+        b = np.where(high >= self.high, size, np.floor((high - self.low) / self.fine - 2 * self.edge)).astype(int)
+        some = (a < b).all(axis=1)
+        (i0, j0), (i1, j1) = a[some].T, b[some].T
+        whole = np.zeros(size + 1, np.int32)
+        for i, j, n in ((i0, j0, 1), (i1, j1, 1), (i0, j1, -1), (i1, j0, -1)):
+            np.add.at(whole, (i, j), n)
+        lacking = whole.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] == 0
+        self.open = np.pad(lacking.astype(np.int32).cumsum(axis=0, dtype=np.int32).cumsum(axis=1, dtype=np.int32), ((1, 0), (1, 0)))
+
+    def covers(self, box: np.ndarray) -> np.ndarray:
+        """Whether all small cells a box stands in lie whole in right rectangles, so that nothing of it is left."""
+        out = np.zeros(len(box), bool)
+        if len(self.ids):
+            at = np.flatnonzero((box[:, :2] >= self.low).all(axis=1) & (box[:, 2:] <= self.high).all(axis=1))
+            most = np.array(self.open.shape) - 1
+            i0, j0 = np.clip(np.floor((box[at, :2] - self.low) / self.fine + self.edge), 0, most - 1).astype(int).T
+            i1, j1 = np.clip(np.ceil((box[at, 2:] - self.low) / self.fine - self.edge), 1, most).astype(int).T
+            i1, j1 = np.maximum(i1, i0 + 1), np.maximum(j1, j0 + 1)
+            out[at] = self.open[i1, j1] - self.open[i0, j1] - self.open[i1, j0] + self.open[i0, j0] == 0
+        return out
+
     def meeting(self, box: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(left row, right row) of all boxes that meet, once each and slice by slice; all pairs of a left row come in one slice."""
         at = np.flatnonzero(~np.isnan(box[:, 0])) if len(self.ids) else np.empty(0, int)
@@ -147,7 +212,7 @@ def _sent(right: DataFrame) -> _Sent | None:
     size = rows.agg(F.count("*").alias("n"), F.sum(F.length("geometry")).alias("c")).first()
     if size["n"] > MAX_SENT or (size["c"] or 0) > MAX_TEXT:
         return None
-    t = rows.mapInArrow(run, told).toArrow()
+    t = (rows if size["n"] <= FEW_SENT else _spread(rows)).mapInArrow(run, told).toArrow()
     box = np.stack([t[c].to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1)
     return _Sent(t["id"].to_numpy(), t["geometry"].to_pylist(), box, t["flat"].to_numpy())
 
@@ -208,16 +273,19 @@ def _rest_of_box(box: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
 
 
 def _left_over_sent(left: DataFrame, right: _Sent) -> DataFrame:
-    """``_left_over`` with the right side in every task: no pair moves, and rectangles are cut by rectangles on their sides."""
-    area = right.flat & (right.box[:, 0] < right.box[:, 2]) & (right.box[:, 1] < right.box[:, 3]) if len(right.ids) else right.flat
+    """``_left_over`` with the right side in every task: no pair moves, and rectangles are cut by rectangles on their sides. What stands in covered cells meets nothing."""
+    areas = lambda r: r.flat & (r.box[:, 0] < r.box[:, 2]) & (r.box[:, 1] < r.box[:, 3]) if len(r.ids) else r.flat
+    right = right.outer(areas(right))
+    area = areas(right)
+    right.fill(area)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b["geometry"].to_pylist()
             boxes = _Boxes(texts)
             made: dict[int, list[np.ndarray]] = {}
-            met = np.zeros(len(texts), bool)
-            for i, j in right.meeting(boxes.box):
+            met = right.covers(boxes.box)
+            for i, j in right.meeting(np.where(met[:, None], np.nan, boxes.box)):
                 order = np.argsort(i, kind="stable")
                 i, j = i[order], j[order]
                 cuts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.empty(0, int)
@@ -229,7 +297,10 @@ def _left_over_sent(left: DataFrame, right: _Sent) -> DataFrame:
                         made[k] = [] if ((d[:, :2] <= c[:2]) & (d[:, 2:] >= c[2:])).all(axis=1).any() else _rest_of_box(c, d)
                     else:
                         made[k] = planar.combine(planar.read(texts[k]).polygons, [p for o in others for p in planar.read(right.texts[o]).polygons], planar.OVERLAYS["difference"])
-            for k in np.flatnonzero(~met):
+            for k in np.flatnonzero(~met & boxes.flat & boxes.area):
+                x0, y0, x1, y1 = boxes.box[k]
+                made[int(k)] = [np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])]
+            for k in np.flatnonzero(~met & ~(boxes.flat & boxes.area)):
                 made[int(k)] = planar.combine(planar.read(texts[k]).polygons, [], planar.OVERLAYS["difference"])
             rows = [(k, planar.to_geojson(m), planar.total_area(m)) for k, m in made.items() if m]
             rows = [x for x in rows if x[2] > 0]
