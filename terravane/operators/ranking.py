@@ -25,6 +25,7 @@ from terravane.session import cut, held
 COARSE, FINE = 32, 32
 HOT_SHARE = 1 / 256
 FEW_VALUES = 1_000_000
+ALWAYS_FEW, REPEATED = 100_000, 16  # above, values are few only if each has so many rows on average
 ACCURACY = 10_000
 PART_ROWS = 500_000
 AS_DOUBLE = (DoubleType, FloatType, IntegerType, ShortType, ByteType)  # numbers that are told apart as double
@@ -130,15 +131,16 @@ def percent_ranks(df: DataFrame, outs: dict[str, str], share: float = 1 / 512, f
     """Average rank over the number of non-null values, 0.5 where the value is missing, for each {value column: new column}.
 
     All counts come from df itself, not from each other's results. The ranks of a column with about ``few`` different values at most,
-    counted first by a sketch, come to the driver, are put in order there and go to every task. Of other columns the rows are ranked in ranges of their values, once
+    counted first by a sketch, come to the driver, are put in order there and go to every task; above ALWAYS_FEW values only if they repeat. Of other columns the rows are ranked in ranges of their values, once
     moved there; whole numbers and decimals beyond what a double holds are counted by value and joined back. Values with more than ``share`` of the rows, at most
     1/share of them, and missing ones are spread over ``fan`` tasks; with ``keep`` a result that moved rows is read from where they are, each time.
     """
     out, sent = df, True
-    many = df.agg(*[F.approx_count_distinct(value).alias(name) for value, name in outs.items()]).first()
-    for value, name in sorted(outs.items(), key=lambda x: many[x[1]] <= few):  # what moves, moves without the ranks of few values
+    many = df.agg(*[F.approx_count_distinct(value).alias(name) for value, name in outs.items()], F.count("*").alias("__rows")).first()
+    sends = {name: many[name] <= min(few, max(ALWAYS_FEW, many["__rows"] // REPEATED)) for name in outs.values()}
+    for value, name in sorted(outs.items(), key=lambda x: sends[x[1]]):  # what moves, moves without the ranks of few values
         v = F.when(~F.isnan(value), F.col(value))
-        if many[name] <= few:
+        if sends[name]:
             told = df.where(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count("*").alias("same")).toArrow().sort_by("__v")
             same = told["same"].to_numpy()
             rank = ((np.cumsum(same) - same) + (same + 1) / 2e0) / same.sum() if len(same) else np.empty(0)
