@@ -99,21 +99,25 @@ def _best(qx, qy, qid, px, py, pid, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(qi), np.concatenate(ids), np.concatenate(ds)
 
 
-def knn(points: DataFrame, k: int, rows: int = TILE_ROWS) -> DataFrame:
-    """(i, j, d, rank): the k nearest others of every point. points: (id long, x, y); rows with a missing or infinite coordinate take no part."""
+def knn(points: DataFrame, k: int, rows: int = TILE_ROWS, asks: str | None = None) -> DataFrame:
+    """(i, j, d, rank): the k nearest others of every point, or of those where the column ``asks`` is true. points: (id long, x, y); rows with a missing or infinite coordinate take no part."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-    points = points.where(finite("x") & finite("y")).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    points = points.where(finite("x") & finite("y")).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col(asks) if asks else F.lit(True)).alias("asks"))
     grid = tiles(points, rows)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(grid.of(t["x"].to_numpy(), t["y"].to_numpy())), t["id"], t["x"], t["y"]], ["tile", "id", "x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(grid.of(t["x"].to_numpy(), t["y"].to_numpy())), t["id"], t["x"], t["y"], t["asks"]], ["tile", "id", "x", "y", "asks"])
 
-    placed = points.mapInArrow(place, "tile int, id long, x double, y double")
+    placed = points.mapInArrow(place, "tile int, id long, x double, y double, asks boolean")
 
     def inside(t: pa.Table) -> pa.Table:
         x, y, ids, n = t["x"].to_numpy(), t["y"].to_numpy(), t["id"].to_numpy(), t["tile"][0].as_py()
-        q, j, d2 = _best(x, y, ids, x, y, ids, k)
+        own = np.flatnonzero(t["asks"].to_numpy())
+        if not len(own):
+            return pa.table({"ask": pa.array([], pa.int32()), "i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("d2", "x", "y")}})
+        q, j, d2 = _best(x[own], y[own], ids[own], x, y, ids, k)
+        x, y, ids = x[own], y[own], ids[own]
         counts = np.bincount(q, minlength=len(x))
         far = np.full(len(x), np.inf)
         full = counts >= k
@@ -121,11 +125,11 @@ def knn(points: DataFrame, k: int, rows: int = TILE_ROWS) -> DataFrame:
         far[full] = np.sqrt(d2[last[full]]) * (1 + 1e-9)
         to, at = grid.reached(x, y, far)
         to, at = to[to != n], at[to != n]
-        own, sent = len(q), len(at)
+        found, sent = len(q), len(at)
         none_i, none_f = np.full(sent, -1, np.int64), np.zeros(sent)
         return pa.table({
-            "ask": pa.array(np.concatenate([np.full(own, -1), to]), pa.int32()), "i": np.concatenate([ids[q], ids[at]]), "j": np.concatenate([j, none_i]),
-            "d2": np.concatenate([d2, none_f]), "x": np.concatenate([np.zeros(own), x[at]]), "y": np.concatenate([np.zeros(own), y[at]]),
+            "ask": pa.array(np.concatenate([np.full(found, -1), to]), pa.int32()), "i": np.concatenate([ids[q], ids[at]]), "j": np.concatenate([j, none_i]),
+            "d2": np.concatenate([d2, none_f]), "x": np.concatenate([np.zeros(found), x[at]]), "y": np.concatenate([np.zeros(found), y[at]]),
         })
 
     first = placed.groupBy("tile").applyInArrow(inside, "ask int, i long, j long, d2 double, x double, y double")

@@ -211,10 +211,13 @@ def bootstrap_winner(spark, d):
 def variable_comparison(spark, d):
     """Best fit, tail and the counts of rows that stand out, per measure; an item lies where its customer does, and its series is their nation."""
     n = wgs(spark, d).select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", *[c.alias(a) for c, a in zip(geometry.utm(F.col("lat"), F.col("lon"), 18), ("x", "y"))])
-    items = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey", "left").join(n, "o_custkey", "left")
-    alike = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[c for c in items.columns if c.startswith("l_")])  # a line number is not unique in its order
+    at = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(n, "o_custkey", "left").drop("o_custkey")  # orders first, so that items move once
+    measures = ["l_quantity", "l_extendedprice", "l_discount"]
+    apart = ["l_partkey", "l_suppkey", *measures]  # items that are alike in these may take each other's id
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *apart, "l_shipdate").join(at, "l_orderkey", "left")
+    alike = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*apart)  # a line number is not unique in its order
     rows = items.withColumn("id", (F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")) * (1 << 20) + F.row_number().over(alike))
-    return analysis.compare_variables(rows, ["l_quantity", "l_extendedprice", "l_discount"], "c_nationkey", ["l_shipdate"])
+    return analysis.compare_variables(rows, measures, "c_nationkey", ["l_shipdate"])
 
 
 _EI = """w as (select c_custkey, c_acctbal, -75 + (c_custkey * 37 % 1009) / 1e3 as lon, 6 + (c_custkey * 91 % 1013) / 1e3 as lat, c_nationkey::double as nk from customer),

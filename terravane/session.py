@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable
@@ -64,3 +65,9 @@ def held(df: DataFrame) -> DataFrame:
     """The same rows on what their last shuffle wrote: later reads start there, and a lost executor's share is made again from its lineage."""
     session = df.sparkSession
     return DataFrame(session._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), session)
+
+
+def swept(spark: SparkSession) -> None:
+    """Have Spark delete the files of frames that are gone; its cleaner waits for the driver's garbage collection, which a driver with little to do puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
